@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: A word is a longest run of characters other than these (regular expression class body).
 SPACE = r"\x20\x09-\x0D"
-_SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,33 +19,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def trimmed(text: Column) -> Column:
-    """The text without white space at its ends; null counts as empty."""
-    return F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACE_CHARS))
-
-
 def words(text: Column) -> Column:
-    """All words of the text, in order; an empty array for null or blank text."""
-    return let(
-        trimmed(text),
-        lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{SPACE}]+")),
-    )
+    """All words of the text, in order; an empty array for null or blank text.
+
+    White space becomes blanks first: Java splits at one literal character without its regular expressions.
+    """
+    blanks = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        blanks = F.replace(blanks, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(blanks, " "), "")
 
 
-def without_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{SPACE}]+", "")
+def word_hashes(text: Column) -> Column:
+    """A 64-bit hash for each word of the text."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def shingles(word_array: Column, width: int) -> Column:
-    """64-bit hashes of all runs of ``width`` words, in order of position."""
-    at = lambda w, i, k: F.get(w, i + F.lit(k))
+def shingles(hashes: Column, width: int) -> Column:
+    """64-bit hashes of all runs of ``width`` words, in order of position, from the hashes of the words."""
+    run = lambda h, i: F.xxhash64(*[F.get(h, i + k if k else i) for k in range(width)])
     return let(
-        word_array,
-        lambda w: F.when(F.size(w) < width, F.array().cast("array<bigint>")).otherwise(
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - F.lit(width)),
-                lambda i: F.xxhash64(*[at(w, i, k) for k in range(width)]),
-            )
+        hashes,
+        lambda h: F.when(F.size(h) < width, F.array().cast("array<bigint>")).otherwise(
+            F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: run(h, i))
         ),
     )
 

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, shingles, words
+from .common import let, shingles, word_hashes
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -91,7 +91,7 @@ def shared_weight(a: Column, b: Column) -> Column:
 
 def benchmark_items(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """Items with words: id, words in the item, words of a shingle, and the bag of shingles."""
-    counted = items.select(F.col(item_id).alias("item_id"), words(F.lower(F.col(text))).alias("w")).where(F.size("w") > 0)
+    counted = items.select(F.col(item_id).alias("item_id"), word_hashes(F.lower(F.col(text))).alias("w")).where(F.size("w") > 0)
     width = F.least(F.size("w"), F.lit(WIDTH))
     by_width = reduce(lambda later, k: F.when(width == k, shingles(F.col("w"), k)).otherwise(later), range(1, WIDTH), shingles(F.col("w"), WIDTH))
     return counted.select("item_id", F.size("w").alias("length"), width.alias("width"), by_width.alias("bag"))
@@ -99,7 +99,7 @@ def benchmark_items(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 def _hits(docs: DataFrame, wanted: DataFrame, width: int, t: float, small: bool) -> DataFrame:
     """Places where a document has a shingle of some item of a size, with the shingles around."""
-    placed = docs.select("doc_id", shingles(F.col("w"), width).alias("bag")).where(F.size("bag") > 0)
+    placed = docs.select("doc_id", shingles(F.col("w"), width).alias("bag"))
     table = wanted.where(F.col("width") == width).select("h", "sizes")
     if small:
         met = placed.select("doc_id", "bag", F.posexplode("bag").alias("pos", "h")).join(F.broadcast(table), "h")
@@ -158,7 +158,7 @@ def contaminated(
     # the widths that occur (at most five), and what the tables of the items would take when broadcast
     facts = keyed.groupBy("width").agg(F.count("*").alias("items"), F.sum("n").alias("shingles")).collect()
     small = sum((100 * r["items"] + 64 * r["shingles"]) * (radius + 1) for r in facts) <= BROADCAST_BYTES
-    source = docs.select(F.col(doc_id).alias("doc_id"), words(F.lower(F.col(text))).alias("w"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.lower(F.col(text))).alias("w"))
     widths = sorted(r["width"] for r in facts) or [WIDTH]
     windows = _windows(reduce(DataFrame.unionByName, [_hits(source, wanted, k, threshold, small) for k in widths]))
     marks = fingerprints(windows.withColumn("h", F.explode("window")), windows.columns, "h").drop("m", "need", "total")

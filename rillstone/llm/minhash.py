@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, ship, words
+from .common import cut, ship, word_hashes
 from .components import components
 
 WIDTH = 5
@@ -174,10 +174,6 @@ def _element_column(word_hashes: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return _as_lists(element[order], np.bincount(owner, minlength=len(sizes)))
 
 
-def _word_hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
-
-
 def text_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -185,7 +181,7 @@ def text_key(text: Column) -> Column:
 def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Each different non-null text: ``node`` (its least document id) and the keys of its bands."""
     ship(docs.sparkSession)
-    hashed = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.struct(F.col(doc_id).cast("long").alias("id"), text_key(F.col(text)).alias("text")).alias("key"), _word_hashes(F.col(text)).alias("words"))
+    hashed = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.struct(F.col(doc_id).cast("long").alias("id"), text_key(F.col(text)).alias("text")).alias("key"), word_hashes(F.col(text)).alias("words"))
     banded = hashed.mapInArrow(lambda it: _over_batches(it, _band_column), "key struct<id bigint, text string>, found array<bigint>")
     # equal texts have equal bands; one row of each task's copies is shuffled
     return banded.groupBy(F.col("key.text").alias("text_key")).agg(F.min("key.id").alias("node"), F.max(F.struct("found")).alias("f")).select("text_key", "node", F.col("f.found").alias("bands"))
@@ -194,7 +190,7 @@ def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def elements_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Sorted elements of the documents whose ids are wanted, a row each."""
     wanted = docs.where(F.col(text).isNotNull()).join(nodes.hint("shuffle_hash"), F.col(doc_id) == F.col("node"), "left_semi")
-    hashed = wanted.select(F.struct(F.col(doc_id).cast("long").alias("id"), text_key(F.col(text)).alias("text")).alias("key"), _word_hashes(F.col(text)).alias("words"))
+    hashed = wanted.select(F.struct(F.col(doc_id).cast("long").alias("id"), text_key(F.col(text)).alias("text")).alias("key"), word_hashes(F.col(text)).alias("words"))
     made = hashed.mapInArrow(lambda it: _over_batches(it, _element_column), "key struct<id bigint, text string>, found array<bigint>")
     return made.select(F.col("key.id").alias("node"), F.col("key.text").alias("text_key"), F.col("found").alias("elements"))
 

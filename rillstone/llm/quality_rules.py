@@ -12,65 +12,70 @@ repeated rows are judged each for itself; further columns pass through.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, without_spaces, words
+from .common import SPACE, let, shingles, words
 
-#: Marks that prose seldom uses, and phrases of boilerplate lines (RE2 and Java agree on them).
+#: Marks that prose seldom uses, signs that part the entries of menus, and phrases of boilerplate lines.
 SYMBOLS = "#*$%&|<>"
+SEPARATORS = "|»›•·"
 BOILERPLATE = (
-    "(?i)(all rights reserved|licensed under|released under the|general public license|cookie policy|privacy policy|"
-    "terms of (use|service)|click here|lorem ipsum|enable javascript|subscribe to our|sign up for|copyright (c)|©)"
-).replace("(c)", r"\(c\)")
+    "rights reserved", "RIGHTS RESERVED", "icensed under", "eleased under the", "Public License", "ookie policy",
+    "rivacy policy", "erms of use", "erms of service", "lick here", "ubscribe to our", "©",
+)
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Thresholds. Shares are of the characters that are not white space."""
+    """Thresholds. Shares are of the characters of a line, or of all lines."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_symbol_percent: int = 10
-    max_exclaim_percent: int = 8
+    max_symbol_percent: int = 8
+    max_exclaim_percent: int = 7
     min_separators: int = 3
     max_lost_percent: int = 30
 
 
+def _any_phrase(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in BOILERPLATE])
+
+
 def line_fails(line: Column, rules: QualityRules = QualityRules()) -> Column:
     """True if a rule on punctuation, navigation or boilerplate removes this line."""
-    chars = F.length(without_spaces(line))
     symbols = F.length(F.regexp_replace(line, f"[^{SYMBOLS}]+", ""))
     exclaims = F.length(F.regexp_replace(line, "[^!]+", ""))
-    separators = F.size(F.split(line, r" [|»›•·] ")) - 1
+    separators = F.size(F.split(line, f" [{SEPARATORS}] ")) - 1
     return (
-        (symbols * 100 > chars * rules.max_symbol_percent)
-        | (exclaims * 100 > chars * rules.max_exclaim_percent)
+        (symbols * 100 > F.length(line) * rules.max_symbol_percent)
+        | (exclaims * 100 > F.length(line) * rules.max_exclaim_percent)
         | (separators >= rules.min_separators)
-        | line.rlike(BOILERPLATE)
+        | _any_phrase(line)
     )
 
 
-def repeated_words(word_array: Column) -> Column:
-    """How many words lie in a run of three words that the array holds twice or more.
+def may_fail(text: Column, symbols: Column) -> Column:
+    """False if no line of the text can fail, since nothing that the rules look for is in it. ``symbols``: their number in it."""
+    return (symbols > 0) | reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in "!" + SEPARATORS]) | _any_phrase(text)
+
 
-    Windows are sorted by hash; equal neighbours are repeats. The sorted places
-    of repeats then cover up to three words each, overlaps counted once.
+def repeated_words(hashes: Column, few: int = 64) -> Column:
+    """How many words lie in a run of three words that a text holds twice or more, from the hashes of its words.
+
+    Most texts repeat no run, as a hash set tells. Otherwise the sorted hashes give
+    the repeated runs; their places are found by looking every run up among them, or,
+    where they are more than ``few``, by sorting the runs with their places.
+    The places then cover up to three words each, overlaps counted once.
     """
-    window = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    hashed = lambda w: F.sort_array(
-        F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(window(w, i).alias("h"), i.alias("i")))
-    )
-    repeats = lambda s: F.array_sort(
-        F.transform(
-            F.filter(
-                s,
-                lambda x, k: (F.get(s, k - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, k + 1)["h"].eqNullSafe(x["h"])),
-            ),
-            lambda x: x["i"],
-        )
-    )
+    twice = lambda runs: let(F.sort_array(runs), lambda s: F.array_distinct(F.filter(s, lambda x, k: F.get(s, k - 1).eqNullSafe(x))))
+    among = lambda runs, some: F.filter(F.transform(runs, lambda x, i: F.when(F.array_contains(some, x), i)), lambda i: i.isNotNull())
+    placed = lambda runs: F.sort_array(F.transform(runs, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    same = lambda s, k, x: F.get(s, k - 1)["h"].eqNullSafe(x["h"]) | F.get(s, k + 1)["h"].eqNullSafe(x["h"])
+    sorted_ = lambda runs: let(placed(runs), lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: same(s, k, x)), lambda x: x["i"])))
+    places = lambda runs: let(twice(runs), lambda some: F.when(F.size(some) <= few, among(runs, some)).otherwise(sorted_(runs)))
     covered = lambda p: F.aggregate(
         p,
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
@@ -78,27 +83,29 @@ def repeated_words(word_array: Column) -> Column:
         lambda a: a["n"],
     )
     return let(
-        word_array,
-        lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(let(let(hashed(w), repeats), covered)),
+        shingles(hashes, 3),
+        lambda runs: F.when(F.size(F.array_distinct(runs)) < F.size(runs), let(places(runs), covered)).otherwise(F.lit(0)),
     )
 
 
 def apply_quality_rules(df: DataFrame, text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
     """Adds the cleaned text, the counts behind the verdict, and ``kept``."""
-    blank = lambda line: without_spaces(line) == ""
+    real = lambda line: line.rlike(f"[^{SPACE}]")
+    size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     body = F.coalesce(F.col(text), F.lit(""))
     return (
         df.withColumn("_words", words(F.col(text)))
         .withColumn("_lines", F.split(body, "\n"))
-        .withColumn("_real", F.filter("_lines", lambda x: ~blank(x)))
-        .withColumn("_clean", F.filter("_lines", lambda x: blank(x) | ~line_fails(x, rules)))
+        .withColumn("_real", F.filter("_lines", real))
+        .withColumn("n_symbols", F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")).cast("long"))
+        .withColumn("_clean", F.when(may_fail(body, F.col("n_symbols")), F.filter("_lines", lambda x: ~real(x) | ~line_fails(x, rules))).otherwise(F.col("_lines")))
         .withColumn("clean_text", F.array_join("_clean", "\n"))
         .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(without_spaces(body)).cast("long"))
-        .withColumn("n_symbols", F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
         .withColumn("n_dup_lines", (F.size("_real") - F.size(F.array_distinct("_real"))).cast("long"))
-        .withColumn("n_repeat_words", repeated_words(F.col("_words")).cast("long"))
-        .withColumn("kept_chars", F.length(without_spaces(F.col("clean_text"))).cast("long"))
+        .withColumn("n_repeat_words", repeated_words(F.transform("_words", lambda w: F.xxhash64(w))).cast("long"))
+        .withColumn("line_chars", size(F.col("_lines")))
+        .withColumn("kept_chars", size(F.col("_clean")))
         .withColumn("n_lines", F.size("_real").cast("long"))
         .withColumn("n_failed_lines", (F.size("_lines") - F.size("_clean")).cast("long"))
         .withColumn(
@@ -109,7 +116,7 @@ def apply_quality_rules(df: DataFrame, text: str = "text", rules: QualityRules =
         .withColumn(
             "kept",
             ~F.col("base_failed")
-            & (100 * (F.col("word_chars") - F.col("kept_chars")) <= rules.max_lost_percent * F.col("word_chars")),
+            & (100 * (F.col("line_chars") - F.col("kept_chars")) <= rules.max_lost_percent * F.col("line_chars")),
         )
         .drop("_words", "_lines", "_real", "_clean")
     )

@@ -17,7 +17,7 @@ PREDICTED_FROM = 0.3
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "kept_chars")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "line_chars", "kept_chars")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,29 +85,29 @@ WITH base AS (
 ), repeated AS (
   SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM places, (VALUES (0), (1), (2)) AS t(k) WHERE n > 1 GROUP BY r
 ), judged AS (
-  SELECT r, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
+  SELECT r, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS real, length(line) AS chars,
     length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) AS symbols, length(regexp_replace(line, '[^!]+', '', 'g')) AS exclaims,
     len(string_split_regex(line, ' [|»›•·] ')) - 1 AS separators
   FROM (SELECT r, unnest(lines) AS line FROM counted)
 ), failed AS (
-  SELECT *, symbols * 100 > chars * 10 OR exclaims * 100 > chars * 8 OR separators >= 3 OR regexp_matches(line,
-    '(?i)(all rights reserved|licensed under|released under the|general public license|cookie policy|privacy policy|terms of (use|service)|click here|lorem ipsum|enable javascript|subscribe to our|sign up for|copyright \(c\)|©)') AS fails
+  SELECT *, real AND (symbols * 100 > chars * 8 OR exclaims * 100 > chars * 7 OR separators >= 3 OR regexp_matches(line,
+    'rights reserved|RIGHTS RESERVED|icensed under|eleased under the|Public License|ookie policy|rivacy policy|erms of use|erms of service|lick here|ubscribe to our|©')) AS fails
   FROM judged
 ), of_lines AS (
-  SELECT r, count(*) FILTER (chars > 0) AS n_lines, count(*) FILTER (chars > 0) - count(DISTINCT line) FILTER (chars > 0) AS n_dup_lines,
-    count(*) FILTER (chars > 0 AND fails) AS n_failed_lines, coalesce(sum(chars) FILTER (NOT fails), 0) AS kept_chars
+  SELECT r, count(*) FILTER (real) AS n_lines, count(*) FILTER (real) - count(DISTINCT line) FILTER (real) AS n_dup_lines,
+    count(*) FILTER (fails) AS n_failed_lines, sum(chars) AS line_chars, coalesce(sum(chars) FILTER (NOT fails), 0) AS kept_chars
   FROM failed GROUP BY r
 ), facts AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-    n_lines, n_failed_lines, kept_chars
+    n_lines, n_failed_lines, line_chars, kept_chars
   FROM counted JOIN of_lines USING (r) LEFT JOIN repeated USING (r)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (word_chars - kept_chars) <= 30 * word_chars AS kept,
-  CAST(n_lines AS BIGINT) AS n_lines, CAST(n_failed_lines AS BIGINT) AS n_failed_lines, CAST(kept_chars AS BIGINT) AS kept_chars
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (line_chars - kept_chars) <= 30 * line_chars AS kept,
+  CAST(n_lines AS BIGINT) AS n_lines, CAST(n_failed_lines AS BIGINT) AS n_failed_lines, CAST(line_chars AS BIGINT) AS line_chars, CAST(kept_chars AS BIGINT) AS kept_chars
 FROM facts
 """
 
