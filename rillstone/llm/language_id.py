@@ -146,7 +146,7 @@ def learn(x: np.ndarray, lang: np.ndarray) -> LanguageModel:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> LanguageModel:
     ship(docs.sparkSession)
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~in_fold(F.col(doc_id), folds, fold))
+    known = docs.select(doc_id, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~in_fold(F.col(doc_id), folds, fold))
     kinds = known.select(lang).distinct().count()
     each = max(20, sample // max(1, kinds))
     # Spark keeps only the first rows of each language before it shuffles them

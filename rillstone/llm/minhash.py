@@ -46,7 +46,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-BLOCK = 256
+BLOCK = 1024
 _U = np.uint64
 
 
@@ -189,7 +189,8 @@ def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def elements_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Sorted elements of the documents whose ids are wanted, a row each."""
-    wanted = docs.where(F.col(text).isNotNull()).join(nodes.hint("shuffle_hash"), F.col(doc_id) == F.col("node"), "left_semi")
+    named = nodes.select(F.col("node").alias("_wanted")).hint("shuffle_hash")
+    wanted = docs.where(F.col(text).isNotNull()).select(doc_id, text).join(named, F.col(doc_id) == F.col("_wanted"), "left_semi")
     hashed = wanted.select(F.struct(F.col(doc_id).cast("long").alias("id"), text_key(F.col(text)).alias("text")).alias("key"), word_hashes(F.col(text)).alias("words"))
     made = hashed.mapInArrow(lambda it: _over_batches(it, _element_column), "key struct<id bigint, text string>, found array<bigint>")
     return made.select(F.col("key.id").alias("node"), F.col("key.text").alias("text_key"), F.col("found").alias("elements"))
@@ -223,7 +224,9 @@ def _rest(members: DataFrame, roots: DataFrame, elements: DataFrame, threshold:
     probes = F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("main_n")) / BLOCK)).cast("int")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK)).cast("int")
     part = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("node")), n).cast("int")
-    full = open_.join(elements.select("node", "elements"), "node")
+    # half of each hash does in the blocks, where it can only make two texts seem nearer; the links found are verified whole
+    halves = F.sort_array(F.transform("elements", lambda e: F.shiftright(e, 32).cast("int")))
+    full = open_.join(elements.select("node", halves.alias("elements")), "node")
     side = lambda df, probe, target, is_probe: df.select("bucket", probe.alias("p"), target.alias("t"), F.lit(is_probe).alias("is_probe"), "node", "root", "elements")
     asked = side(full.where(F.col("root") != F.col("main")), part(probes, 1), F.explode(F.sequence(F.lit(0), blocks - 1)), True)
     against = side(full, F.explode(F.sequence(F.lit(0), probes - 1)), part(blocks, 2), False)
@@ -233,7 +236,7 @@ def _rest(members: DataFrame, roots: DataFrame, elements: DataFrame, threshold:
         found: list[tuple[int, int]] = []
         if len(a) and len(b):
             sizes_b = b["elements"].str.len().to_numpy()
-            flat = np.concatenate(list(b["elements"])) if sizes_b.sum() else np.zeros(0, np.int64)
+            flat = np.concatenate(list(b["elements"])) if sizes_b.sum() else np.zeros(0, np.int32)
             owner = np.repeat(np.arange(len(b)), sizes_b)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
@@ -242,12 +245,15 @@ def _rest(members: DataFrame, roots: DataFrame, elements: DataFrame, threshold:
                 low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
                 hits = np.concatenate([owner[x:y] for x, y in zip(low, high, strict=True)]) if len(mine) else owner[:0]
                 shared = np.bincount(hits, minlength=len(b))
-                near = (shared >= (threshold - 1e-12) * (len(mine) + sizes_b - shared)) & (roots_b != root) & (shared > 0)
+                alike = shared / np.maximum(1, len(mine) + sizes_b - shared)
+                near = np.flatnonzero((alike >= threshold - 1e-12) & (roots_b != root) & (shared > 0))
+                near = near[np.argsort(-alike[near], kind="stable")]  # the nearest of each component
                 _, one = np.unique(roots_b[near], return_index=True)
-                found += [(node, other) for other in nodes_b[near][one]]
+                found += [(node, other) for other in nodes_b[near[one]]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return asked.unionByName(against).groupBy("bucket", "p", "t").applyInPandas(link, "a long, b long").distinct()
+    found = asked.unionByName(against).groupBy("bucket", "p", "t").applyInPandas(link, "a long, b long").distinct()
+    return _verified(found, elements, threshold)
 
 
 def near_duplicate_links(docs: DataFrame, texts: DataFrame, doc_id: str, text: str, threshold: float = THRESHOLD) -> DataFrame:

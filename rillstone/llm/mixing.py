@@ -77,6 +77,7 @@ def mix(
     ``slim``: the same documents with id, source and size only, where reading them
     again from ``sized`` would be dear.
     """
+    sized = sized.drop("source_size", "target", "copies", "taken")
     slim = sized if slim is None else slim
     cell = ["_src", "_class", "_salt"]
 

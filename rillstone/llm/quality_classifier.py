@@ -83,6 +83,7 @@ def learn(rows: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 1) ->
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> QualityModel:
     ship(docs.sparkSession)
+    docs = docs.select(doc_id, text)
     held = in_fold(F.col(doc_id), folds, fold)
     chosen = bounded_sample(labels, doc_id, label, sample, held)
     rows = docs.where(~held).join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select("_id", "_label", F.coalesce(F.col(text), F.lit("")).alias("body"))

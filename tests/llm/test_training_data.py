@@ -265,7 +265,7 @@ def near_copies(rng, n):
     return docs + [(1000 + i, docs[i][1]) for i in range(0, 12, 2)]
 
 
-@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("block", [1024, 4])
 def test_near_duplicates_match_brute_force(spark, block):
     docs = near_copies(random.Random(3), 90) + [(2000, ""), (2001, ""), (2002, " "), (2003, None), (2004, None), (2005, "a b"), (2006, "a  b"), (2007, "a b c")]
     minhash.BLOCK, kept = block, minhash.BLOCK
