@@ -83,13 +83,15 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 50.0, steps: int = 120) -> np.ndarray:
     """Weights (the last an offset) of a squared-hinge support vector machine, by accelerated gradient steps. y: 1 or -1."""
     rows = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    share = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())).astype(np.float64)
-    w = v = np.zeros(rows.shape[1])
-    rate = 1 / (1 + 2 * cost * 2 * 2)
+    # single precision throughout: mixed types would copy the rows at every step
+    y = y.astype(rows.dtype)
+    share = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())).astype(rows.dtype)
+    w = v = np.zeros(rows.shape[1], rows.dtype)
+    rate = rows.dtype.type(1 / (1 + 2 * cost * 2 * 2))
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (rows @ v))
-        new = v - rate * (v - 2 * cost * (rows.T @ (share * slack * y)))
-        v = new + k / (k + 3) * (new - w)
+        new = v - rate * (v - rows.dtype.type(2 * cost) * (rows.T @ (share * slack * y)))
+        v = new + rows.dtype.type(k / (k + 3)) * (new - w)
         w = new
     return w
 
