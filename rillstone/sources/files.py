@@ -6,6 +6,7 @@ import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -19,10 +20,12 @@ SKIPPED = ("node_modules", ".git", "dist", "build", ".next", ".turbo", "coverage
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """Files in the order of their paths: ``file_ord`` is the order key of all that is parsed from them."""
-    from pyspark.sql import Window as W
+    """Files in the order of their paths: ``file_ord`` is the order key of all that is parsed from them.
 
-    return files.withColumn("file_ord", F.row_number().over(W.orderBy("path")) - 1)
+    Only the paths are brought together to be numbered; contents stay where they are.
+    """
+    order = files.select("path").distinct().withColumn("file_ord", F.row_number().over(W.orderBy("path")) - 1)
+    return files.join(order, "path")
 
 
 def read_folder(spark: SparkSession, root: str, walk: bool = True) -> DataFrame:
@@ -33,7 +36,7 @@ def read_folder(spark: SparkSession, root: str, walk: bool = True) -> DataFrame:
     rows = raw.where(F.col("length") <= LARGEST).withColumn("path", path).where(F.col("path").rlike(FOLDER_ENDINGS))
     if walk:
         rows = rows.where(~F.col("path").rlike("(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"))
-    return rows.select("path", F.decode("content", F.lit("UTF-8")).alias("content"), F.col("length").alias("size"))
+    return rows.select("path", F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"))
 
 
 def given_files(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:

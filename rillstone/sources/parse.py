@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import language_of, node_identity, normal_source
+from ..functions.lineage import cut
 
 #: Comments, strings, templates, names (with numbers), arrows and single signs; white space is left out.
 TOKEN = r"(?s)//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|[\p{L}_$][\p{L}\p{N}_$]*|\p{N}[\w.]*|=>|\.\.\.|[^\s\w]"
@@ -114,7 +115,8 @@ def _symbols(toks: DataFrame, files: DataFrame, project: Column) -> DataFrame:
         F.max("o").alias("close_ord"), F.max(F.col("pl") + F.length("x")).alias("close_place"), F.max("l").alias("close_line"),
     )
     flat = F.array_join(F.transform(F.filter("run", lambda z: z["d"] == 0), lambda z: z["x"]), " ")
-    kind = F.when(flat.rlike(r"(^|[^=!<>])= (async )?(\( \) |[\p{L}_$][\p{L}\p{N}_$]* )?.*=>"), "function").when(flat.rlike(r"= (async )?function"), "function").when(flat.rlike(r"= (await )?[\p{L}_$][^ ]*( \. [\p{L}_$][^ ]*)* \( \)?"), "call")
+    # closing brackets stand deeper than the opening ones and are not in the flat text
+    kind = F.when(flat.rlike(r"(^|[^=!<>])= (async )?(function\b|[^=]*=>)"), "function").when(flat.rlike(r"(^|[^=!<>])= (await )?[\p{L}_$][^ ]*( \. [\p{L}_$][^ ]*)* \("), "call")
     variables = described.withColumn("shape", kind).where(F.col("shape").isNotNull()).select("path", "name", F.col("name").alias("symbol"), "exported", "ord", "place", "line", "close_ord", "close_place", "close_line", (F.col("shape") == "function").alias("signed"))
     every = functions.unionByName(methods).unionByName(variables)
     text = files.select("path", "file_ord", "content")
@@ -187,9 +189,10 @@ def _exports(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def parse(files: DataFrame, project: str) -> Parsed:
     """Five tables from files (file_ord, path, content)."""
     p = F.lit(project)
-    toks = tokens(files)
-    symbols = _symbols(toks, files, p)
-    exports = _exports(files, symbols)
+    # the tokens and what is read from them are used many times over: they are written once
+    toks = cut(tokens(files))
+    symbols = cut(_symbols(toks, files, p))
+    exports = cut(_exports(files, symbols))
     listed = exports.where(F.col("node_identity").isNotNull()).select("node_identity").distinct().withColumn("_listed", F.lit(True))
     empty = F.struct(F.array().cast("array<string>").alias("params"), F.lit("").alias("return_type"))
     nodes = symbols.join(listed, "node_identity", "left").select(
@@ -197,4 +200,4 @@ def parse(files: DataFrame, project: str) -> Parsed:
         F.when(F.col("signed"), empty).alias("signature"),
     )
     hashed = files.select("path", F.sha2("content", 256).alias("content_hash"), language_of(F.col("path")).alias("language"))
-    return Parsed(hashed, nodes, _imports(files), exports, _calls(toks, symbols, p).unionByName(_handlers(toks, p)))
+    return Parsed(hashed, nodes, cut(_imports(files)), exports, cut(_calls(toks, symbols, p).unionByName(_handlers(toks, p))))
