@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -198,14 +199,18 @@ WITH RECURSIVE seen AS (
 """
 
 
-def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Callees in order and nodes: a node is a user's kind of event on a day, and calls the kind that came next."""
     node = F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "MM-dd"), "event_type")
     seen = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", node.alias("node"))
     edges = seen.withColumn("callee", F.lead("node").over(W.partitionBy("user_id").orderBy("ts", "event_id"))).select(F.col("node").alias("caller"), "callee", "event_id")
     nodes = seen.select(F.col("node").alias("node_identity")).distinct()
-    return paths.walk(nodes, paths.callees_in_order(edges, nodes, ["event_id"]))
+    return paths.callees_in_order(edges, nodes, ["event_id"]), nodes
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    callees, nodes = _graph(spark, sf_dir)
+    return paths.walk(nodes, callees)
 
 
 @query(_GRAPH + "SELECT entry, CAST(len(nodes) AS INTEGER) AS node_count, CAST(max_depth AS INTEGER) AS max_depth, coalesce(cycle_at, -1) AS cycle_at, array_to_string(nodes, '>') AS nodes FROM ended")
@@ -522,6 +527,151 @@ def s4_size_and_name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where((F.length("text") <= 5000) & ~F.col("lang").rlike("^(de|es)$")).select("doc_id", F.col("text").alias("line"))
 
 
+# --- more of the inventory ----------------------------------------------------------------------------------------
+
+
+_ANSWERED = _GRAPH.replace("callees[1]", "step")
+_ANSWERED = _ANSWERED.replace("JOIN callees c ON c.caller = w.cur", "JOIN steps c ON c.entry = w.entry AND c.caller = w.cur").replace(
+    "), walk AS (", """), steps AS (
+  SELECT entry, caller, CASE WHEN left(entry, 2) = left(caller, 2) AND len(callees) > 1 THEN callees[-1] ELSE callees[1] END AS step
+  FROM entries JOIN callees ON split_part(entry, ':', 1) = split_part(caller, ':', 1)
+), walk AS ("""
+)
+
+
+@query(_ANSWERED + "SELECT entry, CAST(len(nodes) AS INTEGER) AS node_count, array_to_string(nodes, '>') AS nodes FROM ended")
+def g3_branch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks that follow the answers to their questions: the last candidate, where entry and caller begin alike."""
+    callees, nodes = _graph(spark, sf_dir)
+    user = lambda c: F.substring_index(c, ":", 1)
+    branching = callees.where(F.size("callees") > 1).select(user("caller").alias("user"), "caller", F.element_at("callees", -1).alias("choice"))
+    entries = nodes.select(user("node_identity").alias("user"), F.col("node_identity").alias("entry"))
+    answers = entries.join(branching, "user").where(F.left("entry", F.lit(2)) == F.left("caller", F.lit(2))).select("entry", "caller", "choice")
+    return paths.walk(nodes, callees, answers).select("entry", F.size("nodes").alias("node_count"), F.array_join("nodes", ">").alias("nodes"))
+
+
+@query("""SELECT page_id, regexp_replace(regexp_replace(url, '/+', '/', 'g'), '/$', '') || '/b/c' AS path FROM pages""")
+def x8_path_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tangled = F.concat(F.lit("../"), "url", F.lit("/./a/../b//c"))
+    return read(spark, sf_dir, "pages").select("page_id", ids.normal_path(tangled).alias("path"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def f5_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = read(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("o_custkey"))
+    return read(spark, sf_dir, "orders").join(wanted, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("""SELECT o_orderkey AS key, o_orderpriority AS kind, answer FROM orders LEFT JOIN
+  (SELECT l_orderkey, arg_max(l_shipmode, (l_linenumber, l_partkey, l_shipmode)) AS answer FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem WHERE l_linenumber > 3) GROUP BY 1) ON l_orderkey = o_orderkey""")
+def j13_questions_with_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions beside the last answer given to each, if any."""
+    questions = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("kind"))
+    given = read(spark, sf_dir, "lineitem").where(F.col("l_linenumber") > 3).select(
+        F.col("l_orderkey").alias("question_key"), F.concat("l_returnflag", "l_linestatus").alias("answer"), F.struct("l_linenumber", "l_partkey").alias("answered_at")
+    )
+    return prep.with_answers(questions, review.latest(given, ["question_key"], ["answered_at", "answer"])).select("key", "kind", "answer")
+
+
+@query("""
+WITH old AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate < TIMESTAMP '1998-04-15'), new AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1998-04-15')
+SELECT k AS node_identity, 'removed' AS side FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT k, 'new' FROM new WHERE k NOT IN (SELECT k FROM old)""")
+def j20_removed_and_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, head = _snapshots(spark, sf_dir)
+    removed, new = renames.removed_and_new(base, head)
+    return removed.select("node_identity", F.lit("removed").alias("side")).unionByName(new.select("node_identity", F.lit("new").alias("side")))
+
+
+@query(_LOG + """, cleared AS (SELECT * FROM current WHERE node_identity IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'signup' AND event_id % 50 = 0))
+SELECT 'cleared' AS side, CAST(count(*) AS BIGINT) AS n FROM cleared UNION ALL SELECT 'left', CAST((SELECT count(*) FROM current) - (SELECT count(*) FROM cleared) AS BIGINT)""")
+def k10_progress_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clearing all reviews of a scope, whatever their own scopes, by events."""
+    log = _log(spark, sf_dir)
+    current = review.current_reviews(log)
+    scope = read(spark, sf_dir, "events").where((F.col("event_type") == "signup") & (F.col("event_id") % 50 == 0)).select(F.col("user_id").cast("string").alias("node_identity"))
+    events = review.reset(current, scope, F.lit("2030-01-01"))
+    left = review.current_reviews(review.append(log, events))
+    return events.agg(F.count("*").alias("n")).select(F.lit("cleared").alias("side"), "n").unionByName(left.agg(F.count("*").alias("n")).select(F.lit("left").alias("side"), "n"))
+
+
+@query(_LOG + """, scoped AS (SELECT * FROM current WHERE scope = 'path:1'), rest AS (SELECT * FROM current WHERE scope NOT IN ('path:1', 'global') UNION ALL SELECT * FROM current WHERE scope = 'global' AND node_identity NOT IN (SELECT node_identity FROM scoped))
+SELECT node_identity, scope, status FROM rest UNION ALL SELECT node_identity, 'global', status FROM scoped""")
+def c9_promote_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    events = review.promote(review.current_reviews(log), "1", "r", F.lit("2030-01-01"))
+    return review.current_reviews(review.append(log, events)).select("node_identity", "scope", "status")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 10 = 3 AND o_custkey % 20 <> 13 THEN 'c' || (o_custkey + 1) ELSE 'c' || o_custkey END AS node_identity FROM orders""")
+def k9_carry_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities rewritten by a map of renames."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node_identity"))
+    renamed = read(spark, sf_dir, "orders").where((F.col("o_custkey") % 10 == 3) & (F.col("o_custkey") % 20 != 13)).select("o_custkey").distinct()
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    return prep.carry_renames(rows, renamed.select(name(F.col("o_custkey")).alias("old_identity"), name(F.col("o_custkey") + 1).alias("new_identity")), "node_identity")
+
+
+@query("""SELECT hit, CAST(count(*) AS BIGINT) AS requests FROM (SELECT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c_custkey AND o.o_orderpriority = '1-URGENT') AS hit FROM customer) GROUP BY hit""")
+def c14_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests answered from a store of results of the current prompt, and those that are not."""
+    requests = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("input_hash"))
+    stored = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("input_hash"), F.col("o_orderpriority").alias("prompt_version"), F.lit("r").alias("response"))
+    found, missing = prep.memo(requests, stored.dropDuplicates(["input_hash", "prompt_version"]), F.lit("1-URGENT"))
+    count = lambda df, hit: df.groupBy(F.lit(hit).alias("hit")).agg(F.count("*").alias("requests"))
+    return count(found, True).unionByName(count(missing, False))
+
+
+@query("""SELECT user_id, last_opened_at, label FROM (SELECT user_id, max(ts) AS last_opened_at, arg_max(event_type, event_id) AS op,
+  arg_max(CASE WHEN event_type = 'view' THEN 'seen' WHEN event_type = 'click' THEN 'used' END, event_id) FILTER (event_type IN ('view', 'click')) AS label FROM events GROUP BY user_id) WHERE op <> 'error' ORDER BY last_opened_at DESC""")
+def k5_recent_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.store import recent_codebases
+
+    e = read(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", "remove").otherwise("open")
+    label = F.when(F.col("event_type") == "view", "seen").when(F.col("event_type") == "click", "used")
+    visits = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("codebase_hash"), F.lit("/").alias("path"), label.alias("label"), op.alias("op"), F.col("ts").alias("at"))
+    return recent_codebases(visits).select(F.col("codebase_hash").alias("user_id"), "last_opened_at", "label")
+
+
+@query("""SELECT doc_id, CASE WHEN h IS NULL THEN '' ELSE h END AS content_hash, CASE WHEN h IS NULL THEN 'unknown' ELSE lang END AS language, CAST(n_chars AS BIGINT) AS size FROM
+  (SELECT d.doc_id, d.n_chars, d.lang, CASE WHEN l.doc_id IS NOT NULL THEN sha256(d.text) END AS h FROM documents d LEFT JOIN labels l USING (doc_id))""")
+def k2_files_with_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.store import files_with_hashes
+
+    docs = read(spark, sf_dir, "documents")
+    parsed = docs.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("content_hash"), F.col("lang").alias("language"))
+    return files_with_hashes(docs.select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size")), parsed).withColumnRenamed("path", "doc_id")
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'path' ELSE 'global' END AS kind, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) END AS path_id FROM events""")
+def x13_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 3 == 0, "path").otherwise("global")
+    keyed = read(spark, sf_dir, "events").select("event_id", ids.scope_key(kind, F.col("user_id").cast("string")).alias("scope"))
+    return keyed.select("event_id", ids.scope_parts(F.col("scope")).alias("s")).select("event_id", "s.kind", "s.path_id")
+
+
+@query("""SELECT role, item_ord, label, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'service' WHEN 'O' THEN 'route_handler' ELSE 'other' END AS role FROM orders) JOIN (VALUES
+  ('service', 0, 'Single responsibility'), ('route_handler', 0, 'Authentication checked before reaching this handler'), ('route_handler', 1, 'Input validated against a schema'), ('other', 0, 'Does what its name says')) AS t(role, item_ord, label) USING (role) GROUP BY ALL""")
+def c20_checklists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.when(F.col("o_orderstatus") == "F", "service").when(F.col("o_orderstatus") == "O", "route_handler").otherwise("other")
+    roles = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_identity"), role.alias("role"))
+    return browse.checklist(roles).groupBy("role", "item_ord", "label").agg(F.count("*").alias("nodes"))
+
+
+@query("""SELECT 'customer' AS "table", CAST(count(*) AS BIGINT) AS rows FROM customer UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'orders', count(*) FROM orders""")
+def a9_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.store import summary
+
+    return summary({t: read(spark, sf_dir, t) for t in ("orders", "events", "customer")})
+
+
+@query("""SELECT user_id, window_start, event_type AS status, CAST(count(*) AS BIGINT) AS events FROM (SELECT user_id, event_type, date_trunc('hour', ts) AS window_start FROM events) GROUP BY ALL""")
+def ext_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: the stream's windowed counts, as a batch."""
+    e = read(spark, sf_dir, "events")
+    return e.groupBy("user_id", F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("status")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("window_start"), "status", "events")
+
+
 def resolve_last_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.last_by(read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey")
 
