@@ -129,6 +129,46 @@ def _symbols(toks: DataFrame, files: DataFrame, project: Column) -> DataFrame:
     )
 
 
+def _signatures(symbols: DataFrame, toks: DataFrame, files: DataFrame) -> DataFrame:
+    """Parameters as they are written, and the written type of the result or empty, of functions that show them.
+
+    The parameters stand in the first bracket at the depth of the function, cut at the
+    commas one level inside it; an arrow after a bare name has that name for its parameter.
+    A type that begins with a brace ends there.
+    """
+    own = symbols.where("signed").select(F.col("file_path").alias("path"), F.col("node_ord").alias("f"), F.col("close_ord").alias("end"))
+    depths = toks.select("path", F.col("ord").alias("f"), F.col("depth").alias("fd"))
+    own = own.join(depths, ["path", "f"])
+    order = W.partitionBy("path").orderBy("ord")
+    named = toks.withColumn("before", F.lag("t").over(order))
+    inside = (F.col("o") > F.col("f")) & (F.col("o") <= F.col("end"))
+    marks = named.where(F.col("t").isin("(", "=>", "{")).select("path", F.col("ord").alias("o"), F.col("t").alias("x"), F.col("depth").alias("d"), "before")
+    near = own.join(marks, "path").where(inside & (F.col("d") == F.col("fd")))
+    at = lambda x: F.min(F.when(F.col("x") == x, F.col("o")))
+    found = near.groupBy("path", "f", "fd").agg(
+        at("(").alias("open_ord"), at("=>").alias("arrow"), F.min_by("before", F.when(F.col("x") == "=>", F.col("o"))).alias("bare"), F.sort_array(F.collect_list(F.when(F.col("x") != "(", F.col("o")))).alias("bodies")
+    )
+    lone = F.coalesce((F.col("arrow").isNotNull()) & (F.col("bare") != ")") & (F.col("open_ord").isNull() | (F.col("open_ord") > F.col("arrow"))), F.lit(False))
+    found = found.withColumn("lone", lone).join(_closing(toks).where(F.col("bracket") == "(").select("path", "open_ord", F.col("close_ord").alias("shut")), ["path", "open_ord"], "left")
+    found = found.withColumn("body", F.get(F.filter("bodies", lambda o: o > F.col("shut")), F.lit(0)))
+    text = toks.select("path", F.col("ord").alias("o"), "t", F.col("depth").alias("d"), F.col("place").alias("from"), (F.col("place") + F.length("t")).alias("to"))
+    within = found.where(~F.col("lone")).join(text, "path")
+    comma = (F.col("t") == ",") & (F.col("d") == F.col("fd") + 1)
+    running = W.partitionBy("path", "f").orderBy("o").rowsBetween(W.unboundedPreceding, W.currentRow)
+    listed = within.where((F.col("o") > F.col("open_ord")) & (F.col("o") < F.col("shut"))).withColumn("i", F.sum(F.when(comma, 1).otherwise(0)).over(running)).where(~comma)
+    pieces = listed.groupBy("path", "f", "i").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    returned = within.where((F.col("o") > F.col("shut")) & (F.col("o") < F.col("body"))).groupBy("path", "f").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.min_by("t", "o").alias("first")).where(F.col("first") == ":")
+    content = files.select("path", "content")
+    cut_out = F.substr("content", F.col("from") + 1, F.col("to") - F.col("from"))
+    params = pieces.join(content, "path").groupBy("path", "f").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", cut_out.alias("x")))), lambda z: z["x"]).alias("params"))
+    types = returned.join(content, "path").select("path", "f", F.trim(F.substr(cut_out, F.lit(2))).alias("return_type"))
+    empty = F.array().cast("array<string>")
+    return own.select("path", "f").join(found.select("path", "f", "lone", "bare"), ["path", "f"], "left").join(params, ["path", "f"], "left").join(types, ["path", "f"], "left").select(
+        F.col("path").alias("file_path"), F.col("f").alias("node_ord"),
+        F.struct(F.when(F.col("lone"), F.array("bare")).otherwise(F.coalesce("params", empty)).alias("params"), F.coalesce("return_type", F.lit("")).alias("return_type")).alias("signature"),
+    )
+
+
 def _imports(files: DataFrame) -> DataFrame:
     """A row for each name that a file imports, under the name that the other file gives it."""
     clause = r"(?m)^\s*import\s+(?:type\s+)?([^'\";]*?)\s*(?:from\s*)?['\"]([^'\"]+)['\"]"
@@ -194,10 +234,10 @@ def parse(files: DataFrame, project: str) -> Parsed:
     symbols = cut(_symbols(toks, files, p))
     exports = cut(_exports(files, symbols))
     listed = exports.where(F.col("node_identity").isNotNull()).select("node_identity").distinct().withColumn("_listed", F.lit(True))
-    empty = F.struct(F.array().cast("array<string>").alias("params"), F.lit("").alias("return_type"))
-    nodes = symbols.join(listed, "node_identity", "left").select(
+    signed = _signatures(symbols, toks, files)
+    nodes = symbols.join(listed, "node_identity", "left").join(signed, ["file_path", "node_ord"], "left").select(
         "node_identity", "file_path", "file_ord", "node_ord", "kind", "name", "start_line", "end_line", F.coalesce("_listed", "exported").alias("exported"), "content_hash",
-        F.when(F.col("signed"), empty).alias("signature"),
+        "signature",
     )
     hashed = files.select("path", F.sha2("content", 256).alias("content_hash"), language_of(F.col("path")).alias("language"))
     return Parsed(hashed, nodes, cut(_imports(files)), exports, cut(_calls(toks, symbols, p).unionByName(_handlers(toks, p))))

@@ -57,6 +57,19 @@ def test_nodes_and_exports(analysis):
     }
 
 
+def test_signatures(analysis):
+    got = {r["name"]: (r["signature"]["params"], r["signature"]["return_type"]) for r in analysis.nodes.where("signature is not null").collect()}
+    assert got["makeThing"] == (["id: number", "name = `t${id}`"], "") and got["register"] == (["app: Express"], "")
+    assert got["put"] == (["x"], "") and got["size"] == ([], "") and "rows" not in got
+
+
+def test_parameters_and_types(spark):
+    code = "export function f(a: Map<string, number>, { b, c }: P): Promise<T[]> { return g((x) => x, a); }\nconst h = x => f(x);\nconst k = async (): Promise<void> => { await f(1, 2); };\n"
+    nodes = parse.parse(sources.given_files(spark, [("a.ts", code)]), "p").nodes
+    got = {r["name"]: (r["signature"]["params"], r["signature"]["return_type"]) for r in nodes.collect()}
+    assert got == {"f": (["a: Map<string", "number>", "{ b, c }: P"], "Promise<T[]>"), "h": (["x"], ""), "k": ([], "Promise<void>")}
+
+
 def test_calls_paths_and_rules(analysis):
     edges = {(r["caller"].split(":")[-1], r["callee"].split(":")[-1]) for r in analysis.call_edges.where(~F.col("unresolved")).collect()}
     assert {("makeThing", "findThing"), ("makeThing", "insertThing"), ("addOne", "validateBody"), ("Box.put", "makeThing"), ("listAll", "makeThing")} <= edges
