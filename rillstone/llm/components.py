@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(edges)
-    while True:
+    while before[0]:
         edges = cut(_star(_star(edges, True), False))
         after = mark(edges)
         if after == before:
