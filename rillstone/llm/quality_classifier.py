@@ -9,7 +9,8 @@ into probabilities, and a quantile of all documents' scores is the threshold.
 Bounds: at most ``SAMPLE`` labelled documents (first by hash of the id) and
 ``PAIRS`` pairs. Features read whole texts.
 
-Defined results: null text counts as empty; an empty text has features of 0;
+Defined results: null text counts as empty; an empty text has features of 0; a
+blank one counts as one without a word repeated;
 without labels of both kinds scores are 0.5; repeated rows score alike.
 """
 
@@ -45,7 +46,7 @@ def features(text: str) -> list[float]:
     symbols = sum(map(count, "#*$%&<>{}[]~^=@\\"))
     upper = sum(map(str.isupper, words))
     kinds = len(set(words))
-    top = Counter(words).most_common(1)[0][1] if kinds < n * 0.9 else 1
+    top = Counter(words).most_common(1)[0][1] if 0 < kinds < n * 0.9 else 1
     return [
         min(1.0, 20 * symbols / chars), min(1.0, 20 * count("!") / chars), min(1.0, 20 * count("|") / chars), upper / n,
         min(1.0, 20 * sum(map(count, "0123456789")) / chars), (len(words) - 1) / chars, min(1.0, count(".") / n * 4), min(2.0, (chars - n + 1) / n / 10),
