@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Links for each task of a round; rounds over few links need few tasks.
+LINKS = 20_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links every node's greater (large star) or lesser (small star) neighbours to the least of its neighbourhood.
@@ -33,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(edges)
     while before[0]:
-        edges = cut(_star(_star(edges, True), False))
+        tasks = -(-before[0] // LINKS)
+        edges = cut(_star(_star(edges.coalesce(tasks), True), False))
         after = mark(edges)
         if after == before:
             break

@@ -205,7 +205,7 @@ def similarity(a: Column, b: Column) -> Column:
 def _verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
     left = elements.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     right = elements.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(similarity(F.col("ea"), F.col("eb")) >= threshold - 1e-12).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(similarity(F.col("ea"), F.col("eb")) >= threshold - 1e-12).select(*pairs.columns)
 
 
 def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
@@ -214,8 +214,15 @@ def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
     return df.join(named, node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after further links between nodes whose roots are ``ra`` and ``rb``: only roots are linked, so the graph is small."""
+    above = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("_above")), "root", "left")
+    return moved.select("node", F.coalesce("_above", "root").alias("root")).unionByName(above).distinct()
+
+
 def _rest(members: DataFrame, roots: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """Links in buckets that still hold several components, found block against block."""
+    """Links (a, b, and their roots ra, rb) in buckets that still hold several components, found block against block."""
     placed = _rooted(members.where(F.col("node") != F.col("leader")), roots, "node", "root")
     groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     # of each bucket: its components, its members, and the largest component
@@ -233,7 +240,7 @@ def _rest(members: DataFrame, roots: DataFrame, elements: DataFrame, threshold:
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["is_probe"]], pdf[~pdf["is_probe"]]
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, int, int]] = []
         if len(a) and len(b):
             sizes_b = b["elements"].str.len().to_numpy()
             flat = np.concatenate(list(b["elements"])) if sizes_b.sum() else np.zeros(0, np.int32)
@@ -249,10 +256,10 @@ def _rest(members: DataFrame, roots: DataFrame, elements: DataFrame, threshold:
                 near = np.flatnonzero((alike >= threshold - 1e-12) & (roots_b != root) & (shared > 0))
                 near = near[np.argsort(-alike[near], kind="stable")]  # the nearest of each component
                 _, one = np.unique(roots_b[near], return_index=True)
-                found += [(node, other) for other in nodes_b[near[one]]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                found += [(node, nodes_b[j], root, roots_b[j]) for j in near[one]]
+        return pd.DataFrame(found, columns=["a", "b", "ra", "rb"], dtype="int64")
 
-    found = asked.unionByName(against).groupBy("bucket", "p", "t").applyInPandas(link, "a long, b long").distinct()
+    found = asked.unionByName(against).groupBy("bucket", "p", "t").applyInPandas(link, "a long, b long, ra long, rb long").distinct()
     return _verified(found, elements, threshold)
 
 
@@ -267,13 +274,10 @@ def near_duplicate_links(docs: DataFrame, texts: DataFrame, doc_id: str, text: s
     elements = cut(elements_of(docs, wanted, doc_id, text).dropDuplicates(["node"]).select("node", "elements"))
     led = cut(led)
     first = led.groupBy("a").agg(F.max(F.struct("met", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    links = cut(_verified(first, elements, threshold))
-    roots = cut(components(links))
+    roots = cut(components(_verified(first, elements, threshold)))
     further = _rooted(_rooted(led, roots, "a", "ra"), roots, "b", "rb").where(F.col("ra") != F.col("rb")).join(first, ["a", "b"], "left_anti")
-    links = cut(links.unionByName(_verified(further, elements, threshold)))
-    roots = cut(components(links))
-    links = links.unionByName(_rest(members, roots, elements, threshold))
-    return components(links)
+    roots = cut(_merged(roots, _verified(further, elements, threshold)))
+    return _merged(roots, _rest(members, roots, elements, threshold))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
