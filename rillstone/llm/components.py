@@ -27,7 +27,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("low").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("low").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("low").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    return out.where(F.col("a") != F.col("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,8 +36,9 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(edges)
     while before[0]:
-        tasks = -(-before[0] // LINKS)
-        edges = cut(_star(_star(edges.coalesce(tasks), True), False))
+        edges = edges.coalesce(-(-before[0] // LINKS))
+        # a large star puts out no more links than it got, so repeats wait for the small one
+        edges = cut(_star(_star(edges, True), False).distinct())
         after = mark(edges)
         if after == before:
             break
