@@ -2,7 +2,7 @@
 
 Disguised words (digits and signs for letters, stretched or spaced letters) are
 read as a lattice: each character stands for itself, for letters it resembles, or
-for nothing. A character language model of the corpus, with a cost for each
+for nothing; a space between spaced letters for nothing or for the end of a word. A character language model of the corpus, with a cost for each
 change, picks the likeliest path by the Viterbi algorithm. Words that hold nothing to
 restore have one path and are taken as they are. The restored words and their
 stems are scored by weights learned from labelled documents.
@@ -97,29 +97,35 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a word, by Viterbi search over its lattice."""
-    states = {(0, 0): (0.0, "")}  # the last two classes written: cost and letters so far
+    """The likeliest letters behind a word, by Viterbi search over its lattice; in a run of spaced letters, the likeliest words."""
+    states: dict = {(0, 0): (0.0, None)}  # the last two classes written: cost, and the letters so far as a chain from the last to the first
     for ch in word:
         options = []
         if ch.isalpha():
-            options.append((ch, 0.0))
+            options.append((ch, 0.0, _class(ch)))
         else:
-            options += [(x, SWAP) for x in LOOKS.get(ch, "")]
-            options.append(("", DROP_PART if ch in PARTS or ch.isspace() else DROP_SIGN))
+            options += [(x, SWAP, _class(x)) for x in LOOKS.get(ch, "")]
+            options.append(("", DROP_PART if ch in PARTS or ch.isspace() else DROP_SIGN, 0))
+            if ch.isspace():
+                options.append((" ", DROP_PART, 0))
         after: dict = {}
         for (a, b), (cost, done) in states.items():
-            for letter, price in options:
+            for letter, price, c in options:
                 if letter:
-                    c = _class(letter)
-                    new, total, key = done + letter, cost + price - float(model[a, b, c]), (b, c)
+                    new, total, key = (done, letter), cost + price - float(model[a, b, c]), (b, c)
                 else:
                     new, total, key = done, cost + price, (a, b)
                 if key not in after or total < after[key][0]:
                     after[key] = (total, new)
-            if ch.isalpha() and done.endswith(ch) and cost + DROP_REPEAT < after.get((a, b), (np.inf,))[0]:
+            if ch.isalpha() and done and done[1] == ch and cost + DROP_REPEAT < after.get((a, b), (np.inf,))[0]:
                 after[(a, b)] = (cost + DROP_REPEAT, done)
         states = after
-    return min((cost - float(model[a, b, 0]), done) for (a, b), (cost, done) in states.items())[1]
+    _, done = min(((cost - float(model[a, b, 0]), done) for (a, b), (cost, done) in states.items()), key=lambda s: s[0])
+    letters = []
+    while done:
+        done, letter = done
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def _class(letter: str) -> int:
@@ -145,10 +151,14 @@ class Restorer:
         return restore(core, self.model)
 
     def spaced(self, text: str, found: list[str]) -> Iterator[str]:
-        """Words whose letters stand apart, looked for where four single characters follow each other."""
+        """Words whose letters stand apart, looked for where four single characters follow each other.
+
+        A space in a run is nothing or the end of a word, so a run can hold many words; it is also read as one word.
+        """
         if b"\1\1\1\1" in bytes([n == 1 for n in map(len, found)]):
             for m in _SPACED.finditer(text):
-                yield restore(m.group(0)[: LONGEST * 2], self.model)
+                yield from restore(m.group(0), self.model).split()
+                yield restore("".join(m.group(0).split()), self.model)
 
 
 def tells(word: str) -> list[str]:

@@ -342,6 +342,21 @@ def test_restoring_disguised_words():
     assert restorer.word("12345") == "12345" and restorer.word("") == ""
 
 
+def restorer_of(text):
+    cells = next(toxicity._count_runs(iter([pd.DataFrame({"body": [text]})])))
+    three = np.full(toxicity.SIZE**3, 0.01)
+    three[cells["run"]] += cells["n"]
+    three = three.reshape([toxicity.SIZE] * 3)
+    return toxicity.Restorer(np.log(three / three.sum(2, keepdims=True)).astype(np.float32))
+
+
+def test_spaced_runs_hold_several_words_of_any_length():
+    restorer = restorer_of(" you are a loser and i think that the idiot is stupid " * 50)
+    assert toxicity.restored_words("you are a l o s e r", restorer) >= {"loser"}
+    assert toxicity.restored_words("y o u a r e a l o s e r", restorer) >= {"you", "are", "loser"}
+    assert toxicity.restored_words("t h i n k " * 30 + "l 0 s e r", restorer) >= {"think", "loser"}
+
+
 def labelled(spark, rng, n, make):
     docs, labels = [], []
     for i in range(n):
