@@ -36,13 +36,13 @@ SIZE = 64  # of the model's alphabet: 0 a boundary, 1 to 26 the letters a to z,
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h", "%": "", "&": ""}
 #: Signs that only part the letters of a disguised word.
 PARTS = ".-_*~/\\,'"
-#: Marks around a word that are not part of it.
+#: Marks that can stand around a word without being part of it.
 MARKS = ".,;:?!\"'()[]{}<>*#%&|-_~=/\\"
 SWAP, DROP_PART, DROP_REPEAT, DROP_SIGN = 1.0, 0.2, 0.4, 4.0
-LONGEST = 40  # letters and signs of a word that can be a disguise; longer strings are keys, addresses or tables
 
-_EDGE = re.compile(r"^[^\w$@]+|[^\w$@]+$")
+_CLEAR = "".join(m for m in MARKS if not LOOKS.get(m))  # marks that are like no letter
 _RUN = re.compile(r"(\w)\1\1")
+_STRETCH = re.compile(r"([^\W\d_])\1{3,}")
 _SPACED = re.compile(r"(?:(?<=\s)|\A)(?:[^\W\d_]|[013457@$!])(?:[ \t][^\W_]|[ \t][@$!]){3,}(?=[\s.,;:?]|\Z)")
 
 
@@ -97,15 +97,25 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a word, by Viterbi search over its lattice; in a run of spaced letters, the likeliest words."""
+    """The likeliest letters behind a word, by Viterbi search over its lattice; in a run of spaced letters, the likeliest words.
+
+    Marks at the edges are dropped at the price of parts, but for ``!`` before a word, where none is written. Digits
+    of a word without letters can also stand for themselves, and are not dropped.
+    """
+    number = not any(map(str.isalpha, word))
+    first, last = len(word) - len(word.lstrip(MARKS)), len(word.rstrip(MARKS))
     states: dict = {(0, 0): (0.0, None)}  # the last two classes written: cost, and the letters so far as a chain from the last to the first
-    for ch in word:
+    for i, ch in enumerate(word):
         options = []
         if ch.isalpha():
             options.append((ch, 0.0, _class(ch)))
         else:
             options += [(x, SWAP, _class(x)) for x in LOOKS.get(ch, "")]
-            options.append(("", DROP_PART if ch in PARTS or ch.isspace() else DROP_SIGN, 0))
+            if number and ch.isalnum():
+                options.append((ch, 0.0, _class(ch)))
+            else:
+                at_edge = i >= last or i < first and ch != "!"
+                options.append(("", DROP_PART if at_edge or ch in PARTS or ch.isspace() else DROP_SIGN, 0))
             if ch.isspace():
                 options.append((" ", DROP_PART, 0))
         after: dict = {}
@@ -117,8 +127,8 @@ def restore(word: str, model: np.ndarray) -> str:
                     new, total, key = done, cost + price, (a, b)
                 if key not in after or total < after[key][0]:
                     after[key] = (total, new)
-            if ch.isalpha() and done and done[1] == ch and cost + DROP_REPEAT < after.get((a, b), (np.inf,))[0]:
-                after[(a, b)] = (cost + DROP_REPEAT, done)
+                if letter.isalpha() and done and done[1] == letter and not (number and ch.isalnum()) and cost + price + DROP_REPEAT < after.get((a, b), (np.inf,))[0]:
+                    after[(a, b)] = (cost + price + DROP_REPEAT, done)
         states = after
     _, done = min(((cost - float(model[a, b, 0]), done) for (a, b), (cost, done) in states.items()), key=lambda s: s[0])
     letters = []
@@ -130,7 +140,7 @@ def restore(word: str, model: np.ndarray) -> str:
 
 def _class(letter: str) -> int:
     o = ord(letter)
-    return o - 96 if 97 <= o <= 122 else 27 + o % 36
+    return o - 96 if 97 <= o <= 122 else 27 + o % 36 if o >= 0xAA else 63
 
 
 @dataclass
@@ -140,24 +150,30 @@ class Restorer:
     model: np.ndarray
 
     def word(self, raw: str) -> str:
-        core = raw.strip(MARKS)
+        core = raw.strip(_CLEAR)
         if core.isalpha() and not _RUN.search(core):
             return core
-        core = _EDGE.sub("", core)
+        start, end = 0, len(core)
+        while start < end and not (core[start].isalnum() or LOOKS.get(core[start])):
+            start += 1
+        while start < end and not (core[end - 1].isalnum() or LOOKS.get(core[end - 1])):
+            end -= 1
+        core = core[start:end]
         if not core or core.isalpha() and not _RUN.search(core):
             return core
-        if len(core) > LONGEST or sum(map(str.isalpha, core)) * 3 < len(core):
-            return core
-        return restore(core, self.model)
+        return restore(_STRETCH.sub(r"\1\1\1", core), self.model)
 
     def spaced(self, text: str, found: list[str]) -> Iterator[str]:
         """Words whose letters stand apart, looked for where four single characters follow each other.
 
-        A space in a run is nothing or the end of a word, so a run can hold many words; it is also read as one word.
+        A space in a run is nothing or the end of a word, so a run can hold many words. For words that the corpus
+        doesn't hold and that look like two, neighbours are also read as one word, and so is the whole run.
         """
         if b"\1\1\1\1" in bytes([n == 1 for n in map(len, found)]):
             for m in _SPACED.finditer(text):
-                yield from restore(m.group(0), self.model).split()
+                parts = restore(m.group(0), self.model).split()
+                yield from parts
+                yield from map("".join, zip(parts, parts[1:]))
                 yield restore("".join(m.group(0).split()), self.model)
 
 

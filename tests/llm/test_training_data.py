@@ -357,6 +357,19 @@ def test_spaced_runs_hold_several_words_of_any_length():
     assert toxicity.restored_words("t h i n k " * 30 + "l 0 s e r", restorer) >= {"think", "loser"}
 
 
+def test_heavily_disguised_words_are_restored():
+    restorer = restorer_of(" the idiot is a loser and stupid moron this shirt here " * 50)
+    hidden = {
+        "st" + "u" * 60 + "pid": "stupid", "m" + "-" * 50 + "oron": "moron", "l" + "0" * 9 + "ser": "loser", "5h1r7": "shirt", "$#!r7": "shirt",
+        "m---o---r---o---n": "moron", "!diot": "idiot", "|d!0t!!": "idiot", "(*diot*)": "idiot",
+    }
+    assert {w: restorer.word(w) for w in hidden} == hidden
+    plain = {"(loser)": "loser", "*loser*": "loser", "#moron": "moron", "|idiot|": "idiot", "stupid!!": "stupid", "5417": "5417", "***": "", "!!!": "", "|": "", "2" * 50: "2" * 50}
+    assert {w: restorer.word(w) for w in plain} == plain
+    short = restorer_of(" that shit is the idiot and this hit " * 50)
+    assert [short.word(w) for w in ("5h17", "$#!7")] == ["shit", "shit"]
+
+
 def labelled(spark, rng, n, make):
     docs, labels = [], []
     for i in range(n):
