@@ -5,9 +5,9 @@ Markov model is learned for accepted and one for rejected URLs; every other URL
 is judged by the difference of its log-likelihoods under the two, divided by its
 length and calibrated to a probability on URLs kept out of the counts.
 
-A model holds counts of character runs and of the contexts before them, for each
-order, in a table of fixed size by hash: its size has a bound, and its counts are
-of all URLs that rules judge. The probability after a context of k characters is
+A model holds exact counts of character runs and of the contexts before them, for
+each order, under hashes of 57 bits: it grows with the distinct runs of the URLs
+that rules judge, and is sent to each executor. The probability after a context of k characters is
 (count + STRENGTH * probability after k-1) / (context count + STRENGTH).
 
 Defined results: host and path of a null URL or one without ``://`` are empty, no
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import ship
 
 ORDERS = 6
-BUCKETS = 1 << 16
+BITS = 57  # of the hash of a run or context: with label, kind and order a cell fits 62 bits, and ten million share one with probability 0.0004
+BUCKETS = 1 << 16  # of a table that is given whole
 STRENGTH = 2.0
 BINS, SPAN = 400, 4.0
 #: (verdict, host and path)
@@ -55,17 +56,17 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _grams(urls: pd.Series) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """For all characters of all URLs: which URL, and the bucket of the run that ends there and of its context, by order."""
+def _grams(urls: pd.Series, bits: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For all characters of all URLs: which URL, and the hash of the run that ends there and of its context, by order."""
     lengths = urls.str.len().to_numpy(np.int64)
     codes = np.frombuffer("".join(urls).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(urls)), lengths)
     at = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    runs, contexts, context = [], [], np.zeros(len(codes), np.uint64)
+    runs, contexts, context, shift = [], [], np.zeros(len(codes), np.uint64), np.uint64(64 - bits)
     for k in range(ORDERS):
         mixed = (context ^ (codes + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-        runs.append(((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64))
-        contexts.append((context * np.uint64(0x94D049BB133111EB) >> np.uint64(48)).astype(np.int64))
+        runs.append(((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> shift).astype(np.int64))
+        contexts.append((context * np.uint64(0x94D049BB133111EB) >> shift).astype(np.int64))
         if k + 1 < ORDERS:  # one more character to the left, a mark where there is none
             before = np.where(at > k, codes[np.maximum(np.arange(len(codes)) - k - 1, 0)] + np.uint64(2), np.uint64(1))
             context = (context + before) * np.uint64(0xD6E8FEB86659FD93)
@@ -73,36 +74,67 @@ def _grams(urls: pd.Series) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     return owner, runs, contexts
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    table = np.zeros((2, 2, ORDERS, BUCKETS), np.int64)
+def _count(batches: Iterator[pd.DataFrame], bits: int = BUCKETS.bit_length() - 1) -> Iterator[pd.DataFrame]:
+    """Counts by cell: label, run or context, order and hash in one number."""
     for pdf in batches:
+        cells, counts = [], []
         for label in (0, 1):
-            _, runs, contexts = _grams(pdf["url"][pdf["label"] == label])
-            for k in range(ORDERS):
-                table[label, 0, k] += np.bincount(runs[k], minlength=BUCKETS)
-                table[label, 1, k] += np.bincount(contexts[k], minlength=BUCKETS)
-    flat = table.ravel()
-    used = np.flatnonzero(flat)
-    yield pd.DataFrame({"cell": used, "n": flat[used]})
+            _, *kinds = _grams(pdf["url"][pdf["label"] == label], bits)
+            for i, hashes in enumerate(h for kind in kinds for h in kind):
+                used, n = np.unique(hashes, return_counts=True)
+                cells.append(used + ((label * 2 * ORDERS + i) << bits))
+                counts.append(n)
+        yield pd.DataFrame({"cell": np.concatenate(cells), "n": np.concatenate(counts)})
+
+
+class Cells:
+    """Counts by cell. For each kind and order: the hashes in order, and the counts of both labels beside them."""
+
+    def __init__(self, cells: np.ndarray, n: np.ndarray, bits: int):
+        order = np.argsort(cells)
+        cells, n, self.bits, self.parts = cells[order], n[order].astype(float), bits, []
+        edges = np.searchsorted(cells, np.arange(4 * ORDERS + 1) << bits)
+        for i in range(2 * ORDERS):
+            spans = [slice(edges[j], edges[j + 1]) for j in (i, i + 2 * ORDERS)]
+            found = [cells[x] & ((1 << bits) - 1) for x in spans]
+            hashes = np.union1d(*found)
+            counts = np.zeros((2, len(hashes)))
+            for label in (0, 1):
+                counts[label, np.searchsorted(hashes, found[label])] = n[spans[label]]
+            self.parts.append((hashes, counts))
+
+    def of(self, kind: int, k: int, wanted: np.ndarray) -> np.ndarray:
+        """Counts (label, wanted hash), 0 where a hash was never met."""
+        hashes, counts = self.parts[kind * ORDERS + k]
+        if not len(hashes):
+            return np.zeros((2, len(wanted)))
+        at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+        return np.where(hashes[at] == wanted, counts[:, at], 0.0)
 
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Counts by (label, run or context, order, bucket), and the line of the calibration."""
+    """Counts, given by cell or as a whole table by (label, run or context, order, bucket), and the line of the calibration."""
 
-    counts: np.ndarray
+    counts: Cells | np.ndarray
     slope: float = 1.0
     offset: float = 0.0
 
-    def difference(self, urls: pd.Series) -> np.ndarray:
-        """Log-likelihood as accepted less that as rejected, by character."""
-        owner, runs, contexts = _grams(urls)
-        total = np.zeros(len(owner))
-        for label, sign in ((1, 1.0), (0, -1.0)):
-            p = np.full(len(owner), 1 / 256)
-            for k in range(ORDERS):
-                p = (self.counts[label, 0, k][runs[k]] + STRENGTH * p) / (self.counts[label, 1, k][contexts[k]] + STRENGTH)
-            total += sign * np.log(p)
+    def __post_init__(self):
+        if isinstance(self.counts, np.ndarray):
+            used = np.flatnonzero(self.counts)
+            object.__setattr__(self, "counts", Cells(used, self.counts.ravel()[used], self.counts.shape[-1].bit_length() - 1))
+
+    def difference(self, urls: pd.Series, less: Cells | None = None) -> np.ndarray:
+        """Log-likelihood as accepted less that as rejected, by character; from the counts less those of ``less``."""
+        owner, runs, contexts = _grams(urls, self.counts.bits)
+        p = np.full((2, len(owner)), 1 / 256)
+        for k in range(ORDERS):
+            run, context = self.counts.of(0, k, runs[k]), self.counts.of(1, k, contexts[k])
+            if less is not None:
+                run, context = run - less.of(0, k, runs[k]), context - less.of(1, k, contexts[k])
+            p = (run + STRENGTH * p) / (context + STRENGTH)
+        total = np.log(p[1]) - np.log(p[0])
         size = np.bincount(owner, minlength=len(urls))
         return np.bincount(owner, total, len(urls)) / np.maximum(size, 1)
 
@@ -129,10 +161,9 @@ def train_url_model(labelled: DataFrame) -> UrlModel:
     """From columns url and label (1 accepted, 0 rejected). A fifth of the URLs, by hash, calibrates and is not counted."""
     ship(labelled.sparkSession)
     held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    cells = labelled.where(~held).mapInPandas(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(2 * 2 * ORDERS * BUCKETS)
-    counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
-    model = UrlModel(counts.reshape(2, 2, ORDERS, BUCKETS))
+    counted = labelled.where(~held).mapInPandas(lambda batches: _count(batches, BITS), "cell long, n long")
+    cells = counted.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    model = UrlModel(Cells(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64), BITS))
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

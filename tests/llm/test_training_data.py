@@ -196,6 +196,18 @@ def test_url_model_matches_plain_counts():
     assert model.difference(pd.Series([""]))[0] == 0
 
 
+def test_url_counts_stay_exact_when_there_are_many():
+    rng = random.Random(9)
+    urls = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30)) for _ in range(20_000)]
+    cells = next(url_filter._count(iter([pd.DataFrame({"url": urls, "label": 1})]), url_filter.BITS))
+    counts = url_filter.Cells(cells["cell"].to_numpy(), cells["n"].to_numpy(), url_filter.BITS)
+    want = Counter(u[i - 5 : i + 1] for u in urls for i in range(5, len(u)))
+    _, runs, contexts = url_filter._grams(pd.Series(urls[:50]), url_filter.BITS)
+    got = counts.of(0, 5, runs[5])[1].reshape(50, 30)[:, 5:]
+    assert got.tolist() == [[want[u[i - 5 : i + 1]] for i in range(5, 30)] for u in urls[:50]]
+    assert (counts.of(0, 5, runs[5]) <= counts.of(1, 5, contexts[5])).all()
+
+
 def test_url_model_tells_hosts_apart(spark):
     rows = [(i, f"https://good{i % 7}.com/a/{i}") for i in range(300)] + [(1000 + i, f"https://spam{i % 7}.net/es/{i}") for i in range(300)] + [(5000, "https://good3.org/a/77"), (5001, "https://spam4.org/es/78")]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).where("page_id >= 5000").collect()}
