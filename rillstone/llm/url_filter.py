@@ -3,7 +3,8 @@
 Rules on host and path judge the URLs they fit. From those, one variable-order
 Markov model is learned for accepted and one for rejected URLs; every other URL
 is judged by the difference of its log-likelihoods under the two, divided by its
-length and calibrated to a probability on URLs kept out of the counts.
+length and calibrated to a probability. For the calibration each judged URL is
+scored by the counts less those of its own fold; the final counts are of all.
 
 A model holds exact counts of character runs and of the contexts before them, for
 each order, under hashes of 57 bits: it grows with the distinct runs of the URLs
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 ORDERS = 6
+FOLDS, SEEDS = 5, 16
 BITS = 57  # of the hash of a run or context: with label, kind and order a cell fits 62 bits, and ten million share one with probability 0.0004
 BUCKETS = 1 << 16  # of a table that is given whole
 STRENGTH = 2.0
@@ -157,23 +159,44 @@ def fit_line(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple
     return float(w[0] / scale), float(w[1])
 
 
+def _dealt(labelled: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Rows with their fold by URL, so dealt that each label is in several folds, and the labels of which only one URL is known."""
+    fold = lambda seed: F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(FOLDS)).cast("int")
+    spread = [(F.min(fold(i)) < F.max(fold(i))).alias(f"s{i}") for i in range(SEEDS)]
+    found = labelled.groupBy("label").agg(*spread).collect()
+    best = max(range(SEEDS), key=lambda i: (sum(r[f"s{i}"] for r in found), -i))
+    return labelled.withColumn("fold", fold(best)), [r["label"] for r in found if not r[f"s{best}"]]
+
+
 def train_url_model(labelled: DataFrame) -> UrlModel:
-    """From columns url and label (1 accepted, 0 rejected). A fifth of the URLs, by hash, calibrates and is not counted."""
+    """From columns url and label (1 accepted, 0 rejected). Counts are of all rows; calibrated by cross-fitting over folds."""
     ship(labelled.sparkSession)
-    held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    counted = labelled.where(~held).mapInPandas(lambda batches: _count(batches, BITS), "cell long, n long")
-    cells = counted.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    model = UrlModel(Cells(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64), BITS))
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    dealt, lone = _dealt(labelled)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for fold, part in pdf.groupby("fold"):
+                yield from (found.assign(fold=fold) for found in _count(iter([part]), BITS))
+
+    counted = dealt.mapInPandas(count, "cell long, n long, fold int").groupBy("cell", "fold").agg(F.sum("n").alias("n")).toPandas()
+    cells, folds, n = counted["cell"].to_numpy(np.int64), counted["fold"].to_numpy(), counted["n"].to_numpy(float)
+    every, at = np.unique(cells, return_inverse=True)
+    model = UrlModel(Cells(every, np.bincount(at, n, len(every)), BITS))
+    # rows of the only URL of a label are dealt evenly: each fold has its share of their counts
+    shared_out = np.isin((cells >> BITS) // (2 * ORDERS), lone)
+    of_fold = lambda f: (folds == f) | shared_out
+    held = [Cells(cells[of_fold(f)], np.where(shared_out, n / FOLDS, n)[of_fold(f)], BITS) for f in range(FOLDS)]
+    shared = labelled.sparkSession.sparkContext.broadcast((model, held))
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros((2, BINS), np.int64)
+        table, (model, held) = np.zeros((2, BINS), np.int64), shared.value
         for pdf in batches:
-            at = np.clip((shared.value.difference(pdf["url"]) / SPAN + 0.5) * BINS, 0, BINS - 1).astype(int)
-            np.add.at(table, (pdf["label"].to_numpy(), at), 1)
+            for fold, part in pdf.groupby("fold"):
+                at = np.clip((model.difference(part["url"], held[fold]) / SPAN + 0.5) * BINS, 0, BINS - 1).astype(int)
+                np.add.at(table, (part["label"].to_numpy(), at), 1)
         yield pd.DataFrame({"bin": np.tile(np.arange(BINS), 2), "label": np.repeat([0, 1], BINS), "n": table.ravel()})
 
-    found = labelled.where(held).mapInPandas(bins, "bin int, label int, n long").groupBy("bin", "label").agg(F.sum("n").alias("n")).toPandas()
+    found = dealt.mapInPandas(bins, "bin int, label int, n long").groupBy("bin", "label").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((2, BINS))
     table[found["label"].to_numpy(int), found["bin"].to_numpy(int)] = found["n"].to_numpy(float)
     if not table[0].sum() or not table[1].sum():

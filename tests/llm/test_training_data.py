@@ -214,6 +214,15 @@ def test_url_model_tells_hosts_apart(spark):
     assert got == {5000: "allow", 5001: "block"}
 
 
+def test_url_model_counts_all_judged_rows_of_few_urls(spark):
+    good = [(f"https://good{i % 7}.com/a/{i}", 1) for i in range(100)]
+    for bad in (["https://spam.net/es/1"] * 50, ["https://spam.net/es/1"] * 30 + ["https://spam.net/es/22"] * 20):
+        rows = good + [(u, 0) for u in bad]
+        model = url_filter.train_url_model(spark.createDataFrame(rows, "url string, label int"))
+        assert model.counts.of(1, 0, np.zeros(1, np.int64))[:, 0].tolist() == [sum(map(len, bad)), sum(len(u) for u, _ in good)]
+        assert model.slope > 0 and [p >= 0.5 for p in model.probability(pd.Series(["https://good3.org/a/77", "https://spam.org/es/1"]))] == [True, False]
+
+
 # --- tokens --------------------------------------------------------------------------------------------------------
 
 
