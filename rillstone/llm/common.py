@@ -46,6 +46,12 @@ def shingles(hashes: Column, width: int) -> Column:
     )
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that stand for the id and the text of a row, with nulls told apart from values."""
+    parts = [doc_id.isNull(), doc_id, text.isNull(), text]
+    return F.struct(F.xxhash64(*parts).alias("high"), F.xxhash64(F.lit(1), *parts[::-1]).alias("low"))
+
+
 def with_checkpoint_dir(spark: SparkSession) -> None:
     """Sets a checkpoint folder of our own only where the session names none."""
     context = spark.sparkContext

@@ -17,6 +17,8 @@ Defined results: words are compared in lower case; a document or item without
 words takes no part; texts of fewer than five words count as one shingle; a
 document shorter than an item is one window; repeated items or documents are
 reported each under its id, rows of one id together; null ids are kept as null.
+Texts are compared row by row, also where an id is null or repeated, and only the
+rows that hold a passage are not clean.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, shingles, word_hashes
+from .common import let, row_key, shingles, word_hashes
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -99,26 +101,27 @@ def benchmark_items(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 def _hits(docs: DataFrame, wanted: DataFrame, width: int, t: float, small: bool) -> DataFrame:
     """Places where a document has a shingle of some item of a size, with the shingles around."""
-    placed = docs.select("doc_id", shingles(F.col("w"), width).alias("bag"))
+    placed = docs.select("key", "doc_id", shingles(F.col("w"), width).alias("bag"))
     table = wanted.where(F.col("width") == width).select("h", "sizes")
     if small:
-        met = placed.select("doc_id", "bag", F.posexplode("bag").alias("pos", "h")).join(F.broadcast(table), "h")
+        met = placed.select("key", "doc_id", "bag", F.posexplode("bag").alias("pos", "h")).join(F.broadcast(table), "h")
     else:  # the bags stay behind while places are shuffled, and come back for the documents that met
-        met = placed.select("doc_id", F.posexplode("bag").alias("pos", "h")).join(table, "h").drop("h").join(placed, "doc_id")
-    each = met.select("doc_id", "bag", "pos", F.explode("sizes").alias("n"))
+        bags = placed.dropDuplicates(["key"])
+        met = placed.select("key", F.posexplode("bag").alias("pos", "h")).join(table, "h").drop("h").join(bags, "key")
+    each = met.select("key", "doc_id", "bag", "pos", F.explode("sizes").alias("n"))
     length = F.least(F.size("bag"), F.col("n"))
     need = F.ceil(F.lit(t) * (F.col("n") + length) / F.lit(1 + t) - 1e-9).cast("int")
     reach = F.greatest(length - need, F.lit(0))
     start = F.greatest(F.col("pos") - reach, F.lit(0))
     return each.where(need <= length).select(
-        "doc_id", F.lit(width).alias("width"), "n", length.alias("m"), need.alias("need"), F.size("bag").alias("total"), "pos",
+        "key", "doc_id", F.lit(width).alias("width"), "n", length.alias("m"), need.alias("need"), F.size("bag").alias("total"), "pos",
         start.alias("start"), F.slice("bag", start + 1, F.col("pos") - start + 1 + reach).alias("around"),
     )
 
 
 def _windows(hits: DataFrame) -> DataFrame:
     """Windows in which enough shingles met: keys, start of the window and its bag."""
-    keys = ["doc_id", "width", "n", "m", "need", "total"]
+    keys = ["key", "doc_id", "width", "n", "m", "need", "total"]
     placed = lambda e: F.transform(e["around"], lambda h, i: F.struct((e["start"] + i).alias("p"), h.alias("h")))
     grouped = hits.groupBy(*keys).agg(F.array_sort(F.collect_set("pos")).alias("at"), F.collect_list(F.struct("start", "around")).alias("parts"))
     grouped = grouped.where(F.size("at") >= F.col("need")).withColumn("near", F.sort_array(F.array_distinct(F.flatten(F.transform("parts", placed)))))
@@ -142,23 +145,14 @@ def _windows(hits: DataFrame) -> DataFrame:
     )
 
 
-def contaminated(
-    docs: DataFrame,
-    items: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    threshold: float = THRESHOLD,
-    radius: int = RADIUS,
-) -> DataFrame:
-    """Document, item, the first word of the best window, its similarity, and how many windows reach the threshold."""
+def _leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, threshold: float, radius: int) -> DataFrame:
+    """Key and id of rows, items, and the windows that reach the threshold."""
     keyed = benchmark_items(items, item_id, item_text).withColumn("n", F.size("bag"))
     wanted = keyed.select("width", "n", F.explode("bag").alias("h")).groupBy("width", "h").agg(F.collect_set("n").alias("sizes"))
     # the widths that occur (at most five), and what the tables of the items would take when broadcast
     facts = keyed.groupBy("width").agg(F.count("*").alias("items"), F.sum("n").alias("shingles")).collect()
     small = sum((100 * r["items"] + 64 * r["shingles"]) * (radius + 1) for r in facts) <= BROADCAST_BYTES
-    source = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.lower(F.col(text))).alias("w"))
+    source = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), word_hashes(F.lower(F.col(text))).alias("w"))
     widths = sorted(r["width"] for r in facts) or [WIDTH]
     windows = _windows(reduce(DataFrame.unionByName, [_hits(source, wanted, k, threshold, small) for k in widths]))
     marks = fingerprints(windows.withColumn("h", F.explode("window")), windows.columns, "h").drop("m", "need", "total")
@@ -166,16 +160,38 @@ def contaminated(
     a, b = marks.withColumnRenamed("fingerprint", "a"), of_items.withColumnRenamed("fingerprint", "b")
     pairs = near_fingerprints(a, b, ["width", "n"], radius, small)
     both = let(shared_weight(F.col("window"), F.col("bag")), lambda s: s / (F.size("window") + F.size("bag") - s))
+    return pairs.withColumn("similarity", both).where(F.col("similarity") >= threshold - 1e-12)
+
+
+def contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    threshold: float = THRESHOLD,
+    radius: int = RADIUS,
+) -> DataFrame:
+    """Document, item, the first word of the best window, its similarity, and how many windows reach the threshold."""
+    found = _leaks(docs, items, doc_id, text, item_id, item_text, threshold, radius)
     return (
-        pairs.withColumn("similarity", both)
-        .where(F.col("similarity") >= threshold - 1e-12)
-        .groupBy("doc_id", "item_id")
+        found.groupBy("doc_id", "item_id")
         .agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start").alias("at"))).alias("_best"), F.count("*").alias("n_windows"))
         .select("doc_id", "item_id", F.col("_best.at").cast("long").alias("start_word"), (-F.col("_best.s")).alias("similarity"), "n_windows")
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **named) -> DataFrame:
-    """The documents that hold no passage of an item."""
-    leaks = contaminated(docs, items, doc_id=doc_id, **named).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col(doc_id).eqNullSafe(F.col("_leak")), "left_anti")
+def clean_documents(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    threshold: float = THRESHOLD,
+    radius: int = RADIUS,
+) -> DataFrame:
+    """The rows that hold no passage of an item."""
+    leaks = _leaks(docs, items, doc_id, text, item_id, item_text, threshold, radius).select(F.col("key").alias("_leak")).distinct()
+    return docs.join(leaks, row_key(F.col(doc_id), F.col(text)) == F.col("_leak"), "left_anti")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, ship, word_hashes
+from .common import cut, row_key, ship, word_hashes
 from .components import components
 
 WIDTH = 5
@@ -291,9 +291,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stand for their classes; rows without an id stay; of rows that repeat an id, one stays."""
-    keep = near_duplicates(docs, doc_id, text, threshold).where("is_first").select(F.col(doc_id).alias("_keep")).distinct()
-    known = docs.where(F.col(doc_id).isNotNull())
-    first = F.row_number().over(W.partitionBy(doc_id).orderBy(text))
-    one = known.join(keep, F.col(doc_id) == F.col("_keep"), "left_semi").withColumn("_row", first).where(F.col("_row") == 1).drop("_row")
-    return one.unionByName(docs.where(F.col(doc_id).isNull()))
+    """One row of each class, that with the least id, null ids last. Rows are told apart by id and text, so null and repeated ids take part like others."""
+    keyed = docs.withColumn("_key", row_key(F.col(doc_id), F.col(text)))
+    nodes = keyed.select(F.col("_key.high").alias("_node"), text)
+    classes = near_duplicates(nodes, "_node", text, threshold).select("_node", "class_id").distinct()
+    rows = keyed.select(F.col(doc_id).alias("_id"), "_key", F.col("_key.high").alias("_node")).join(classes, "_node")
+    least = F.min(F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_key").alias("key"))).alias("_least")
+    keep = rows.groupBy("class_id").agg(least).select(F.col("_least.key").alias("_keep"))
+    first = F.row_number().over(W.partitionBy("_key").orderBy(text))
+    one = keyed.join(keep, F.col("_key") == F.col("_keep"), "left_semi").withColumn("_row", first)
+    return one.where(F.col("_row") == 1).drop("_row", "_key")

@@ -128,6 +128,30 @@ def test_decontamination_matches_brute_force(spark):
         assert got == want and len(want) > 10
 
 
+def test_null_and_repeated_ids_in_both_branches(spark):
+    rng = random.Random(12)
+    item, clean = " ".join(prose(rng, 30)), [" ".join(prose(rng, 30)) for _ in range(4)]
+    docs = [(None, item), (None, clean[0]), (None, clean[1]), (7, clean[2]), (7, "before " + item), (8, clean[3]), (8, clean[3])]
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        decontaminate.BROADCAST_BYTES, kept = limit, decontaminate.BROADCAST_BYTES
+        try:
+            found = {(r["doc_id"], r["start_word"], r["similarity"]) for r in decontaminate.contaminated(df, items).collect()}
+            left = [(r["doc_id"], r["text"]) for r in decontaminate.clean_documents(df, items).collect()]
+        finally:
+            decontaminate.BROADCAST_BYTES = kept
+        assert found == {(None, 0, 1.0), (7, 1, 1.0)}
+        assert Counter(left) == Counter(d for d in docs if item not in d[1])
+
+
+def test_one_of_each_class_with_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    a, b, c = (" ".join(prose(rng, 60)) for _ in range(3))
+    docs = [(None, a), (None, a), (3, a), (3, b), (2, b + " end"), (None, c), (5, c + " end"), (9, None), (9, None)]
+    got = minhash.one_of_each_class(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(3, a), (2, b + " end"), (5, c + " end"), (9, None)])
+
+
 def test_blocks_miss_no_pair_within_the_radius(spark):
     rng = random.Random(2)
     left = [(i, rng.getrandbits(64) - (1 << 63)) for i in range(40)]
