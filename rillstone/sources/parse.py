@@ -111,10 +111,10 @@ def _symbols(toks: DataFrame, files: DataFrame, project: Column) -> DataFrame:
     variables = variables.groupBy("path", "ord", "place", "line", "exported", "name").agg(F.min(F.struct("end_ord", "end_place", "end_line")).alias("e"))
     inside = variables.join(toks.select("path", F.col("ord").alias("o"), F.col("t").alias("x"), F.col("depth").alias("d"), F.col("line").alias("l"), F.col("place").alias("pl")), "path").where((F.col("o") > F.col("ord")) & (F.col("e.end_ord").isNull() | (F.col("o") < F.col("e.end_ord"))))
     described = inside.groupBy("path", "ord", "place", "line", "exported", "name").agg(
-        F.transform(F.slice(F.sort_array(F.collect_list(F.struct("o", "x", "d"))), 1, 400), lambda z: F.struct(z["x"].alias("x"), z["d"].alias("d"))).alias("run"),
+        F.sort_array(F.collect_list(F.when(F.col("d") == 0, F.struct("o", "x")))).alias("run"),  # nulls are not collected
         F.max("o").alias("close_ord"), F.max(F.col("pl") + F.length("x")).alias("close_place"), F.max("l").alias("close_line"),
     )
-    flat = F.array_join(F.transform(F.filter("run", lambda z: z["d"] == 0), lambda z: z["x"]), " ")
+    flat = F.array_join(F.transform("run", lambda z: z["x"]), " ")
     # closing brackets stand deeper than the opening ones and are not in the flat text
     kind = F.when(flat.rlike(r"(^|[^=!<>])= (async )?(function\b|[^=]*=>)"), "function").when(flat.rlike(r"(^|[^=!<>])= (await )?[\p{L}_$][^ ]*( \. [\p{L}_$][^ ]*)* \("), "call")
     variables = described.withColumn("shape", kind).where(F.col("shape").isNotNull()).select("path", "name", F.col("name").alias("symbol"), "exported", "ord", "place", "line", "close_ord", "close_place", "close_line", (F.col("shape") == "function").alias("signed"))

@@ -70,6 +70,13 @@ def test_parameters_and_types(spark):
     assert got == {"f": (["a: Map<string", "number>", "{ b, c }: P"], "Promise<T[]>"), "h": (["x"], ""), "k": ([], "Promise<void>")}
 
 
+def test_declarations_longer_than_400_tokens(spark):
+    kind = "{ " + " ".join(f"p{i}: string;" for i in range(150)) + " }"
+    code = f"export const f = ({{ p0 }}: {kind}) => g(p0);\nconst h: {kind} = (x) => g(x);\nconst data: {kind} = {{ p0: 1 }};\n"
+    nodes = parse.parse(sources.given_files(spark, [("a.ts", code)]), "p").nodes
+    assert {r["name"]: (r["start_line"], r["end_line"]) for r in nodes.collect()} == {"f": (1, 1), "h": (2, 2)}
+
+
 def test_calls_paths_and_rules(analysis):
     edges = {(r["caller"].split(":")[-1], r["callee"].split(":")[-1]) for r in analysis.call_edges.where(~F.col("unresolved")).collect()}
     assert {("makeThing", "findThing"), ("makeThing", "insertThing"), ("addOne", "validateBody"), ("Box.put", "makeThing"), ("listAll", "makeThing")} <= edges
