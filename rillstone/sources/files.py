@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import subprocess
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.lineage import running
 from ..schemas import FILES
 
 #: Endings for a scan of a folder (any case) and of a revision, the largest file, and folders that a walk leaves out.
@@ -22,10 +24,10 @@ SKIPPED = ("node_modules", ".git", "dist", "build", ".next", ".turbo", "coverage
 def numbered(files: DataFrame) -> DataFrame:
     """Files in the order of their paths: ``file_ord`` is the order key of all that is parsed from them.
 
-    Only the paths are brought together to be numbered; contents stay where they are.
+    Paths are numbered by ranges, so no task holds them all; contents stay where they are.
     """
-    order = files.select("path").distinct().withColumn("file_ord", F.row_number().over(W.orderBy("path")) - 1)
-    return files.join(order, "path")
+    order = running(files.select("path").distinct(), [F.col("path")], {"file_ord": F.lit(1)})
+    return files.join(order.withColumn("file_ord", F.col("file_ord").cast("int")), "path")
 
 
 def read_folder(spark: SparkSession, root: str, walk: bool = True) -> DataFrame:
@@ -66,8 +68,26 @@ def _git(repo: str, *args: str) -> bytes:
     return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True).stdout
 
 
+def _of_revision(repo: str, ref: str, paths: list[str]) -> Iterator[tuple]:
+    """Path and content of files of a revision, by one process; null where the revision has no such file."""
+    asked = "".join(f"{ref}:{p}\n" for p in paths if "\n" not in p).encode()
+    found = io.BytesIO(subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input=asked, check=True, capture_output=True).stdout)
+    for path in paths:
+        if "\n" in path:  # a batch can't ask for it
+            yield path, _git(repo, "show", f"{ref}:{path}").decode("utf-8", "replace")
+            continue
+        head = found.readline().rstrip(b"\n").rsplit(b" ", 2)
+        if len(head) == 3 and head[1] == b"blob":
+            yield path, found.read(int(head[2])).decode("utf-8", "replace")
+            found.read(1)
+        else:
+            if len(head) == 3:  # something other than a file, such as a submodule's commit
+                found.read(int(head[2]) + 1)
+            yield path, None
+
+
 class GitSource(DataSource):
-    """``spark.read.format("git_files")``: options path, ref (a revision; tracked files of the work tree without it), batch."""
+    """``spark.read.format("git_files")``: options path, ref (a revision; without it, tracked files as they stand in the work tree), batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -95,10 +115,13 @@ class _GitReader(DataSourceReader):
         return [_Batch(paths[i : i + self.batch]) for i in range(0, len(paths), self.batch)] or [_Batch([])]
 
     def read(self, partition: _Batch) -> Iterator[tuple]:
+        if self.ref:
+            yield from _of_revision(self.repo, self.ref, partition.paths)
+            return
         for path in partition.paths:
             try:
-                yield path, _git(self.repo, "show", f"{self.ref or ''}:{path}").decode("utf-8", "replace")
-            except subprocess.CalledProcessError:
+                yield path, Path(self.repo, path).read_bytes().decode("utf-8", "replace")
+            except OSError:  # tracked, but no longer in the work tree
                 yield path, None
 
 
