@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, running, with_checkpoint_dir  # noqa: F401
+
 #: A word is a longest run of characters other than these (regular expression class body).
 SPACE = r"\x20\x09-\x0D"
 
@@ -52,18 +54,23 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("high"), F.xxhash64(F.lit(1), *parts[::-1]).alias("low"))
 
 
-def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder of our own only where the session names none."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of ``df``, in either case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a checkpoint in the shared folder."""
-    with_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def unused_prefix(df: DataFrame) -> str:
+    """As many underscores as it takes for no column of ``df`` to begin with them."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
