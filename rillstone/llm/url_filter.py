@@ -13,8 +13,11 @@ that rules judge, and is sent to each executor. The probability after a context
 
 Defined results: host and path of a null URL or one without ``://`` are empty, no
 rule fits, and the method judges the whole string (null as empty); an empty string
-scores 0 before calibration; without accepted or rejected examples the verdict is
-allow; repeated rows are judged alike.
+scores 0 before calibration; without accepted or rejected examples, as in an empty
+table, the verdict is allow; URLs of any length are judged whole; repeated rows are
+judged alike; at a score of exactly 0.5 the verdict is allow. Further columns pass
+through; one that has the name of an output is replaced, unless ``prefix`` sets the
+outputs apart.
 """
 
 from __future__ import annotations
@@ -27,12 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, unused
 
 ORDERS = 6
 FOLDS, SEEDS = 5, 16
 BITS = 57  # of the hash of a run or context: with label, kind and order a cell fits 62 bits, and ten million share one with probability 0.0004
-BUCKETS = 1 << 16  # of a table that is given whole
 STRENGTH = 2.0
 BINS, SPAN = 400, 4.0
 #: (verdict, host and path)
@@ -76,7 +78,7 @@ def _grams(urls: pd.Series, bits: int) -> tuple[np.ndarray, list[np.ndarray], np
     return owner, runs, contexts
 
 
-def _count(batches: Iterator[pd.DataFrame], bits: int = BUCKETS.bit_length() - 1) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pd.DataFrame], bits: int = BITS) -> Iterator[pd.DataFrame]:
     """Counts by cell: label, run or context, order and hash in one number."""
     for pdf in batches:
         cells, counts = [], []
@@ -116,17 +118,12 @@ class Cells:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Counts, given by cell or as a whole table by (label, run or context, order, bucket), and the line of the calibration."""
+    """Counts by cell, and the line of the calibration."""
 
-    counts: Cells | np.ndarray
+    counts: Cells
     slope: float = 1.0
     offset: float = 0.0
 
-    def __post_init__(self):
-        if isinstance(self.counts, np.ndarray):
-            used = np.flatnonzero(self.counts)
-            object.__setattr__(self, "counts", Cells(used, self.counts.ravel()[used], self.counts.shape[-1].bit_length() - 1))
-
     def difference(self, urls: pd.Series, less: Cells | None = None) -> np.ndarray:
         """Log-likelihood as accepted less that as rejected, by character; from the counts less those of ``less``."""
         owner, runs, contexts = _grams(urls, self.counts.bits)
@@ -204,21 +201,26 @@ def train_url_model(labelled: DataFrame) -> UrlModel:
     return UrlModel(model.counts, *fit_line((np.arange(BINS) + 0.5) / BINS * SPAN - SPAN / 2, table[1], table[0]))
 
 
-def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
-    """Adds host, path, rule, score (probability of being accepted, by the method alone) and verdict."""
-    parts = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    ruled = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    labelled = ruled.where(F.col("_rule.verdict").isNotNull()).select(F.col(url).alias("url"), (F.col("_rule.verdict") == "allow").cast("int").alias("label"))
+def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, prefix: str = "") -> DataFrame:
+    """Adds host, path, rule, score (probability of being accepted, by the method alone) and verdict, each after ``prefix``."""
+    made = unused(pages, "_host", "_path", "_ruled", "_score")
+    host, path, rule, score = made
+    parts = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
+    ruled = parts.withColumn(rule, rule_of(F.col(host), F.col(path), rules))
+    fits = F.col(rule)["verdict"]
+    labelled = ruled.where(fits.isNotNull()).select(F.col(url).alias("url"), (fits == "allow").cast("int").alias("label"))
     shared = pages.sparkSession.sparkContext.broadcast(train_url_model(labelled))
 
     @F.pandas_udf("double")
     def accepted(urls: pd.Series) -> pd.Series:
         return pd.Series(shared.value.probability(urls.fillna("")))
 
-    judged = ruled.withColumn("score", accepted(F.col(url)))
-    return judged.select(
-        *[F.col(c) for c in ruled.columns if c != "_rule"],
-        F.col("_rule.rule").alias("rule"),
-        "score",
-        F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") >= 0.5, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"),
-    )
+    judged = ruled.withColumn(score, accepted(F.col(url)))
+    outputs = {
+        "host": F.col(host),
+        "path": F.col(path),
+        "rule": F.col(rule)["rule"],
+        "score": F.col(score),
+        "verdict": F.coalesce(fits, F.when(F.col(score) >= 0.5, F.lit("allow")).otherwise(F.lit("block"))),
+    }
+    return judged.withColumns({prefix + name: c for name, c in outputs.items()}).drop(*made)
