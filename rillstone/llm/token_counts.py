@@ -10,13 +10,17 @@ several by shares, as ``rule`` says:
 A section is a line with the line break that ends it, so sections tile the text.
 
 Defined results: a null or empty text has one empty section and no tokens; lines
-may be empty; strings of special tokens are ordinary text; repeated rows are
-counted each for itself.
+may be empty; strings of special tokens are ordinary text; texts, lines and runs of
+any length are encoded whole; repeated rows are counted each for itself; an empty
+table gives an empty result. A token that ends where a section ends is no tie: it
+belongs to what it holds. Only the id and the text are read, so further columns have
+no part in the result, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which this vocabulary's texts are cut before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("first", "last", "share")
+#: What the pattern holds to be white space. A longer run than ``LONG`` is cut off before the pattern is applied.
+LONG, BLANKS = 1_000, r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{BLANKS}]{{{LONG},}}")
 
 
 class Tokenizer:
@@ -40,13 +47,29 @@ class Tokenizer:
 
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        self.whole = tiktoken.Encoding("one piece", pat_str=r"[\s\S]+", mergeable_ranks=merges, special_tokens={})
         self.sizes = np.zeros(max(merges.values()) + 1, np.int64)
         for token, rank in merges.items():
             self.sizes[rank] = len(token)
 
     def ends(self, text: str) -> np.ndarray:
         """The byte after the last of each token."""
-        return np.cumsum(self.sizes[self.encoding.encode_ordinary(text)])
+        return np.cumsum(self.sizes[self.encode(text)])
+
+    def encode(self, text: str) -> list[int]:
+        """The tokens of the text.
+
+        The pattern steps back through a run of white space, once for each of its characters, which a run of a million
+        does not survive. It always cuts before a run, and before the last character of a run that is not the end of the
+        text, as that one is left to the word behind it. So long runs are cut there beforehand and merged as one piece.
+        """
+        found, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            found += self.encoding.encode_ordinary(text[at : run.start()])
+            found += self.whole.encode_ordinary(text[run.start() : end])
+            at = end
+        return found + self.encoding.encode_ordinary(text[at:])
 
 
 def section_counts(text: str, ends: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
