@@ -14,18 +14,24 @@ held to the exact similarity:
 1. exact copies become one text;
 2. every text against the leader of each of its buckets, the one met in the most
    buckets first, further ones only where components still differ;
-3. what is left, exactly: in buckets whose members still belong to several
-   components, every member of all but the largest component against every member
-   of the others, in blocks of bounded size, each block putting out at most one
-   link for a member and a component.
+3. what is left, exactly, in buckets whose members still belong to several
+   components: every member of all but the largest component against every member
+   of the others, in one block of bounded size;
+4. a bucket too large for a block is dealt anew, and exactly: two texts as alike as
+   wanted share one of the rarest elements of each, so those that do are grouped by
+   them. What is common to a crowd, such as a template, groups nothing. Leaders and
+   blocks then do their work there, block against block where a group needs several.
 
 Classes are the connected components of the links. A pair of similarity 0.8
 shares no bucket with a probability of 5e-8.
 
 Defined results: words are compared as written; a text of one to four words is
-one shingle; texts without words are alike only if equal; null texts are each of
-their own class; the class id is the least document id of the class; rows that
-repeat a document id get the class of their text; null ids stand last.
+one shingle; texts without words are alike only if equal; null texts are alike only
+if they have the same id; texts of any length are compared whole; the class id is
+the least document id of the class, null if it has none; rows that repeat a document
+id get the class of their own text; of rows equal in id and text, that stays whose
+other columns come first as JSON; an empty table gives an empty result. Further
+columns pass through ``one_of_each_class``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,17 +42,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, ship, word_hashes
+from .common import cut, ship, unused, word_hashes
 from .components import components
 
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-BLOCK = 1024
+#: Elements of the texts that one task compares with each other, and pairs that one copy of a leader's elements is for.
+BLOCK, LED = 1 << 18, 2_000
 _U = np.uint64
 
 
@@ -175,25 +181,34 @@ def _element_column(word_hashes: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def text_key(text: Column) -> Column:
-    return F.sha2(text, 256)
+    """128 bits that stand for a text."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
-def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Each different non-null text: ``node`` (its least document id) and the keys of its bands."""
-    ship(docs.sparkSession)
-    hashed = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.struct(F.col(doc_id).cast("long").alias("id"), text_key(F.col(text)).alias("text")).alias("key"), word_hashes(F.col(text)).alias("words"))
-    banded = hashed.mapInArrow(lambda it: _over_batches(it, _band_column), "key struct<id bigint, text string>, found array<bigint>")
+def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Columns id, body and key: the text's and the id together."""
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), F.struct(text_key(F.col(text)).alias("text"), F.col(doc_id).alias("id")).alias("key"))
+
+
+def distinct_texts(plain: DataFrame) -> DataFrame:
+    """Each different non-null text: ``node``, its key, ``first`` (its least id), its number of elements and the keys of its bands."""
+    ship(plain.sparkSession)
+    kind = plain.schema["id"].dataType.simpleString()
+    hashed = plain.where(F.col("body").isNotNull()).select("key", word_hashes(F.col("body")).alias("words"))
+    size = F.when(F.size("words") > 0, F.greatest(F.size("words") - (WIDTH - 1), F.lit(1))).otherwise(F.lit(0))
+    sized = hashed.select(F.struct("key.text", "key.id", size.alias("size")).alias("key"), "words")
+    banded = sized.mapInArrow(lambda it: _over_batches(it, _band_column), f"key struct<text binary, id {kind}, size int>, found array<bigint>")
     # equal texts have equal bands; one row of each task's copies is shuffled
-    return banded.groupBy(F.col("key.text").alias("text_key")).agg(F.min("key.id").alias("node"), F.max(F.struct("found")).alias("f")).select("text_key", "node", F.col("f.found").alias("bands"))
+    merged = banded.groupBy(F.col("key.text").alias("text")).agg(F.min("key.id").alias("first"), F.max(F.struct("key.size", "found")).alias("f"))
+    return cut(merged.select(F.monotonically_increasing_id().alias("node"), "text", "first", F.col("f.size").alias("size"), F.col("f.found").alias("bands")))
 
 
-def elements_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Sorted elements of the documents whose ids are wanted, a row each."""
-    named = nodes.select(F.col("node").alias("_wanted")).hint("shuffle_hash")
-    wanted = docs.where(F.col(text).isNotNull()).select(doc_id, text).join(named, F.col(doc_id) == F.col("_wanted"), "left_semi")
-    hashed = wanted.select(F.struct(F.col(doc_id).cast("long").alias("id"), text_key(F.col(text)).alias("text")).alias("key"), word_hashes(F.col(text)).alias("words"))
-    made = hashed.mapInArrow(lambda it: _over_batches(it, _element_column), "key struct<id bigint, text string>, found array<bigint>")
-    return made.select(F.col("key.id").alias("node"), F.col("key.text").alias("text_key"), F.col("found").alias("elements"))
+def elements_of(plain: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sorted elements of the texts that are wanted (node, text, first), read from a row that has the least id."""
+    named = wanted.select(F.struct("text", F.col("first").alias("id")).alias("key"), "node").hint("shuffle_hash")
+    hashed = plain.where(F.col("body").isNotNull()).join(named, "key").select(F.col("node").alias("key"), word_hashes(F.col("body")).alias("words"))
+    made = hashed.mapInArrow(lambda it: _over_batches(it, _element_column), "key bigint, found array<bigint>")
+    return made.dropDuplicates(["key"]).select(F.col("key").alias("node"), F.col("found").alias("elements"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -203,9 +218,12 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that are as alike as wanted. A text in very many pairs as ``b`` is copied for each ``LED`` of them."""
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / LED).cast("int").alias("copies"))
     left = elements.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
-    right = elements.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-    return pairs.join(left, "a").join(right, "b").where(similarity(F.col("ea"), F.col("eb")) >= threshold - 1e-12).select(*pairs.columns)
+    right = elements.select(F.col("node").alias("b"), F.col("elements").alias("eb")).join(copies, "b").select("b", "eb", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    dealt = pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), "copies").cast("int"))
+    return dealt.join(left, "a").join(right, ["b", "copy"]).where(similarity(F.col("ea"), F.col("eb")) >= threshold - 1e-12).select(*pairs.columns)
 
 
 def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
@@ -218,32 +236,40 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The roots after further links between nodes whose roots are ``ra`` and ``rb``: only roots are linked, so the graph is small."""
     above = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("_above")), "root", "left")
-    return moved.select("node", F.coalesce("_above", "root").alias("root")).unionByName(above).distinct()
+    return cut(moved.select("node", F.coalesce("_above", "root").alias("root")).unionByName(above).distinct())
+
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (bucket, node, size) but for leaders of buckets that still hold several components.
 
-def _rest(members: DataFrame, roots: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b, and their roots ra, rb) in buckets that still hold several components, found block against block."""
+    With their root, whether it is another one than the bucket's largest, and the elements of the bucket and of such others.
+    """
     placed = _rooted(members.where(F.col("node") != F.col("leader")), roots, "node", "root")
-    groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    # of each bucket: its components, its members, and the largest component
-    buckets = groups.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most")).where(F.col("kinds") > 1)
-    open_ = placed.join(buckets.select("bucket", "all", F.col("most.root").alias("main"), F.col("most.n").alias("main_n")), "bucket")
-    probes = F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("main_n")) / BLOCK)).cast("int")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK)).cast("int")
+    groups = placed.groupBy("bucket", "root").agg(F.sum("size").alias("weight"))
+    largest = F.max(F.struct("weight", "root")).alias("largest")
+    buckets = groups.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("weight").alias("weight"), largest).where(F.col("kinds") > 1)
+    facts = buckets.select("bucket", "weight", (F.col("weight") - F.col("largest.weight")).alias("other"), F.col("largest.root").alias("main"))
+    return cut(placed.join(facts, "bucket").select("bucket", "node", "size", "root", (F.col("root") != F.col("main")).alias("asks"), "weight", "other"))
+
+
+def _compared(open_: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, and their roots ra, rb) within buckets: those that ask against all, block against block, one link for a component."""
+    blocks = lambda weight: F.greatest(F.lit(1), F.ceil(F.col(weight) / BLOCK)).cast("int")
     part = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("node")), n).cast("int")
-    # half of each hash does in the blocks, where it can only make two texts seem nearer; the links found are verified whole
-    halves = F.sort_array(F.transform("elements", lambda e: F.shiftright(e, 32).cast("int")))
-    full = open_.join(elements.select("node", halves.alias("elements")), "node")
-    side = lambda df, probe, target, is_probe: df.select("bucket", probe.alias("p"), target.alias("t"), F.lit(is_probe).alias("is_probe"), "node", "root", "elements")
-    asked = side(full.where(F.col("root") != F.col("main")), part(probes, 1), F.explode(F.sequence(F.lit(0), blocks - 1)), True)
-    against = side(full, F.explode(F.sequence(F.lit(0), probes - 1)), part(blocks, 2), False)
+    cell = lambda p, t: F.struct(p.alias("p"), t.alias("t"))
+    dealt = open_.withColumns({"ask": part(blocks("other"), 1), "own": part(blocks("weight"), 2)})
+    to_all = F.transform(F.sequence(F.lit(0), blocks("weight") - 1), lambda t: cell(F.col("ask"), t))
+    from_all = F.transform(F.sequence(F.lit(0), blocks("other") - 1), lambda p: cell(p, F.col("own")))
+    cells = dealt.withColumn("cell", F.explode(F.when(F.col("asks"), F.array_union(to_all, from_all)).otherwise(from_all)))
+    asks, asked = F.col("asks") & (F.col("cell.p") == F.col("ask")), F.col("cell.t") == F.col("own")
+    rows = cells.select("bucket", "cell.p", "cell.t", asks.alias("asks"), asked.alias("asked"), "node", "root").join(elements, "node")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["is_probe"]], pdf[~pdf["is_probe"]]
+        a, b = pdf[pdf["asks"]], pdf[pdf["asked"]]
         found: list[tuple[int, int, int, int]] = []
         if len(a) and len(b):
             sizes_b = b["elements"].str.len().to_numpy()
-            flat = np.concatenate(list(b["elements"])) if sizes_b.sum() else np.zeros(0, np.int32)
+            flat = np.concatenate(list(b["elements"])) if sizes_b.sum() else np.zeros(0, np.int64)
             owner = np.repeat(np.arange(len(b)), sizes_b)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
@@ -254,50 +280,81 @@ def _rest(members: DataFrame, roots: DataFrame, elements: DataFrame, threshold:
                 shared = np.bincount(hits, minlength=len(b))
                 alike = shared / np.maximum(1, len(mine) + sizes_b - shared)
                 near = np.flatnonzero((alike >= threshold - 1e-12) & (roots_b != root) & (shared > 0))
-                near = near[np.argsort(-alike[near], kind="stable")]  # the nearest of each component
                 _, one = np.unique(roots_b[near], return_index=True)
                 found += [(node, nodes_b[j], root, roots_b[j]) for j in near[one]]
         return pd.DataFrame(found, columns=["a", "b", "ra", "rb"], dtype="int64")
 
-    found = asked.unionByName(against).groupBy("bucket", "p", "t").applyInPandas(link, "a long, b long, ra long, rb long").distinct()
-    return _verified(found, elements, threshold)
+    return rows.groupBy("bucket", "p", "t").applyInPandas(link, "a long, b long, ra long, rb long").distinct()
+
 
+def _by_rare_elements(nodes: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """Members (bucket, node, size, leader) of groups that share one of the rarest elements of each: nodes come with their root.
 
-def near_duplicate_links(docs: DataFrame, texts: DataFrame, doc_id: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    Of texts with n elements in one order, two as alike as wanted share one of the first n - ceil(t n) + 1 of each. The
+    order is: elements that only one component holds, which lead nowhere, then the rest by how many hold them.
+    """
+    full = nodes.join(elements, "node")
+    each = full.select("node", "root", F.explode("elements").alias("e"))
+    held = each.groupBy("e").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high"))
+    shared = each.join(held.select("e", "n"), "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es"))
+    sized = full.select("node", "root", F.size("elements").alias("size")).join(shared, "node")
+    first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9).cast("int") + 1 - (F.col("size") - F.size("es"))
+    dealt = cut(sized.where(first > 0).select("node", "root", "size", F.explode(F.slice("es", 1, first)).alias("x")).select("node", "root", "size", F.col("x.e").alias("bucket")))
+    leader = F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node").alias("node"))).alias("leader")
+    same = F.bit_xor(F.xxhash64("node")).alias("same")
+    groups = dealt.groupBy("bucket").agg(leader, same, F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high"))
+    # elements that the same texts share, as those of one passage, make one group
+    kept = groups.groupBy("same", "n").agg(F.min(F.struct("bucket", "leader.node")).alias("g")).select("g.bucket", F.col("g.node").alias("leader"))
+    return cut(dealt.join(kept, "bucket").select("bucket", "node", "size", "leader"))
+
+
+def near_duplicate_links(plain: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Components of near-duplicate texts: node and root, for texts that have a link."""
-    banded = texts.select("node", F.explode("bands").alias("bucket"))
+    banded = texts.select("node", "size", F.explode("bands").alias("bucket"))
     leader = F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node").alias("node"))).alias("lead")
     crowded = banded.groupBy("bucket").agg(leader, F.count("*").alias("n")).where(F.col("n") > 1)
     members = cut(banded.join(crowded.select("bucket", F.col("lead.node").alias("leader")), "bucket"))
-    led = members.where(F.col("node") != F.col("leader")).groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("met"))
-    wanted = members.select("node").distinct()
-    elements = cut(elements_of(docs, wanted, doc_id, text).dropDuplicates(["node"]).select("node", "elements"))
-    led = cut(led)
+    elements = cut(elements_of(plain, texts.select("node", "text", "first").join(members.select("node").distinct(), "node")))
+    led = cut(members.where(F.col("node") != F.col("leader")).groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("met")))
     first = led.groupBy("a").agg(F.max(F.struct("met", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     roots = cut(components(_verified(first, elements, threshold)))
-    further = _rooted(_rooted(led, roots, "a", "ra"), roots, "b", "rb").where(F.col("ra") != F.col("rb")).join(first, ["a", "b"], "left_anti")
-    roots = cut(_merged(roots, _verified(further, elements, threshold)))
-    return _merged(roots, _rest(members, roots, elements, threshold))
+    apart = lambda pairs, roots: _rooted(_rooted(pairs, roots, "a", "ra"), roots, "b", "rb").where(F.col("ra") != F.col("rb"))
+    roots = _merged(roots, _verified(apart(led.join(first, ["a", "b"], "left_anti"), roots), elements, threshold))
+    open_ = _open(members, roots)
+    large = open_.where(F.col("weight") > BLOCK)
+    roots = _merged(roots, _compared(open_.where(F.col("weight") <= BLOCK), elements, threshold))
+    if large.isEmpty():
+        return roots
+    groups = _by_rare_elements(_rooted(large.select("node").distinct(), roots, "node", "root"), elements, threshold)
+    pairs = groups.where(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    roots = _merged(roots, _verified(apart(pairs, roots), elements, threshold))
+    return _merged(roots, _compared(_open(groups, roots), elements, threshold))
+
+
+def classes_of_texts(plain: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each different non-null text: its key, its least id, and the root that stands for its class."""
+    texts = distinct_texts(plain)
+    return _rooted(texts.select("node", "text", "first"), near_duplicate_links(plain, texts, threshold), "node", "root")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of ``docs``: its id, ``class_id``, and ``is_first``: does it stand for the class?"""
-    texts = cut(distinct_texts(docs, doc_id, text))
-    roots = near_duplicate_links(docs, texts, doc_id, text, threshold)
-    classes = _rooted(texts.select("text_key", "node"), roots, "node", "class_id").select(F.col("text_key").alias("_key"), "class_id")
-    rows = docs.select(F.col(doc_id), text_key(F.col(text)).alias("_of"))
-    found = rows.join(classes, F.col("_of") == F.col("_key"), "left")
-    return found.select(doc_id, F.coalesce("class_id", F.col(doc_id).cast("long")).alias("class_id")).withColumn("is_first", F.col("class_id").eqNullSafe(F.col(doc_id)))
+    plain = _plain(docs, doc_id, text)
+    found = cut(classes_of_texts(plain, threshold))
+    classes = found.join(found.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("text", "class_id")
+    rows = plain.select("id", F.col("key.text").alias("text"), F.col("body").isNull().alias("lone")).join(classes, "text", "left")
+    class_id = F.when(F.col("lone"), F.col("id")).otherwise(F.col("class_id"))
+    return rows.select(F.col("id").alias(doc_id), class_id.alias("class_id"), class_id.eqNullSafe(F.col("id")).alias("is_first"))
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, that with the least id, null ids last. Rows are told apart by id and text, so null and repeated ids take part like others."""
-    keyed = docs.withColumn("_key", row_key(F.col(doc_id), F.col(text)))
-    nodes = keyed.select(F.col("_key.high").alias("_node"), text)
-    classes = near_duplicates(nodes, "_node", text, threshold).select("_node", "class_id").distinct()
-    rows = keyed.select(F.col(doc_id).alias("_id"), "_key", F.col("_key.high").alias("_node")).join(classes, "_node")
-    least = F.min(F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_key").alias("key"))).alias("_least")
-    keep = rows.groupBy("class_id").agg(least).select(F.col("_least.key").alias("_keep"))
-    first = F.row_number().over(W.partitionBy("_key").orderBy(text))
-    one = keyed.join(keep, F.col("_key") == F.col("_keep"), "left_semi").withColumn("_row", first)
-    return one.where(F.col("_row") == 1).drop("_row", "_key")
+    plain = _plain(docs, doc_id, text)
+    least = F.min(F.struct(F.col("first").isNull().alias("last"), "first", "text")).alias("least")
+    kept = classes_of_texts(plain, threshold).groupBy("root").agg(least).select(F.struct("least.text", F.col("least.first").alias("id")).alias("key"))
+    keys = kept.unionByName(plain.where(F.col("body").isNull()).select("key").distinct())
+    key, row = unused(docs, "_key", "_row")
+    keyed = docs.withColumn(key, F.struct(text_key(F.col(text)).alias("text"), F.col(doc_id).alias("id")))
+    rows = keyed.join(keys.withColumnRenamed("key", key), key, "left_semi")
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]))
+    return rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), others).alias(row)).select(f"{row}.*")
