@@ -1,24 +1,33 @@
 """Benchmark decontamination with SimHash fingerprints of item-sized windows.
 
-Every window of a document that is as long as a benchmark item, and that could
-still reach the wanted similarity, gets a 64-bit SimHash of its word shingles.
-Windows and items meet where one of ``radius + 1`` blocks of their fingerprints
-is equal: two fingerprints at most ``radius`` bits apart must agree in a block,
-so no pair within the radius is missed. Pairs are then held to the exact weighted
-similarity: the sum of the lesser over the sum of the greater weights of their
-shingles, a shingle weighing as often as it occurs.
+Windows of a document that are as long as a benchmark item get a SimHash of their
+word shingles, ``BLOCKS`` blocks of ``BLOCK_BITS`` bits. Windows and items are
+candidates where one of the blocks is equal: two fingerprints that differ in fewer
+bits than there are blocks must agree in one, so no pair within that radius is
+missed. Candidates are then held to the exact weighted similarity: the sum of the
+lesser over the sum of the greater weights of their shingles, a shingle weighing as
+often as it occurs.
+
+Beyond the guaranteed radius of 47 of 480 bits, a pair of similarity 0.8 differs in a
+bit with a probability of 0.152 (its cosine is 8/9), so it agrees in a block of 10
+with 0.19, and in none of 48 with 3e-5; a random pair agrees in one with 0.046.
 
 A window can reach similarity t with an item of as many shingles only if
-2t/(1+t) of its shingles occur in items of that size. Documents are therefore
-joined first with the shingles of the items, and windows are cut only where
-enough of them met; this loses no window that the similarity would accept.
+2t/(1+t) of its shingles occur in items of that size. To fingerprint every window of
+every size would take each word as often as there are sizes times their lengths, so
+documents are joined first with the shingles of the items, and windows are cut only
+where enough of them met; this loses no window that the similarity would accept.
+Windows with equal shingles are fingerprinted and compared once.
 
 Defined results: words are compared in lower case; a document or item without
 words takes no part; texts of fewer than five words count as one shingle; a
-document shorter than an item is one window; repeated items or documents are
-reported each under its id, rows of one id together; null ids are kept as null.
-Texts are compared row by row, also where an id is null or repeated, and only the
-rows that hold a passage are not clean.
+document shorter than an item is one window; texts of any length are read whole;
+repeated items or documents are reported each under its id, rows of one id
+together; null ids are kept as null. Texts are compared row by row, also where an id
+is null or repeated, and only the rows that hold a passage are not clean. Of windows
+of equal similarity the first is reported. An empty table of either kind gives no
+finding. Only ids and texts are read, so further columns pass through
+``clean_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -28,58 +37,41 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, row_key, shingles, word_hashes
+from .common import cut, let, row_key, shingles, unused, word_hashes
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: Similarity 0.8 between windows of equal length is a cosine of 8/9 or so, a mean distance of 9.7 of 64 bits with a
-#: deviation of 2.9; 23 lies more than 4.5 deviations above.
-RADIUS = 23
-#: Bytes up to which the shingles of the items are broadcast; beyond, both sides are shuffled.
+BLOCKS, BLOCK_BITS = 48, 10
+#: Bytes up to which the tables of the items are broadcast; beyond, both sides are shuffled.
 BROADCAST_BYTES = 64 << 20
-#: Three bits times the first, under the mask of the second, stand 21 bits apart.
-_SPREAD, _LANES = 1 + (1 << 20) + (1 << 40), 1 + (1 << 21) + (1 << 42)
+#: Blocks of one 64-bit hash. Three bits times the first, under the mask of the second, stand 21 bits apart.
+_PER_HASH, _SPREAD, _LANES = 6, 1 + (1 << 20) + (1 << 40), 1 + (1 << 21) + (1 << 42)
 
 
-def fingerprints(rows: DataFrame, keys: list[str], shingle: str) -> DataFrame:
-    """The SimHash of each key's bag of shingles, a row each: keys, fingerprint.
+def fingerprints(bags: DataFrame, keys: list[str], bag: str) -> DataFrame:
+    """The SimHash of each row's bag of shingles: keys and ``blocks``, an array of numbers of ``BLOCK_BITS`` bits.
 
-    The 64 counts of set bits are kept in 22 sums with three lanes of 21 bits each.
+    A shingle is hashed anew for every 60 bits. Counts of set bits are kept in sums with three lanes of 21 bits each.
     """
-    spread = lambda j: (F.shiftrightunsigned(F.col(shingle), 3 * j).bitwiseAND(F.lit(7)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_LANES))
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(spread(j)).alias(f"_s{j}") for j in range(22)])
-    ones = lambda b: F.shiftrightunsigned(F.col(f"_s{b // 3}"), 21 * (b % 3)).bitwiseAND(F.lit((1 << 21) - 1))
-    bit = lambda b: F.when(ones(b) * 2 > F.col("_n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-    return sums.select(*keys, reduce(lambda x, y: x.bitwiseOR(y), [bit(b) for b in range(64)]).alias("fingerprint"))
+    sums = BLOCKS * BLOCK_BITS // 3
+    hashed = bags.select(*keys, F.size(bag).alias("_n"), F.explode(bag).alias("_h")).withColumns({f"_w{w}": F.xxhash64(F.lit(w), "_h") for w in range(BLOCKS // _PER_HASH)})
+    spread = lambda j: (F.shiftrightunsigned(F.col(f"_w{j // 20}"), 3 * (j % 20)).bitwiseAND(F.lit(7)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_LANES))
+    counted = hashed.groupBy(*keys).agg(F.first("_n").alias("_n"), *[F.sum(spread(j)).alias(f"_s{j}") for j in range(sums)])
+    lanes = F.array(*[F.col(f"_s{j}") for j in range(sums)])
+    lane = lambda s, i: F.call_function("shiftrightunsigned", F.get(s, F.floor(i / 3).cast("int")), i % 3 * 21).bitwiseAND(F.lit((1 << 21) - 1))
+    bit = lambda s, i: (lane(s, i) * 2 > F.col("_n")).cast("int")
+    block = lambda s, b: F.aggregate(F.sequence(F.lit(0), F.lit(BLOCK_BITS - 1)), F.lit(0), lambda x, i: x * 2 + bit(s, b * BLOCK_BITS + i))
+    return counted.withColumn("_lanes", lanes).select(*keys, F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: block(F.col("_lanes"), b)).alias("blocks"))
 
 
-def block_masks(radius: int) -> list[int]:
-    """``radius + 1`` masks that divide the 64 bits as evenly as they can."""
-    ends = [64 * i // (radius + 1) for i in range(radius + 2)]
-    unsigned = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(ends, ends[1:])]
-    return [m - (1 << 64) if m >> 63 else m for m in unsigned]
+def near_fingerprints(left: DataFrame, right: DataFrame, same: list[str], small: bool = False) -> DataFrame:
+    """Different pairs of rows that agree in ``same`` and in a block of their fingerprints, so all that differ in fewer bits than there are blocks.
 
-
-def near_fingerprints(left: DataFrame, right: DataFrame, same: list[str], radius: int, small: bool = False) -> DataFrame:
-    """Pairs at most ``radius`` bits apart, from columns ``a`` and ``b``; other columns stay.
-
-    Each side is dealt to its blocks; a pair is put out at the first block in which it agrees.
-    ``small``: the right side has been found to be small enough to be broadcast.
+    Columns but ``blocks`` stay. ``small``: the right side has been found to be small enough to be broadcast.
     """
-    masks = block_masks(radius)
-    blocks = lambda c: F.explode(
-        F.array(*[F.struct(F.lit(i).alias("block"), F.col(c).bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
-    )
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-    first = reduce(lambda later, im: F.when(apart.bitwiseAND(F.lit(im[1])) == 0, F.lit(im[0])).otherwise(later), reversed(list(enumerate(masks))), F.lit(-1))
-    deal = lambda df, c: df.withColumn("_at", blocks(c)).select("*", "_at.block", "_at.bits").drop("_at")
-    dealt = deal(right, "b")
-    return (
-        deal(left, "a")
-        .join(F.broadcast(dealt) if small else dealt, [*same, "block", "bits"])
-        .where((F.bit_count(apart) <= radius) & (F.col("block") == first))
-        .drop("block", "bits")
-    )
+    deal = lambda df: df.select(*[c for c in df.columns if c != "blocks"], F.posexplode("blocks").alias("block", "bits"))
+    dealt = deal(right)
+    return deal(left).join(F.broadcast(dealt) if small else dealt, [*same, "block", "bits"]).drop("block", "bits").distinct()
 
 
 def shared_weight(a: Column, b: Column) -> Column:
@@ -145,22 +137,27 @@ def _windows(hits: DataFrame) -> DataFrame:
     )
 
 
-def _leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, threshold: float, radius: int) -> DataFrame:
+def _leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, threshold: float) -> DataFrame:
     """Key and id of rows, items, and the windows that reach the threshold."""
-    keyed = benchmark_items(items, item_id, item_text).withColumn("n", F.size("bag"))
+    bag_key = lambda *parts: F.struct(F.xxhash64(*parts).alias("high"), F.xxhash64(F.lit(1), *parts).alias("low"))
+    read = benchmark_items(items, item_id, item_text).withColumn("bag", F.sort_array("bag"))
+    keyed = read.withColumns({"n": F.size("bag"), "item": bag_key(F.col("item_id").isNull(), F.col("item_id"), F.col("width"), F.col("bag"))}).dropDuplicates(["item"])
     wanted = keyed.select("width", "n", F.explode("bag").alias("h")).groupBy("width", "h").agg(F.collect_set("n").alias("sizes"))
     # the widths that occur (at most five), and what the tables of the items would take when broadcast
     facts = keyed.groupBy("width").agg(F.count("*").alias("items"), F.sum("n").alias("shingles")).collect()
-    small = sum((100 * r["items"] + 64 * r["shingles"]) * (radius + 1) for r in facts) <= BROADCAST_BYTES
+    small = sum(64 * BLOCKS * r["items"] + 64 * r["shingles"] for r in facts) <= BROADCAST_BYTES
     source = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), word_hashes(F.lower(F.col(text))).alias("w"))
     widths = sorted(r["width"] for r in facts) or [WIDTH]
-    windows = _windows(reduce(DataFrame.unionByName, [_hits(source, wanted, k, threshold, small) for k in widths]))
-    marks = fingerprints(windows.withColumn("h", F.explode("window")), windows.columns, "h").drop("m", "need", "total")
-    of_items = fingerprints(keyed.drop("length").withColumn("h", F.explode("bag")), ["item_id", "width", "n", "bag"], "h")
-    a, b = marks.withColumnRenamed("fingerprint", "a"), of_items.withColumnRenamed("fingerprint", "b")
-    pairs = near_fingerprints(a, b, ["width", "n"], radius, small)
+    found = _windows(reduce(DataFrame.unionByName, [_hits(source, wanted, k, threshold, small) for k in widths])).withColumn("window", F.sort_array("window"))
+    windows = cut(found.select("key", "doc_id", "width", "n", "start", "window", bag_key("width", "window").alias("bag_key")))
+    bags = windows.select("width", "n", "bag_key", "window").dropDuplicates(["width", "n", "bag_key"])
+    of_items = fingerprints(keyed, ["item", "width", "n"], "bag")
+    pairs = near_fingerprints(fingerprints(bags, ["bag_key", "width", "n"], "window"), of_items, ["width", "n"], small)
+    full = keyed.select("item", "item_id", "bag")
     both = let(shared_weight(F.col("window"), F.col("bag")), lambda s: s / (F.size("window") + F.size("bag") - s))
-    return pairs.withColumn("similarity", both).where(F.col("similarity") >= threshold - 1e-12)
+    alike = pairs.join(bags, ["bag_key", "width", "n"]).join(F.broadcast(full) if small else full, "item").withColumn("similarity", both)
+    reached = alike.where(F.col("similarity") >= threshold - 1e-12).select("bag_key", "width", "n", "item_id", "similarity")
+    return windows.drop("window").join(reached, ["bag_key", "width", "n"])
 
 
 def contaminated(
@@ -171,10 +168,9 @@ def contaminated(
     item_id: str = "item_id",
     item_text: str = "text",
     threshold: float = THRESHOLD,
-    radius: int = RADIUS,
 ) -> DataFrame:
     """Document, item, the first word of the best window, its similarity, and how many windows reach the threshold."""
-    found = _leaks(docs, items, doc_id, text, item_id, item_text, threshold, radius)
+    found = _leaks(docs, items, doc_id, text, item_id, item_text, threshold)
     return (
         found.groupBy("doc_id", "item_id")
         .agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start").alias("at"))).alias("_best"), F.count("*").alias("n_windows"))
@@ -190,8 +186,8 @@ def clean_documents(
     item_id: str = "item_id",
     item_text: str = "text",
     threshold: float = THRESHOLD,
-    radius: int = RADIUS,
 ) -> DataFrame:
     """The rows that hold no passage of an item."""
-    leaks = _leaks(docs, items, doc_id, text, item_id, item_text, threshold, radius).select(F.col("key").alias("_leak")).distinct()
-    return docs.join(leaks, row_key(F.col(doc_id), F.col(text)) == F.col("_leak"), "left_anti")
+    (key,) = unused(docs, "_key")
+    leaks = _leaks(docs, items, doc_id, text, item_id, item_text, threshold).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key(F.col(doc_id), F.col(text))).join(leaks, key, "left_anti").drop(key)
