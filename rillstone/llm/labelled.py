@@ -12,18 +12,46 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def place(doc_id: Column) -> Column:
+    """A number from 0 to 1 for an id, by hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(11), doc_id), 11) / F.lit(float(1 << 53))
+
+
+def place_limits(ids: DataFrame, most: int, bins: int = 4096) -> DataFrame:
+    """Columns group and limit for rows (group, id): ids whose place is below their group's limit are at most ``most``, shared evenly.
+
+    There are at most ``most`` groups, the largest first. What passes the driver is a number a group and counts of
+    ids by place, of about twice ``most`` ids; no task gathers the ids themselves.
+    """
+    sizes = ids.groupBy("group").agg(F.approx_count_distinct("id").alias("n")).orderBy(F.desc("n"), "group").limit(most).collect()
+    each = max(1, most // max(1, len(sizes)))
+    near = {r["group"]: min(1.0, 2 * each / max(1, r["n"])) for r in sizes}
+    kind, spark = ids.schema["group"].dataType.simpleString(), ids.sparkSession
+    reach = spark.createDataFrame(list(near.items()), f"group {kind}, near double")
+    there = ids.select("group", place(F.col("id")).alias("at")).join(F.broadcast(reach), "group").where(F.col("at") < F.col("near")).select("group", "near", "at").distinct()
+    counted: dict = {}
+    for r in there.groupBy("group", F.floor(F.col("at") / F.col("near") * bins).alias("bin")).agg(F.count("*").alias("n")).collect():
+        counted.setdefault(r["group"], []).append((r["bin"], r["n"]))
+    limits = []
+    for group, found in counted.items():
+        total, limit = 0, near[group]
+        for at, n in sorted(found):
+            if total and total + n > each:
+                limit = near[group] * at / bins
+                break
+            total += n
+        limits.append((group, limit))
+    return spark.createDataFrame(limits, f"group {kind}, limit double")
+
+
 def bounded_sample(labels: DataFrame, doc_id: str, label: str, most: int, held: Column) -> DataFrame:
     """Id and label of at most ``most`` labelled rows outside the held-out fold, first by hash of the id.
 
     Its size is bounded by ``most``, so it can be broadcast. An id with several labels counts as its greatest.
     """
-    return (
-        labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held)
-        .groupBy(F.col(doc_id).alias("_id"))
-        .agg(F.max(label).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(most)
-    )
+    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
+    limit = place_limits(known.select(F.lit(0).alias("group"), F.col("_id").alias("id")), most).first()
+    return known.where(place(F.col("_id")) < F.lit(limit["limit"] if limit else 0.0)).groupBy("_id").agg(F.max("_label").alias("_label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -8,11 +8,16 @@ restore have one path and are taken as they are. The restored words and their
 stems are scored by weights learned from labelled documents.
 
 Bounds: labels are learned from at most ``SAMPLE`` labelled documents (first by
-hash of the id) and at most ``FEATURES`` words, those that tell most. The
-language model counts every character of every document.
+hash of the id), and by all words of theirs that tell enough. The language model
+counts every character of every document.
 
 Defined results: null text counts as empty; an empty text scores as one without
-telling words; without labels of both kinds every score is 0; repeated rows score alike.
+telling words; without labels of both kinds, as in an empty table, every score is 0
+but for rounding; texts and words of any length are read whole; repeated rows score
+alike; an id with several labels counts as its greatest, and each of its texts is
+learned from; between readings of equal cost the first in the lattice is taken.
+Further columns pass through; one that has the name of the output is replaced,
+unless ``prefix`` sets it apart.
 """
 
 from __future__ import annotations
@@ -26,11 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import cut, ship
 from .labelled import bounded_sample, in_fold, logistic, sigmoid
 
 SAMPLE = 30_000
-FEATURES = 10_000
 SIZE = 64  # of the model's alphabet: 0 a boundary, 1 to 26 the letters a to z, 27 to 62 other letters by code, 63 the rest
 #: The letters that a sign can stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h", "%": "", "&": ""}
@@ -205,38 +209,39 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     held = in_fold(F.col(doc_id), folds, fold)
     rows = docs.where(~held).join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select("_label", F.coalesce(F.col(text), F.lit("")).alias("body"))
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(shared.value)
         for pdf in batches:
-            seen: dict[str, list[int]] = {}
-            for y, body in zip(pdf["_label"], pdf["body"], strict=True):
-                for w in restored_words(body, restorer):
-                    seen.setdefault(w, [0, 0])[y > 0] += 1
-            yield pd.DataFrame({"word": list(seen), "no": [n[0] for n in seen.values()], "yes": [n[1] for n in seen.values()]})
-
-    total = rows.groupBy().agg(F.sum((F.col("_label") > 0).cast("long")).alias("yes"), F.count("*").alias("all")).first()
-    yes, no = total["yes"] or 0, (total["all"] or 0) - (total["yes"] or 0)
+            for i in range(0, len(pdf), 100):
+                part = pdf.iloc[i : i + 100]
+                yield pd.DataFrame({"y": part["_label"], "words": [list(restored_words(body, restorer)) for body in part["body"]]})
+
+    # the words of the sample, restored once and written
+    read = cut(rows.mapInPandas(restored, "y int, words array<string>"))
+    total = read.agg(F.count_if(F.col("y") > 0).alias("yes"), F.count("*").alias("all")).first()
+    yes, no = total["yes"], total["all"] - total["yes"]
     if not yes or not no:
         return ToxicityModel(letters, {}, 0.0, -40.0)
-    counts = rows.mapInPandas(spread, "word string, no long, yes long").groupBy("word").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    counts = read.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("y") <= 0).alias("no"), F.count_if(F.col("y") > 0).alias("yes"))
     p, q = F.col("yes") / yes, F.col("no") / no
     pooled = (F.col("yes") + F.col("no")) / (yes + no)
     told = (p - q) / F.sqrt(pooled * (1 - pooled + 1e-9) * (1 / yes + 1 / no))
-    kept = counts.where(F.col("yes") + F.col("no") >= 3).withColumn("z", told).where(F.abs("z") >= 5).orderBy(F.desc(F.abs("z")), "word").limit(FEATURES).toPandas()
+    kept = counts.where((F.col("yes") + F.col("no") >= 3) & (F.abs(told) >= 5)).toPandas().sort_values("word")
     weight = np.log((kept["yes"] + 0.5) / (yes + 1)) - np.log((kept["no"] + 0.5) / (no + 1))
-    raw = ToxicityModel(letters, dict(zip(kept["word"], weight.astype(float), strict=True)), 1.0, 0.0)
-    model = spark.sparkContext.broadcast(raw)
+    weights = dict(zip(kept["word"], weight.astype(float), strict=True))
+    model = spark.sparkContext.broadcast(weights)
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model.value)
+        get = model.value.get
         for pdf in batches:
-            yield pd.DataFrame({"bin": [round(scorer.raw(t) * 8) for t in pdf["body"]], "y": pdf["_label"]})
+            best = [max([0.0, *(get(w, 0.0) for w in found)]) for found in pdf["words"]]
+            yield pd.DataFrame({"bin": [round(x * 8) for x in best], "y": pdf["y"]})
 
-    curve = rows.mapInPandas(bins, "bin int, y int").groupBy("bin").agg(F.sum((F.col("y") > 0).cast("long")).alias("yes"), F.count("*").alias("n")).toPandas()
+    curve = read.mapInPandas(bins, "bin int, y int").groupBy("bin").agg(F.count_if(F.col("y") > 0).alias("yes"), F.count("*").alias("n")).toPandas()
     x = np.stack([curve["bin"] / 8, np.ones(len(curve))], 1)
     x, y, n = np.repeat(x, 2, 0), np.tile([1.0, 0.0], len(curve)), np.stack([curve["yes"], curve["n"] - curve["yes"]], 1).ravel().astype(float)
     w = logistic(x, y, 1e-2, n)
-    return ToxicityModel(letters, raw.weights, float(w[0]), float(w[1]))
+    return ToxicityModel(letters, weights, float(w[0]), float(w[1]))
 
 
 class Scorer(dict):
@@ -265,8 +270,8 @@ class Scorer(dict):
         return max([best, *map(self.weight, self.restorer.spaced(lower, found))])
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """Adds ``score``: the probability that a document is toxic."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", prefix: str = "") -> DataFrame:
+    """Adds ``score``, after ``prefix``: the probability that a document is toxic."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -276,4 +281,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
             raw = np.array([scorer.raw(t or "") for t in texts], float)
             yield pd.Series(sigmoid(shared.value.slope * raw + shared.value.offset))
 
-    return docs.withColumn("score", toxic(F.col(text)))
+    return docs.withColumn(f"{prefix}score", toxic(F.col(text)))
