@@ -5,11 +5,15 @@ linear support vector machines for each pair of languages vote. Features are
 hashed runs of one to three letters of the whole text.
 
 Bounds: at most ``SAMPLE`` documents are learned from, shared evenly among the
-languages, first by hash of the id within each.
+languages, first by hash of the id within each; so at most as many languages are
+learned, the most frequent.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
-languages outside the family table are families of their own; with one language
-learned every other text is that one; with none, ``und``; repeated rows agree.
+texts of any length are read whole; languages outside the family table are families
+of their own; with one language learned every other text is that one; with none, as
+in an empty table, ``und``; repeated rows agree; equal votes go to the language that
+comes first. Further columns pass through; one that has the name of an output is
+replaced, unless ``prefix`` sets the outputs apart.
 """
 
 from __future__ import annotations
@@ -21,11 +25,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship
-from .labelled import in_fold
+from .common import ship, unused
+from .labelled import in_fold, place, place_limits
 
 SAMPLE = 6_000
 DIMENSIONS = 2048
@@ -148,13 +151,10 @@ def learn(x: np.ndarray, lang: np.ndarray) -> LanguageModel:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> LanguageModel:
     ship(docs.sparkSession)
-    known = docs.select(doc_id, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~in_fold(F.col(doc_id), folds, fold))
-    kinds = known.select(lang).distinct().count()
-    each = max(20, sample // max(1, kinds))
-    # Spark keeps only the first rows of each language before it shuffles them
-    rank = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_rank")
-    rows = known.join(F.broadcast(chosen.dropDuplicates(["_id"])), F.col(doc_id) == F.col("_id")).select("_id", F.col(lang).alias("lang"), F.col(text).alias("body"))
+    seen = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~in_fold(F.col(doc_id), folds, fold))
+    known = seen.select(F.col(lang).alias("group"), F.col(doc_id).alias("id"), F.col(text).alias("body"))
+    limits = place_limits(known.select("group", "id"), sample)
+    rows = known.join(F.broadcast(limits), "group").where(place(F.col("id")) < F.col("limit")).select("id", F.col("group").alias("lang"), "body")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -162,15 +162,16 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 part = pdf.iloc[i : i + 200]
                 x, lettered = vectors(list(part["body"]))
                 found = np.flatnonzero(lettered)
-                yield pd.DataFrame({"id": part["_id"].iloc[found], "lang": part["lang"].iloc[found], "x": [x[j].astype(np.float16).tobytes() for j in found]})
+                yield pd.DataFrame({"id": part["id"].iloc[found], "lang": part["lang"].iloc[found], "x": [x[j].astype(np.float16).tobytes() for j in found]})
 
-    found = rows.mapInPandas(describe, "id long, lang string, x binary").toPandas().sort_values(["id", "lang", "x"])
+    # one row for an id and language, however often it is repeated: at most ``sample`` rows reach the driver
+    found = rows.mapInPandas(describe, "id long, lang string, x binary").groupBy("id", "lang").agg(F.min("x").alias("x")).toPandas().sort_values(["id", "lang"])
     x = np.frombuffer(b"".join(found["x"]), np.float16).astype(np.float32).reshape(-1, DIMENSIONS)
     return learn(x, found["lang"].to_numpy(object))
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score."""
+def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "") -> DataFrame:
+    """Adds lang_pred and score, after ``prefix``."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -182,4 +183,5 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
             scores.append(b)
         return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores) if scores else []})
 
-    return docs.withColumn("_found", predict(F.col(text))).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    (found,) = unused(docs, "_found")
+    return docs.withColumn(found, predict(F.col(text))).withColumns({prefix + x: F.col(found)[x] for x in ("lang_pred", "score")}).drop(found)

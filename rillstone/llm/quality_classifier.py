@@ -10,8 +10,11 @@ Bounds: at most ``SAMPLE`` labelled documents (first by hash of the id) and
 ``PAIRS`` pairs. Features read whole texts.
 
 Defined results: null text counts as empty; an empty text has features of 0; a
-blank one counts as one without a word repeated;
-without labels of both kinds scores are 0.5; repeated rows score alike.
+blank one counts as one without a word repeated; texts of any length are read
+whole; without labels of both kinds, as in an empty table, scores are 0.5; repeated
+rows score alike; an id with several labels counts as its greatest, one with several
+texts as that whose features come first. Further columns pass through; one that has
+the name of an output is replaced, unless ``prefix`` sets the outputs apart.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, unused
 from .labelled import bounded_sample, in_fold, logistic, sigmoid
 
 SAMPLE = 20_000
@@ -99,20 +102,21 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return learn(x, found["y"].to_numpy(int))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """Adds ``utility`` (the score of the ranking) and ``score`` (the probability that the quality is good)."""
+def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", prefix: str = "") -> DataFrame:
+    """Adds, after ``prefix``, ``utility`` (the score of the ranking) and ``score`` (the probability that the quality is good)."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def utility(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.utility([t or "" for t in texts]))
 
-    return docs.withColumn("utility", utility(F.col(text))).withColumn(
-        "score", 1 / (1 + F.exp(-F.greatest(F.least(F.lit(model.slope) * F.col("utility") + F.lit(model.offset), F.lit(40.0)), F.lit(-40.0))))
-    )
+    (raw,) = unused(docs, "_utility")
+    line = F.lit(model.slope) * F.col(raw) + F.lit(model.offset)
+    score = 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(40.0)), F.lit(-40.0))))
+    return docs.withColumn(raw, utility(F.col(text))).withColumns({f"{prefix}utility": F.col(raw), f"{prefix}score": score}).drop(raw)
 
 
-def above_quantile(scored: DataFrame, quantile: float) -> DataFrame:
-    """Adds ``kept``: is the utility at least this quantile of all documents' utilities?"""
-    limit = scored.agg(F.percentile_approx("utility", quantile, 10_000)).first()[0]
-    return scored.withColumn("kept", F.col("utility") >= F.lit(limit if limit is not None else 0.0))
+def above_quantile(scored: DataFrame, quantile: float, utility: str = "utility", kept: str = "kept") -> DataFrame:
+    """Adds ``kept``: is the utility at least this quantile of all documents' utilities? All ties with the limit are kept."""
+    limit = scored.agg(F.percentile_approx(utility, quantile, 10_000)).first()[0]
+    return scored.withColumn(kept, F.col(utility) >= F.lit(limit if limit is not None else 0.0))
