@@ -29,7 +29,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "score", "verdict")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +87,13 @@ WITH base AS (
 ), judged AS (
   SELECT r, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS real, length(line) AS chars,
     length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) AS symbols, length(regexp_replace(line, '[^!]+', '', 'g')) AS exclaims,
-    len(string_split_regex(line, ' [|»›•·] ')) - 1 AS separators
+    len(string_split_regex(line, ' [|»›•·] ')) - 1 AS separators,
+    right(rtrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 1) AS closing
   FROM (SELECT r, unnest(lines) AS line FROM counted)
 ), failed AS (
-  SELECT *, real AND (symbols * 100 > chars * 8 OR exclaims * 100 > chars * 7 OR separators >= 3 OR regexp_matches(line,
-    'rights reserved|RIGHTS RESERVED|icensed under|eleased under the|Public License|ookie policy|rivacy policy|erms of use|erms of service|lick here|ubscribe to our|©')) AS fails
+  SELECT *, real AND (chars > 60 AND NOT contains('.!?:;,"'')]}»”’…。！？：；，」』）؟۔।॥', closing)
+    OR symbols * 100 > chars * 8 OR exclaims * 100 > chars * 7 OR separators >= 3 OR regexp_matches(lower(line),
+    'rights reserved|copyright \(c\)|©|licensed under|released under the|public license|cookie policy|use cookies|privacy policy|terms of use|terms of service|terms and conditions|click here|subscribe to our|sign up for our|follow us on|share this article|skip to content|skip to main content|enable javascript|javascript is disabled|powered by wordpress|lorem ipsum')) AS fails
   FROM judged
 ), of_lines AS (
   SELECT r, count(*) FILTER (real) AS n_lines, count(*) FILTER (real) - count(DISTINCT line) FILTER (real) AS n_dup_lines,
@@ -127,5 +129,33 @@ FROM kept k JOIN turns t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY AL
 """
 
 
+OP7_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), weighed AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM sized GROUP BY source
+), sources AS (
+  SELECT *, CAST(CASE nth % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight FROM weighed
+), filled AS (
+  SELECT *, coalesce(sum(source_size) OVER f, 0) AS size_before, coalesce(sum(CASE WHEN source_size > 0 THEN weight ELSE 0 END) OVER f, 0) AS weight_before,
+    sum(source_size) OVER () AS all_size, sum(weight) FILTER (source_size > 0) OVER () AS all_weight
+  FROM sources WINDOW f AS (ORDER BY source_size / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), unit AS (
+  SELECT max((CAST(1.5 AS DOUBLE) * all_size - CAST(2 AS DOUBLE) * size_before) / (all_weight - weight_before)) AS unit FROM filled WHERE source_size > 0
+), targets AS (
+  SELECT source, source_size, CASE WHEN source_size > 0 THEN least(weight * unit, CAST(2 AS DOUBLE) * source_size) ELSE 0 END AS target,
+    ('0x' || substr(md5(coalesce('=' || source, '')), 1, 5))::INT / CAST(1048576 AS DOUBLE) AS start
+  FROM filled, unit
+), placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.start, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS expected, row_number() OVER (
+    PARTITION BY d.source ORDER BY length(bin(d.size)), substr(bin(d.size), 1, 4), substr(md5(d.doc_id::VARCHAR), 1, 2), d.size, md5(d.doc_id::VARCHAR)) AS place
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), taken AS (
+  SELECT *, CAST(floor(start + place * expected) - floor(start + (place - 1) * expected) AS BIGINT) AS copies FROM placed
+)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies FROM taken
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op7_source_mixing": OP7_SQL}

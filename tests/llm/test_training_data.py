@@ -20,7 +20,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Null and empty texts, white space alone, null ids, repeated rows, and columns whose names the operators use inside.
 ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "a b c"), (4, "one"), (4, "one"), (5, "x " * 9_000), (6, "ünï çödé 漢字 🙂 " * 20)]
-CLASHES = ["w", "h", "bag", "node", "size", "key", "n", "_id", "body"]
+CLASHES = [
+    "w", "h", "bag", "node", "size", "key", "n", "_id", "body", "id", "first", "root", "elements", "window", "blocks", "bucket", "_key", "_row", "_words", "_lines", "_real", "_clean", "_kept",
+    "Kept", "clean_text", "n_words", "base_failed", "score", "_score", "utility", "_utility", "lang_pred", "_found", "_src", "_class", "_salt", "_place", "target", "copies", "copy", "taken", "source_size", "class_id", "is_first",
+]
 
 
 def odd(spark, empty=False):
@@ -28,6 +31,11 @@ def odd(spark, empty=False):
     return df.withColumns({c: F.lit(7) for c in CLASHES})
 
 
+def unharmed(df, *outputs):
+    """All further columns are as they were, but for those that an output has replaced."""
+    return all(set(r) == {7} for r in df.select(*[c for c in CLASHES if c.lower() not in outputs]).distinct().collect())
+
+
 def prose(rng, n):
     return [rng.choice("the of and to in that is was for it with as on be at by this had not are".split()) + rng.choice(["", "", f"x{rng.randrange(400)}"]) for _ in range(n)]
 
@@ -50,7 +58,7 @@ def plain(pdf):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     assert plain(queries()[name](spark, DIR).toPandas()) == plain(con.sql(oracle_sql()[name]).df())
 
@@ -152,14 +160,31 @@ def test_one_of_each_class_with_null_and_repeated_ids(spark):
     assert Counter(map(tuple, got)) == Counter([(3, a), (2, b + " end"), (5, c + " end"), (9, None)])
 
 
-def test_blocks_miss_no_pair_within_the_radius(spark):
-    rng = random.Random(2)
-    left = [(i, rng.getrandbits(64) - (1 << 63)) for i in range(40)]
-    flip = lambda x, n: int(np.int64(np.uint64(x & (2**64 - 1)) ^ np.uint64(sum(1 << b for b in rng.sample(range(64), n)))))
-    right = [(i, flip(x, n)) for (i, x), n in zip(left, [0, 1, 2, 3, 4, 5, 6, 7] * 5, strict=True)]
-    got = decontaminate.near_fingerprints(spark.createDataFrame(left, "l int, a long").withColumn("k", F.lit(1)), spark.createDataFrame(right, "r int, b long").withColumn("k", F.lit(1)), ["k"], 5)
-    apart = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
-    assert sorted((r["l"], r["r"]) for r in got.collect()) == sorted((i, j) for i, x in left for j, y in right if apart(x, y) <= 5)
+def test_blocks_miss_no_pair_within_the_radius_and_prune_the_rest(spark):
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 1 << decontaminate.BLOCK_BITS, (300, decontaminate.BLOCKS))
+    bits = (one[:, :, None] >> np.arange(decontaminate.BLOCK_BITS) & 1).reshape(300, -1)
+    for row in bits[:: 2]:  # up to the radius
+        row[rng.choice(bits.shape[1], rng.integers(0, decontaminate.BLOCKS), replace=False)] ^= 1
+    two = (bits.reshape(300, decontaminate.BLOCKS, -1) << np.arange(decontaminate.BLOCK_BITS)).sum(2)
+    two[1::2] = rng.integers(0, 1 << decontaminate.BLOCK_BITS, (150, decontaminate.BLOCKS))
+    table = lambda rows, name: spark.createDataFrame([(i, 1, [int(x) for x in r]) for i, r in enumerate(rows)], f"{name} int, k int, blocks array<int>")
+    for small in (True, False):
+        got = {(r["l"], r["r"]) for r in decontaminate.near_fingerprints(table(one, "l"), table(two, "r"), ["k"], small).collect()}
+        want = {(i, j) for i in range(300) for j in range(300) if (one[i] == two[j]).any()}
+        assert got == want and {(i, i) for i in range(0, 300, 2)} <= got
+    assert len(got) < 0.05 * 300 * 300  # of random pairs over 95 of 100 are pruned
+
+
+def test_fingerprints_are_majorities(spark):
+    rng = random.Random(3)
+    bags = [(i, [rng.getrandbits(63) for _ in range(n)]) for i, n in enumerate((1, 2, 5, 40))]
+    df = spark.createDataFrame(bags, "i int, bag array<long>")
+    got = {r["i"]: r["blocks"] for r in decontaminate.fingerprints(df, ["i"], "bag").collect()}
+    hashes = {(r["h"], r["w"]): r["x"] for r in df.select(F.explode("bag").alias("h")).crossJoin(spark.range(8).select(F.col("id").cast("int").alias("w"))).select("h", "w", F.xxhash64("w", "h").alias("x")).collect()}
+    for i, bag_ in bags:
+        set_ = [sum(hashes[h, b // 60] >> b % 60 & 1 for h in bag_) * 2 > len(bag_) for b in range(480)]
+        assert got[i] == [int("".join("01"[x] for x in set_[b * 10 : b * 10 + 10]), 2) for b in range(48)]
 
 
 # --- chats ---------------------------------------------------------------------------------------------------------
@@ -191,12 +216,8 @@ def test_url_parts_and_rules(spark):
 
 def test_url_model_matches_plain_counts():
     urls = ["abcab", "abd", "bcb"]
-    counts = np.zeros((2, 2, url_filter.ORDERS, url_filter.BUCKETS))
-    for label, some in ((1, urls), (0, ["zzz"])):
-        pdf = pd.DataFrame({"url": some, "label": label})
-        cells = next(url_filter._count(iter([pdf])))
-        counts.ravel()[cells["cell"]] += cells["n"]
-    model = url_filter.UrlModel(counts)
+    cells = next(url_filter._count(iter([pd.DataFrame({"url": [*urls, "zzz"], "label": [1, 1, 1, 0]})])))
+    model = url_filter.UrlModel(url_filter.Cells(cells["cell"].to_numpy(), cells["n"].to_numpy(), url_filter.BITS))
 
     def logp(url, corpus):
         grams, contexts = Counter(), Counter()
@@ -310,7 +331,7 @@ def near_copies(rng, n):
     return docs + [(1000 + i, docs[i][1]) for i in range(0, 12, 2)]
 
 
-@pytest.mark.parametrize("block", [1024, 4])
+@pytest.mark.parametrize("block", [1 << 18, 600])
 def test_near_duplicates_match_brute_force(spark, block):
     docs = near_copies(random.Random(3), 90) + [(2000, ""), (2001, ""), (2002, " "), (2003, None), (2004, None), (2005, "a b"), (2006, "a  b"), (2007, "a b c")]
     minhash.BLOCK, kept = block, minhash.BLOCK
@@ -322,15 +343,57 @@ def test_near_duplicates_match_brute_force(spark, block):
     assert got == want and got[2006] == 2005 and got[2001] == 2000 and got[2002] == 2002
 
 
-def test_the_rest_is_found_where_leaders_fail(spark):
-    """Members of one bucket that are near each other, and far from its leader."""
-    members = spark.createDataFrame([(7, n, 1) for n in (1, 2, 3, 4)], "bucket long, node long, leader long")
-    elements = spark.createDataFrame([(1, list(range(10))), (2, list(range(100, 110))), (3, list(range(100, 110))), (4, list(range(50, 60)))], "node long, elements array<long>")
+@pytest.mark.parametrize("block", [1 << 18, 8])
+def test_the_rest_is_found_where_leaders_fail(spark, block):
+    """Members of one bucket that are near each other, and far from its leader; then the same by their rare elements."""
+    texts = {1: range(10), 2: range(100, 110), 3: range(100, 110), 4: range(50, 60)}
+    members = spark.createDataFrame([(7, n, 10, 1) for n in texts], "bucket long, node long, size int, leader long")
+    elements = spark.createDataFrame([(n, list(e)) for n, e in texts.items()], "node long, elements array<long>")
     none = spark.createDataFrame([], "node long, root long")
-    got = {tuple(sorted((r["a"], r["b"]))) for r in minhash._rest(members, none, elements, 0.8).collect()}
+    minhash.BLOCK, kept = block, minhash.BLOCK
+    try:
+        got = {tuple(sorted((r["a"], r["b"]))) for r in minhash._compared(minhash._open(members, none), elements, 0.8).collect()}
+    finally:
+        minhash.BLOCK = kept
     assert got == {(2, 3)}
 
 
+def test_rare_elements_group_all_that_are_alike(spark):
+    """Pages of one template, some with nearly equal fillings: only those meet."""
+    rng = random.Random(5)
+    template, fillings = list(range(70)), {}
+    for i in range(60):
+        own = [1000 + 40 * i + k for k in range(30)]
+        fillings[i] = template + own
+        if i % 6 == 0:
+            fillings[100 + i] = template + own[:-3] + [9000 + 10 * i + k for k in range(rng.randrange(1, 4))]
+    elements = spark.createDataFrame([(n, sorted(e)) for n, e in fillings.items()], "node long, elements array<long>")
+    nodes = elements.select("node", F.col("node").alias("root"))
+    groups = defaultdict(set)
+    for r in minhash._by_rare_elements(nodes, elements, 0.8).collect():
+        groups[r["bucket"]].add(r["node"])
+    alike = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.8 - 1e-12
+    want = {(a, b) for a in fillings for b in fillings if a < b and alike(fillings[a], fillings[b])}
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert len(want) == 10 and want <= met and max(map(len, groups.values())) == 2
+
+
+def test_repeated_ids_lose_no_link(spark):
+    rng = random.Random(14)
+    a, b = " ".join(prose(rng, 60)), " ".join(prose(rng, 60))
+    for docs in ([(5, a), (5, b), (9, a + " end"), (10, b + " end")], [(5, b), (5, a), (10, b + " end"), (9, a + " end")]):
+        got = {(r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == {(5, 5), (9, 5), (10, 5)}
+
+
+def test_recall_of_near_copies_on_the_test_tables(spark):
+    """Classes of all documents of the small table, by comparing all pairs that share a shingle."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.read.parquet(f"{DIR}/documents.parquet")).collect()}
+    want = classes(docs)
+    assert {i: got[i] for i in want} == want and len(set(want.values())) < len(want)
+
+
 def test_signatures_agree_as_often_as_sets_do():
     rng = np.random.default_rng(0)
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (300, 60, 60))
@@ -350,9 +413,25 @@ def test_components(spark):
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 
-def test_targets_reshare_what_is_cut_off():
-    assert mixing.reshare([100, 100, 100], [3, 1, 2], 450, 2) == [200, pytest.approx(250 / 3), pytest.approx(500 / 3)]
-    assert mixing.reshare([10, 0], [1, 1], 15, 2) == [15.0, 0.0] and mixing.reshare([], [1], 0, 2) == []
+def reshared(sizes, weights, budget, most):
+    """Targets by weight; what is above a limit goes to the others, again and again."""
+    targets, free = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s]
+    while free:
+        unit = budget / sum(weights[i % len(weights)] for i in free)
+        full = [i for i in free if weights[i % len(weights)] * unit > most * sizes[i]]
+        for i in full or free:
+            targets[i] = most * sizes[i] if full else weights[i % len(weights)] * unit
+        budget -= sum(targets[i] for i in full)
+        free = [i for i in free if i not in full] if full else []
+    return targets
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 0], [0], [5, 900, 3, 0, 70, 70, 1, 4000, 20, 8, 300], [1, 1, 1, 10_000]])
+def test_targets_reshare_what_is_cut_off(spark, sizes):
+    rows = [(f"s{i:02}", s) for i, s in enumerate(sizes)]
+    for share in (1.5, 2.5):
+        found = mixing.source_targets(spark.createDataFrame(rows, "source string, size long"), "source", "size", (3, 1, 2), share, 2.0).orderBy("src").collect()
+        assert [r["target"] for r in found] == pytest.approx(reshared(sizes, (3, 1, 2), share * sum(sizes), 2.0))
 
 
 def test_mix_takes_what_prefix_sums_cross(spark):
@@ -463,31 +542,126 @@ def test_odd_rows_everywhere(spark, empty):
     df, n = odd(spark, empty), 0 if empty else len(ODD)
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "x x x x x x"), (2, None)], "item_id long, text string")
-    assert quality_rules.apply_quality_rules(df).count() == n
-    if not empty:
-        assert minhash.near_duplicates(df).count() == n
-    assert minhash.one_of_each_class(df).count() == (0 if empty else 7)
+    judged = quality_rules.apply_quality_rules(df)
+    assert judged.count() == n and unharmed(judged, *quality_rules.OUTPUTS)
+    assert minhash.near_duplicates(df).count() == n
+    one = minhash.one_of_each_class(df)
+    assert one.count() == (0 if empty else 7) and unharmed(one) and one.columns == df.columns
     assert [r["doc_id"] for r in decontaminate.contaminated(df, items).collect()] == ([] if empty else [5])
-    assert decontaminate.clean_documents(df, items).count() == max(0, n - 1)
+    clean = decontaminate.clean_documents(df, items)
+    assert clean.count() == max(0, n - 1) and unharmed(clean) and clean.columns == df.columns
     assert decontaminate.contaminated(df, items.limit(0)).count() == 0
-    assert mixing.mix(df.withColumn("size", mixing.word_count(F.col("text")))).count() == n
-    assert toxicity.score_toxicity(df, toxicity.train(df, labels)).count() == n
-    assert quality_classifier.above_quantile(quality_classifier.score_quality(df, quality_classifier.train(df, labels)), 0.1).count() == n
-    assert language_id.identify_languages(df, language_id.train(df)).count() == n
+    mixed = mixing.mix(df.withColumn("words", mixing.word_count(F.col("text"))), size="words")
+    assert mixed.count() == n and unharmed(mixed, "source_size", "target", "copies", "taken")
+    toxic = toxicity.score_toxicity(df, toxicity.train(df, labels))
+    assert toxic.count() == n and unharmed(toxic, "score")
+    good = quality_classifier.above_quantile(quality_classifier.score_quality(df, quality_classifier.train(df, labels)), 0.1, kept="stays")
+    assert good.count() == n and unharmed(good, "utility", "score")
+    spoken = language_id.identify_languages(df, language_id.train(df))
+    assert spoken.count() == n and unharmed(spoken, "lang_pred", "score")
     assert token_counts.count_tokens(df).select("doc_id").distinct().count() == (0 if empty else 7)
+    urls = df.withColumns({c: F.lit(7) for c in ("host", "path", "rule", "verdict", "_ruled")}).withColumn("url", F.col("text"))
+    assert url_filter.judge_urls(urls).count() == n and unharmed(url_filter.judge_urls(urls), "score")
+    assert url_filter.judge_urls(urls, prefix="my_").where("host = 7 AND my_host = ''").count() == n
+
+
+def test_outputs_set_apart_leave_every_column(spark):
+    df = odd(spark)
+    for found in (quality_rules.apply_quality_rules(df, prefix="my_"), mixing.mix(df, prefix="my_"), toxicity.score_toxicity(df, toxicity.ToxicityModel(np.zeros((64, 64, 64)), {}, 0.0, 0.0), prefix="my_")):
+        assert unharmed(found) and any(c.startswith("my_") for c in found.columns)
+
+
+def test_very_long_texts(spark):
+    """A million characters without a break, of blanks, of lines, and of words, beside short texts."""
+    rng = random.Random(15)
+    prose_ = " ".join(prose(rng, 150_000))
+    texts = ["x" * 1_000_000, " " * 1_000_000, "\n" * 1_000_000, "ab " * 300_000, prose_, prose_ + " end", "short text of a few words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")})
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(7)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, " ".join(prose_.split()[-40:])), (2, "ab ab ab ab ab ab")], "item_id long, text string")
+    judged = {r["doc_id"]: r for r in quality_rules.apply_quality_rules(df).drop("text", "clean_text").collect()}
+    assert [judged[i]["n_words"] for i in range(7)] == [1, 0, 0, 300_000, 150_000, 150_001, 6]
+    assert [judged[i]["n_repeat_words"] for i in (3, 4, 6)] == [300_000, repeated(texts[4].split()), 0]
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, items).collect()} == {(3, 2), (4, 1), (5, 1)}
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6}
+    assert mixing.mix(mixing.sized_documents(df)).agg(F.sum("size")).first()[0] == sum(len(t.split()) for t in texts)
+    assert toxicity.score_toxicity(df, toxicity.train(df, labels)).where("score between 0 and 1").count() == 7
+    assert quality_classifier.score_quality(df, quality_classifier.train(df, labels)).where("score between 0 and 1").count() == 7
+    assert language_id.identify_languages(df, language_id.train(df)).where("lang_pred = 'en'").count() == 5
+    counted = {r["doc_id"]: (r["n"], r["m"]) for r in token_counts.count_tokens(df).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("m")).collect()}
+    assert counted[1][0] == 1 and counted[2][0] == 1_000_001 and counted[0][1] == 250_000 and min(m for _, m in counted.values()) > 0
+    urls = df.withColumn("url", F.concat(F.lit("https://Host.com/"), "text"))
+    assert url_filter.judge_urls(urls).where("host = 'host.com' AND rule = 'com/'").count() == 7
+    turns = df.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text")
+    assert chat_format.format_chats(turns).select(F.length("chat")).first()[0] == sum(map(len, texts)) + 7 * len("<|im_start|>user\n<|im_end|>") + 6
+
+
+def test_long_blank_runs_keep_their_tokens():
+    tok = token_counts.Tokenizer(open(token_counts.VOCABULARY, "rb").read())
+    rng = random.Random(16)
+    runs, token_counts._LONG_RUN = token_counts._LONG_RUN, re.compile(f"[{token_counts.BLANKS}]{{2,}}")
+    try:
+        for _ in range(3_000):
+            text = "".join(rng.choice([" ", "  ", "\n", "\t", "a", "b", "1", "!", "'s", "\u3000", "\xa0", "é", "\x1c", "\u200b", "\x85"]) for _ in range(rng.randrange(1, 30)))
+            assert tok.encode(text) == tok.encoding.encode_ordinary(text)
+    finally:
+        token_counts._LONG_RUN = runs
+    for c in (" ", "\n", "a", "\u3000"):
+        for text in (f"word{c * 50_000}end", c * 50_000, f"word{c * 50_000}"):
+            assert tok.encode(text) == tok.encoding.encode_ordinary(text)
+        text = f"word{c * 1_000_000}end"
+        assert tok.encoding.decode(tok.encode(text)) == text
+
+
+def test_sample_is_bounded_and_even(spark):
+    from rillstone.llm.labelled import bounded_sample, place, place_limits
+
+    ids = spark.range(20_000).select(F.expr("CASE WHEN id % 100 = 0 THEN 'few' WHEN id % 2 = 0 THEN 'one' ELSE 'two' END").alias("group"), F.expr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END").alias("id"))
+    limits = place_limits(ids, 900)
+    taken = ids.join(limits, "group").where(place(F.col("id")) < F.col("limit")).groupBy("group").agg(F.countDistinct("id").alias("n")).collect()
+    by = {r["group"]: r["n"] for r in taken}
+    assert set(by) == {"few", "one", "two"} and all(n <= 300 for n in by.values()) and min(by["one"], by["two"]) > 270 and by["few"] > 120
+    labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    assert 950 < bounded_sample(labels, "doc_id", "toxic", 1_000, F.lit(False)).count() <= 1_000
+    assert bounded_sample(labels.limit(0), "doc_id", "toxic", 1_000, F.lit(False)).count() == 0
 
 
 def test_pipeline_matches_stages_by_hand(spark):
-    """The whole pipeline against brute force: what each stage must drop is dropped, and clean documents stay."""
+    """Every stage against plain code on its own input: what it must drop is dropped, what it must keep is kept."""
     import corpus_pipeline
 
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
-    judged = {r["doc_id"]: r for r in quality_rules.apply_quality_rules(spark.read.parquet(f"{DIR}/documents.parquet")).collect()}
-    out = corpus_pipeline.run(spark, DIR).collect()
-    kept = {r["doc_id"]: r["text"] for r in out}
-    assert kept and set(kept) <= {i for i in docs if judged[i]["kept"]}
-    assert all(t == judged[i]["clean_text"] for i, t in kept.items())
-    found = classes(list(kept.items()))
-    assert len(set(found.values())) == len(kept)
+    stage = dict(corpus_pipeline.STAGES)
+    start = spark.read.parquet(f"{DIR}/documents.parquet").withColumns({"kept": F.lit("mine"), "copy": F.lit("mine"), "_score": F.lit("mine")})
+    texts = lambda rows: {r["doc_id"]: r["text"] for r in rows}
+
+    def after(name, docs):
+        out = stage[name](spark, docs, DIR)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert all(r["kept"] == r["copy"] == r["_score"] == "mine" for r in rows)
+        return spark.createDataFrame(rows, docs.schema), texts(rows)
+
+    judged = {r["doc_id"]: r for r in quality_rules.apply_quality_rules(start.drop("kept")).collect()}
+    docs, kept = after("quality_rules", start)
+    assert kept == {i: r["clean_text"] for i, r in judged.items() if r["kept"]} and 0 < len(kept) < len(judged)
+    before = kept
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, toxicity.train(docs, spark.read.parquet(f"{DIR}/labels.parquet"))).collect()}
+    docs, kept = after("toxicity", docs)
+    assert kept == {i: t for i, t in before.items() if scores[i] < 0.3} and 0 < len(kept) < len(before)
+    plainly = [i for i, t in before.items() if re.search(r"\b(idiot|moron|loser|pathetic|worthless|scum)\b", t.lower())]
+    assert plainly and not set(plainly) & set(kept)
+    classes_, before = classes(list(kept.items())), kept
+    docs, kept = after("minhash_near_dedup", docs)
+    assert set(kept) == set(classes_.values()) and all(before[i] == t for i, t in kept.items())
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
-    assert not leaks(list(kept.items()), items)
+    dirty, before = {i for i, _ in leaks(list(kept.items()), items)}, kept
+    docs, kept = after("benchmark_decontamination", docs)
+    assert kept == {i: t for i, t in before.items() if i not in dirty} and dirty
+    rows = stage["source_mixing"](spark, docs, DIR).collect()
+    taken = Counter(r["doc_id"] for r in rows)
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(mixing.sized_documents(docs)).collect()}
+    assert taken == Counter({i: n for i, n in want.items() if n}) and all(r["_copy"] <= taken[r["doc_id"]] and r["copy"] == "mine" for r in rows)
+    assert all(r["size"] == len(WORD.findall(kept[r["doc_id"]])) for r in rows)
+    whole = corpus_pipeline.run(spark, DIR).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in whole) == Counter((r["doc_id"], r["text"]) for r in rows)
