@@ -24,7 +24,8 @@ def symbol_of(identity: Column) -> Column:
 
 
 def without_first_segment(identity: Column) -> Column:
-    return F.array_join(F.slice(F.split(identity, ":"), 2, 1000), ":")
+    at = F.instr(identity, ":")
+    return F.when(at == 0, F.lit("")).otherwise(F.substr(identity, at + 1))
 
 
 def identity_parts(identity: Column) -> Column:
@@ -107,6 +108,29 @@ def unfenced(text: Column) -> Column:
     return F.when(inner != "", inner).otherwise(text)
 
 
+def parsed_response(text: Column, schema: str, required: list[str]) -> Column:
+    """The JSON in a response, fenced or not, as a struct; null if it can't be read or lacks a required field."""
+    found = F.from_json(F.trim(unfenced(F.trim(text))), schema, {"mode": "PERMISSIVE"})
+    there = F.lit(True)
+    for field in required:
+        there = there & found[field].isNotNull()
+    return F.when(there, found)
+
+
+def iso_time(at: Column) -> Column:
+    """A time in UTC as text with milliseconds."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def percent(share: Column) -> Column:
+    """A share as a whole percentage."""
+    return F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def short_id(identity: Column) -> Column:
+    return F.substring(identity, 1, 8)
+
+
 def scope_key(kind: Column, path_id: Column) -> Column:
     return F.when(kind == "path", F.concat(F.lit("path:"), path_id)).otherwise(F.lit("global"))
 

@@ -89,17 +89,75 @@ def node_body(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return nodes.join(text, "file_path", "left").withColumn("body", F.coalesce(body_lines(F.col("content"), F.col("start_line"), F.col("end_line")), F.lit(""))).drop("content")
 
 
-#: What to look at in a node of a role when no list of its own is given.
+def file_detail(files: DataFrame, nodes: DataFrame, roles: DataFrame, reviews: DataFrame, hashes: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """One file with its role and state (no row if it isn't known), and its functions with theirs, in order of their first line.
+
+    ``files``: path, language, size. The file is reviewed as ``file:`` and its path; reviews of paths of calls don't count here.
+    """
+    own = files.where(F.col("path") == path).withColumn("node_identity", F.concat(F.lit("file:"), "path"))
+    inside = nodes.where(F.col("file_path") == path).select("node_identity", "name", "kind", "start_line", "end_line", "exported")
+    verdict = roles.select("node_identity", "role", "confidence")
+    with_role = lambda rows: runtime_states(rows, reviews, hashes).join(verdict, "node_identity", "left")
+    head = with_role(own).select("path", "language", "size", "role", "confidence", "state")
+    body = with_role(inside).select("node_identity", "name", "kind", "start_line", "end_line", "exported", "role", "confidence", "state")
+    return head, body.orderBy("start_line", "node_identity")
+
+
+def entry_names(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Paths with the name of their entry; what follows the first colon of its identity where the node is gone."""
+    known = nodes.select(F.col("node_identity").alias("entry"), F.col("name").alias("_name"))
+    return paths.join(known, "entry", "left").withColumn("entry_name", F.coalesce("_name", without_first_segment(F.col("entry")))).drop("_name")
+
+
+def not_drawn(callees: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Callees that a canvas doesn't show yet."""
+    return callees.join(drawn.select(F.col("node_identity").alias("callee")), "callee", "left_anti")
+
+
+#: What to look at in a node of a role, and in one of any other.
 CHECKLISTS = {
-    "route_handler": ["Authentication checked before reaching this handler", "Input validated against a schema"],
-    "service": ["Single responsibility"],
-    "repository": ["Single responsibility — narrow data access"],
-    "test": ["Test has at least one assertion"],
-}
+    "route_handler": [
+        "Authentication checked before reaching this handler", "Authorization (role / ownership) checked", "Input validated against a schema",
+        "Errors handled consistently with the rest of the API", "Response shape matches the documented contract",
+    ],
+    "service": ["Single responsibility", "Caching / performance considerations", "Side-effect boundaries are clear", "Errors propagate cleanly"],
+    "client": ["Timeout and retry policy", "Response validation against an expected shape", "Error mapping to caller-relevant errors"],
+    "repository": ["Single responsibility — narrow data access", "Query inputs are typed / validated", "Errors map to a domain error, not a raw DB error"],
+    "helper": ["Pure / side-effect-free where possible", "Inputs / outputs documented or obvious"],
+    "middleware": ["Calls next() exactly once on the success path", "Errors propagate to the framework error handler", "Does not leak internal state into the response"],
+    "component": [
+        "Prop contract is typed and complete", "Accessibility — keyboard, ARIA, focus order", "Memoization where re-render cost matters",
+        "Side-effect management (useEffect deps, cleanup)",
+    ],
+    "page": ["Loading / error / empty states handled", "Suspense / data dependencies are explicit", "Accessibility — landmarks and headings"],
+    "hook": ["Single responsibility", "Stable identity (deps are correct)", "Cleanup on unmount where applicable"],
+    "config": ["Secrets not committed", "Environment separation (dev / prod) is honoured", "Sane defaults"],
+    "script": ["Idempotent or guards against re-run damage", "Logs intent before mutating state"],
+    "seed": ["Deterministic", "Idempotent or wraps in a transaction"],
+    "fixture": ["Realistic — exercises the real shape of the data", "Limited scope — one fixture, one purpose"],
+    "test": ["Tests behavior, not implementation", "AAA structure", "No shared mutable state across tests"],
+    "type_only": ["Names match the runtime shapes they describe", "No runtime code in this file"],
+}
+GENERAL = ["Single responsibility — does one thing", "Boundary clarity — inputs / outputs are explicit", "Error handling"]
+#: The item that a built-in rule answers.
+RULE_ITEMS = {
+    "builtin:route_handler:auth_check_present": "Authentication checked before reaching this handler",
+    "builtin:route_handler:input_validated": "Input validated against a schema",
+    "builtin:service:single_responsibility": "Single responsibility",
+    "builtin:repository:narrow_data_access": "Single responsibility — narrow data access",
+    "builtin:test:has_assertion": "Test has at least one assertion",
+}
 
 
 def checklist(roles: DataFrame) -> DataFrame:
-    """A row for each node and item of its role's list, or one general item: an expression, no join."""
-    general = F.array(F.lit("Does what its name says"))
-    items = F.coalesce(*[F.when(F.col("role") == role, F.array(*map(F.lit, lines))) for role, lines in CHECKLISTS.items()], general)
+    """A row for each node and item of its role's list: an expression, no join."""
+    lists = [F.when(F.col("role") == role, F.array(*map(F.lit, lines))) for role, lines in CHECKLISTS.items()]
+    items = F.coalesce(*lists, F.array(*map(F.lit, GENERAL)))
     return roles.select("node_identity", "role", F.posexplode(items).alias("item_ord", "label"))
+
+
+def checked_items(items: DataFrame, results: DataFrame) -> DataFrame:
+    """Items of checklists with the result of the rule that answers them, else ``unchecked``."""
+    label = F.coalesce(*[F.when(F.col("rule_id") == rule, F.lit(item)) for rule, item in RULE_ITEMS.items()])
+    told = results.select("node_identity", label.alias("label"), F.col("kind").alias("_kind"), "message").where(F.col("label").isNotNull())
+    return items.join(told, ["node_identity", "label"], "left").withColumn("state", F.coalesce("_kind", F.lit("unchecked"))).drop("_kind")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .review import latest
+from ..functions.ids import canonical_hash, parsed_response
+from .review import clear, latest
 
 
 def with_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -63,12 +64,60 @@ def carry_renames(rows: DataFrame, renames: DataFrame, column: str) -> DataFrame
     return rows.join(new, column, "left").withColumn(column, F.coalesce("_new", column)).select(*rows.columns)
 
 
-def memo(requests: DataFrame, cached: DataFrame, version: Column) -> tuple[DataFrame, DataFrame]:
-    """Requests found in a store of earlier results by input hash and prompt version, and those that are not."""
-    found = cached.where(F.col("prompt_version") == version).select("input_hash", "response")
+def rename_decisions(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """What was answered to questions about renames: old_identity, new_identity, decision (carry_forward or treat_as_new)."""
+    said = with_answers(questions.where(F.col("kind") == "rename"), answers).where(F.get_json_object("answer", "$.kind") == "rename")
+    return said.select(F.get_json_object("context", "$.oldIdentity").alias("old_identity"), F.get_json_object("context", "$.newIdentity").alias("new_identity"), F.get_json_object("answer", "$.decision").alias("decision"))
+
+
+def archived_as_new(current: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+    """Events that archive the reviews of functions whose successor is to be treated as new: it starts without any."""
+    old = decisions.where(F.col("decision") == "treat_as_new").select(F.col("old_identity").alias("node_identity")).distinct()
+    return clear(current.join(old, "node_identity", "left_semi"), now, "rename_treat_as_new")
+
+
+def carried(rows: DataFrame, decisions: DataFrame, column: str) -> DataFrame:
+    """Rows under the new identity where a rename is carried forward."""
+    return carry_renames(rows, decisions.where(F.col("decision") == "carry_forward"), column)
+
+
+def needs_analysis(given: DataFrame) -> DataFrame:
+    """Given answers with ``requires_reanalysis``: a choice at a branch changes paths, which only an analysis can walk anew."""
+    return given.withColumn("requires_reanalysis", F.coalesce(F.get_json_object("answer", "$.kind") == "path_branch", F.lit(False)))
+
+
+def open_totals(questions: DataFrame, answers: DataFrame, project_rules: DataFrame) -> DataFrame:
+    """One row: questions still open, and project rules that are enabled."""
+    rules = project_rules.agg(F.count_if("enabled").alias("enabled_rules"))
+    return unanswered(questions, answers).agg(F.count("*").alias("open_questions")).join(rules)
+
+
+def in_order(questions: DataFrame, order: str = "seq") -> DataFrame:
+    """Questions by time of creation, then as they were written."""
+    return questions.orderBy("created_at", order)
+
+
+def request_hash(pipeline: Column, prompt_name: Column, prompt_version: Column, model: Column, request: Column) -> Column:
+    """The key of a request in the store of results: all that its answer depends on."""
+    return canonical_hash(pipeline=pipeline, promptName=prompt_name, promptVersion=prompt_version, model=model, input=request)
+
+
+def memo(requests: DataFrame, cached: DataFrame, version: Column, schema: str | None = None, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Requests found in a store of earlier results by input hash and prompt version, and those that are not.
+
+    With ``schema`` a stored response counts only if it can still be read by it.
+    """
+    readable = cached if schema is None else cached.where(parsed_response(F.col("response"), schema, required or []).isNotNull())
+    found = readable.where(F.col("prompt_version") == version).select("input_hash", "response")
     return requests.join(found, "input_hash"), requests.join(found, "input_hash", "left_anti")
 
 
+def touched(cached: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """The store with the time of the last use of results that were found."""
+    used = found.select("input_hash").distinct().withColumn("_used", F.lit(True))
+    return cached.join(used, "input_hash", "left").withColumn("last_used_at", F.when(F.col("_used"), now).otherwise(F.col("last_used_at"))).select(*cached.columns)
+
+
 def upsert_memo(cached: DataFrame, new: DataFrame) -> DataFrame:
     """The last result of each input; the first time of writing is kept."""
     both = cached.unionByName(new.select(*cached.columns))

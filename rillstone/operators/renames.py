@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,21 +19,31 @@ def removed_and_new(prior: DataFrame, current: DataFrame, key: str = "node_ident
 def best_matches(removed: DataFrame, new: DataFrame, block: list[str], key: str, order: str, tokens: Column, name: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """For each removed row the new row of its block with the most similar tokens, the first in order among equals.
 
-    Only rows of one block that share a token are compared: others score 0 and can't
-    pass. Not one to one: two removed rows may share a match.
+    Of n tokens in one order, rows as similar as wanted share one of the first n - ceil(t n) + 1 of each. Rare tokens
+    come first, so rows meet by those alone, and a token that all share brings nobody together. Rows whose numbers of
+    tokens lie too far apart are left out before they are compared. Not one to one: two removed rows may share a match.
     """
     side = lambda df, mark: df.select(
         *block, F.col(key).alias(f"{mark}_key"), F.col(order).alias(f"{mark}_order"), tokens.alias(f"{mark}_tokens"), *([F.col(name).alias(f"{mark}_name")] if name else [])
     )
-    old = side(removed, "old").withColumn("_token", F.explode("old_tokens"))
-    fresh = side(new, "new").withColumn("_token", F.explode("new_tokens"))
-    # a pair that shares several tokens is put out at the first of the old row's that the new row has
-    first = F.get(F.array_intersect("old_tokens", "new_tokens"), F.lit(0))
-    pairs = old.join(fresh, [*block, "_token"]).where(F.col("_token") == first)
+    both = {"old": side(removed, "old"), "new": side(new, "new")}
+    each = reduce(DataFrame.unionByName, [df.select(F.explode(f"{mark}_tokens").alias("_token")) for mark, df in both.items()])
+    often = each.groupBy("_token").agg(F.count("*").alias("_n"))
+
+    def dealt(mark: str) -> DataFrame:
+        rows = both[mark].select(*block, f"{mark}_key", F.explode(f"{mark}_tokens").alias("_token")).join(often, "_token")
+        ranked = rows.groupBy(*block, f"{mark}_key").agg(F.sort_array(F.collect_list(F.struct("_n", "_token"))).alias("_ts"))
+        first = F.size("_ts") - F.ceil(F.lit(threshold) * F.size("_ts") - 1e-9).cast("int") + 1
+        return ranked.select(*block, f"{mark}_key", F.size("_ts").alias(f"{mark}_size"), F.explode(F.slice("_ts", 1, first)).alias("_t")).select(*block, f"{mark}_key", f"{mark}_size", "_t._token")
+
+    near = (F.col("old_size") >= F.lit(threshold) * F.col("new_size") - 1e-9) & (F.col("new_size") >= F.lit(threshold) * F.col("old_size") - 1e-9)
+    pairs = dealt("old").join(dealt("new"), [*block, "_token"]).where(near).select(*block, "old_key", "new_key").distinct()
     score = token_similarity(F.col("old_tokens"), F.col("new_tokens"))
-    if name:
+    if name:  # equal names count as the same even without a token
         score = F.when(F.col("old_name") == F.col("new_name"), F.lit(1.0)).otherwise(score)
-    scored = pairs.withColumn("similarity", score).where(F.col("similarity") >= threshold)
+        named = lambda mark: both[mark].select(*block, f"{mark}_key", F.col(f"{mark}_name").alias("_name"))
+        pairs = pairs.unionByName(named("old").join(named("new"), [*block, "_name"]).select(*block, "old_key", "new_key")).distinct()
+    scored = pairs.join(both["old"], [*block, "old_key"]).join(both["new"], [*block, "new_key"]).withColumn("similarity", score).where(F.col("similarity") >= threshold)
     best = scored.groupBy(*block, "old_key").agg(F.min_by(F.struct("new_key", "similarity"), F.struct(-F.col("similarity"), F.col("new_order"))).alias("_b"))
     return best.select(*block, "old_key", F.col("_b.new_key").alias("new_key"), F.col("_b.similarity").alias("similarity"))
 

@@ -64,6 +64,31 @@ def evaluate_rules(nodes: DataFrame, roles: DataFrame, edges: DataFrame, order:
     return rows.select("r.rule_id", "node_identity", F.col("r.v.kind").alias("kind"), F.col("r.v.message").alias("message"))
 
 
+#: Columns that a later version of a project rule may change.
+CHANGEABLE = ("title", "definition", "enabled")
+
+
+def tier_of(definition: Column) -> Column:
+    """What runs a rule: a shell command or a language model if its definition says so, else the library."""
+    said = F.get_json_object(definition, "$.tier")
+    return F.when(said.isin("shell", "llm"), said).otherwise("builtin")
+
+
+def project_rules(log: DataFrame) -> DataFrame:
+    """The rules that a log of versions (rule_id, op, classification, title, definition, enabled, at, seq) amounts to.
+
+    ``op`` is create, update or remove. A null leaves what stood before; a rule is enabled unless it says otherwise; its
+    tier is that of its first definition. Versions of a rule that was not created, or was removed, change nothing.
+    """
+    said = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    first = log.where(F.col("op") == "create").groupBy("rule_id").agg(F.max("seq").alias("_made"), F.max_by("definition", "seq").alias("_first"), F.max_by("classification", "seq").alias("classification"))
+    gone = log.where(F.col("op") == "remove").groupBy("rule_id").agg(F.max("seq").alias("_gone"))
+    living = first.join(gone, "rule_id", "left").where(F.col("_gone").isNull() | (F.col("_gone") < F.col("_made")))
+    since = log.join(living.select("rule_id", "_made"), "rule_id").where(F.col("seq") >= F.col("_made"))
+    now = since.groupBy("rule_id").agg(*[said(c) for c in CHANGEABLE], F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
+    return now.join(living, "rule_id").select("rule_id", "classification", "title", tier_of(F.col("_first")).alias("tier"), "definition", F.coalesce("enabled", F.lit(True)).alias("enabled"), "created_at", "updated_at")
+
+
 def run_shell_rule(rows: DataFrame, command: str, key: str, payload: str, timeout_s: float = 5.0) -> DataFrame:
     """Runs a shell command for each row: JSON to its input, JSON (kind, message) from its output; any failure is ``skip``."""
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..operators import classify, paths, renames, resolve, rules
-from ..operators.signals import default_signals
-from ..sources import parse as source_parse
+from .adapters import JAVASCRIPT, Language
 
 ORDER = ["file_ord", "edge_seq"]
 
@@ -40,19 +40,32 @@ def one_of_each(nodes: DataFrame) -> DataFrame:
     return first.select("node_identity", *[F.col(f"_n.{c}").alias(c) for c in rest])
 
 
-def analyse(files: DataFrame, project: str, prior: DataFrame | None = None, second_opinion: DataFrame | None = None, answers: DataFrame | None = None, categories: DataFrame | None = None) -> Analysis:
+def analyse(
+    files: DataFrame,
+    project: str,
+    prior: DataFrame | None = None,
+    second_opinion: DataFrame | None = None,
+    answers: DataFrame | None = None,
+    categories: DataFrame | None = None,
+    language: Language = JAVASCRIPT,
+) -> Analysis:
     """``prior``: nodes of the run before, for renames. ``second_opinion`` (path, role, confidence), ``categories``
     (path_id, category, category_order): results of a language model, if there are any. ``answers``: choices at branches."""
-    parsed = source_parse.parse(files, project)
+    parsed = language.parse(files, project)
+    frameworks = language.used(parsed.imports)
     nodes = cut(one_of_each(parsed.nodes))
     modules = parsed.imports.groupBy(F.col("file_path").alias("path")).agg(F.collect_set("module").alias("modules"))
-    roles = classify.classify_files(files.select("path").join(modules, "path", "left"), default_signals())
+    signals = [*language.signals(), *(s for f in frameworks for s in f.signals())]
+    roles = classify.classify_files(files.select("path").join(modules, "path", "left"), signals)
     if second_opinion is not None:
-        roles = classify.reconcile(roles, second_opinion).drop("source").withColumn("signals", F.array().cast("array<string>")).withColumn("score", F.lit(0))
+        # only files with content are asked about
+        asked = second_opinion.join(files.where(F.coalesce("content", F.lit("")) != "").select("path"), "path", "left_semi")
+        roles = classify.reconcile(roles, asked).drop("source").withColumn("signals", F.array().cast("array<string>")).withColumn("score", F.lit(0))
     roles = cut(roles)
     classes = classify.classify_nodes(nodes, roles)
     edges = cut(resolve.resolve_calls(parsed.call_edges, parsed.imports, parsed.exports, files))
-    entries = paths.entry_points(parsed.call_edges, parsed.imports)
+    found_entries = [f.entry_points(parsed.call_edges, parsed.imports) for f in frameworks]
+    entries = reduce(DataFrame.unionByName, found_entries) if found_entries else paths.entry_points(parsed.call_edges.limit(0), parsed.imports)
     walked = cut(paths.walk(entries, cut(paths.callees_in_order(edges, nodes, ORDER)), answers))
     found = paths.paths_of(walked)
     if categories is not None:

@@ -138,3 +138,20 @@ def revision(repo: str, ref: str) -> str | None:
         return _git(repo, "rev-parse", "--verify", f"{ref}^{{commit}}").decode().strip()
     except (subprocess.CalledProcessError, OSError):
         return None
+
+
+def is_repository(path: str) -> bool:
+    try:
+        return _git(path, "rev-parse", "--is-inside-work-tree").strip() == b"true"
+    except (subprocess.CalledProcessError, OSError):
+        return False
+
+
+def collect_files(spark: SparkSession, root: str) -> DataFrame:
+    """Source files of a folder, numbered: those that git tracks if it is a repository, else those that a walk finds."""
+    if is_repository(root):
+        tracked = read_git(spark, root)
+        found = tracked.where(F.col("path").rlike(FOLDER_ENDINGS) & (F.col("size") <= LARGEST)).select("path", "content", "size")
+    else:
+        found = read_folder(spark, root)
+    return numbered(found)

@@ -6,10 +6,10 @@ imports, exports and calls are then patterns over neighbouring tokens, and each
 call belongs to the innermost function around it, by an interval join.
 
 Subset: top-level functions, variables set to arrow functions, function expressions
-or calls, class methods, named function expressions; ES imports and exports. Regular
-expression literals, JSX text and templates with nested templates are not told
-apart from code, so files with them may lose or gain calls. ``unbalanced`` names
-the files whose brackets don't match.
+or calls, class methods, named function expressions; ES imports and exports. JSX text
+and templates within templates are not told apart from code, so files with them may
+lose or gain calls; a call's line is that of its name. ``unbalanced`` names the files
+whose brackets don't match.
 """
 
 from __future__ import annotations
@@ -23,11 +23,20 @@ from pyspark.sql import functions as F
 from ..functions.ids import language_of, node_identity, normal_source
 from ..functions.lineage import cut
 
-#: Comments, strings, templates, names (with numbers), arrows and single signs; white space is left out.
-TOKEN = r"(?s)//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|[\p{L}_$][\p{L}\p{N}_$]*|\p{N}[\w.]*|=>|\.\.\.|[^\s\w]"
+#: Comments, strings, templates, regular expressions, names, numbers, arrows and single signs; white space is left out.
+TOKEN = (
+    r"(?s)//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`"
+    r"|(?<=(?:[(,=:\[!&|?{};]|\breturn)\s{0,8})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
+    r"|[\p{L}_$][\p{L}\p{N}_$]*|\p{N}[\w.]*|=>|\.\.\.|[^\s\w]"
+)
+#: Code inside a template, or what stands between.
+TEMPLATE = r"(?s)\$\{[^{}`]*\}|(?:(?!\$\{[^{}`]*\}).)+"
 NAME = r"^[\p{L}_$][\p{L}\p{N}_$]*$"
-#: Words before a bracket that are not calls.
-NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "super", "import", "constructor", "new", "of", "in")
+#: Words before a bracket that are not calls, and words that are calls without a name.
+NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "constructor", "new", "of", "in")
+NAMELESS = ("super", "import")
+#: Tokens looked back over for the name before type arguments.
+BACK = 32
 
 
 @dataclass(frozen=True)
@@ -40,18 +49,28 @@ class Parsed:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """A row for each token that is not a comment: its order in the file, text, line, place, and depth before it.
+    """A row for each token that is not a comment: its order in the file, text, size, line, place, depth before it, and the bracket that holds it.
 
-    Places are running sums of the lengths of what was cut, so nothing is searched for twice.
+    Places are running sums of the lengths of what was cut, so nothing is searched for twice. The bracket is not known of opening brackets themselves.
     """
-    pieces = F.regexp_extract_all("content", F.lit(TOKEN + r"|\s+"), F.lit(0))
-    rows = files.select("path", "file_ord", F.posexplode(pieces).alias("ord", "t"))
+    cut_up = lambda text: F.regexp_extract_all(text, F.lit(TOKEN + r"|\s+"), F.lit(0))
+    as_is = lambda t: F.struct(t.alias("t"), t.alias("text"))
+    # a template with code becomes its code, and a mark for each text between
+    code = lambda part: F.when(part.startswith("${"), F.transform(cut_up(F.substr(part, F.lit(2))), as_is)).otherwise(F.array(F.struct(F.lit("`").alias("t"), part.alias("text"))))
+    opened = lambda part: F.when(part.startswith("${"), F.concat(F.array(F.struct(F.lit("`").alias("t"), F.lit("$").alias("text"))), code(part))).otherwise(code(part))
+    template = lambda t: F.flatten(F.transform(F.regexp_extract_all(t, F.lit(TEMPLATE), F.lit(0)), opened))
+    pieces = F.flatten(F.transform(cut_up(F.col("content")), lambda t: F.when(t.startswith("`") & F.contains(t, F.lit("${")), template(t)).otherwise(F.array(as_is(t)))))
+    rows = files.select("path", "file_ord", F.posexplode(pieces).alias("ord", "piece")).select("path", "file_ord", "ord", "piece.*")
     before = W.partitionBy("path").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    lines = F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     opens = F.when(F.col("t").isin("{", "(", "["), 1).when(F.col("t").isin("}", ")", "]"), -1).otherwise(0)
     none = lambda c: F.coalesce(c, F.lit(0)).cast("int")
-    placed = rows.withColumns({"place": none(F.sum(F.length("t")).over(before)), "line": none(F.sum(lines).over(before)) + 1, "depth": none(F.sum(opens).over(before))})
-    return placed.where(~F.col("t").rlike(r"^\s") & ~F.col("t").startswith("//") & ~F.col("t").startswith("/*"))
+    placed = rows.withColumns({"place": none(F.sum(F.length("text")).over(before)), "line": none(F.sum(lines).over(before)) + 1, "depth": none(F.sum(opens).over(before))})
+    bare = placed.where(~F.col("t").rlike(r"^\s") & ~F.col("t").startswith("//") & ~F.col("t").startswith("/*"))
+    # the bracket around a token is the last one opened a level above it
+    level = F.when(F.col("t").isin("{", "(", "["), F.col("depth") + 1).otherwise(F.col("depth"))
+    around = F.last(F.when(F.col("t").isin("{", "(", "["), F.col("ord")), ignorenulls=True).over(W.partitionBy("path", "level").orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
+    return bare.withColumn("level", level).withColumn("within", around).withColumn("size", F.length("text")).drop("level", "text")
 
 
 def _around(toks: DataFrame, back: int = 4, ahead: int = 8) -> DataFrame:
@@ -77,9 +96,18 @@ def unbalanced(files: DataFrame) -> DataFrame:
     return last.groupBy("path").agg(F.sum("step").alias("left"), F.min(F.col("depth") + F.least("step", F.lit(0))).alias("low")).where((F.col("left") != 0) | (F.col("low") < 0)).select("path")
 
 
+def _next(toks: DataFrame, condition: Column, value: Column, keys: list[str]) -> Column:
+    """The value at the nearest later token of the keys that meets a condition."""
+    after = W.partitionBy(*keys).orderBy(F.col("ord").desc()).rowsBetween(W.unboundedPreceding, -1)
+    return F.last(F.when(condition, value), ignorenulls=True).over(after)
+
+
 def _symbols(toks: DataFrame, files: DataFrame, project: Column) -> DataFrame:
-    """Functions of each file: their name, kind, extent in tokens, characters and lines, and whether exported."""
-    near, pairs = _around(toks), _closing(toks)
+    """Functions of each file: their name, kind, extent in tokens, characters and lines, and whether exported.
+
+    ``rank`` is the order in which symbols of one name take its place: functions, variables, methods, function expressions.
+    """
+    near, body = _around(toks), _closing(toks).where(F.col("bracket") == "{")
     top, name = F.col("depth") == 0, F.col("a1").rlike(NAME)
     exported = (F.col("b1") == "export") | ((F.col("b1") == "default") & (F.col("b2") == "export")) | ((F.col("b1") == "async") & (F.col("b2") == "export")) | ((F.col("b1") == "async") & (F.col("b2") == "default"))
     exported = F.coalesce(exported, F.lit(False))
@@ -88,44 +116,48 @@ def _symbols(toks: DataFrame, files: DataFrame, project: Column) -> DataFrame:
     classes = (F.col("t") == "class") & name
     star = F.col("a1") == "*"
     own = F.when(is_function & star & F.col("a2").rlike(NAME), F.col("a2")).when(is_function & name, F.col("a1")).when(is_function, F.lit("<anonymous>"))
-    starts = near.select(
-        "path", "ord", "place", "line", "depth", "t", exported.alias("exported"),
+    # a function, class or method ends with the first brace at its own depth that opens after it
+    braced = near.withColumn("open_ord", _next(near, F.col("t") == "{", F.col("ord"), ["path", "depth"]))
+    starts = braced.select(
+        "path", "ord", "place", "line", "depth", "t", "open_ord", exported.alias("exported"),
         F.when(is_function & (top | (own != "<anonymous>")), own).when(declared | classes, F.col("a1")).alias("name"),
     ).where(F.col("name").isNotNull())
-    body = pairs.where(F.col("bracket") == "{")
-    # a function or class ends with the first brace at its own depth that opens after it
-    braces = toks.where(F.col("t") == "{").select("path", F.col("ord").alias("open_ord"), F.col("depth").alias("open_depth")).join(body, ["path", "open_ord"])
-    blocks = starts.where(F.col("t").isin("function", "class")).join(braces, "path").where((F.col("open_ord") > F.col("ord")) & (F.col("open_depth") == F.col("depth")))
-    blocks = blocks.groupBy("path", "ord", "place", "line", "depth", "t", "exported", "name").agg(F.min(F.struct("open_ord", "close_ord", "close_place", "close_line")).alias("e"))
-    functions = blocks.where(F.col("t") == "function").select("path", "name", F.col("name").alias("symbol"), "exported", "ord", "place", "line", "e.close_ord", "e.close_place", "e.close_line", F.lit(True).alias("signed"))
-    holders = blocks.where(F.col("t") == "class").select("path", F.col("name").alias("holder"), F.col("depth").alias("holder_depth"), F.col("e.open_ord").alias("from_ord"), F.col("e.close_ord").alias("to_ord"))
-    # methods: a name and a bracket one level inside a class, where the bracket's end is followed by a body
-    method = near.where(F.col("t").rlike(NAME) & (F.col("a1") == "(") & ~F.col("t").isin(*NOT_CALLS)).join(holders, "path")
-    method = method.where((F.col("ord") > F.col("from_ord")) & (F.col("ord") < F.col("to_ord")) & (F.col("depth") == F.col("holder_depth") + 1) & ~F.coalesce(F.col("b1").isin(".", "=", "new", "return"), F.lit(False)))
-    bodies = method.select("path", "holder", F.col("t").alias("name"), "ord", "place", "line", "depth").join(braces, "path").where((F.col("open_ord") > F.col("ord")) & (F.col("open_depth") == F.col("depth")))
-    bodies = bodies.groupBy("path", "holder", "name", "ord", "place", "line").agg(F.min(F.struct("open_ord", "close_ord", "close_place", "close_line")).alias("e"))
-    methods = bodies.select("path", "name", F.concat_ws(".", "holder", "name").alias("symbol"), F.lit(False).alias("exported"), "ord", "place", "line", "e.close_ord", "e.close_place", "e.close_line", F.lit(True).alias("signed"))
+    blocks = starts.where(F.col("t").isin("function", "class")).join(body, ["path", "open_ord"])
+    # a top-level function may be preceded by its modifiers: its rank tells it from expressions
+    functions = blocks.where(F.col("t") == "function").select("path", "name", F.col("name").alias("symbol"), "exported", "ord", "place", "line", "close_ord", "close_place", "close_line", F.lit(True).alias("signed"), F.when(F.col("depth") == 0, 0).otherwise(3).alias("rank"))
+    holders = blocks.where(F.col("t") == "class").select("path", F.col("name").alias("holder"), F.col("open_ord").alias("within"))
+    # methods: a name and a bracket straight inside a class, but for accessors and what is set, made or returned
+    method = braced.where(F.col("t").rlike(NAME) & F.col("a1").isin("(", "<") & ~F.col("t").isin(*NOT_CALLS) & ~F.coalesce(F.col("b1").isin(".", "=", "new", "return", "get", "set", ":", "<", "extends", "implements"), F.lit(False)))
+    method = method.join(holders, ["path", "within"]).join(body, ["path", "open_ord"])
+    methods = method.select("path", F.col("t").alias("name"), F.concat_ws(".", "holder", "t").alias("symbol"), F.lit(False).alias("exported"), "ord", "place", "line", "close_ord", "close_place", "close_line", F.lit(True).alias("signed"), F.lit(2).alias("rank"))
+    # of names in the head of one method, such as its type parameters', the first is the method's
+    methods = methods.groupBy("path", "close_ord").agg(F.min_by(F.struct(*[c for c in methods.columns if c not in ("path", "close_ord")]), "ord").alias("m")).select("path", "close_ord", "m.*").select(methods.columns)
     # variables reach to the next semicolon or statement at the top; what they are set to decides whether they count
-    ends = toks.where((F.col("depth") == 0) & F.col("t").isin(";", "const", "let", "var", "function", "class", "export", "import")).select("path", F.col("ord").alias("end_ord"), F.col("place").alias("end_place"), F.col("line").alias("end_line"))
-    variables = starts.where(F.col("t").isin("const", "let", "var")).join(ends, "path", "left").where(F.col("end_ord").isNull() | (F.col("end_ord") > F.col("ord")))
-    variables = variables.groupBy("path", "ord", "place", "line", "exported", "name").agg(F.min(F.struct("end_ord", "end_place", "end_line")).alias("e"))
-    inside = variables.join(toks.select("path", F.col("ord").alias("o"), F.col("t").alias("x"), F.col("depth").alias("d"), F.col("line").alias("l"), F.col("place").alias("pl")), "path").where((F.col("o") > F.col("ord")) & (F.col("e.end_ord").isNull() | (F.col("o") < F.col("e.end_ord"))))
-    described = inside.groupBy("path", "ord", "place", "line", "exported", "name").agg(
+    variable = starts.where(F.col("t").isin("const", "let", "var")).select("path", "ord", "place", "line", "exported", "name")
+    owner = F.last(F.when(F.col("t").isin("const", "let", "var") & (F.col("depth") == 0), F.col("ord")), ignorenulls=True).over(W.partitionBy("path").orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
+    # a function set to a variable stands in it: only the words that begin statements end one
+    inside = toks.select("path", F.col("ord").alias("o"), F.col("t").alias("x"), F.col("depth").alias("d"), F.col("line").alias("l"), (F.col("place") + F.col("size")).alias("end"), owner.alias("ord")).where(F.col("ord").isNotNull())
+    function_set = (F.col("x") == "function") & (F.col("d") == 0)
+    reach = inside.join(variable, ["path", "ord"])
+    before = W.partitionBy("path", "ord").orderBy("o")
+    halt = reach.withColumn("b", F.lag("x").over(before)).where((F.col("d") == 0) & (F.col("x").isin(";", "class", "export", "import") | (function_set & ~F.coalesce(F.col("b").isin("=", "async"), F.lit(False))))).groupBy("path", "ord").agg(F.min("o").alias("halt_ord"))
+    within = reach.join(halt, ["path", "ord"], "left").where(F.col("halt_ord").isNull() | (F.col("o") < F.col("halt_ord")))
+    described = within.groupBy("path", "ord", "place", "line", "exported", "name").agg(
         F.sort_array(F.collect_list(F.when(F.col("d") == 0, F.struct("o", "x")))).alias("run"),  # nulls are not collected
-        F.max("o").alias("close_ord"), F.max(F.col("pl") + F.length("x")).alias("close_place"), F.max("l").alias("close_line"),
+        F.max("o").alias("close_ord"), F.max("end").alias("close_place"), F.max("l").alias("close_line"),
     )
     flat = F.array_join(F.transform("run", lambda z: z["x"]), " ")
     # closing brackets stand deeper than the opening ones and are not in the flat text
-    kind = F.when(flat.rlike(r"(^|[^=!<>])= (async )?(function\b|[^=]*=>)"), "function").when(flat.rlike(r"(^|[^=!<>])= (await )?[\p{L}_$][^ ]*( \. [\p{L}_$][^ ]*)* \("), "call")
-    variables = described.withColumn("shape", kind).where(F.col("shape").isNotNull()).select("path", "name", F.col("name").alias("symbol"), "exported", "ord", "place", "line", "close_ord", "close_place", "close_line", (F.col("shape") == "function").alias("signed"))
+    kind = F.when(flat.rlike(r"(^|[^=!<>])= (async )?(function\b|[^=]*=>)"), "function").when(flat.rlike(r"(^|[^=!<>])= (await )?[\p{L}_$][^ ]*( \. [\p{L}_$][^ ]*)* (< .* > )?\("), "call")
+    variables = described.withColumn("shape", kind).where(F.col("shape").isNotNull()).select("path", "name", F.col("name").alias("symbol"), "exported", "ord", "place", "line", "close_ord", "close_place", "close_line", (F.col("shape") == "function").alias("signed"), F.lit(1).alias("rank"))
     every = functions.unionByName(methods).unionByName(variables)
     text = files.select("path", "file_ord", "content")
     body_text = F.substr("content", F.col("place") + 1, F.col("close_place") - F.col("place") + 1)
     component = F.col("name").rlike("^[A-Z]") & (F.contains(body_text, F.lit("</")) | F.contains(body_text, F.lit("/>")) | F.contains(body_text, F.lit("React.createElement")))
     return every.join(text, "path").select(
         node_identity(project, F.col("path"), F.col("symbol")).alias("node_identity"), F.col("path").alias("file_path"), "file_ord", F.col("ord").alias("node_ord"),
-        F.when(component, "component").otherwise("function").alias("kind"), "name", F.col("line").alias("start_line"), F.col("close_line").alias("end_line"), "exported",
-        F.sha2(normal_source(body_text), 256).alias("content_hash"), "symbol", "close_ord", "signed",
+        F.when((F.col("rank") == 1) & component, "component").otherwise("function").alias("kind"), "name", F.col("line").alias("start_line"), F.col("close_line").alias("end_line"), "exported",
+        F.sha2(normal_source(body_text), 256).alias("content_hash"), "symbol", "close_ord", "signed", "rank",
     )
 
 
@@ -133,7 +165,7 @@ def _signatures(symbols: DataFrame, toks: DataFrame, files: DataFrame) -> DataFr
     """Parameters as they are written, and the written type of the result or empty, of functions that show them.
 
     The parameters stand in the first bracket at the depth of the function, cut at the
-    commas one level inside it; an arrow after a bare name has that name for its parameter.
+    commas one level inside it that no type arguments hold; an arrow after a bare name has that name for its parameter.
     A type that begins with a brace ends there.
     """
     own = symbols.where("signed").select(F.col("file_path").alias("path"), F.col("node_ord").alias("f"), F.col("close_ord").alias("end"))
@@ -143,7 +175,7 @@ def _signatures(symbols: DataFrame, toks: DataFrame, files: DataFrame) -> DataFr
     named = toks.withColumn("before", F.lag("t").over(order))
     inside = (F.col("o") > F.col("f")) & (F.col("o") <= F.col("end"))
     marks = named.where(F.col("t").isin("(", "=>", "{")).select("path", F.col("ord").alias("o"), F.col("t").alias("x"), F.col("depth").alias("d"), "before")
-    near = own.join(marks, "path").where(inside & (F.col("d") == F.col("fd")))
+    near = own.join(marks.withColumnRenamed("d", "fd"), ["path", "fd"]).where(inside)
     at = lambda x: F.min(F.when(F.col("x") == x, F.col("o")))
     found = near.groupBy("path", "f", "fd").agg(
         at("(").alias("open_ord"), at("=>").alias("arrow"), F.min_by("before", F.when(F.col("x") == "=>", F.col("o"))).alias("bare"), F.sort_array(F.collect_list(F.when(F.col("x") != "(", F.col("o")))).alias("bodies")
@@ -151,11 +183,14 @@ def _signatures(symbols: DataFrame, toks: DataFrame, files: DataFrame) -> DataFr
     lone = F.coalesce((F.col("arrow").isNotNull()) & (F.col("bare") != ")") & (F.col("open_ord").isNull() | (F.col("open_ord") > F.col("arrow"))), F.lit(False))
     found = found.withColumn("lone", lone).join(_closing(toks).where(F.col("bracket") == "(").select("path", "open_ord", F.col("close_ord").alias("shut")), ["path", "open_ord"], "left")
     found = found.withColumn("body", F.get(F.filter("bodies", lambda o: o > F.col("shut")), F.lit(0)))
-    text = toks.select("path", F.col("ord").alias("o"), "t", F.col("depth").alias("d"), F.col("place").alias("from"), (F.col("place") + F.length("t")).alias("to"))
-    within = found.where(~F.col("lone")).join(text, "path")
-    comma = (F.col("t") == ",") & (F.col("d") == F.col("fd") + 1)
+    text = toks.select("path", F.col("ord").alias("o"), "t", F.col("depth").alias("d"), F.col("place").alias("from"), (F.col("place") + F.col("size")).alias("to"))
+    heads = found.where(~F.col("lone")).select("path", "f", "fd", "open_ord", "shut", "body", F.explode(F.sequence(F.col("open_ord") + 1, F.coalesce("body", "shut"))).alias("o"))
+    within = heads.join(text, ["path", "o"])
     running = W.partitionBy("path", "f").orderBy("o").rowsBetween(W.unboundedPreceding, W.currentRow)
-    listed = within.where((F.col("o") > F.col("open_ord")) & (F.col("o") < F.col("shut"))).withColumn("i", F.sum(F.when(comma, 1).otherwise(0)).over(running)).where(~comma)
+    flat = F.col("d") == F.col("fd") + 1
+    angles = F.sum(F.when(flat & (F.col("t") == "<"), 1).when(flat & (F.col("t") == ">"), -1).otherwise(0)).over(running)
+    comma = (F.col("t") == ",") & flat & (F.col("angles") <= 0)
+    listed = within.where(F.col("o") < F.col("shut")).withColumn("angles", angles).withColumn("comma", comma).withColumn("i", F.sum(F.when(F.col("comma"), 1).otherwise(0)).over(running)).where(~F.col("comma"))
     pieces = listed.groupBy("path", "f", "i").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     returned = within.where((F.col("o") > F.col("shut")) & (F.col("o") < F.col("body"))).groupBy("path", "f").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.min_by("t", "o").alias("first")).where(F.col("first") == ":")
     content = files.select("path", "content")
@@ -169,45 +204,81 @@ def _signatures(symbols: DataFrame, toks: DataFrame, files: DataFrame) -> DataFr
     )
 
 
-def _imports(files: DataFrame) -> DataFrame:
-    """A row for each name that a file imports, under the name that the other file gives it."""
-    clause = r"(?m)^\s*import\s+(?:type\s+)?([^'\";]*?)\s*(?:from\s*)?['\"]([^'\"]+)['\"]"
-    found = files.select("path", F.posexplode(F.arrays_zip(F.regexp_extract_all("content", F.lit(clause), F.lit(1)).alias("c"), F.regexp_extract_all("content", F.lit(clause), F.lit(2)).alias("m"))).alias("i", "z"))
-    named = F.transform(F.filter(F.split(F.regexp_extract("z.c", r"\{([^}]*)\}", 1), r"\s*,\s*"), lambda s: F.trim(s) != ""), lambda s: F.regexp_replace(F.regexp_replace(F.trim(s), r"\s+as\s+.*$", ""), r"^type\s+", ""))
-    whole = F.when(F.col("z.c").rlike(r"\*\s+as\s"), F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
-    default = F.when(F.col("z.c").rlike(r"^[\p{L}_$]"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>"))
-    listed = F.concat(named, default, whole)
-    rows = found.select("path", "i", F.col("z.m").alias("module"), F.posexplode_outer(listed).alias("k", "specifier"))
-    return rows.select(F.col("path").alias("file_path"), (F.col("i") * 1000 + F.coalesce("k", F.lit(0))).cast("int").alias("import_ord"), "module", "specifier")
+def _statements(toks: DataFrame, word: str, ends: Column) -> DataFrame:
+    """Statements at the top that begin with a word: where they begin, and their text as tokens with blanks between, to the first token that ends them."""
+    starts = (F.col("t") == word) & (F.col("depth") == 0)
+    order = W.partitionBy("path").orderBy("ord")
+    own = toks.where(F.col("depth") <= 1).withColumn("b1", F.lag("t").over(order)).withColumn("at", F.last(F.when(starts & ~F.coalesce(F.col("b1") == ".", F.lit(False)), F.col("ord")), ignorenulls=True).over(order)).where(F.col("at").isNotNull())
+    stops = own.where((F.col("ord") > F.col("at")) & ends).groupBy("path", "at").agg(F.min_by(F.struct("ord", "t"), "ord").alias("stop"))
+    held = own.join(stops, ["path", "at"]).where((F.col("ord") > F.col("at")) & (F.col("ord") <= F.col("stop.ord")))
+    return held.groupBy("path", "at", F.col("stop.t").alias("last")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "t"))), lambda z: z["t"]), " ").alias("clause"))
+
+
+def _names(listed: Column) -> Column:
+    """The parts of a list of names as its tokens stand, without ``type`` before them."""
+    parts = F.filter(F.split(listed, " ?, ?"), lambda x: F.trim(x) != "")
+    return F.transform(parts, lambda x: F.regexp_replace(F.trim(x), r"^type (?!as\b)", ""))
+
+
+def _imports(toks: DataFrame) -> DataFrame:
+    """A row for each name that a file imports, under the name that the other file gives it, in the order named, default, whole."""
+    quoted = F.col("t").rlike("^['\"]")
+    found = _statements(toks, "import", quoted | F.col("t").isin(";", "(")).where(F.col("last").rlike("^['\"]"))
+    clause = F.regexp_replace(F.regexp_replace("clause", r" ?(from )?\S*$", ""), r"^type (?=[{*\p{L}_$])(?!from\b)", "")
+    named = F.transform(_names(F.regexp_extract("c", r"\{([^}]*)\}", 1)), lambda x: F.regexp_replace(x, r" as .*$", ""))
+    none = F.array().cast("array<string>")
+    default = F.when(F.col("c").rlike(r"^[\p{L}_$]"), F.array(F.lit("default"))).otherwise(none)
+    whole = F.when(F.col("c").rlike(r"\* as "), F.array(F.lit("*"))).otherwise(none)
+    rows = found.withColumn("c", clause).select("path", "at", F.expr("substring(last, 2, length(last) - 2)").alias("module"), F.posexplode_outer(F.concat(named, default, whole)).alias("k", "specifier"))
+    return rows.select(F.col("path").alias("file_path"), (F.col("at") + F.coalesce("k", F.lit(0))).cast("int").alias("import_ord"), "module", "specifier")
+
+
+def _by_name(symbols: DataFrame) -> DataFrame:
+    """The symbol that a name means in its file: the last, as functions, variables, methods and function expressions follow each other."""
+    return symbols.groupBy(F.col("file_path").alias("path"), F.col("name").alias("t")).agg(F.max_by("node_identity", F.struct("rank", "node_ord")).alias("known"))
 
 
 def _calls(toks: DataFrame, symbols: DataFrame, project: Column) -> DataFrame:
-    """Calls inside functions, in source order, and handlers handed to a call."""
-    near = _around(toks, 3, 6)
-    called = near.where(F.col("t").rlike(NAME) & (F.col("a1") == "(") & ~F.col("t").isin(*NOT_CALLS) & ~F.coalesce(F.col("b1").isin("function", "class", "new"), F.lit(False)))
-    spans = symbols.select(F.col("file_path").alias("path"), "node_identity", "node_ord", F.col("close_ord").alias("to_ord"), F.col("name").alias("own"), F.col("start_line"))
-    at = called.select("path", "file_ord", F.col("ord"), "t", "line", "place")
-    # the start of a function is no call of it: methods look like calls at their own first token
-    inside = at.join(spans, "path").where((F.col("ord") > F.col("node_ord")) & (F.col("ord") <= F.col("to_ord")))
+    """Calls inside functions, in source order: by name, optional or with type arguments too, and those without a name."""
+    order = W.partitionBy("path").orderBy("ord")
+    near = _around(toks, 3, 3)
+    word = F.col("t").rlike(NAME) & ~F.coalesce(F.col("b1").isin("function", "class", "new"), F.lit(False)) & ~((F.col("b1") == "*") & (F.col("b2") == "function"))
+    plain = word & ~F.col("t").isin(*NOT_CALLS) & ((F.col("a1") == "(") | ((F.col("a1") == "?") & (F.col("a2") == ".") & (F.col("a3") == "(")))
+    nameless = (F.col("t").isin(*NAMELESS) & (F.col("a1") == "(")) | (F.col("t").isin(")", "]") & (F.col("a1") == "("))
+    called = near.where(plain | nameless).select("path", "file_ord", "ord", F.when(plain & ~F.col("t").isin(*NAMELESS), F.col("t")).alias("t"), "line")
+    # type arguments before a bracket: back over the tokens to the name before the angle that holds them
+    typed = toks.withColumn("past", F.reverse(F.collect_list(F.struct("t", "ord", "line")).over(order.rowsBetween(-BACK, -1)))).where(F.col("t") == "(").where(F.get("past", F.lit(0))["t"] == ">")
+    walk = F.aggregate(
+        "past", F.struct(F.lit(0).alias("level"), F.lit(None).cast("struct<t:string,ord:int,line:int>").alias("name")),
+        lambda a, x: F.when(a["name"].isNotNull() | (a["level"] < 0), a)
+        .when(x["t"] == ">", F.struct((a["level"] + 1).alias("level"), a["name"].alias("name")))
+        .when((x["t"] == "<") & (a["level"] > 1), F.struct((a["level"] - 1).alias("level"), a["name"].alias("name")))
+        .when((x["t"] == "<") & (a["level"] == 1), F.struct(F.lit(0).alias("level"), a["name"].alias("name")))
+        .when(a["level"] == 0, F.struct(F.lit(-1).alias("level"), F.when(x["t"].rlike(NAME) & ~x["t"].isin(*NOT_CALLS, *NAMELESS), x).alias("name")))
+        .when(x["t"].isin(";", ")", "=>", "&", "=") & (a["level"] > 0), F.struct(F.lit(-1).alias("level"), a["name"].alias("name"))).otherwise(a),
+    )
+    generic = typed.select("path", "file_ord", walk["name"].alias("n")).where(F.col("n").isNotNull()).select("path", "file_ord", F.col("n.ord").alias("ord"), F.col("n.t").alias("t"), F.col("n.line").alias("line"))
+    at = called.unionByName(generic)
+    # the start of a function is no call of it: methods and named function expressions look like calls there
     starts = symbols.select(F.col("file_path").alias("path"), F.col("node_ord").alias("ord"))
-    inside = inside.join(starts, ["path", "ord"], "left_anti")
-    inner = inside.groupBy("path", "file_ord", "ord", "t", "line").agg(F.min_by(F.struct("node_identity", "own"), F.struct(F.col("to_ord") - F.col("node_ord"), "node_ord")).alias("c"))
-    simple = symbols.groupBy(F.col("file_path").alias("path"), F.col("name").alias("t")).agg(F.min_by("node_identity", "node_ord").alias("known"))
-    rows = inner.join(simple, ["path", "t"], "left").withColumn("same", F.col("known").isNotNull() & (F.col("t") != F.col("c.own")))
+    at = at.join(starts, ["path", "ord"], "left_anti")
+    spans = symbols.select(F.col("file_path").alias("path"), "node_identity", "node_ord", F.col("close_ord").alias("to_ord"))
+    inside = at.join(spans, "path").where((F.col("ord") > F.col("node_ord")) & (F.col("ord") <= F.col("to_ord")))
+    inner = inside.groupBy("path", "file_ord", "ord", "t", "line").agg(F.min_by("node_identity", F.struct(F.col("to_ord") - F.col("node_ord"), "node_ord")).alias("caller"))
+    rows = inner.join(_by_name(symbols), ["path", "t"], "left").withColumn("same", F.col("known").isNotNull() & (F.col("known") != F.col("caller")))
     return rows.select(
-        F.col("path").alias("file_path"), "file_ord", (F.col("ord") * 2).alias("edge_seq"), F.col("c.node_identity").alias("caller"),
-        F.when(F.col("same"), F.col("known")).otherwise(node_identity(project, F.col("path"), F.col("t"))).alias("callee"), "line", F.lit(0).alias("col"),
-        (~F.col("same")).alias("unresolved"), F.when(~F.col("same"), "cross-file-or-external").alias("hint"),
+        F.col("path").alias("file_path"), "file_ord", (F.col("ord") * 2).alias("edge_seq"), "caller",
+        F.when(F.col("same"), F.col("known")).when(F.col("t").isNotNull(), node_identity(project, F.col("path"), F.col("t"))).alias("callee"), "line", F.lit(0).alias("col"),
+        (~F.col("same")).alias("unresolved"), F.when(F.col("t").isNull(), "indirect").when(~F.col("same"), "cross-file-or-external").alias("hint"),
     )
 
 
 def _handlers(toks: DataFrame, project: Column) -> DataFrame:
     """Named function expressions among the arguments of a call: an edge from the function to the called method."""
-    pairs = _closing(toks).where(F.col("bracket") == "(")
     near = _around(toks, 3, 3)
-    made = near.where((F.col("t") == "function") & F.col("a1").rlike(NAME) & (F.col("depth") > 0)).select("path", F.col("ord").alias("o"), F.col("a1").alias("handler"), "line", F.col("depth").alias("d"))
-    opened = near.where((F.col("t") == "(") & F.col("b1").rlike(NAME)).select("path", "file_ord", F.col("ord").alias("open_ord"), F.col("b1").alias("method"), F.col("depth").alias("od")).join(pairs.select("path", "open_ord", "close_ord"), ["path", "open_ord"])
-    hit = made.join(opened, "path").where((F.col("o") > F.col("open_ord")) & (F.col("o") < F.col("close_ord")) & (F.col("d") == F.col("od") + 1))
+    made = near.where((F.col("t") == "function") & F.col("a1").rlike(NAME) & (F.col("depth") > 0)).select("path", F.col("ord").alias("o"), F.col("a1").alias("handler"), "line", F.col("within").alias("open_ord"))
+    opened = near.where((F.col("t") == "(") & F.col("b1").rlike(NAME)).select("path", "file_ord", F.col("ord").alias("open_ord"), F.col("b1").alias("method"))
+    hit = made.join(opened, ["path", "open_ord"])
     first = hit.groupBy("path", "file_ord", "open_ord", "method").agg(F.min(F.struct("o", "handler", "line")).alias("h"))
     return first.select(
         F.col("path").alias("file_path"), "file_ord", (F.col("h.o") * 2 - 1).alias("edge_seq"), node_identity(project, F.col("path"), F.col("h.handler")).alias("caller"),
@@ -215,15 +286,19 @@ def _handlers(toks: DataFrame, project: Column) -> DataFrame:
     )
 
 
-def _exports(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Exported names and the functions they mean, or null."""
-    listed = r"export\s*\{([^}]*)\}"
-    names = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(listed), F.lit(1))).alias("l")).select("path", F.explode(F.split("l", r"\s*,\s*")).alias("n"))
-    named = names.where(F.trim("n") != "").select("path", F.regexp_replace(F.trim("n"), r"\s+as\s+.*$", "").alias("inner"), F.regexp_replace(F.trim("n"), r"^.*\s+as\s+", "").alias("name"))
-    known = symbols.select(F.col("file_path").alias("path"), F.col("name").alias("inner"), "node_identity", "node_ord", "exported")
-    by_list = named.join(known.drop("exported"), ["path", "inner"], "left").select(F.col("path").alias("file_path"), F.coalesce("node_ord", F.lit(0)).alias("export_ord"), "name", "node_identity")
-    direct = known.where("exported").select(F.col("path").alias("file_path"), F.col("node_ord").alias("export_ord"), F.col("inner").alias("name"), "node_identity")
-    return direct.unionByName(by_list)
+def _exports(toks: DataFrame) -> DataFrame:
+    """A row for each exported name, with the name inside the file that it is given to."""
+    near = _around(toks, 1, 3).where((F.col("t") == "export") & (F.col("depth") == 0))
+    spot = F.when(F.col("a1").isin("async", "abstract", "declare"), F.when(F.col("a3") == "*", None).otherwise(F.col("a3"))).when(
+        F.col("a1").isin("const", "let", "var", "function", "class", "interface", "type", "enum", "namespace"), F.when(F.col("a2") == "*", F.col("a3")).otherwise(F.col("a2"))
+    )
+    name = F.when(F.col("a1") == "default", "default").when(spot.rlike(NAME), spot)
+    inner = F.when((F.col("a1") == "default") & F.col("a2").rlike(NAME) & ~F.col("a2").isin("function", "class", "async", "new", "await"), F.col("a2")).when(name != "default", name)
+    direct = near.select(F.col("path").alias("file_path"), F.col("ord").alias("export_ord"), name.alias("name"), inner.alias("inner")).where(F.col("name").isNotNull())
+    lists = _statements(toks, "export", F.col("t").isin("}", ";", "=", "(")).where((F.col("last") == "}") & F.col("clause").rlike(r"^(type )?\{"))
+    each = lists.select("path", "at", F.posexplode(_names(F.regexp_extract("clause", r"\{([^}]*)\}", 1))).alias("k", "n"))
+    named = each.select(F.col("path").alias("file_path"), (F.col("at") + 1 + F.col("k")).cast("int").alias("export_ord"), F.regexp_replace("n", r"^.* as ", "").alias("name"), F.regexp_replace("n", r" as .*$", "").alias("inner"))
+    return direct.unionByName(named)
 
 
 def parse(files: DataFrame, project: str) -> Parsed:
@@ -232,12 +307,14 @@ def parse(files: DataFrame, project: str) -> Parsed:
     # the tokens and what is read from them are used many times over: they are written once
     toks = cut(tokens(files))
     symbols = cut(_symbols(toks, files, p))
-    exports = cut(_exports(files, symbols))
-    listed = exports.where(F.col("node_identity").isNotNull()).select("node_identity").distinct().withColumn("_listed", F.lit(True))
+    found = cut(_exports(toks))
+    means = _by_name(symbols).select(F.col("path").alias("file_path"), F.col("t").alias("name"), F.col("known").alias("node_identity"))
+    exports = found.join(means, ["file_path", "name"], "left").select("file_path", "export_ord", "name", "node_identity")
+    listed = found.where(F.col("inner").isNotNull()).select("file_path", F.col("inner").alias("symbol")).distinct().withColumn("_listed", F.lit(True))
     signed = _signatures(symbols, toks, files)
-    nodes = symbols.join(listed, "node_identity", "left").join(signed, ["file_path", "node_ord"], "left").select(
-        "node_identity", "file_path", "file_ord", "node_ord", "kind", "name", "start_line", "end_line", F.coalesce("_listed", "exported").alias("exported"), "content_hash",
+    nodes = symbols.join(listed, ["file_path", "symbol"], "left").join(signed, ["file_path", "node_ord"], "left").select(
+        "node_identity", "file_path", "file_ord", "node_ord", "kind", "name", "start_line", "end_line", (F.coalesce("_listed", F.lit(False)) & (F.col("rank") < 2) | F.col("exported")).alias("exported"), "content_hash",
         "signature",
     )
     hashed = files.select("path", F.sha2("content", 256).alias("content_hash"), language_of(F.col("path")).alias("language"))
-    return Parsed(hashed, nodes, cut(_imports(files)), exports, cut(_calls(toks, symbols, p).unionByName(_handlers(toks, p))))
+    return Parsed(hashed, nodes, cut(_imports(toks)), exports, cut(_calls(toks, symbols, p).unionByName(_handlers(toks, p))))

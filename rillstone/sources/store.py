@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ids import codebase_hash
+
 _POINTER = "run_id string, at timestamp"
 
 
@@ -51,10 +53,36 @@ def files_with_hashes(files: DataFrame, parsed: DataFrame) -> DataFrame:
     return files.join(found, "path", "left").select("path", "size", F.coalesce("_h", F.lit("")).alias("content_hash"), F.coalesce("_l", F.lit("unknown")).alias("language"))
 
 
-def recent_codebases(visits: DataFrame) -> DataFrame:
-    """The last visit of each codebase, latest first; ``op`` remove forgets it, a null label keeps the label before."""
-    last = visits.groupBy("codebase_hash").agg(
-        F.max_by("op", "seq").alias("op"), F.max_by("path", "seq").alias("path"), F.max_by(F.when(F.col("label").isNotNull(), F.col("label")), F.when(F.col("label").isNotNull(), F.col("seq"))).alias("label"),
-        F.max("at").alias("last_opened_at"),
+def visit(spark: SparkSession, codebase_hash: str, op: str, seq: int, at: Column, path: str | None = None, label: str | None = None) -> DataFrame:
+    """A row for the log of visits: ``open`` (with its path), ``label`` (a label, or an empty one to take it away) or ``remove``."""
+    if op not in ("open", "label", "remove"):
+        raise ValueError("op must be open, label or remove")
+    return spark.range(1).select(
+        F.lit(seq).cast("long").alias("seq"), F.lit(codebase_hash).alias("codebase_hash"), F.lit(path).cast("string").alias("path"), F.lit(label).cast("string").alias("label"),
+        F.lit(op).alias("op"), F.when(F.lit(op) == "open", at).alias("at"),
     )
-    return last.where(F.col("op") != "remove").drop("op").orderBy(F.desc("last_opened_at"), "codebase_hash")
+
+
+def open_codebase(spark: SparkSession, path: str, seq: int, at: Column) -> DataFrame:
+    """The visit of a codebase in a folder, which must exist and be one, on any file system of Spark."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        raise FileNotFoundError(f"no such path: {path}")
+    if not system.getFileStatus(where).isDirectory():
+        raise NotADirectoryError(f"not a directory: {path}")
+    named = spark.range(1).select(codebase_hash(F.lit(path)).alias("h")).first()["h"]
+    return visit(spark, named, "open", seq, at, path)
+
+
+def recent_codebases(visits: DataFrame) -> DataFrame:
+    """The last visit of each codebase, latest first. ``op`` remove forgets it and its label; an empty label takes the label away, null keeps it."""
+    gone = visits.where(F.col("op") == "remove").groupBy("codebase_hash").agg(F.max("seq").alias("_gone"))
+    since = visits.join(gone, "codebase_hash", "left").where(F.col("_gone").isNull() | (F.col("seq") > F.col("_gone")))
+    said = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    last = since.groupBy("codebase_hash").agg(said("path").alias("path"), F.nullif(said("label"), F.lit("")).alias("label"), F.max("at").alias("last_opened_at"))
+    return last.where(F.col("last_opened_at").isNotNull()).orderBy(F.desc("last_opened_at"), "codebase_hash")
+
+
+def find_codebase(visits: DataFrame, codebase_hash: str) -> DataFrame:
+    return recent_codebases(visits.where(F.col("codebase_hash") == codebase_hash))

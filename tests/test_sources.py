@@ -53,21 +53,21 @@ def test_nodes_and_exports(analysis):
     assert got == {
         "src/db/thingRepo.ts:insertThing": (True, 1, 1), "src/db/thingRepo.ts:findThing": (True, 2, 2), "src/db/thingRepo.ts:rows": (False, 3, 3),
         "src/routes/things.ts:register": (True, 5, 14), "src/routes/things.ts:listAll": (False, 6, 8), "src/routes/things.ts:addOne": (False, 9, 13), "src/routes/things.ts:validateBody": (False, 15, 15),
-        "src/services/thingService.ts:makeThing": (True, 2, 5), "src/services/thingService.ts:Box.put": (False, 6, 6), "src/services/thingService.ts:Box.size": (False, 6, 6),
+        "src/services/thingService.ts:makeThing": (True, 2, 5), "src/services/thingService.ts:Box.put": (False, 6, 6),  # an accessor is no method
     }
 
 
 def test_signatures(analysis):
     got = {r["name"]: (r["signature"]["params"], r["signature"]["return_type"]) for r in analysis.nodes.where("signature is not null").collect()}
     assert got["makeThing"] == (["id: number", "name = `t${id}`"], "") and got["register"] == (["app: Express"], "")
-    assert got["put"] == (["x"], "") and got["size"] == ([], "") and "rows" not in got
+    assert got["put"] == (["x"], "") and "rows" not in got
 
 
 def test_parameters_and_types(spark):
     code = "export function f(a: Map<string, number>, { b, c }: P): Promise<T[]> { return g((x) => x, a); }\nconst h = x => f(x);\nconst k = async (): Promise<void> => { await f(1, 2); };\n"
     nodes = parse.parse(sources.given_files(spark, [("a.ts", code)]), "p").nodes
     got = {r["name"]: (r["signature"]["params"], r["signature"]["return_type"]) for r in nodes.collect()}
-    assert got == {"f": (["a: Map<string", "number>", "{ b, c }: P"], "Promise<T[]>"), "h": (["x"], ""), "k": ([], "Promise<void>")}
+    assert got == {"f": (["a: Map<string, number>", "{ b, c }: P"], "Promise<T[]>"), "h": (["x"], ""), "k": ([], "Promise<void>")}
 
 
 def test_declarations_longer_than_400_tokens(spark):
@@ -94,6 +94,52 @@ def test_two_revisions_compared(spark, analysis):
     assert {(r["entry"].split(":")[-1], r["classification"]) for r in c.path_deltas.collect()} == {("listAll", "modified_in_place"), ("addOne", "net_gone"), ("putOne", "net_new")}
 
 
+def test_imports_come_from_tokens(spark):
+    code = """// import { no } from 'comment';
+const text = "import { no } from 'string'";
+import type { A, type B as C } from './types';
+import def, { named as other } from "pkg";
+import * as whole from './whole';
+import type from './odd';
+import './effect';
+const later = import('./dynamic');
+"""
+    got = parse.parse(sources.given_files(spark, [("a.ts", code)]), "p").imports.orderBy("import_ord").collect()
+    assert [(r["module"], r["specifier"]) for r in got] == [
+        ("./types", "A"), ("./types", "B"), ("pkg", "named"), ("pkg", "default"), ("./whole", "*"), ("./odd", "default"), ("./effect", None),
+    ]
+
+
+def test_exports_are_names(spark):
+    code = "export default function main() { go(); }\nfunction inner() {}\nexport { inner as outer, helper };\nfunction helper() {}\nexport const n = 1;\nexport interface Shape { a: string }\nexport type { T } from './t';\nexport class Box { a() {} }\n"
+    parsed = parse.parse(sources.given_files(spark, [("a.ts", code)]), "p")
+    assert {(r["name"], r["node_identity"]) for r in parsed.exports.collect()} == {("default", None), ("outer", None), ("helper", "p:a.ts:helper"), ("n", None), ("Shape", None), ("T", None), ("Box", None)}
+    assert {r["name"] for r in parsed.nodes.where("exported").collect()} == {"main", "inner", "helper"}
+
+
+def test_calls_of_every_shape(spark):
+    code = r"""function run(a, b) {
+  useState<Map<string, number>>(a);
+  b?.go?.(1);
+  a[0](2);
+  make()(3);
+  const t = `x ${inTemplate(a)} y ${b} z`;
+  const r = /call(me)"/.test(a);
+  if (a < b && c > (d)) { after(); }
+  return notCalled;
+}
+class Sub extends Base { constructor() { super(1); } load() { return super.load(import('./x')); } }
+function go() { return run(1, 2); }
+"""
+    edges = parse.parse(sources.given_files(spark, [("a.ts", code)]), "p").call_edges.orderBy("edge_seq").collect()
+    got = [(r["caller"].split(":")[-1], r["callee"] and r["callee"].split(":")[-1], r["hint"]) for r in edges]
+    far = "cross-file-or-external"
+    assert got == [
+        ("run", "useState", far), ("run", "go", None), ("run", None, "indirect"), ("run", "make", far), ("run", None, "indirect"), ("run", "inTemplate", far), ("run", "test", far), ("run", "after", far),
+        ("Sub.load", "load", far), ("Sub.load", None, "indirect"), ("go", "run", None),
+    ]
+
+
 def test_unbalanced_files_are_named(spark):
     df = sources.given_files(spark, [("a.ts", "f(1)"), ("b.ts", "f(1"), ("c.ts", ")("), ("d.ts", "")])
     assert {r["path"] for r in parse.unbalanced(df).collect()} == {"b.ts", "c.ts"}
@@ -117,6 +163,9 @@ def test_git_revision(spark, tmp_path):
     (tmp_path / "a.ts").write_text("new")
     got = sources.read_git(spark, str(tmp_path), "HEAD").collect()
     assert [(r["path"], r["content"]) for r in got] == [("a.ts", "old")]
+    assert [(r["path"], r["content"]) for r in sources.read_git(spark, str(tmp_path)).collect()] == [("a.ts", "new")]
+    (tmp_path / "untracked.ts").write_text("no")
+    assert [(r["file_ord"], r["path"], r["content"]) for r in sources.collect_files(spark, str(tmp_path)).collect()] == [(0, "a.ts", "new")]
     assert sources.revision(str(tmp_path), "HEAD") and sources.revision(str(tmp_path), "nothing") is None
 
 
@@ -135,6 +184,26 @@ def test_registry_keeps_labels(spark):
     assert [(r["codebase_hash"], r["label"]) for r in recent_codebases(df).collect()] == [("h", "mine")]
 
 
+def test_registry_by_operations(spark, tmp_path):
+    from rillstone.sources.store import find_codebase, open_codebase, visit
+
+    at = F.lit("2024-01-01").cast("timestamp")
+    first = open_codebase(spark, str(tmp_path), 1, at)
+    key = first.first()["codebase_hash"]
+    log = first.unionByName(visit(spark, key, "label", 2, at, label="mine")).unionByName(visit(spark, "other", "label", 3, at, label="never opened"))
+    assert [(r["path"], r["label"]) for r in find_codebase(log, key).collect()] == [(str(tmp_path), "mine")]
+    assert find_codebase(log, "other").count() == 0
+    log = log.unionByName(visit(spark, key, "remove", 4, at))
+    assert find_codebase(log, key).count() == 0
+    log = log.unionByName(open_codebase(spark, str(tmp_path), 5, at))
+    assert [r["label"] for r in find_codebase(log, key).collect()] == [None]
+    with pytest.raises(FileNotFoundError):
+        open_codebase(spark, str(tmp_path / "none"), 1, at)
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(NotADirectoryError):
+        open_codebase(spark, str(tmp_path / "file"), 1, at)
+
+
 def test_stream_keeps_current(spark, tmp_path):
     from datetime import datetime
 
