@@ -44,34 +44,31 @@ THRESHOLD = 0.8
 BLOCKS, BLOCK_BITS = 48, 10
 #: Bytes up to which the tables of the items are broadcast; beyond, both sides are shuffled.
 BROADCAST_BYTES = 64 << 20
-#: Blocks of one 64-bit hash. Three bits times the first, under the mask of the second, stand 21 bits apart.
+#: Blocks read from one 64-bit hash. Three bits times the first, under the mask of the second, stand 21 bits apart.
 _PER_HASH, _SPREAD, _LANES = 6, 1 + (1 << 20) + (1 << 40), 1 + (1 << 21) + (1 << 42)
 
 
 def fingerprints(bags: DataFrame, keys: list[str], bag: str) -> DataFrame:
-    """The SimHash of each row's bag of shingles: keys and ``blocks``, an array of numbers of ``BLOCK_BITS`` bits.
+    """The SimHash of each row's bag of shingles, a row for each of its blocks: keys, ``block``, and ``bits``, a number of ``BLOCK_BITS`` bits.
 
     A shingle is hashed anew for every 60 bits. Counts of set bits are kept in sums with three lanes of 21 bits each.
     """
-    sums = BLOCKS * BLOCK_BITS // 3
-    hashed = bags.select(*keys, F.size(bag).alias("_n"), F.explode(bag).alias("_h")).withColumns({f"_w{w}": F.xxhash64(F.lit(w), "_h") for w in range(BLOCKS // _PER_HASH)})
-    spread = lambda j: (F.shiftrightunsigned(F.col(f"_w{j // 20}"), 3 * (j % 20)).bitwiseAND(F.lit(7)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_LANES))
-    counted = hashed.groupBy(*keys).agg(F.first("_n").alias("_n"), *[F.sum(spread(j)).alias(f"_s{j}") for j in range(sums)])
-    lanes = F.array(*[F.col(f"_s{j}") for j in range(sums)])
-    lane = lambda s, i: F.call_function("shiftrightunsigned", F.get(s, F.floor(i / 3).cast("int")), i % 3 * 21).bitwiseAND(F.lit((1 << 21) - 1))
-    bit = lambda s, i: (lane(s, i) * 2 > F.col("_n")).cast("int")
-    block = lambda s, b: F.aggregate(F.sequence(F.lit(0), F.lit(BLOCK_BITS - 1)), F.lit(0), lambda x, i: x * 2 + bit(s, b * BLOCK_BITS + i))
-    return counted.withColumn("_lanes", lanes).select(*keys, F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: block(F.col("_lanes"), b)).alias("blocks"))
+    hashes = F.explode(F.array(*[F.struct(F.lit(w).alias("_w"), F.xxhash64(F.lit(w), "_h").alias("_x")) for w in range(BLOCKS // _PER_HASH)]))
+    hashed = bags.select(*keys, F.explode(bag).alias("_h")).select(*keys, hashes.alias("_hash")).select(*keys, "_hash._w", "_hash._x")
+    spread = lambda j: (F.shiftrightunsigned("_x", 3 * j).bitwiseAND(F.lit(7)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_LANES))
+    counted = hashed.groupBy(*keys, "_w").agg(F.count("*").alias("_n"), *[F.sum(spread(j)).alias(f"_s{j}") for j in range(_PER_HASH * BLOCK_BITS // 3)])
+    ones = lambda b: F.shiftrightunsigned(F.col(f"_s{b // 3}"), 21 * (b % 3)).bitwiseAND(F.lit((1 << 21) - 1))
+    bit = lambda b: F.when(ones(b) * 2 > F.col("_n"), F.lit(1 << b % BLOCK_BITS)).otherwise(F.lit(0))
+    blocks = [reduce(lambda x, y: x + y, [bit(i * BLOCK_BITS + k) for k in range(BLOCK_BITS)]) for i in range(_PER_HASH)]
+    return counted.select(*keys, "_w", F.posexplode(F.array(*blocks)).alias("_i", "bits")).select(*keys, (F.col("_w") * _PER_HASH + F.col("_i")).alias("block"), "bits")
 
 
 def near_fingerprints(left: DataFrame, right: DataFrame, same: list[str], small: bool = False) -> DataFrame:
-    """Different pairs of rows that agree in ``same`` and in a block of their fingerprints, so all that differ in fewer bits than there are blocks.
+    """Different pairs of fingerprints that agree in ``same`` and in a block, so all that differ in fewer bits than there are blocks.
 
-    Columns but ``blocks`` stay. ``small``: the right side has been found to be small enough to be broadcast.
+    ``small``: the right side has been found to be small enough to be broadcast.
     """
-    deal = lambda df: df.select(*[c for c in df.columns if c != "blocks"], F.posexplode("blocks").alias("block", "bits"))
-    dealt = deal(right)
-    return deal(left).join(F.broadcast(dealt) if small else dealt, [*same, "block", "bits"]).drop("block", "bits").distinct()
+    return left.join(F.broadcast(right) if small else right, [*same, "block", "bits"]).drop("block", "bits").distinct()
 
 
 def shared_weight(a: Column, b: Column) -> Column:

@@ -168,7 +168,7 @@ def test_blocks_miss_no_pair_within_the_radius_and_prune_the_rest(spark):
         row[rng.choice(bits.shape[1], rng.integers(0, decontaminate.BLOCKS), replace=False)] ^= 1
     two = (bits.reshape(300, decontaminate.BLOCKS, -1) << np.arange(decontaminate.BLOCK_BITS)).sum(2)
     two[1::2] = rng.integers(0, 1 << decontaminate.BLOCK_BITS, (150, decontaminate.BLOCKS))
-    table = lambda rows, name: spark.createDataFrame([(i, 1, [int(x) for x in r]) for i, r in enumerate(rows)], f"{name} int, k int, blocks array<int>")
+    table = lambda rows, name: spark.createDataFrame([(i, 1, j, int(x)) for i, r in enumerate(rows) for j, x in enumerate(r)], f"{name} int, k int, block int, bits int")
     for small in (True, False):
         got = {(r["l"], r["r"]) for r in decontaminate.near_fingerprints(table(one, "l"), table(two, "r"), ["k"], small).collect()}
         want = {(i, j) for i in range(300) for j in range(300) if (one[i] == two[j]).any()}
@@ -180,11 +180,13 @@ def test_fingerprints_are_majorities(spark):
     rng = random.Random(3)
     bags = [(i, [rng.getrandbits(63) for _ in range(n)]) for i, n in enumerate((1, 2, 5, 40))]
     df = spark.createDataFrame(bags, "i int, bag array<long>")
-    got = {r["i"]: r["blocks"] for r in decontaminate.fingerprints(df, ["i"], "bag").collect()}
+    got = defaultdict(dict)
+    for r in decontaminate.fingerprints(df, ["i"], "bag").collect():
+        got[r["i"]][r["block"]] = r["bits"]
     hashes = {(r["h"], r["w"]): r["x"] for r in df.select(F.explode("bag").alias("h")).crossJoin(spark.range(8).select(F.col("id").cast("int").alias("w"))).select("h", "w", F.xxhash64("w", "h").alias("x")).collect()}
     for i, bag_ in bags:
         set_ = [sum(hashes[h, b // 60] >> b % 60 & 1 for h in bag_) * 2 > len(bag_) for b in range(480)]
-        assert got[i] == [int("".join("01"[x] for x in set_[b * 10 : b * 10 + 10]), 2) for b in range(48)]
+        assert got[i] == {b: sum(1 << k for k in range(10) if set_[b * 10 + k]) for b in range(48)}
 
 
 # --- chats ---------------------------------------------------------------------------------------------------------
