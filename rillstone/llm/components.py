@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Links for each task of a round; rounds over few links need few tasks.
-LINKS = 20_000
+#: Links for each task of a round: a few megabytes. Where one task holds them all, a round needs no shuffle.
+LINKS = 200_000
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _each(df: DataFrame, *ends: tuple[Column, Column]) -> DataFrame:
+    """Rows (a, b) for each pair of columns, without a union, which would part what lies together."""
+    return df.select(F.explode(F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in ends])).alias("x")).select("x.a", "x.b")
+
+
+def _star(edges: DataFrame, large: bool, together: bool) -> DataFrame:
     """Links every node's greater (large star) or lesser (small star) neighbours to the least of its neighbourhood.
 
-    Least neighbours are pre-aggregated, so a node with very many links is no one task's work.
+    ``together``: the links are so few that one task holds them all, and a window shuffles nothing. Else least neighbours
+    are pre-aggregated, so a node with very many links is no one task's work.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if large:
-        both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    else:
-        both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    joined = both.join(least, "u")
-    if large:
-        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("low").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    both = _each(edges, (a, b), (b, a)) if large else edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    if together:
+        joined = both.withColumn("low", F.least("a", F.min("b").over(W.partitionBy("a"))))
     else:
-        out = joined.select(F.col("v").alias("a"), F.col("low").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("low").alias("b")))
-    return out.where(F.col("a") != F.col("b"))
+        joined = both.join(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "a")
+    low = F.col("low")
+    out = joined.where(b > a).select(b.alias("a"), low.alias("b")) if large else _each(joined, (b, low), (a, low))
+    return out.where(a != b)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,11 +40,13 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(edges)
     while before[0]:
-        edges = edges.coalesce(-(-before[0] // LINKS))
+        tasks = -(-before[0] // LINKS)
         # a large star puts out no more links than it got, so repeats wait for the small one
-        edges = cut(_star(_star(edges, True), False).distinct())
+        edges = cut(_star(_star(edges.coalesce(tasks), True, tasks == 1), False, tasks == 1).distinct())
         after = mark(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    a, b = F.col("a"), F.col("b")
+    edges = edges.coalesce(max(1, -(-before[0] // LINKS)))
+    return _each(edges, (a, b), (b, b)).groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
