@@ -94,7 +94,7 @@ def file_detail(files: DataFrame, nodes: DataFrame, roles: DataFrame, reviews: D
 
     ``files``: path, language, size. The file is reviewed as ``file:`` and its path; reviews of paths of calls don't count here.
     """
-    own = files.where(F.col("path") == path).withColumn("node_identity", F.concat(F.lit("file:"), "path"))
+    own = files.where(F.col("path") == path).select("path", "language", "size", F.concat(F.lit("file:"), "path").alias("node_identity"))
     inside = nodes.where(F.col("file_path") == path).select("node_identity", "name", "kind", "start_line", "end_line", "exported")
     verdict = roles.select("node_identity", "role", "confidence")
     with_role = lambda rows: runtime_states(rows, reviews, hashes).join(verdict, "node_identity", "left")

@@ -7,8 +7,6 @@ names, pages for paths. Every query reads its whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,46 +15,28 @@ from ..functions import ids
 from ..functions.state import choose_review, runtime_kind
 from ..operators import browse, classify, comments, delta, paths, prep, renames, resolve, review, rules
 from ..operators.signals import HIGH, LOW, MEDIUM, Signal
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import QUERIES, SQL, query, read
 
 # --- reviews of documents: coverage and states -------------------------------------------------------------------
 
 
 def _document_reviews(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents as nodes, their hashes, and labels as reviews: some without a hash, some of an older text."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_identity"), "lang", "source", F.sha2("text", 256).alias("content_hash"), "text")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_identity"), "lang", "source", F.sha2("text", 256).alias("content_hash"))
     labels = read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "node_identity")
-    recorded = F.when(F.col("node_identity") % 7 == 0, F.lit("")).when(F.col("node_identity") % 5 == 0, F.sha2(F.concat(F.lit("old:"), "text"), 256)).otherwise(F.col("content_hash"))
+    recorded = F.when(F.col("node_identity") % 7 == 0, F.lit("")).when(F.col("node_identity") % 5 == 0, F.lit("old")).otherwise(F.col("content_hash"))
     reviews = labels.join(docs, "node_identity").select(
         "node_identity", F.lit("global").alias("scope"), F.when(F.col("quality") == 1, "approved").when(F.col("toxic") == 1, "rejected").otherwise("info_requested").alias("status"),
         recorded.alias("code_hash"), F.col("node_identity").alias("event_seq"),
     )
-    return docs.drop("text"), reviews, docs.select("node_identity", "content_hash")
+    return docs, reviews, docs.select("node_identity", "content_hash")
 
 
 _REVIEWED = """
 WITH reviewed AS (
   SELECT d.doc_id, d.lang, d.source, sha256(d.text) AS content_hash, l.doc_id AS labelled,
     CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.quality = 1 THEN 'approved' WHEN l.toxic = 1 THEN 'rejected' ELSE 'info_requested' END AS status,
-    CASE WHEN d.doc_id % 7 = 0 THEN '' WHEN d.doc_id % 5 = 0 THEN sha256('old:' || d.text) ELSE sha256(d.text) END AS code_hash
+    CASE WHEN d.doc_id % 7 = 0 THEN '' WHEN d.doc_id % 5 = 0 THEN 'old' ELSE sha256(d.text) END AS code_hash
   FROM documents d LEFT JOIN labels l USING (doc_id)
 ), kinds AS (
   SELECT *, CASE WHEN status IS NULL THEN 'never_reviewed' WHEN code_hash <> '' AND code_hash <> content_hash THEN 'reviewed_stale'
@@ -353,37 +333,31 @@ def c5_rename_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH calls AS (SELECT l_orderkey AS caller, count(*) AS n, count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_partkey END) AS d, bool_or(l_linestatus = 'F') AS v FROM lineitem GROUP BY 1
+WITH calls AS (SELECT l_orderkey AS caller, count(*) AS n, count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_partkey || l_linestatus END) AS d, bool_or(l_linestatus = 'F') AS v FROM lineitem GROUP BY 1
 ), roles AS (SELECT o_orderkey AS node, CASE o_orderstatus WHEN 'F' THEN 'service' WHEN 'O' THEN 'repository' ELSE 'route_handler' END AS role FROM orders)
-SELECT 'builtin:service:single_responsibility' AS rule_id, CAST(node AS VARCHAR) AS node_identity, CASE WHEN coalesce(d, 0) > 8 THEN 'fail' ELSE 'pass' END AS kind FROM roles LEFT JOIN calls ON caller = node WHERE role = 'service'
-UNION ALL SELECT 'builtin:repository:narrow_data_access', CAST(node AS VARCHAR), CASE WHEN coalesce(n, 0) = 0 THEN 'skip' WHEN n > 4 THEN 'fail' ELSE 'pass' END FROM roles LEFT JOIN calls ON caller = node WHERE role = 'repository'
-UNION ALL SELECT 'builtin:route_handler:input_validated', CAST(node AS VARCHAR), CASE WHEN coalesce(v, false) THEN 'pass' ELSE 'fail' END FROM roles LEFT JOIN calls ON caller = node WHERE role = 'route_handler'
-UNION ALL SELECT 'builtin:route_handler:auth_check_present', CAST(node AS VARCHAR), 'skip' FROM roles WHERE role = 'route_handler'""")
+SELECT 'builtin:service:single_responsibility' AS rule_id, CAST(node AS VARCHAR) AS node_identity, CASE WHEN coalesce(d, 0) > 8 THEN 'fail' ELSE 'pass' END AS kind,
+  coalesce(d, 0) || CASE WHEN coalesce(d, 0) > 8 THEN ' distinct callees — split this up?' ELSE ' callees, in budget' END AS message FROM roles LEFT JOIN calls ON caller = node WHERE role = 'service'
+UNION ALL SELECT 'builtin:repository:narrow_data_access', CAST(node AS VARCHAR), CASE WHEN coalesce(n, 0) = 0 THEN 'skip' WHEN n > 4 THEN 'fail' ELSE 'pass' END,
+  CASE WHEN coalesce(n, 0) = 0 THEN 'no calls observed (data access via direct expression?)' WHEN n > 4 THEN n || ' calls — wider than a single query' ELSE n || ' calls, narrow' END FROM roles LEFT JOIN calls ON caller = node WHERE role = 'repository'
+UNION ALL SELECT 'builtin:route_handler:input_validated', CAST(node AS VARCHAR), CASE WHEN coalesce(v, false) THEN 'pass' ELSE 'fail' END,
+  CASE WHEN coalesce(v, false) THEN 'invokes a validate/parse/check call' ELSE 'no validate/parse/check call detected in body' END FROM roles LEFT JOIN calls ON caller = node WHERE role = 'route_handler'
+UNION ALL SELECT 'builtin:route_handler:auth_check_present', CAST(node AS VARCHAR), 'skip', 'no in-handler auth call detected' FROM roles WHERE role = 'route_handler'""")
 def c7_builtin_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nodes, their line items as calls: to parts, and to ``validate`` where the line is finished."""
     role = F.when(F.col("o_orderstatus") == "F", "service").when(F.col("o_orderstatus") == "O", "repository").otherwise("route_handler")
     nodes = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("node_identity"), role.alias("role"))
-    callee = F.concat(F.lit("p:"), F.col("l_partkey").cast("string"), F.when(F.col("l_linestatus") == "F", ":validate").otherwise(":other"))
-    # distinct callees count parts, so what a call is named by must follow from its part alone
-    edges = read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("caller"), callee.alias("callee"), (F.col("l_returnflag") == "R").alias("unresolved"), F.col("l_linenumber").alias("edge_seq"), "l_partkey"
-    )
-    summary = rules.call_summary(edges, ["edge_seq"]).drop("n_callees").join(
-        edges.where(~F.col("unresolved")).groupBy("caller").agg(F.count_distinct("l_partkey").alias("n_callees")), "caller", "left"
-    )
-    judged = nodes.join(summary.withColumnRenamed("caller", "node_identity"), "node_identity", "left")
-    cases = [F.when(F.col("role") == r, F.struct(F.lit(rule).alias("rule_id"), v["kind"].alias("kind"))) for rule, r, v in rules.verdicts()]
-    return judged.select("node_identity", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("r")).select("r.rule_id", "node_identity", "r.kind")
+    callee = F.concat(F.lit("p:"), F.when(F.col("l_linestatus") == "F", "validate").otherwise("other"), F.col("l_partkey").cast("string"))
+    edges = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("caller"), callee.alias("callee"), (F.col("l_returnflag") == "R").alias("unresolved"), F.col("l_linenumber").alias("edge_seq"))
+    return rules.evaluate_rules(nodes, nodes, edges, ["edge_seq"])
 
 
-@query("""SELECT l_orderkey AS caller, CAST(count(*) AS BIGINT) AS n_calls, CAST(count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_partkey END) AS BIGINT) AS n_callees,
-  bool_or(l_shipdate >= DATE '1995-01-01') AS any_late, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_callee FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey AS caller, CAST(count(*) AS BIGINT) AS n_calls, CAST(count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN name END) AS BIGINT) AS n_callees,
+  substr(arg_min(name, (l_linenumber, l_partkey)) FILTER (l_linenumber % 3 = 0), 3) AS first_auth, bool_or(l_linenumber % 3 = 1) AS validates, false AS asserts
+FROM (SELECT *, 'p:' || CASE l_linenumber % 3 WHEN 0 THEN 'requireAuth' WHEN 1 THEN 'parse' ELSE 'other' END || l_partkey AS name FROM lineitem) GROUP BY 1""")
 def a6_call_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = F.when(F.col("l_returnflag") != "R", F.col("l_partkey"))
-    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("caller")).agg(
-        F.count("*").alias("n_calls"), F.count_distinct(resolved).alias("n_callees"), F.bool_or(F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp")).alias("any_late"),
-        F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("first_callee"),
-    )
+    name = F.when(F.col("l_linenumber") % 3 == 0, "requireAuth").when(F.col("l_linenumber") % 3 == 1, "parse").otherwise("other")
+    edges = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("caller"), F.concat(F.lit("p:"), name, F.col("l_partkey").cast("string")).alias("callee"), (F.col("l_returnflag") == "R").alias("unresolved"), "l_linenumber", "l_partkey")
+    return rules.call_summary(edges, ["l_linenumber", "l_partkey"])
 
 
 # --- the review log -----------------------------------------------------------------------------------------------
@@ -463,33 +437,36 @@ def j14_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.open_count(questions, answers)
 
 
-@query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, CAST(max(event_id) AS BIGINT) AS last_seen FROM events GROUP BY user_id""")
+@query("""SELECT user_id AS input_hash, arg_max(event_type, event_id) AS response, min(event_id) AS created_at, max(event_id) AS last_used_at FROM events GROUP BY user_id""")
 def k4_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    last = review.latest(e.select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"])
-    return last.select("user_id", F.col("event_type").alias("last_type")).join(e.groupBy("user_id").agg(F.max("event_id").alias("last_seen")), "user_id")
+    """A store of results after later ones: the last answer, and the first time of writing."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("input_hash"), F.col("event_type").alias("response"), F.col("event_id").alias("created_at"), F.col("event_id").alias("last_used_at"))
+    return prep.upsert_memo(e.where("created_at % 2 = 0"), e.where("created_at % 2 = 1"))
 
 
-@query("SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) = 7")
+@query("SELECT event_id FROM events WHERE json_extract_string(json_object('pathId', CAST(user_id AS VARCHAR)), '$.pathId') = '7'")
 def f14_json_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").where(F.get_json_object("props", "$.k").cast("int") == 7).select("event_id")
+    """Questions about one path, by their context."""
+    questions = read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("user_id").cast("string").alias("pathId"))).alias("context"))
+    return prep.for_path(questions, "7").select("event_id")
 
 
 # --- browsing -----------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT conv_id, CAST(count(*) AS BIGINT) AS n_nodes, string_agg(role, '>' ORDER BY turn, role, text) AS roles FROM conversations GROUP BY conv_id""")
+@query("""SELECT c_custkey AS path_id, coalesce(nodes, '') AS nodes FROM customer LEFT JOIN (SELECT o_custkey, string_agg(o_orderkey, '>' ORDER BY o_orderdate, o_orderkey) AS nodes FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def j25_ordered_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_nodes"), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return nested.select("conv_id", "n_nodes", F.array_join(F.transform("t", lambda x: x["role"]), ">").alias("roles"))
+    """Customers as paths with their orders in order, those without orders too."""
+    steps = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path_id"), F.struct("o_orderdate", "o_orderkey").alias("position"), F.col("o_orderkey").alias("node_identity"))
+    nested = browse.paths_with_nodes(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path_id")), steps)
+    return nested.withColumn("nodes", F.array_join(F.transform("nodes", lambda x: x["node_identity"].cast("string")), ">"))
 
 
-@query("""SELECT caller, callee, seq FROM (SELECT l_suppkey AS caller, l_partkey AS callee, l_orderkey * 8 + l_linenumber AS seq,
-  row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 8 + l_linenumber) AS r FROM lineitem WHERE l_returnflag <> 'R') JOIN part ON p_partkey = callee WHERE r = 1""")
+@query("""SELECT callee, p_name AS name FROM (SELECT l_partkey AS callee, min(l_orderkey * 8 + l_linenumber) AS seq FROM lineitem WHERE l_returnflag <> 'R' AND l_suppkey = 7 GROUP BY 1) JOIN part ON p_partkey = callee ORDER BY seq""")
 def w4_first_call_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") != "R").select(F.col("l_suppkey").alias("caller"), F.col("l_partkey").alias("callee"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
-    first = edges.groupBy("caller", "callee").agg(F.min("seq").alias("seq"))
-    return first.join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("callee")), "callee").select("caller", "callee", "seq")
+    """What one supplier delivers, in the order of its first delivery."""
+    edges = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("caller"), F.col("l_partkey").alias("callee"), (F.col("l_returnflag") == "R").alias("unresolved"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
+    return browse.callees_of(edges, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_identity"), F.col("p_name").alias("name")), F.lit(7), ["seq"])
 
 
 @query("""SELECT c_custkey, n_name, r_name, o_orderkey AS last_order FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
@@ -621,8 +598,9 @@ def c14_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(found, True).unionByName(count(missing, False))
 
 
-@query("""SELECT user_id, last_opened_at, label FROM (SELECT user_id, max(ts) AS last_opened_at, arg_max(event_type, event_id) AS op,
-  arg_max(CASE WHEN event_type = 'view' THEN 'seen' WHEN event_type = 'click' THEN 'used' END, event_id) FILTER (event_type IN ('view', 'click')) AS label FROM events GROUP BY user_id) WHERE op <> 'error' ORDER BY last_opened_at DESC""")
+@query("""WITH v AS (SELECT *, max(event_id) FILTER (event_type = 'error') OVER (PARTITION BY user_id) AS gone FROM events)
+SELECT user_id, max(ts) AS last_opened_at, arg_max(CASE event_type WHEN 'view' THEN 'seen' WHEN 'click' THEN 'used' END, event_id) FILTER (event_type IN ('view', 'click')) AS label
+FROM v WHERE gone IS NULL OR event_id > gone GROUP BY user_id ORDER BY last_opened_at DESC""")
 def k5_recent_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.store import recent_codebases
 
@@ -650,10 +628,12 @@ def x13_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("event_id", ids.scope_parts(F.col("scope")).alias("s")).select("event_id", "s.kind", "s.path_id")
 
 
-@query("""SELECT role, item_ord, label, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'service' WHEN 'O' THEN 'route_handler' ELSE 'other' END AS role FROM orders) JOIN (VALUES
-  ('service', 0, 'Single responsibility'), ('route_handler', 0, 'Authentication checked before reaching this handler'), ('route_handler', 1, 'Input validated against a schema'), ('other', 0, 'Does what its name says')) AS t(role, item_ord, label) USING (role) GROUP BY ALL""")
+@query("""SELECT role, item_ord, label, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'service' WHEN 'O' THEN 'hook' ELSE 'other' END AS role FROM orders) JOIN (VALUES
+  ('service', 0, 'Single responsibility'), ('service', 1, 'Caching / performance considerations'), ('service', 2, 'Side-effect boundaries are clear'), ('service', 3, 'Errors propagate cleanly'),
+  ('hook', 0, 'Single responsibility'), ('hook', 1, 'Stable identity (deps are correct)'), ('hook', 2, 'Cleanup on unmount where applicable'),
+  ('other', 0, 'Single responsibility — does one thing'), ('other', 1, 'Boundary clarity — inputs / outputs are explicit'), ('other', 2, 'Error handling')) AS t(role, item_ord, label) USING (role) GROUP BY ALL""")
 def c20_checklists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = F.when(F.col("o_orderstatus") == "F", "service").when(F.col("o_orderstatus") == "O", "route_handler").otherwise("other")
+    role = F.when(F.col("o_orderstatus") == "F", "service").when(F.col("o_orderstatus") == "O", "hook").otherwise("other")
     roles = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_identity"), role.alias("role"))
     return browse.checklist(roles).groupBy("role", "item_ord", "label").agg(F.count("*").alias("nodes"))
 

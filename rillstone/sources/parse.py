@@ -33,7 +33,7 @@ TOKEN = (
 TEMPLATE = r"(?s)\$\{[^{}`]*\}|(?:(?!\$\{[^{}`]*\}).)+"
 NAME = r"^[\p{L}_$][\p{L}\p{N}_$]*$"
 #: Words before a bracket that are not calls, and words that are calls without a name.
-NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "constructor", "new", "of", "in")
+NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "async", "constructor", "new", "of", "in")
 NAMELESS = ("super", "import")
 #: Tokens looked back over for the name before type arguments.
 BACK = 32

@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from rillstone.plans.queries import QUERIES, SQL
+from rillstone.plans import code_queries, queries  # noqa: F401
+from rillstone.plans.registry import QUERIES, SQL
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
