@@ -216,3 +216,79 @@ def test_progress_of_empty_scope(spark):
     none = spark.createDataFrame([], "node_identity string, status string, code_hash string, scope string, event_seq int")
     got = browse.progress(spark.createDataFrame([], "node_identity string"), none, spark.createDataFrame([], "node_identity string, content_hash string")).first()
     assert got["total"] == 0 and got["coverage_path"] == 0.0
+
+
+def test_rename_answers(spark):
+    questions = spark.createDataFrame([("q1", "rename", '{"oldIdentity":"p:a:x","newIdentity":"p:a:y"}'), ("q2", "rename", '{"oldIdentity":"p:a:u","newIdentity":"p:a:v"}'), ("q3", "rename", '{"oldIdentity":"p:a:n","newIdentity":"p:a:m"}')], "key string, kind string, context string")
+    answers = spark.createDataFrame([("q1", '{"kind":"rename","decision":"carry_forward"}'), ("q2", '{"kind":"rename","decision":"treat_as_new"}')], "question_key string, answer string")
+    decisions = prep.rename_decisions(questions, answers)
+    assert {tuple(r) for r in decisions.collect()} == {("p:a:x", "p:a:y", "carry_forward"), ("p:a:u", "p:a:v", "treat_as_new")}
+    log = review.append(spark.createDataFrame([], REVIEW_EVENTS), review.set_status(spark.createDataFrame([(i, "h") for i in ("p:a:x", "p:a:u", "p:a:z")], "node_identity string, content_hash string"), "approved", None, "me", F.lit("2024-01-01")))
+    after = review.append(log, prep.archived_as_new(review.current_reviews(log), decisions, F.lit("2024-02-01")))
+    assert {r["node_identity"] for r in prep.carried(review.current_reviews(after), decisions, "node_identity").collect()} == {"p:a:y", "p:a:z"}
+    assert [r["reason"] for r in review.review_history(after).collect()] == ["rename_treat_as_new"]
+    flagged = prep.needs_analysis(spark.createDataFrame([('{"kind":"path_branch"}',), ('{"kind":"rename"}',)], "answer string")).collect()
+    assert [r["requires_reanalysis"] for r in flagged] == [True, False]
+
+
+def test_project_rules(spark):
+    log = spark.createDataFrame(
+        [
+            ("a", "create", "service", "one", '{"tier":"shell","command":"x"}', None, 1, 1), ("a", "update", None, "two", None, None, 2, 2), ("a", "update", None, None, '{"tier":"llm"}', False, 3, 3),
+            ("b", "create", "test", "b", '{"x":1}', None, 1, 4), ("b", "remove", None, None, None, None, 2, 5), ("c", "update", None, "never made", None, None, 1, 6), ("d", "create", "hook", "d", "{}", True, 1, 7),
+        ],
+        "rule_id string, op string, classification string, title string, definition string, enabled boolean, at int, seq int",
+    )
+    got = {r["rule_id"]: r for r in rules.project_rules(log).collect()}
+    assert set(got) == {"a", "d"} and got["d"]["tier"] == "builtin" and got["d"]["enabled"]
+    a = got["a"]
+    assert (a["classification"], a["title"], a["tier"], a["definition"], a["enabled"], a["created_at"], a["updated_at"]) == ("service", "two", "shell", '{"tier":"llm"}', False, 1, 3)
+    questions, answers = spark.createDataFrame([("q", "x"), ("r", "x")], "key string, kind string"), spark.createDataFrame([("q",)], "question_key string")
+    assert tuple(prep.open_totals(questions, answers, rules.project_rules(log)).first()) == (1, 1)
+
+
+def test_memo_of_responses(spark):
+    key = one(spark, a=prep.request_hash(*map(F.lit, ("p", "n", "1", "m", "input"))), b=prep.request_hash(*map(F.lit, ("p", "n", "2", "m", "input"))))
+    assert key["a"] != key["b"]
+    stored = spark.createDataFrame([("h1", "1", '```json\n{"role": "service"}\n```', 1), ("h2", "1", "not json", 1), ("h3", "0", '{"role": "hook"}', 1), ("h4", "1", '{"other": 1}', 1)], "input_hash string, prompt_version string, response string, last_used_at int")
+    asked = spark.createDataFrame([(f"h{i}",) for i in range(1, 6)], "input_hash string")
+    found, missing = prep.memo(asked, stored, F.lit("1"), "role string", ["role"])
+    assert [r["input_hash"] for r in found.collect()] == ["h1"] and missing.count() == 4
+    assert {r["input_hash"]: r["last_used_at"] for r in prep.touched(stored, found, F.lit(9)).collect()} == {"h1": 9, "h2": 1, "h3": 1, "h4": 1}
+    got = one(spark, x=ids.parsed_response(F.lit(' {"role": "test"} '), "role string", ["role"])["role"], t=ids.iso_time(F.lit("2024-01-02 03:04:05.678").cast("timestamp")), p=ids.percent(F.lit(0.125)), s=ids.short_id(F.lit("0123456789")))
+    assert tuple(got) == ("test", "2024-01-02T03:04:05.678Z", "13%", "01234567")
+
+
+def test_checklists_show_rule_results(spark):
+    roles = spark.createDataFrame([("n", "service"), ("m", "other")], "node_identity string, role string")
+    results = spark.createDataFrame([("builtin:service:single_responsibility", "n", "pass", "2 callees, in budget"), ("own", "m", "fail", "x")], "rule_id string, node_identity string, kind string, message string")
+    got = {(r["node_identity"], r["item_ord"]): (r["label"], r["state"]) for r in browse.checked_items(browse.checklist(roles), results).collect()}
+    assert got[("n", 0)] == ("Single responsibility", "pass") and got[("n", 1)][1] == "unchecked" and len(got) == 7 and got[("m", 2)] == ("Error handling", "unchecked")
+
+
+def test_names_of_entries_and_what_is_not_drawn(spark):
+    found = spark.createDataFrame([("p:a:x",), ("p:b:gone",)], "entry string")
+    nodes = spark.createDataFrame([("p:a:x", "x")], "node_identity string, name string")
+    assert {r["entry"]: r["entry_name"] for r in browse.entry_names(found, nodes).collect()} == {"p:a:x": "x", "p:b:gone": "b:gone"}
+    callees = spark.createDataFrame([("a",), ("b",)], "callee string")
+    assert [r["callee"] for r in browse.not_drawn(callees, spark.createDataFrame([("a",)], "node_identity string")).collect()] == ["b"]
+
+
+def test_languages_and_frameworks(spark):
+    from rillstone.plans.adapters import JAVASCRIPT
+
+    imports = lambda module: spark.createDataFrame([("a.ts", 0, module, "default")], IMPORTS)
+    assert [f.name for f in JAVASCRIPT.used(imports("express"))] == ["express"] and JAVASCRIPT.used(imports("other")) == []
+    assert JAVASCRIPT.applies("typescript", []) and JAVASCRIPT.applies("go", ["node"]) and not JAVASCRIPT.applies("go", ["gin"])
+
+
+def test_running_sums_need_no_single_task(spark):
+    from rillstone.functions.lineage import running
+
+    rows = [(i * 7919 % 1000, i % 5) for i in range(1000)]
+    got = {r["k"]: (r["place"], r["total"]) for r in running(spark.createDataFrame(rows, "k int, v int").repartition(6), [F.col("k")], {"place": F.lit(1), "total": F.col("v")}).collect()}
+    total = 0
+    for place, (k, v) in enumerate(sorted(rows)):
+        assert got[k] == (place, total)
+        total += v
+    assert running(spark.createDataFrame([], "k int, v int"), [F.col("k")], {"place": F.lit(1)}).count() == 0
