@@ -4,7 +4,7 @@ Rules on host and path judge the URLs they fit. From those, one variable-order
 Markov model is learned for accepted and one for rejected URLs; every other URL
 is judged by the difference of its log-likelihoods under the two, divided by its
 length and calibrated to a probability. For the calibration each judged URL is
-scored by the counts less those of its own fold; the final counts are of all.
+scored by the counts less its own, of all its rows; the final counts are of all.
 
 A model holds exact counts of character runs and of the contexts before them, for
 each order, under hashes of 57 bits: it grows with the distinct runs of the URLs
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import ship, unused
 
 ORDERS = 6
-FOLDS, SEEDS = 5, 16
 BITS = 57  # of the hash of a run or context: with label, kind and order a cell fits 62 bits, and ten million share one with probability 0.0004
 STRENGTH = 2.0
 BINS, SPAN = 400, 4.0
@@ -79,24 +78,37 @@ def _grams(urls: pd.Series, bits: int) -> tuple[np.ndarray, list[np.ndarray], np
 
 
 def _count(batches: Iterator[pd.DataFrame], bits: int = BITS) -> Iterator[pd.DataFrame]:
-    """Counts by cell: label, run or context, order and hash in one number."""
+    """Counts by cell: label, run or context, order and hash in one number; each URL counts for its ``n`` rows."""
     for pdf in batches:
         cells, counts = [], []
         for label in (0, 1):
-            _, *kinds = _grams(pdf["url"][pdf["label"] == label], bits)
+            part = pdf[pdf["label"] == label]
+            owner, *kinds = _grams(part["url"], bits)
+            rows = part["n"].to_numpy(float)[owner]
             for i, hashes in enumerate(h for kind in kinds for h in kind):
-                used, n = np.unique(hashes, return_counts=True)
+                used, at = np.unique(hashes, return_inverse=True)
                 cells.append(used + ((label * 2 * ORDERS + i) << bits))
-                counts.append(n)
+                counts.append(np.bincount(at, rows, len(used)).astype(np.int64))
         yield pd.DataFrame({"cell": np.concatenate(cells), "n": np.concatenate(counts)})
 
 
+def _within(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """How often each hash occurs in its own URL."""
+    order = np.lexsort((hashes, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (owner[order][1:] != owner[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    group = np.cumsum(new) - 1
+    found = np.empty(len(order))
+    found[order] = np.bincount(group)[group] if len(order) else 0
+    return found
+
+
 class Cells:
     """Counts by cell. For each kind and order: the hashes in order, and the counts of both labels beside them."""
 
     def __init__(self, cells: np.ndarray, n: np.ndarray, bits: int):
         order = np.argsort(cells)
-        cells, n, self.bits, self.parts = cells[order], n[order].astype(float), bits, []
+        cells, n, self.bits, self.parts = cells[order], n[order].astype(np.float64), bits, []
         edges = np.searchsorted(cells, np.arange(4 * ORDERS + 1) << bits)
         for i in range(2 * ORDERS):
             spans = [slice(edges[j], edges[j + 1]) for j in (i, i + 2 * ORDERS)]
@@ -124,14 +136,16 @@ class UrlModel:
     slope: float = 1.0
     offset: float = 0.0
 
-    def difference(self, urls: pd.Series, less: Cells | None = None) -> np.ndarray:
-        """Log-likelihood as accepted less that as rejected, by character; from the counts less those of ``less``."""
+    def difference(self, urls: pd.Series, own: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Log-likelihood as accepted less that as rejected, by character. ``own``: label and rows of each URL, whose part in the counts is left out."""
         owner, runs, contexts = _grams(urls, self.counts.bits)
         p = np.full((2, len(owner)), 1 / 256)
         for k in range(ORDERS):
             run, context = self.counts.of(0, k, runs[k]), self.counts.of(1, k, contexts[k])
-            if less is not None:
-                run, context = run - less.of(0, k, runs[k]), context - less.of(1, k, contexts[k])
+            if own is not None:
+                label, rows, at = own[0][owner], own[1][owner], np.arange(len(owner))
+                run[label, at] -= rows * _within(owner, runs[k])
+                context[label, at] -= rows * _within(owner, contexts[k])
             p = (run + STRENGTH * p) / (context + STRENGTH)
         total = np.log(p[1]) - np.log(p[0])
         size = np.bincount(owner, minlength=len(urls))
@@ -156,44 +170,28 @@ def fit_line(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple
     return float(w[0] / scale), float(w[1])
 
 
-def _dealt(labelled: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Rows with their fold by URL, so dealt that each label is in several folds, and the labels of which only one URL is known."""
-    fold = lambda seed: F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(FOLDS)).cast("int")
-    spread = [(F.min(fold(i)) < F.max(fold(i))).alias(f"s{i}") for i in range(SEEDS)]
-    found = labelled.groupBy("label").agg(*spread).collect()
-    best = max(range(SEEDS), key=lambda i: (sum(r[f"s{i}"] for r in found), -i))
-    return labelled.withColumn("fold", fold(best)), [r["label"] for r in found if not r[f"s{best}"]]
-
-
 def train_url_model(labelled: DataFrame) -> UrlModel:
-    """From columns url and label (1 accepted, 0 rejected). Counts are of all rows; calibrated by cross-fitting over folds."""
-    ship(labelled.sparkSession)
-    dealt, lone = _dealt(labelled)
+    """From columns url and label (1 accepted, 0 rejected). Counts are of all rows; calibrated on each URL by the counts of the others.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for fold, part in pdf.groupby("fold"):
-                yield from (found.assign(fold=fold) for found in _count(iter([part]), BITS))
-
-    counted = dealt.mapInPandas(count, "cell long, n long, fold int").groupBy("cell", "fold").agg(F.sum("n").alias("n")).toPandas()
-    cells, folds, n = counted["cell"].to_numpy(np.int64), counted["fold"].to_numpy(), counted["n"].to_numpy(float)
-    every, at = np.unique(cells, return_inverse=True)
-    model = UrlModel(Cells(every, np.bincount(at, n, len(every)), BITS))
-    # rows of the only URL of a label are dealt evenly: each fold has its share of their counts
-    shared_out = np.isin((cells >> BITS) // (2 * ORDERS), lone)
-    of_fold = lambda f: (folds == f) | shared_out
-    held = [Cells(cells[of_fold(f)], np.where(shared_out, n / FOLDS, n)[of_fold(f)], BITS) for f in range(FOLDS)]
-    shared = labelled.sparkSession.sparkContext.broadcast((model, held))
+    Of a label with one URL only a fifth of its counts is left out, as nothing else would be known of it.
+    """
+    ship(labelled.sparkSession)
+    distinct = labelled.groupBy("url", "label").agg(F.count("*").alias("n"))
+    kinds = {r["label"]: r["urls"] for r in distinct.groupBy("label").agg(F.count("*").alias("urls")).collect()}
+    share = np.array([0.2 if kinds.get(label) == 1 else 1.0 for label in (0, 1)])
+    counted = distinct.mapInPandas(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    model = UrlModel(Cells(counted["cell"].to_numpy(np.int64), counted["n"].to_numpy(float), BITS))
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, (model, held) = np.zeros((2, BINS), np.int64), shared.value
+        table, model = np.zeros((2, BINS), np.int64), shared.value
         for pdf in batches:
-            for fold, part in pdf.groupby("fold"):
-                at = np.clip((model.difference(part["url"], held[fold]) / SPAN + 0.5) * BINS, 0, BINS - 1).astype(int)
-                np.add.at(table, (part["label"].to_numpy(), at), 1)
+            label, rows = pdf["label"].to_numpy(int), pdf["n"].to_numpy(int)
+            at = np.clip((model.difference(pdf["url"], (label, rows * share[label])) / SPAN + 0.5) * BINS, 0, BINS - 1).astype(int)
+            np.add.at(table, (label, at), rows)
         yield pd.DataFrame({"bin": np.tile(np.arange(BINS), 2), "label": np.repeat([0, 1], BINS), "n": table.ravel()})
 
-    found = dealt.mapInPandas(bins, "bin int, label int, n long").groupBy("bin", "label").agg(F.sum("n").alias("n")).toPandas()
+    found = distinct.mapInPandas(bins, "bin int, label int, n long").groupBy("bin", "label").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((2, BINS))
     table[found["label"].to_numpy(int), found["bin"].to_numpy(int)] = found["n"].to_numpy(float)
     if not table[0].sum() or not table[1].sum():

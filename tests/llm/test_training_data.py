@@ -218,7 +218,7 @@ def test_url_parts_and_rules(spark):
 
 def test_url_model_matches_plain_counts():
     urls = ["abcab", "abd", "bcb"]
-    cells = next(url_filter._count(iter([pd.DataFrame({"url": [*urls, "zzz"], "label": [1, 1, 1, 0]})])))
+    cells = next(url_filter._count(iter([pd.DataFrame({"url": [*urls, "zzz"], "label": [1, 1, 1, 0], "n": 1})])))
     model = url_filter.UrlModel(url_filter.Cells(cells["cell"].to_numpy(), cells["n"].to_numpy(), url_filter.BITS))
 
     def logp(url, corpus):
@@ -243,10 +243,18 @@ def test_url_model_matches_plain_counts():
     assert model.difference(pd.Series([""]))[0] == 0
 
 
+def test_own_counts_are_left_out():
+    rows = [("abcabc", 1, 3), ("abd", 1, 1), ("zz", 0, 2)]
+    cells = lambda some: next(url_filter._count(iter([pd.DataFrame(some, columns=["url", "label", "n"])])))
+    model = lambda c: url_filter.UrlModel(url_filter.Cells(c["cell"].to_numpy(), c["n"].to_numpy(), url_filter.BITS))
+    whole, rest = model(cells(rows)), model(cells(rows[1:]))
+    assert whole.difference(pd.Series(["abcabc"]), (np.array([1]), np.array([3])))[0] == pytest.approx(rest.difference(pd.Series(["abcabc"]))[0], rel=1e-12)
+
+
 def test_url_counts_stay_exact_when_there_are_many():
     rng = random.Random(9)
     urls = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30)) for _ in range(20_000)]
-    cells = next(url_filter._count(iter([pd.DataFrame({"url": urls, "label": 1})]), url_filter.BITS))
+    cells = next(url_filter._count(iter([pd.DataFrame({"url": urls, "label": 1, "n": 1})]), url_filter.BITS))
     counts = url_filter.Cells(cells["cell"].to_numpy(), cells["n"].to_numpy(), url_filter.BITS)
     want = Counter(u[i - 5 : i + 1] for u in urls for i in range(5, len(u)))
     _, runs, contexts = url_filter._grams(pd.Series(urls[:50]), url_filter.BITS)
@@ -667,3 +675,120 @@ def test_pipeline_matches_stages_by_hand(spark):
     assert all(r["size"] == len(WORD.findall(kept[r["doc_id"]])) for r in rows)
     whole = corpus_pipeline.run(spark, DIR).collect()
     assert Counter((r["doc_id"], r["text"]) for r in whole) == Counter((r["doc_id"], r["text"]) for r in rows)
+
+
+def likeliest(word, model):
+    """The likeliest reading of a word by trying every path through its lattice."""
+    t = toxicity
+    number = not any(map(str.isalpha, word))
+    first, last = len(word) - len(word.lstrip(t.MARKS)), len(word.rstrip(t.MARKS))
+    best = (math.inf, "")
+
+    def go(i, done, cost):
+        nonlocal best
+        if i == len(word):
+            codes = [0, 0, *map(t._class, done), 0]
+            total = cost - sum(float(model[a, b, c]) for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+            best = min(best, (total, done))
+            return
+        ch = word[i]
+        own = ch.isalpha() or number and ch.isalnum()
+        options = [(ch, 0.0)] if own else []
+        options += [] if ch.isalpha() else [(x, t.SWAP) for x in t.LOOKS.get(ch, "")]
+        for letter, price in options:
+            go(i + 1, done + letter, cost + price)
+            if letter.isalpha() and done and done[-1] == letter and not (number and ch.isalnum()):
+                go(i + 1, done, cost + price + t.DROP_REPEAT)
+        if not own:
+            edge = i >= last or i < first and ch != "!"
+            go(i + 1, done, cost + (t.DROP_PART if edge or ch in t.PARTS else t.DROP_SIGN))
+
+    go(0, "", 0.0)
+    return best[1]
+
+
+def test_viterbi_finds_the_likeliest_of_all_readings():
+    rng = random.Random(17)
+    model = restorer_of(" the idiot is a loser and stupid moron trash clown " * 20).model
+    noisy = (model + np.random.default_rng(3).normal(0, 0.7, model.shape)).astype(np.float32)  # no ties
+    for _ in range(400):
+        word = "".join(rng.choice("aabeilost0135!$@.-*|#") for _ in range(rng.randrange(1, 8)))
+        assert toxicity.restore(word, noisy) == likeliest(word, noisy), word
+
+
+def test_toxicity_scores_match_plain_words(spark):
+    """The query's score is that of the most telling restored word of the whole text."""
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    restorer = toxicity.Restorer(model.letters)
+    got = {r["doc_id"]: r["score"] for r in queries()["op8_toxicity"](spark, DIR).collect()}
+    for r in docs.collect():
+        best = max([0.0, *(model.weights.get(w, 0.0) for w in toxicity.restored_words(r["text"] or "", restorer))])
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, model.slope * best + model.offset)))), rel=1e-9)
+
+
+def test_bradley_terry_weights_are_at_the_best_of_the_loss():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(120, 4))
+    y = (rows @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=120) > 0).astype(int)
+    model = quality_classifier.learn(rows, y, pairs=2_000)
+    z = (rows - rows.mean(0)) / (rows.std(0) + 1e-6)
+    draws = np.random.default_rng(1)
+    better, worse = draws.choice(np.flatnonzero(y > 0), 2_000), draws.choice(np.flatnonzero(y <= 0), 2_000)
+    loss = lambda w: np.log1p(np.exp(-(z[better] - z[worse]) @ w)).sum() + 1.5 * w @ w
+    at = loss(model.weights)
+    assert all(loss(model.weights + step) >= at - 1e-6 for step in rng.normal(0, 0.05, (200, 4)))
+    assert (np.sign(model.weights[:3]) == [1, -1, 1]).all()
+
+
+def test_quality_scores_match_plain_features(spark):
+    """Features of whole texts by plain counting, and the scores that follow."""
+
+    def plainly(text):
+        if not text:
+            return [0.0] * 15
+        words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+        n, m, c = max(1, len(words)), max(1, len(lines)), len(text)
+        most = max(Counter(words).values()) if words and len(set(words)) < n * 0.9 else 1
+        of = lambda signs: min(1.0, 20 * sum(x in signs for x in text) / c)
+        return [
+            of("#*$%&<>{}[]~^=@\\"), of("!"), of("|"), sum(w.isupper() for w in words) / n, of("0123456789"), (len(words) - 1) / c, min(1.0, text.count(".") / n * 4), min(2.0, (c - n + 1) / n / 10),
+            len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, most / n, math.log1p(len(words)) / 10, 1 - len(set(lines)) / m, sum(len(w) > 20 for w in words) / n, min(1.0, m / n * 5),
+        ]
+
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.train(docs, labels)
+    got = {r["doc_id"]: r for r in queries()["op9_quality_classifier"](spark, DIR).collect()}
+    utility = {r["doc_id"]: float((np.array(plainly(r["text"])) - model.mean) / model.scale @ model.weights) for r in docs.collect()}
+    for i, u in utility.items():
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, model.slope * u + model.offset)))), rel=1e-6)
+    assert 0.88 <= sum(r["kept"] for r in got.values()) / len(got) <= 0.92
+
+
+def test_language_votes_match_plain_counting(spark):
+    """The query's languages by hashing runs of letters and voting pair by pair in plain code."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    model = language_id.train(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in queries()["op10_language_id"](spark, DIR).collect()}
+    for r in docs.limit(60).collect():
+        text = "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower())
+        if not text.strip():
+            assert got[r["doc_id"]] == "und"
+            continue
+        codes = [32, *[ord(c) for c in re.sub(" +", " ", text).strip(" ")], 32]
+        m, bins = (1 << 32) - 1, Counter()
+        one = [c * 2654435761 & m for c in codes]
+        two = [((a ^ a >> 15) * 0x85EBCA6B + b) & m for a, b in zip(one, one[1:])]
+        three = [((a ^ a >> 13) * 0xC2B2AE35 + b) & m for a, b in zip(two, one[2:])]
+        bins.update([a >> 21 for a in one] + [(a * 0x9E3779B1 & m) >> 21 for a in two + three])
+        x = np.zeros(language_id.DIMENSIONS + 1)
+        for k, n in bins.items():
+            x[k] = math.sqrt(n)
+        x[:-1] /= np.linalg.norm(x[:-1])
+        x[-1] = 1
+        family = model.families[int(np.argmax(model.family_weights @ x))]
+        votes = Counter({code: 0 for code in model.languages[family]})
+        for (a, b), w in model.pair_weights.items():
+            if a in votes:
+                votes[a if w @ x > 0 else b] += 1
+        assert votes[got[r["doc_id"]]] == max(votes.values())
