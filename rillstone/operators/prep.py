@@ -88,8 +88,8 @@ def needs_analysis(given: DataFrame) -> DataFrame:
 
 def open_totals(questions: DataFrame, answers: DataFrame, project_rules: DataFrame) -> DataFrame:
     """One row: questions still open, and project rules that are enabled."""
-    rules = project_rules.agg(F.count_if("enabled").alias("enabled_rules"))
-    return unanswered(questions, answers).agg(F.count("*").alias("open_questions")).join(rules)
+    counted = unanswered(questions, answers).select(F.lit(1).alias("q"), F.lit(0).alias("r")).unionByName(project_rules.where("enabled").select(F.lit(0).alias("q"), F.lit(1).alias("r")))
+    return counted.agg(F.coalesce(F.sum("q"), F.lit(0)).alias("open_questions"), F.coalesce(F.sum("r"), F.lit(0)).alias("enabled_rules"))
 
 
 def in_order(questions: DataFrame, order: str = "seq") -> DataFrame:
