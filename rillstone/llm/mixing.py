@@ -47,12 +47,12 @@ def source_targets(sized: DataFrame, source: str, size: str, weights: Sequence[f
     ranked = running(of, [F.col("src").asc_nulls_last()], {"nth": F.lit(1)}).withColumn("weight", weight)
     fills = [(F.col("source_size") / F.col("weight")).asc(), F.col("nth").asc()]
     filled = cut(running(ranked, fills, {"size_before": F.col("source_size"), "weight_before": F.when(F.col("source_size") > 0, F.col("weight")).otherwise(F.lit(0.0))}))
-    total = filled.agg(F.sum("source_size").alias("all_size"), F.sum(F.when(F.col("source_size") > 0, F.col("weight"))).alias("all_weight"))
-    unit = (F.lit(float(share)) * F.col("all_size") - F.lit(float(most)) * F.col("size_before")) / (F.col("all_weight") - F.col("weight_before"))
-    # one row of totals, and one of the greatest unit
-    unit_of = filled.where(F.col("source_size") > 0).join(F.broadcast(total)).agg(F.max(unit).alias("unit"))
-    target = F.when(F.col("source_size") > 0, F.least(F.col("weight") * F.col("unit"), F.lit(float(most)) * F.col("source_size"))).otherwise(F.lit(0.0))
-    return filled.join(F.broadcast(unit_of)).select("src", "source_size", target.alias("target"))
+    some = filled.where(F.col("source_size") > 0)
+    total = some.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    left = F.lit(float(share)) * F.lit(total["size"] or 0) - F.lit(float(most)) * F.col("size_before")
+    unit = some.agg(F.max(left / (F.lit(total["weight"] or 1.0) - F.col("weight_before"))).alias("unit")).first()["unit"]
+    target = F.when(F.col("source_size") > 0, F.least(F.col("weight") * F.lit(unit or 0.0), F.lit(float(most)) * F.col("source_size"))).otherwise(F.lit(0.0))
+    return filled.select("src", "source_size", target.alias("target"))
 
 
 def mix(
