@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_hash, canonical_json, category_of, last_segment
-from ..functions.lineage import cut
 
 DEPTH = 8
 #: Methods of a router that register a handler.
@@ -41,38 +38,36 @@ def walk(entries: DataFrame, callees: DataFrame, answers: DataFrame | None = Non
     """One row an entry: the nodes of its path, whether it ended in a cycle and where, and the callers that branch.
 
     ``answers`` (entry, caller, choice) says which callee to follow, if it is still one
-    of the candidates. At most ``depth`` joins, each of the walks that are still open
-    with the callers; every step is written, since both those that go on and those that end are read from it.
+    of the candidates. At most ``depth`` joins, each of the walks with the callers; a walk that has ended matches none.
     """
     state = entries.select(F.col("node_identity").alias("entry")).distinct().select(
         "entry", F.col("entry").alias("cursor"), F.array().cast("array<string>").alias("nodes"), F.lit(None).cast("int").alias("cycle_at"), F.lit(0).alias("max_depth"),
         F.array().cast("array<struct<caller:string,candidates:array<string>>>").alias("branches"),
     )
-    ended = []
+    callees = callees.withColumnRenamed("caller", "_at")
     for position in range(depth):
         seen = F.array_position("nodes", F.col("cursor"))
-        stepped = state.join(callees.withColumnRenamed("caller", "cursor"), "cursor", "left")
+        # a walk that has ended finds nothing under its own name, which no other shares: nulls would all meet in one task
+        key = F.coalesce("cursor", F.concat(F.lit("\0"), "entry"))
+        stepped = state.withColumn("_at", key).join(callees, "_at", "left")
         if answers is not None:
             asked = answers.select("entry", F.col("caller").alias("cursor"), "choice")
             stepped = stepped.join(asked, ["entry", "cursor"], "left")
             choice = F.when(F.array_contains("callees", F.col("choice")), F.col("choice")).otherwise(F.get("callees", F.lit(0)))
         else:
             choice = F.get("callees", F.lit(0))
-        again = seen > 0
+        open_, again = F.col("cursor").isNotNull(), F.coalesce(seen > 0, F.lit(False))
+        new = open_ & ~again
         state = stepped.select(
             "entry",
-            F.when(~again, choice).alias("cursor"),
-            F.when(~again, F.concat("nodes", F.array("cursor"))).otherwise(F.col("nodes")).alias("nodes"),
-            F.when(again, (seen - 1).cast("int")).alias("cycle_at"),
-            F.lit(position).alias("max_depth"),
-            F.when(~again & (F.size("callees") > 1), F.concat("branches", F.array(F.struct(F.col("cursor").alias("caller"), F.col("callees").alias("candidates")))))
+            F.when(new, choice).alias("cursor"),
+            F.when(new, F.concat("nodes", F.array("cursor"))).otherwise(F.col("nodes")).alias("nodes"),
+            F.when(open_ & again, (seen - 1).cast("int")).otherwise(F.col("cycle_at")).alias("cycle_at"),
+            F.when(open_, F.lit(position)).otherwise(F.col("max_depth")).alias("max_depth"),
+            F.when(new & (F.size("callees") > 1), F.concat("branches", F.array(F.struct(F.col("cursor").alias("caller"), F.col("callees").alias("candidates")))))
             .otherwise(F.col("branches")).alias("branches"),
         )
-        # walks that have ended are joined no more
-        state = cut(state)
-        ended.append(state.where(F.col("cursor").isNull()))
-        state = state.where(F.col("cursor").isNotNull())
-    return reduce(DataFrame.unionByName, [*ended, state]).drop("cursor")
+    return state.drop("cursor")
 
 
 def paths_of(walked: DataFrame) -> DataFrame:
