@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,9 +54,9 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("high"), F.xxhash64(F.lit(1), *parts[::-1]).alias("low"))
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with as many underscores before it as it takes to be no column of ``df``, in either case."""
-    taken, found = {c.lower() for c in df.columns}, []
+def unused(df: DataFrame, *names: str, also: Iterable[str] = ()) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of ``df`` and none of ``also``, in either case."""
+    taken, found = {c.lower() for c in [*df.columns, *also]}, []
     for name in names:
         while name.lower() in taken:
             name = "_" + name

@@ -17,6 +17,16 @@ def place(doc_id: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(11), doc_id), 11) / F.lit(float(1 << 53))
 
 
+def _limit(counts: list[tuple[int, int]], near: float, most: int, bins: int) -> float:
+    """The place up to which counts by bin, of places from 0 to ``near``, are at most ``most``."""
+    total = 0
+    for at, n in sorted(counts):
+        if total and total + n > most:
+            return near * at / bins
+        total += n
+    return near
+
+
 def place_limits(ids: DataFrame, most: int, bins: int = 4096) -> DataFrame:
     """Columns group and limit for rows (group, id): ids whose place is below their group's limit are at most ``most``, shared evenly.
 
@@ -32,26 +42,22 @@ def place_limits(ids: DataFrame, most: int, bins: int = 4096) -> DataFrame:
     counted: dict = {}
     for r in there.groupBy("group", F.floor(F.col("at") / F.col("near") * bins).alias("bin")).agg(F.count("*").alias("n")).collect():
         counted.setdefault(r["group"], []).append((r["bin"], r["n"]))
-    limits = []
-    for group, found in counted.items():
-        total, limit = 0, near[group]
-        for at, n in sorted(found):
-            if total and total + n > each:
-                limit = near[group] * at / bins
-                break
-            total += n
-        limits.append((group, limit))
-    return spark.createDataFrame(limits, f"group {kind}, limit double")
-
-
-def bounded_sample(labels: DataFrame, doc_id: str, label: str, most: int, held: Column) -> DataFrame:
+    return spark.createDataFrame([(g, _limit(found, near[g], each, bins)) for g, found in counted.items()], f"group {kind}, limit double")
+
+
+def bounded_sample(labels: DataFrame, doc_id: str, label: str, most: int, held: Column, bins: int = 4096) -> DataFrame:
     """Id and label of at most ``most`` labelled rows outside the held-out fold, first by hash of the id.
 
-    Its size is bounded by ``most``, so it can be broadcast. An id with several labels counts as its greatest.
+    Its size is bounded by ``most``, so it can be broadcast. An id with several labels counts as its greatest. What
+    passes the driver is a number, and counts of about twice ``most`` ids by place.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
-    limit = place_limits(known.select(F.lit(0).alias("group"), F.col("_id").alias("id")), most).first()
-    return known.where(place(F.col("_id")) < F.lit(limit["limit"] if limit else 0.0)).groupBy("_id").agg(F.max("_label").alias("_label"))
+    n = known.agg(F.approx_count_distinct("_id").alias("n")).first()["n"]
+    near = min(1.0, 2 * most / max(1, n))
+    there = known.select(place(F.col("_id")).alias("at")).where(F.col("at") < near).distinct()
+    counts = there.groupBy(F.floor(F.col("at") / near * bins).alias("bin")).agg(F.count("*").alias("n")).collect()
+    limit = _limit([tuple(r) for r in counts], near, most, bins)
+    return known.where(place(F.col("_id")) < limit).groupBy("_id").agg(F.max("_label").alias("_label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

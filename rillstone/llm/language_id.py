@@ -183,5 +183,5 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
             scores.append(b)
         return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores) if scores else []})
 
-    (found,) = unused(docs, "_found")
+    (found,) = unused(docs, "_found", also=[f"{prefix}lang_pred", f"{prefix}score"])
     return docs.withColumn(found, predict(F.col(text))).withColumns({prefix + x: F.col(found)[x] for x in ("lang_pred", "score")}).drop(found)

@@ -29,6 +29,8 @@ from .common import SPACE, cut, running, unused
 
 #: Parts into which equal sizes of one source are dealt, so that no source or size is one task's work.
 SALTS = 256
+#: What the outputs of ``mix`` are called.
+OUTPUTS = ("source_size", "target", "copies", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -75,7 +77,7 @@ def mix(
     ``slim``: the same documents with columns doc_id, source and size only, where reading them
     again from ``sized`` would be dear.
     """
-    made = unused(sized, "_src", "_class", "_salt", "_order", "_row", "_place", "_size", "_target", "_copies", "_start")
+    made = unused(sized, "_src", "_class", "_salt", "_order", "_row", "_place", "_size", "_target", "_copies", "_start", also=[prefix + x for x in OUTPUTS])
     src, kind, salt, order, row, place, source_size, target, copies, start = made
     cell = [src, kind, salt]
 

@@ -110,7 +110,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", pref
     def utility(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.utility([t or "" for t in texts]))
 
-    (raw,) = unused(docs, "_utility")
+    (raw,) = unused(docs, "_utility", also=[f"{prefix}utility", f"{prefix}score"])
     line = F.lit(model.slope) * F.col(raw) + F.lit(model.offset)
     score = 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(40.0)), F.lit(-40.0))))
     return docs.withColumn(raw, utility(F.col(text))).withColumns({f"{prefix}utility": F.col(raw), f"{prefix}score": score}).drop(raw)

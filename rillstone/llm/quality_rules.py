@@ -109,7 +109,7 @@ def apply_quality_rules(df: DataFrame, text: str = "text", rules: QualityRules =
     real = lambda line: line.rlike(f"[^{SPACE}]")
     size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     body, long = F.coalesce(F.col(text), F.lit("")), lambda n: n.cast("long")
-    made = unused(df, *[f"_{x}" for x in ("words", "lines", "real", "clean", *OUTPUTS)])
+    made = unused(df, *[f"_{x}" for x in ("words", "lines", "real", "clean", *OUTPUTS)], also=[prefix + x for x in OUTPUTS])
     word_list, lines, filled, clean, *outputs = made
     out = dict(zip(OUTPUTS, outputs, strict=True))
     found = (

@@ -38,6 +38,8 @@ STRENGTH = 2.0
 BINS, SPAN = 400, 4.0
 #: (verdict, host and path)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+#: What the outputs of ``judge_urls`` are called.
+OUTPUTS = ("host", "path", "rule", "score", "verdict")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -201,7 +203,7 @@ def train_url_model(labelled: DataFrame) -> UrlModel:
 
 def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, prefix: str = "") -> DataFrame:
     """Adds host, path, rule, score (probability of being accepted, by the method alone) and verdict, each after ``prefix``."""
-    made = unused(pages, "_host", "_path", "_ruled", "_score")
+    made = unused(pages, "_host", "_path", "_ruled", "_score", also=[prefix + x for x in OUTPUTS])
     host, path, rule, score = made
     parts = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
     ruled = parts.withColumn(rule, rule_of(F.col(host), F.col(path), rules))

@@ -575,10 +575,21 @@ def test_odd_rows_everywhere(spark, empty):
     assert url_filter.judge_urls(urls, prefix="my_").where("host = 7 AND my_host = ''").count() == n
 
 
-def test_outputs_set_apart_leave_every_column(spark):
+@pytest.mark.parametrize("prefix", ["my_", "_", "__"])
+def test_outputs_set_apart_leave_every_column(spark, prefix):
+    bare = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in ODD], DOCS)
+    zero = toxicity.ToxicityModel(np.zeros((64, 64, 64)), {}, 0.0, 0.0)
+    for df in (bare, bare.withColumn("my_kept", F.lit(7))) if prefix == "my_" else (bare,):
+        for found, names in (
+            (quality_rules.apply_quality_rules(df, prefix=prefix), quality_rules.OUTPUTS), (mixing.mix(df.withColumn("size", mixing.word_count(F.col("text"))), prefix=prefix), mixing.OUTPUTS),
+            (toxicity.score_toxicity(df, zero, prefix=prefix), ["score"]), (url_filter.judge_urls(df, "text", prefix=prefix), url_filter.OUTPUTS),
+            (language_id.identify_languages(df, language_id.train(df), prefix=prefix), ["lang_pred", "score"]),
+            (quality_classifier.score_quality(df, quality_classifier.learn(np.zeros((0, 15)), np.zeros(0)), prefix=prefix), ["utility", "score"]),
+        ):
+            added = [c for c in found.columns if c not in df.columns and c != "size"]
+            assert sorted(set(added) | {"my_kept"}) == sorted({prefix + n for n in names} | {"my_kept"}) and found.count() == len(ODD)
     df = odd(spark)
-    for found in (quality_rules.apply_quality_rules(df, prefix="my_"), mixing.mix(df, prefix="my_"), toxicity.score_toxicity(df, toxicity.ToxicityModel(np.zeros((64, 64, 64)), {}, 0.0, 0.0), prefix="my_")):
-        assert unharmed(found) and any(c.startswith("my_") for c in found.columns)
+    assert unharmed(quality_rules.apply_quality_rules(df, prefix="my_")) and unharmed(mixing.mix(df, prefix="my_"))
 
 
 def test_very_long_texts(spark):
@@ -659,8 +670,9 @@ def test_pipeline_matches_stages_by_hand(spark):
     scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, toxicity.train(docs, spark.read.parquet(f"{DIR}/labels.parquet"))).collect()}
     docs, kept = after("toxicity", docs)
     assert kept == {i: t for i, t in before.items() if scores[i] < 0.3} and 0 < len(kept) < len(before)
-    plainly = [i for i, t in before.items() if re.search(r"\b(idiot|moron|loser|pathetic|worthless|scum)\b", t.lower())]
-    assert plainly and not set(plainly) & set(kept)
+    said = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
+    toxic, fine = ([i for i in before if said.get(i) == y] for y in (1, 0))
+    assert toxic and sum(i not in kept for i in toxic) >= 0.8 * len(toxic) and sum(i in kept for i in fine) >= 0.95 * len(fine)
     classes_, before = classes(list(kept.items())), kept
     docs, kept = after("minhash_near_dedup", docs)
     assert set(kept) == set(classes_.values()) and all(before[i] == t for i, t in kept.items())
