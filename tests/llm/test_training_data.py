@@ -599,11 +599,11 @@ def test_very_long_texts(spark):
     texts = ["x" * 1_000_000, " " * 1_000_000, "\n" * 1_000_000, "ab " * 300_000, prose_, prose_ + " end", "short text of a few words"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")})
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(7)], "doc_id long, quality int, toxic int")
-    items = spark.createDataFrame([(1, " ".join(prose_.split()[-40:])), (2, "ab ab ab ab ab ab")], "item_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(prose_.split()[-40:]))], "item_id long, text string")
     judged = {r["doc_id"]: r for r in quality_rules.apply_quality_rules(df).drop("text", "clean_text").collect()}
     assert [judged[i]["n_words"] for i in range(7)] == [1, 0, 0, 300_000, 150_000, 150_001, 6]
     assert [judged[i]["n_repeat_words"] for i in (3, 4, 6)] == [300_000, repeated(texts[4].split()), 0]
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, items).collect()} == {(3, 2), (4, 1), (5, 1)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, items).collect()} == {(4, 1), (5, 1)}
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6}
     assert mixing.mix(mixing.sized_documents(df)).agg(F.sum("size")).first()[0] == sum(len(t.split()) for t in texts)
@@ -611,7 +611,7 @@ def test_very_long_texts(spark):
     assert quality_classifier.score_quality(df, quality_classifier.train(df, labels)).where("score between 0 and 1").count() == 7
     assert language_id.identify_languages(df, language_id.train(df)).where("lang_pred = 'en'").count() == 5
     counted = {r["doc_id"]: (r["n"], r["m"]) for r in token_counts.count_tokens(df).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("m")).collect()}
-    assert counted[1][0] == 1 and counted[2][0] == 1_000_001 and counted[0][1] == 250_000 and min(m for _, m in counted.values()) > 0
+    assert counted[1][0] == 1 and counted[2][0] == 1_000_001 and counted[0][1] == 125_000 and min(m for _, m in counted.values()) > 0
     urls = df.withColumn("url", F.concat(F.lit("https://Host.com/"), "text"))
     assert url_filter.judge_urls(urls).where("host = 'host.com' AND rule = 'com/'").count() == 7
     turns = df.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text")
