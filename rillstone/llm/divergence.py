@@ -38,6 +38,8 @@ from .common import cut, ship
 LEAST, BEST = 10, 10
 #: Entries (term and source) of a table that is put out; bytes of text that are cut into terms at once.
 ENTRIES, PIECE = 400_000, 1 << 20
+#: Kept terms of a language in one of its shares, or so: each share puts out a row for each pair of sources.
+TERMS = 20_000
 #: Numbers in a block of stripes spread over all sources.
 CELLS = 1 << 20
 #: What is no letter of A-Z or a-z and below 128 parts terms; A-Z become a-z. Bytes of longer characters stay.
@@ -269,19 +271,19 @@ def divergences(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     that the source has more of than its language."""
     if best > BEST:
         raise ValueError(f"at most {BEST} terms a source")
-    spark = docs.sparkSession
     stripes = cut(merged_stripes(docs, lang, source, text, least))
     groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]).distinct()
     counted = stripes.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
     of_lang = groups.join(counted, ["lang", "source"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("of"))
-    kept = stripes.groupBy("lang").agg(F.count("*").alias("df"))
+    kept = stripes.groupBy("lang").agg(F.count("*").alias("df")).withColumn("shares", F.ceil(F.col("df") / TERMS).cast("int"))
     # every share of a language's stripes begins with a row of its totals: the number of kept terms, the sources, their counts
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares_of = F.coalesce("shares", F.lit(1))
     totals = of_lang.join(kept, "lang", "left").select(
         "lang", F.lit(None).cast("string").alias("term"), F.coalesce("df", F.lit(0)).alias("df"), F.col("of.source").alias("sources"), F.col("of.n").alias("counts"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("share"),
+        F.explode(F.sequence(F.lit(0), shares_of - 1)).alias("share"),
     )
-    every = stripes.withColumn("share", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).unionByName(totals)
+    dealt = stripes.join(kept.select("lang", "shares"), "lang").withColumn("share", F.pmod(F.xxhash64("term"), F.col("shares")).cast("int"))
+    every = dealt.select(totals.columns).unionByName(totals)
     emitted = every.repartition("share", "lang").sortWithinPartitions("share", "lang", F.col("term").isNotNull()).drop("share").mapInArrow(emit, EMITTED)
     summed = emitted.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     rank = F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
