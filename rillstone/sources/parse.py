@@ -1,15 +1,14 @@
-"""JavaScript and TypeScript source parsed by Spark: tokens as rows, structure by windows over each file's tokens.
-
-A regular expression cuts a file into tokens; running sums over a file give the
-depth of brackets, and pairs of brackets are found by depth. Functions,
-imports, exports and calls are then patterns over neighbouring tokens, and each
-call belongs to the innermost function around it, by an interval join.
-
-Subset: top-level functions, variables set to arrow functions, function expressions
-or calls, class methods, named function expressions; ES imports and exports. JSX text
-and templates within templates are not told apart from code, so files with them may
-lose or gain calls; a call's line is that of its name. ``unbalanced`` names the files
-whose brackets don't match.
+"""JavaScript and TypeScript source parsed by Spark: tokens as rows, structure by windows and joins over each file's tokens.
+
+The lexer cuts files into tokens and pairs their brackets. Functions, variables, methods, imports and exports are then
+patterns over tokens of one bracket, found by windows along it, and the functions around a call are an array of nested
+spans: a running sum of what begins and ends gives the level of each call, and the innermost span is the last one that
+began at this level. All of it takes time in proportion to the tokens of a file, but for the sorting.
+
+Subset: top-level functions, top-level variables set to arrow functions, function expressions or calls, methods of
+top-level classes, named function expressions anywhere; ES imports and exports; JSX in all files but TypeScript without
+``x``. Where a statement ends without a semicolon is told from the line break and the tokens beside it. ``unbalanced``
+names the files whose brackets don't match.
 """
 
 from __future__ import annotations
@@ -22,21 +21,17 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import language_of, node_identity, normal_source
 from ..functions.lineage import cut
+from ..functions.shipping import ship
+from .lexer import BEFORE_EXPRESSIONS, GOES_ON, MODIFIERS, SCHEMA, lex
 
-#: Comments, strings, templates, regular expressions, names, numbers, arrows and single signs; white space is left out.
-TOKEN = (
-    r"(?s)//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`"
-    r"|(?<=(?:[(,=:\[!&|?{};]|\breturn)\s{0,8})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
-    r"|[\p{L}_$][\p{L}\p{N}_$]*|\p{N}[\w.]*|=>|\.\.\.|[^\s\w]"
-)
-#: Code inside a template, or what stands between.
-TEMPLATE = r"(?s)\$\{[^{}`]*\}|(?:(?!\$\{[^{}`]*\}).)+"
-NAME = r"^[\p{L}_$][\p{L}\p{N}_$]*$"
-#: Words before a bracket that are not calls, and words that are calls without a name.
-NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "async", "constructor", "new", "of", "in")
-NAMELESS = ("super", "import")
-#: Tokens looked back over for the name before type arguments.
-BACK = 32
+NAME = r"^#?[\p{L}_$][\p{L}\p{N}_$]*$"
+CLOSERS = (")", "]", "}", "`}", "jsx>")
+#: After these a function or class is an expression.
+EXPRESSION = ("=", "(", "[", ",", "?", ":", "=>", "&&", "||", "??", "!", "~", "+", "-", "...", "${", "<{", *sorted(BEFORE_EXPRESSIONS - {"do", "else", "default", "extends", "of"}))
+#: After these a brace opens a type.
+TYPES = (":", "|", "&", "=>", "is", "keyof", "extends", "readonly")
+#: Words that are no operand of a chain of members and calls.
+NOT_OPERANDS = ("await", "async", "function", "typeof", "void", "delete", "yield", "class", "new", "in", "of", "instanceof", "as", "satisfies")
 
 
 @dataclass(frozen=True)
@@ -49,28 +44,9 @@ class Parsed:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """A row for each token that is not a comment: its order in the file, text, size, line, place, depth before it, and the bracket that holds it.
-
-    Places are running sums of the lengths of what was cut, so nothing is searched for twice. The bracket is not known of opening brackets themselves.
-    """
-    cut_up = lambda text: F.regexp_extract_all(text, F.lit(TOKEN + r"|\s+"), F.lit(0))
-    as_is = lambda t: F.struct(t.alias("t"), t.alias("text"))
-    # a template with code becomes its code, and a mark for each text between
-    code = lambda part: F.when(part.startswith("${"), F.transform(cut_up(F.substr(part, F.lit(2))), as_is)).otherwise(F.array(F.struct(F.lit("`").alias("t"), part.alias("text"))))
-    opened = lambda part: F.when(part.startswith("${"), F.concat(F.array(F.struct(F.lit("`").alias("t"), F.lit("$").alias("text"))), code(part))).otherwise(code(part))
-    template = lambda t: F.flatten(F.transform(F.regexp_extract_all(t, F.lit(TEMPLATE), F.lit(0)), opened))
-    pieces = F.flatten(F.transform(cut_up(F.col("content")), lambda t: F.when(t.startswith("`") & F.contains(t, F.lit("${")), template(t)).otherwise(F.array(as_is(t)))))
-    rows = files.select("path", "file_ord", F.posexplode(pieces).alias("ord", "piece")).select("path", "file_ord", "ord", "piece.*")
-    before = W.partitionBy("path").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    opens = F.when(F.col("t").isin("{", "(", "["), 1).when(F.col("t").isin("}", ")", "]"), -1).otherwise(0)
-    none = lambda c: F.coalesce(c, F.lit(0)).cast("int")
-    placed = rows.withColumns({"place": none(F.sum(F.length("text")).over(before)), "line": none(F.sum(lines).over(before)) + 1, "depth": none(F.sum(opens).over(before))})
-    bare = placed.where(~F.col("t").rlike(r"^\s") & ~F.col("t").startswith("//") & ~F.col("t").startswith("/*"))
-    # the bracket around a token is the last one opened a level above it
-    level = F.when(F.col("t").isin("{", "(", "["), F.col("depth") + 1).otherwise(F.col("depth"))
-    around = F.last(F.when(F.col("t").isin("{", "(", "["), F.col("ord")), ignorenulls=True).over(W.partitionBy("path", "level").orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
-    return bare.withColumn("level", level).withColumn("within", around).withColumn("size", F.length("text")).drop("level", "text")
+    """A row for each token that is neither comment nor white space, as ``lexer.Lexer`` describes it."""
+    ship(files.sparkSession)
+    return files.select("path", "file_ord", "content").mapInArrow(lex, SCHEMA)
 
 
 def _around(toks: DataFrame, back: int = 4, ahead: int = 8) -> DataFrame:
@@ -80,135 +56,193 @@ def _around(toks: DataFrame, back: int = 4, ahead: int = 8) -> DataFrame:
     return toks.withColumns(near)
 
 
-def _closing(toks: DataFrame) -> DataFrame:
-    """Each opening bracket's order and that of the bracket which closes it."""
-    opening = F.col("t").isin("{", "(", "[")
-    closing = F.col("t").isin("}", ")", "]")
-    level = F.when(opening, F.col("depth") + 1).otherwise(F.col("depth"))
-    pairs = toks.where(opening | closing).withColumn("level", level)
-    after = W.partitionBy("path", "level").orderBy("ord")
-    shut = pairs.withColumns({"close_ord": F.lead("ord").over(after), "close_place": F.lead("place").over(after), "close_line": F.lead("line").over(after)})
-    return shut.where(opening).select("path", F.col("ord").alias("open_ord"), F.col("t").alias("bracket"), "close_ord", "close_place", "close_line")
-
-
 def unbalanced(files: DataFrame) -> DataFrame:
-    last = tokens(files).withColumn("step", F.when(F.col("t").isin("{", "(", "["), 1).when(F.col("t").isin("}", ")", "]"), -1).otherwise(0))
-    return last.groupBy("path").agg(F.sum("step").alias("left"), F.min(F.col("depth") + F.least("step", F.lit(0))).alias("low")).where((F.col("left") != 0) | (F.col("low") < 0)).select("path")
-
-
-def _next(toks: DataFrame, condition: Column, value: Column, keys: list[str]) -> Column:
-    """The value at the nearest later token of the keys that meets a condition."""
-    after = W.partitionBy(*keys).orderBy(F.col("ord").desc()).rowsBetween(W.unboundedPreceding, -1)
-    return F.last(F.when(condition, value), ignorenulls=True).over(after)
-
+    brackets = ("(", "[", "{", "`{", "${", "<jsx", "<{", *CLOSERS)
+    return tokens(files).where(F.col("t").isin(*brackets) & F.col("pair").isNull()).select("path").distinct()
+
+
+def _none(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _spot(**fields: Column | str) -> Column:
+    return F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])
+
+
+#: What is known of a symbol: its place among others of its name, where it stands, and where its parameters and the type of its result do.
+_SYMBOL = (
+    "path", "symbol", "exported", "rank", "start_ord", "start_place", "start_line", "end_ord", "end_place", "end_line",
+    "signed", "lone", "params_ord", "params_place", "params_end", "type_end", "name_place", "name_end",
+)
+
+
+def _symbol(df: DataFrame, **fields: Column | str) -> DataFrame:
+    """Rows of symbols. ``start``, ``end``: tokens; ``params``: the opening bracket of parameters; others as they are called."""
+    given = {k: F.col(v) if isinstance(v, str) else v for k, v in fields.items()}
+    start, end, params = given.pop("start"), given.pop("end"), given.pop("params")
+    given |= {f"start_{k}": start[k] for k in ("ord", "place", "line")} | {"end_ord": F.coalesce(end["pair"], end["ord"]), "end_place": end["end_place"], "end_line": end["end_line"]}
+    given |= {"params_ord": params["ord"], "params_place": params["place"], "params_end": params["end_place"]}
+    unknown = {"lone": "string", "name_place": "int", "name_end": "int"}
+    given = {k: F.lit(None).cast(kind) for k, kind in unknown.items() if k not in df.columns} | given
+    return df.select(*[given[c].alias(c) if c in given else F.col(c) for c in _SYMBOL])
+
+
+_TOKEN = ("ord", "t", "angle", "pair", "place", "end_place", "line", "end_line", "decorator")
+
+
+def _functions(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Functions that are declared at the top or are named expressions, and classes at the top with their braces."""
+    token = F.struct(*_TOKEN)
+    # the nearest later tokens of the bracket that a token stands in
+    later = W.partitionBy("path", "within").orderBy(F.col("ord").desc()).rowsBetween(W.unboundedPreceding, -1)
+    nearest = lambda condition: F.last(F.when(condition, token), ignorenulls=True).over(later)
+    flat, brace = F.col("angle") == 0, F.col("t") == "{"
+    ends = F.col("t").isin(";", "function", "class", "export", "import")
+    ahead = near.withColumns({"params": nearest(flat & (F.col("t") == "(")), "body": nearest(flat & brace & ~_none(F.col("b1").isin(*TYPES))), "halt": nearest(ends)})
+    modifier = lambda c: F.when(_none(F.col(c[0]) == c[1]), 1).otherwise(0)
+    own = ahead.where(F.col("t").isin("function", "class") & ~_none(F.col("b1").isin(".", "?.")))
+    led = F.when(F.col("t") == "function", modifier(("b1", "async"))).otherwise(modifier(("b1", "abstract")))
+    own = own.withColumn("led", led).withColumn("before", F.when(F.col("led") == 1, F.col("b2")).otherwise(F.col("b1"))).withColumn("before2", F.when(F.col("led") == 1, F.col("b3")).otherwise(F.col("b2")))
+    own = own.withColumn("first_stop", F.when(F.col("led") == 1, F.col("b1_stop")).otherwise(F.col("stop")))
+    expression = _none(F.col("before").isin(*EXPRESSION)) & ~_none(F.col("first_stop"))
+    name = F.when(F.col("a1").rlike(NAME) & ~F.col("a1").isin("extends", "implements"), F.col("a1")).when((F.col("a1") == "*") & F.col("a2").rlike(NAME), F.col("a2"))
+    default = _none(F.col("before") == "default")
+    marked = default.cast("int") + _none(F.col("before").isin("export", "declare") | (default & (F.col("before2") == "export"))).cast("int")
+    own = own.withColumns({
+        "expression": expression, "own_name": name, "top": (F.col("depth") == 0) & ~expression, "exported": default | _none(F.col("before") == "export"),
+        "first_ord": (F.col("ord") - F.col("led") - F.when(expression, 0).otherwise(marked)).cast("int"),
+    })
+    there = F.col("body").isNotNull() & (F.col("halt").isNull() | (F.col("halt.ord") > F.col("body.ord")))
+    firsts = near.select("path", F.col("ord").alias("first_ord"), _spot(ord="ord", place="place", line="line").alias("start"))
+    wanted = own.where(there & (F.col("t") == "function") & (F.col("top") | (F.col("expression") & F.col("own_name").isNotNull()))).join(firsts, ["path", "first_ord"])
+    functions = _symbol(
+        wanted, symbol=F.coalesce("own_name", F.lit("<anonymous>")), exported=F.col("exported") & F.col("top"), rank=F.when(F.col("top"), 0).otherwise(3), start="start", end="body",
+        signed=F.lit(True), params="params", type_end=F.col("body.place"),
+    )
+    classes = own.where(there & (F.col("t") == "class") & F.col("top") & F.col("own_name").isNotNull()).select("path", F.col("own_name").alias("holder"), F.col("body.ord").alias("within"))
+    return functions, classes
+
+
+def _methods(near: DataFrame, classes: DataFrame) -> DataFrame:
+    """Methods of classes, without constructors and accessors: a name and a bracket after modifiers alone, with a body."""
+    held = near.where(~F.col("t").isin(*CLOSERS)).join(classes, ["path", "within"])
+    order = W.partitionBy("path", "within").orderBy("ord")
+    before, t = F.lag("t").over(order), F.col("t")
+    after_body = (before == "{") & (~t.isin(*sorted(GOES_ON)) | (t == "*") | ((t == "[") & F.col("fresh")))
+    begins = before.isNull() | (before == ";") | after_body | (F.col("stop") & ~_none(F.lag("decorator").over(order)))
+    members = held.withColumn("nth", F.sum(F.when(begins, 1).otherwise(0)).over(order)).groupBy("path", "within", "holder", "nth").agg(F.sort_array(F.collect_list(F.struct(*_TOKEN))).alias("every"))
+    items = F.filter("every", lambda x: ~x["decorator"] & (x["angle"] == 0) & (x["t"] != ";"))
+    at = F.array_position(F.transform("items", lambda x: x["t"]), "(").cast("int")  # from 1
+    members = members.withColumn("items", items).withColumn("at", at).where(F.col("at") > 1)
+    members = members.withColumn("name_at", F.when(F.get("items", F.col("at") - 2)["t"] == "?", F.col("at") - 2).otherwise(F.col("at") - 1)).where(F.col("name_at") > 0)
+    bodies = F.filter(F.sequence(F.col("at"), F.size("items")), lambda j: (F.get("items", j)["t"] == "{") & ~F.get("items", j - 1)["t"].isin(*TYPES))
+    members = members.withColumns({"own": F.get("items", F.col("name_at") - 1), "mods": F.transform(F.slice("items", F.lit(1), F.greatest(F.col("name_at") - 1, F.lit(0))), lambda x: x["t"]), "body": F.get("items", F.get(bodies, F.lit(0)))})
+    own = F.col("own.t")
+    plain = F.forall("mods", lambda m: m.isin(*sorted(MODIFIERS), "*")) & ~F.arrays_overlap("mods", F.array(F.lit("get"), F.lit("set"))) & (own != "constructor") & (own.rlike(NAME) | own.rlike(r"^['\"\[0-9]"))
+    last = F.element_at("items", -1)
+    found = members.where(plain & (F.col("body").isNotNull() | F.array_contains("mods", "abstract"))).withColumns({"first": F.get("every", F.lit(0)), "params": F.get("items", F.col("at") - 1), "end": F.coalesce("body", last)})
+    return _symbol(
+        found, symbol=F.concat_ws(".", "holder", own), exported=F.lit(False), rank=F.lit(2), start="first", end="end", signed=F.lit(True), params="params", type_end=F.coalesce("body.place", last["end_place"]),
+        name_place=F.when(own == "[", F.col("own.place")), name_end=F.when(own == "[", F.col("own.end_place")),
+    )
 
-def _symbols(toks: DataFrame, files: DataFrame, project: Column) -> DataFrame:
-    """Functions of each file: their name, kind, extent in tokens, characters and lines, and whether exported.
 
-    ``rank`` is the order in which symbols of one name take its place: functions, variables, methods, function expressions.
-    """
-    near, body = _around(toks), _closing(toks).where(F.col("bracket") == "{")
-    top, name = F.col("depth") == 0, F.col("a1").rlike(NAME)
-    exported = (F.col("b1") == "export") | ((F.col("b1") == "default") & (F.col("b2") == "export")) | ((F.col("b1") == "async") & (F.col("b2") == "export")) | ((F.col("b1") == "async") & (F.col("b2") == "default"))
-    exported = F.coalesce(exported, F.lit(False))
-    is_function = F.col("t") == "function"
-    declared = F.col("t").isin("const", "let", "var") & top & name
-    classes = (F.col("t") == "class") & name
-    star = F.col("a1") == "*"
-    own = F.when(is_function & star & F.col("a2").rlike(NAME), F.col("a2")).when(is_function & name, F.col("a1")).when(is_function, F.lit("<anonymous>"))
-    # a function, class or method ends with the first brace at its own depth that opens after it
-    braced = near.withColumn("open_ord", _next(near, F.col("t") == "{", F.col("ord"), ["path", "depth"]))
-    starts = braced.select(
-        "path", "ord", "place", "line", "depth", "t", "open_ord", exported.alias("exported"),
-        F.when(is_function & (top | (own != "<anonymous>")), own).when(declared | classes, F.col("a1")).alias("name"),
-    ).where(F.col("name").isNotNull())
-    blocks = starts.where(F.col("t").isin("function", "class")).join(body, ["path", "open_ord"])
-    # a top-level function may be preceded by its modifiers: its rank tells it from expressions
-    functions = blocks.where(F.col("t") == "function").select("path", "name", F.col("name").alias("symbol"), "exported", "ord", "place", "line", "close_ord", "close_place", "close_line", F.lit(True).alias("signed"), F.when(F.col("depth") == 0, 0).otherwise(3).alias("rank"))
-    holders = blocks.where(F.col("t") == "class").select("path", F.col("name").alias("holder"), F.col("open_ord").alias("within"))
-    # methods: a name and a bracket straight inside a class, but for accessors and what is set, made or returned
-    method = braced.where(F.col("t").rlike(NAME) & F.col("a1").isin("(", "<") & ~F.col("t").isin(*NOT_CALLS) & ~F.coalesce(F.col("b1").isin(".", "=", "new", "return", "get", "set", ":", "<", "extends", "implements"), F.lit(False)))
-    method = method.join(holders, ["path", "within"]).join(body, ["path", "open_ord"])
-    methods = method.select("path", F.col("t").alias("name"), F.concat_ws(".", "holder", "t").alias("symbol"), F.lit(False).alias("exported"), "ord", "place", "line", "close_ord", "close_place", "close_line", F.lit(True).alias("signed"), F.lit(2).alias("rank"))
-    # of names in the head of one method, such as its type parameters', the first is the method's
-    methods = methods.groupBy("path", "close_ord").agg(F.min_by(F.struct(*[c for c in methods.columns if c not in ("path", "close_ord")]), "ord").alias("m")).select("path", "close_ord", "m.*").select(methods.columns)
-    # variables reach to the next semicolon or statement at the top; what they are set to decides whether they count
-    variable = starts.where(F.col("t").isin("const", "let", "var")).select("path", "ord", "place", "line", "exported", "name")
-    owner = F.last(F.when(F.col("t").isin("const", "let", "var") & (F.col("depth") == 0), F.col("ord")), ignorenulls=True).over(W.partitionBy("path").orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
-    # a function set to a variable stands in it: only the words that begin statements end one
-    inside = toks.select("path", F.col("ord").alias("o"), F.col("t").alias("x"), F.col("depth").alias("d"), F.col("line").alias("l"), (F.col("place") + F.col("size")).alias("end"), owner.alias("ord")).where(F.col("ord").isNotNull())
-    function_set = (F.col("x") == "function") & (F.col("d") == 0)
-    reach = inside.join(variable, ["path", "ord"])
-    before = W.partitionBy("path", "ord").orderBy("o")
-    halt = reach.withColumn("b", F.lag("x").over(before)).where((F.col("d") == 0) & (F.col("x").isin(";", "class", "export", "import") | (function_set & ~F.coalesce(F.col("b").isin("=", "async"), F.lit(False))))).groupBy("path", "ord").agg(F.min("o").alias("halt_ord"))
-    within = reach.join(halt, ["path", "ord"], "left").where(F.col("halt_ord").isNull() | (F.col("o") < F.col("halt_ord")))
-    described = within.groupBy("path", "ord", "place", "line", "exported", "name").agg(
-        F.sort_array(F.collect_list(F.when(F.col("d") == 0, F.struct("o", "x")))).alias("run"),  # nulls are not collected
-        F.max("o").alias("close_ord"), F.max("end").alias("close_place"), F.max("l").alias("close_line"),
-    )
-    flat = F.array_join(F.transform("run", lambda z: z["x"]), " ")
-    # closing brackets stand deeper than the opening ones and are not in the flat text
-    kind = F.when(flat.rlike(r"(^|[^=!<>])= (async )?(function\b|[^=]*=>)"), "function").when(flat.rlike(r"(^|[^=!<>])= (await )?[\p{L}_$][^ ]*( \. [\p{L}_$][^ ]*)* (< .* > )?\("), "call")
-    variables = described.withColumn("shape", kind).where(F.col("shape").isNotNull()).select("path", "name", F.col("name").alias("symbol"), "exported", "ord", "place", "line", "close_ord", "close_place", "close_line", (F.col("shape") == "function").alias("signed"), F.lit(1).alias("rank"))
-    every = functions.unionByName(methods).unionByName(variables)
-    text = files.select("path", "file_ord", "content")
-    body_text = F.substr("content", F.col("place") + 1, F.col("close_place") - F.col("place") + 1)
-    component = F.col("name").rlike("^[A-Z]") & (F.contains(body_text, F.lit("</")) | F.contains(body_text, F.lit("/>")) | F.contains(body_text, F.lit("React.createElement")))
-    return every.join(text, "path").select(
-        node_identity(project, F.col("path"), F.col("symbol")).alias("node_identity"), F.col("path").alias("file_path"), "file_ord", F.col("ord").alias("node_ord"),
-        F.when((F.col("rank") == 1) & component, "component").otherwise("function").alias("kind"), "name", F.col("line").alias("start_line"), F.col("close_line").alias("end_line"), "exported",
-        F.sha2(normal_source(body_text), 256).alias("content_hash"), "symbol", "close_ord", "signed", "rank",
+def _declarators(near: DataFrame) -> DataFrame:
+    """Each variable that a statement at the top declares: its tokens outside brackets, and whether it is exported."""
+    flat = near.where((F.col("depth") == 0) & ~F.col("t").isin(*CLOSERS))
+    order = W.partitionBy("path").orderBy("ord")
+    begins = F.col("t").isin("const", "let", "var") & ~_none(F.col("b1").isin(".", "?.")) & ~_none(F.col("a1") == "enum")
+    halts = begins | F.col("stop") | F.col("t").isin(";", "export", "import", "class") | ((F.col("t") == "function") & ~_none(F.col("b1").isin(*EXPRESSION, "async")))
+    exported = begins & _none((F.col("b1") == "export") | ((F.col("b1") == "declare") & (F.col("b2") == "export")))
+    cut_up = flat.withColumns({"begins": begins, "exported": exported, "nth": F.sum(F.when(halts, 1).otherwise(0)).over(order)})
+    inside = W.partitionBy("path", "nth").orderBy("ord")
+    comma = (F.col("t") == ",") & (F.col("angle") == 0)
+    listed = cut_up.withColumns({"declares": F.first("begins").over(inside), "exported": F.first("exported").over(inside), "i": F.sum(F.when(comma, 1).otherwise(0)).over(inside)})
+    rows = listed.where(F.col("declares") & ~F.col("begins") & ~comma & (F.col("t") != ";"))
+    return rows.groupBy("path", "nth", "i", "exported").agg(F.sort_array(F.collect_list(F.struct(*_TOKEN))).alias("every")).withColumn("own", F.get("every", F.lit(0)))
+
+
+def _variables(declared: DataFrame) -> DataFrame:
+    """Variables whose value, as a whole, is an arrow function, a function expression or a call."""
+    flat = F.filter("every", lambda x: x["angle"] == 0)
+    names = lambda c: F.transform(c, lambda x: x["t"])
+    kind = lambda x: F.when(x["t"].rlike(NAME) & ~x["t"].isin(*NOT_OPERANDS), "n").when(x["t"].rlike(r"^['\"0-9]|^\.[0-9]"), "s").otherwise(x["t"])
+    rows = declared.withColumn("flat", flat).withColumn("at", F.array_position(names("flat"), "=").cast("int")).where(F.col("at") > 0)
+    rows = rows.withColumn("value", F.slice("flat", F.col("at") + 1, F.size("flat"))).where(F.size("value") > 0).withColumn("kinds", F.transform("value", kind))
+    head = F.concat_ws(" ", F.slice("kinds", 1, 3))
+    k = lambda i: F.get("kinds", i)
+    begins = F.when(k(F.lit(0)) == "async", 1).otherwise(0)
+    last, arrow = F.element_at("kinds", -1), F.array_position("kinds", "=>").cast("int")  # from 1
+    # a bracket or one name, then an arrow; between bracket and arrow only a type
+    is_arrow = (arrow > 0) & (((k(begins) == "(") & ((arrow == begins + 2) | (k(begins + 1) == ":"))) | ((k(begins) == "n") & (arrow == begins + 2)))
+    is_function = head.rlike("^(async )?function( |$)") & (last == "{")
+    # a chain of members and calls that ends in a call; one that begins with ``new`` needs a call after that of the constructor
+    made = k(F.lit(0)) == "new"
+    linked = F.forall(
+        F.sequence(F.lit(1), F.size("kinds") - 1),
+        lambda i: k(i).isin(".", "?.", "(", "[", "`", "`{", "!") | ((k(i) == "n") & (k(i - 1).isin(".", "?.") | (k(i - 1) == "new"))) | (k(i).rlike(r"^[\p{L}_$]") & k(i - 1).isin(".", "?.")),
+    )
+    calls = F.size(F.filter("kinds", lambda x: x == "("))
+    is_call = (F.size("kinds") > 1) & (last == "(") & (k(F.lit(0)).isin("n", "s", "(", "[", "{", "`", "`{", "/", "<jsx", "new") | head.rlike("^function ")) & (linked | head.rlike("^function ")) & (~made | (calls > 1))
+    shape = F.when(is_arrow, "arrow").when(is_function, "function").when(is_call, "call")
+    found = rows.withColumns({"shape": shape, "lone": F.when(is_arrow & (k(begins) == "n"), F.get("value", begins)["t"]), "last": F.element_at("every", -1)}).where(F.col("shape").isNotNull())
+    params = F.when((F.col("shape") != "call") & F.col("lone").isNull(), F.get("value", F.array_position("kinds", "(").cast("int") - 1))
+    type_end = F.when(F.col("shape") == "arrow", F.get("value", arrow - 1)["place"]).when(F.col("shape") == "function", F.element_at("value", -1)["place"])
+    pattern = F.col("own.t").isin("{", "[")
+    return _symbol(
+        found.withColumns({"params": params, "type_end": type_end}), symbol=F.col("own.t"), rank=F.lit(1), start="own", end="last", signed=F.col("shape") != "call", params="params",
+        name_place=F.when(pattern, F.col("own.place")), name_end=F.when(pattern, F.col("own.end_place")),
     )
 
 
-def _signatures(symbols: DataFrame, toks: DataFrame, files: DataFrame) -> DataFrame:
-    """Parameters as they are written, and the written type of the result or empty, of functions that show them.
+def _symbols(toks: DataFrame, files: DataFrame, project: Column) -> tuple[DataFrame, DataFrame]:
+    """Functions of each file with their texts' hashes and signatures, and the variables declared at the top.
 
-    The parameters stand in the first bracket at the depth of the function, cut at the
-    commas one level inside it that no type arguments hold; an arrow after a bare name has that name for its parameter.
-    A type that begins with a brace ends there.
+    ``rank`` is the order in which symbols of one name take its place: functions, variables, methods, function expressions.
+    A file's symbols meet its content in one row, so that it is not copied for each of them.
     """
-    own = symbols.where("signed").select(F.col("file_path").alias("path"), F.col("node_ord").alias("f"), F.col("close_ord").alias("end"))
-    depths = toks.select("path", F.col("ord").alias("f"), F.col("depth").alias("fd"))
-    own = own.join(depths, ["path", "f"])
-    order = W.partitionBy("path").orderBy("ord")
-    named = toks.withColumn("before", F.lag("t").over(order))
-    inside = (F.col("o") > F.col("f")) & (F.col("o") <= F.col("end"))
-    marks = named.where(F.col("t").isin("(", "=>", "{")).select("path", F.col("ord").alias("o"), F.col("t").alias("x"), F.col("depth").alias("d"), "before")
-    near = own.join(marks.withColumnRenamed("d", "fd"), ["path", "fd"]).where(inside)
-    at = lambda x: F.min(F.when(F.col("x") == x, F.col("o")))
-    found = near.groupBy("path", "f", "fd").agg(
-        at("(").alias("open_ord"), at("=>").alias("arrow"), F.min_by("before", F.when(F.col("x") == "=>", F.col("o"))).alias("bare"), F.sort_array(F.collect_list(F.when(F.col("x") != "(", F.col("o")))).alias("bodies")
-    )
-    lone = F.coalesce((F.col("arrow").isNotNull()) & (F.col("bare") != ")") & (F.col("open_ord").isNull() | (F.col("open_ord") > F.col("arrow"))), F.lit(False))
-    found = found.withColumn("lone", lone).join(_closing(toks).where(F.col("bracket") == "(").select("path", "open_ord", F.col("close_ord").alias("shut")), ["path", "open_ord"], "left")
-    found = found.withColumn("body", F.get(F.filter("bodies", lambda o: o > F.col("shut")), F.lit(0)))
-    text = toks.select("path", F.col("ord").alias("o"), "t", F.col("depth").alias("d"), F.col("place").alias("from"), (F.col("place") + F.col("size")).alias("to"))
-    heads = found.where(~F.col("lone")).select("path", "f", "fd", "open_ord", "shut", "body", F.explode(F.sequence(F.col("open_ord") + 1, F.coalesce("body", "shut"))).alias("o"))
-    within = heads.join(text, ["path", "o"])
-    running = W.partitionBy("path", "f").orderBy("o").rowsBetween(W.unboundedPreceding, W.currentRow)
-    flat = F.col("d") == F.col("fd") + 1
-    angles = F.sum(F.when(flat & (F.col("t") == "<"), 1).when(flat & (F.col("t") == ">"), -1).otherwise(0)).over(running)
-    comma = (F.col("t") == ",") & flat & (F.col("angles") <= 0)
-    listed = within.where(F.col("o") < F.col("shut")).withColumn("angles", angles).withColumn("comma", comma).withColumn("i", F.sum(F.when(F.col("comma"), 1).otherwise(0)).over(running)).where(~F.col("comma"))
-    pieces = listed.groupBy("path", "f", "i").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-    returned = within.where((F.col("o") > F.col("shut")) & (F.col("o") < F.col("body"))).groupBy("path", "f").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.min_by("t", "o").alias("first")).where(F.col("first") == ":")
-    content = files.select("path", "content")
-    cut_out = F.substr("content", F.col("from") + 1, F.col("to") - F.col("from"))
-    params = pieces.join(content, "path").groupBy("path", "f").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", cut_out.alias("x")))), lambda z: z["x"]).alias("params"))
-    types = returned.join(content, "path").select("path", "f", F.trim(F.substr(cut_out, F.lit(2))).alias("return_type"))
-    empty = F.array().cast("array<string>")
-    return own.select("path", "f").join(found.select("path", "f", "lone", "bare"), ["path", "f"], "left").join(params, ["path", "f"], "left").join(types, ["path", "f"], "left").select(
-        F.col("path").alias("file_path"), F.col("f").alias("node_ord"),
-        F.struct(F.when(F.col("lone"), F.array("bare")).otherwise(F.coalesce("params", empty)).alias("params"), F.coalesce("return_type", F.lit("")).alias("return_type")).alias("signature"),
+    near = _around(toks, 3, 2).withColumn("b1_stop", F.lag("stop").over(W.partitionBy("path").orderBy("ord")))
+    functions, classes = _functions(near)
+    declared = cut(_declarators(near))
+    every = cut(functions.unionByName(_methods(near, classes)).unionByName(_variables(declared)))
+    commas = toks.where((F.col("t") == ",") & (F.col("angle") == 0)).select("path", F.col("within").alias("params_ord"), "place")
+    listed = commas.join(every.select("path", "params_ord").distinct(), ["path", "params_ord"]).groupBy("path", "params_ord").agg(F.sort_array(F.collect_list("place")).alias("commas"))
+    per_file = every.join(listed, ["path", "params_ord"], "left").groupBy("path").agg(F.collect_list(F.struct(*[c for c in _SYMBOL if c != "path"], "commas")).alias("symbols"))
+    between = lambda low, high: F.substr("content", low + 1, high - low)
+    stripped = lambda text: F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+    def told(s: Column) -> Column:
+        text = between(s["start_place"], s["end_place"])
+        bounds = F.concat(F.array(s["params_place"]), F.coalesce(s["commas"], F.array().cast("array<int>")), F.array(s["params_end"] - 1))
+        params = F.filter(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: stripped(between(F.get(bounds, i) + 1, F.get(bounds, i + 1)))), lambda p: p != "")
+        result = stripped(between(s["params_end"], s["type_end"]))
+        lone = s["lone"].isNotNull()
+        signature = F.struct(
+            F.when(lone, F.array(s["lone"])).when(s["params_ord"].isNull(), F.array().cast("array<string>")).otherwise(params).alias("params"),
+            F.when(lone | ~result.startswith(":"), "").otherwise(stripped(F.regexp_replace(result, r"^:|;$", ""))).alias("return_type"),
+        )
+        named = F.when(s["name_place"].isNotNull(), F.concat(F.regexp_replace(s["symbol"], r"[\[{]$", ""), between(s["name_place"], s["name_end"]))).otherwise(s["symbol"])
+        component = named.rlike("^[A-Z]") & (F.contains(text, F.lit("</")) | F.contains(text, F.lit("/>")) | F.contains(text, F.lit("React.createElement")))
+        return F.struct(
+            named.alias("symbol"), F.when((s["rank"] == 1) & component, "component").otherwise("function").alias("kind"), s["exported"].alias("exported"), s["rank"].alias("rank"),
+            s["start_ord"].alias("node_ord"), s["end_ord"].alias("close_ord"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
+            F.sha2(normal_source(text), 256).alias("content_hash"), F.when(s["signed"], signature).alias("signature"),
+        )
+
+    found = per_file.join(files.select("path", "file_ord", "content"), "path").select("path", "file_ord", F.explode(F.transform("symbols", told)).alias("s")).select("path", "file_ord", "s.*")
+    symbols = found.select(
+        node_identity(project, F.col("path"), F.col("symbol")).alias("node_identity"), F.col("path").alias("file_path"), "file_ord", "node_ord", "kind",
+        F.when(F.col("rank") == 2, F.regexp_extract("symbol", r"(?s)([^.]*)$", 1)).otherwise(F.col("symbol")).alias("name"),
+        "start_line", "end_line", "exported", "content_hash", "symbol", "close_ord", "rank", "signature",
     )
+    return symbols, declared
 
 
 def _statements(toks: DataFrame, word: str, ends: Column) -> DataFrame:
     """Statements at the top that begin with a word: where they begin, and their text as tokens with blanks between, to the first token that ends them."""
     starts = (F.col("t") == word) & (F.col("depth") == 0)
     order = W.partitionBy("path").orderBy("ord")
-    own = toks.where(F.col("depth") <= 1).withColumn("b1", F.lag("t").over(order)).withColumn("at", F.last(F.when(starts & ~F.coalesce(F.col("b1") == ".", F.lit(False)), F.col("ord")), ignorenulls=True).over(order)).where(F.col("at").isNotNull())
+    own = toks.where(F.col("depth") <= 1).select("path", "ord", "t", "depth").withColumn("b1", F.lag("t").over(order)).withColumn("at", F.last(F.when(starts & ~F.coalesce(F.col("b1") == ".", F.lit(False)), F.col("ord")), ignorenulls=True).over(order)).where(F.col("at").isNotNull())
     stops = own.where((F.col("ord") > F.col("at")) & ends).groupBy("path", "at").agg(F.min_by(F.struct("ord", "t"), "ord").alias("stop"))
     held = own.join(stops, ["path", "at"]).where((F.col("ord") > F.col("at")) & (F.col("ord") <= F.col("stop.ord")))
     return held.groupBy("path", "at", F.col("stop.t").alias("last")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "t"))), lambda z: z["t"]), " ").alias("clause"))
@@ -238,67 +272,68 @@ def _by_name(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy(F.col("file_path").alias("path"), F.col("name").alias("t")).agg(F.max_by("node_identity", F.struct("rank", "node_ord")).alias("known"))
 
 
-def _calls(toks: DataFrame, symbols: DataFrame, project: Column) -> DataFrame:
-    """Calls inside functions, in source order: by name, optional or with type arguments too, and those without a name."""
-    order = W.partitionBy("path").orderBy("ord")
-    near = _around(toks, 3, 3)
-    word = F.col("t").rlike(NAME) & ~F.coalesce(F.col("b1").isin("function", "class", "new"), F.lit(False)) & ~((F.col("b1") == "*") & (F.col("b2") == "function"))
-    plain = word & ~F.col("t").isin(*NOT_CALLS) & ((F.col("a1") == "(") | ((F.col("a1") == "?") & (F.col("a2") == ".") & (F.col("a3") == "(")))
-    nameless = (F.col("t").isin(*NAMELESS) & (F.col("a1") == "(")) | (F.col("t").isin(")", "]") & (F.col("a1") == "("))
-    called = near.where(plain | nameless).select("path", "file_ord", "ord", F.when(plain & ~F.col("t").isin(*NAMELESS), F.col("t")).alias("t"), "line")
-    # type arguments before a bracket: back over the tokens to the name before the angle that holds them
-    typed = toks.withColumn("past", F.reverse(F.collect_list(F.struct("t", "ord", "line")).over(order.rowsBetween(-BACK, -1)))).where(F.col("t") == "(").where(F.get("past", F.lit(0))["t"] == ">")
-    walk = F.aggregate(
-        "past", F.struct(F.lit(0).alias("level"), F.lit(None).cast("struct<t:string,ord:int,line:int>").alias("name")),
-        lambda a, x: F.when(a["name"].isNotNull() | (a["level"] < 0), a)
-        .when(x["t"] == ">", F.struct((a["level"] + 1).alias("level"), a["name"].alias("name")))
-        .when((x["t"] == "<") & (a["level"] > 1), F.struct((a["level"] - 1).alias("level"), a["name"].alias("name")))
-        .when((x["t"] == "<") & (a["level"] == 1), F.struct(F.lit(0).alias("level"), a["name"].alias("name")))
-        .when(a["level"] == 0, F.struct(F.lit(-1).alias("level"), F.when(x["t"].rlike(NAME) & ~x["t"].isin(*NOT_CALLS, *NAMELESS), x).alias("name")))
-        .when(x["t"].isin(";", ")", "=>", "&", "=") & (a["level"] > 0), F.struct(F.lit(-1).alias("level"), a["name"].alias("name"))).otherwise(a),
-    )
-    generic = typed.select("path", "file_ord", walk["name"].alias("n")).where(F.col("n").isNotNull()).select("path", "file_ord", F.col("n.ord").alias("ord"), F.col("n.t").alias("t"), F.col("n.line").alias("line"))
-    at = called.unionByName(generic)
-    # the start of a function is no call of it: methods and named function expressions look like calls there
-    starts = symbols.select(F.col("file_path").alias("path"), F.col("node_ord").alias("ord"))
-    at = at.join(starts, ["path", "ord"], "left_anti")
-    spans = symbols.select(F.col("file_path").alias("path"), "node_identity", "node_ord", F.col("close_ord").alias("to_ord"))
-    inside = at.join(spans, "path").where((F.col("ord") > F.col("node_ord")) & (F.col("ord") <= F.col("to_ord")))
-    inner = inside.groupBy("path", "file_ord", "ord", "t", "line").agg(F.min_by("node_identity", F.struct(F.col("to_ord") - F.col("node_ord"), "node_ord")).alias("caller"))
-    rows = inner.join(_by_name(symbols), ["path", "t"], "left").withColumn("same", F.col("known").isNotNull() & (F.col("known") != F.col("caller")))
-    return rows.select(
-        F.col("path").alias("file_path"), "file_ord", (F.col("ord") * 2).alias("edge_seq"), "caller",
-        F.when(F.col("same"), F.col("known")).when(F.col("t").isNotNull(), node_identity(project, F.col("path"), F.col("t"))).alias("callee"), "line", F.lit(0).alias("col"),
-        (~F.col("same")).alias("unresolved"), F.when(F.col("t").isNull(), "indirect").when(~F.col("same"), "cross-file-or-external").alias("hint"),
-    )
+def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Points (path, at, …) with ``holder``, the value of the innermost span (path, low, high, value) around them; points in none are left out.
+
+    Spans of a path are nested or apart. What begins and ends along a path gives the level of each point; the span
+    around it is the last that began at that level.
+    """
+    rest = [c for c in points.columns if c not in ("path", "at")]
+    point = points.select("path", "at", F.lit(1).alias("turn"), F.lit(0).alias("step"), F.lit(0).alias("order"), F.struct(*rest).alias("p"), F.lit(None).cast("string").alias("value"))
+    kind = point.schema["p"].dataType
+    begin = spans.select("path", F.col("low").alias("at"), F.lit(0).alias("turn"), F.lit(1).alias("step"), (-F.col("high")).alias("order"), F.lit(None).cast(kind).alias("p"), "value")
+    end = spans.select("path", F.col("high").alias("at"), F.lit(2).alias("turn"), F.lit(-1).alias("step"), F.lit(0).alias("order"), F.lit(None).cast(kind).alias("p"), F.lit(None).cast("string").alias("value"))
+    along = W.partitionBy("path").orderBy("at", "turn", "order")
+    # an end counts for what comes after it
+    level = F.sum("step").over(along.rowsBetween(W.unboundedPreceding, W.currentRow))
+    events = begin.unionByName(point).unionByName(end).withColumn("level", level)
+    last = F.last(F.when(F.col("turn") == 0, F.col("value")), ignorenulls=True).over(W.partitionBy("path", "level").orderBy("at", "turn", "order").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return events.withColumn("holder", last).where((F.col("turn") == 1) & (F.col("level") > 0)).select("path", "at", "p.*", "holder")
 
 
-def _handlers(toks: DataFrame, project: Column) -> DataFrame:
-    """Named function expressions among the arguments of a call: an edge from the function to the called method."""
-    near = _around(toks, 3, 3)
-    made = near.where((F.col("t") == "function") & F.col("a1").rlike(NAME) & (F.col("depth") > 0)).select("path", F.col("ord").alias("o"), F.col("a1").alias("handler"), "line", F.col("within").alias("open_ord"))
-    opened = near.where((F.col("t") == "(") & F.col("b1").rlike(NAME)).select("path", "file_ord", F.col("ord").alias("open_ord"), F.col("b1").alias("method"))
-    hit = made.join(opened, ["path", "open_ord"])
-    first = hit.groupBy("path", "file_ord", "open_ord", "method").agg(F.min(F.struct("o", "handler", "line")).alias("h"))
-    return first.select(
-        F.col("path").alias("file_path"), "file_ord", (F.col("h.o") * 2 - 1).alias("edge_seq"), node_identity(project, F.col("path"), F.col("h.handler")).alias("caller"),
-        node_identity(project, F.col("path"), F.col("method")).alias("callee"), F.col("h.line").alias("line"), F.lit(0).alias("col"), F.lit(True).alias("unresolved"), F.lit("handler-attached").alias("hint"),
+def _calls(toks: DataFrame, symbols: DataFrame, project: Column) -> DataFrame:
+    """Calls inside functions, an outer one before those that it holds; and named function expressions that a call is given first of all functions, as edges to what is called."""
+    called = toks.where(F.col("callee").isNotNull()).select("path", "file_ord", "ord", F.col("head").alias("at"), F.when(F.col("callee") != ")", F.col("callee")).alias("t"), F.col("head_line").alias("line"), F.col("head_col").alias("col"))
+    spans = symbols.select(F.col("file_path").alias("path"), F.col("node_ord").alias("low"), F.col("close_ord").alias("high"), F.col("node_identity").alias("value"))
+    inner = innermost(called, spans).withColumnRenamed("holder", "caller")
+    rows = inner.join(_by_name(symbols), ["path", "t"], "left").withColumn("same", F.col("known").isNotNull() & (F.col("known") != F.col("caller")))
+    near = _around(toks, 2, 1)
+    function = (F.col("t") == "function") & F.col("b1").isin("(", ",", "async")
+    given = near.where((function | (F.col("t") == "=>")) & F.col("within").isNotNull())
+    first = given.groupBy("path", F.col("within").alias("ord")).agg(F.min_by(F.when(function & F.col("a1").rlike(NAME), F.col("a1")), "ord").alias("handler")).where(F.col("handler").isNotNull())
+    attached = called.where(F.col("t").isNotNull()).join(first, ["path", "ord"])
+    make = lambda df, caller, callee, unresolved, hint, turn: df.select(
+        F.col("path").alias("file_path"), "file_ord", "at", "ord", F.lit(turn).alias("turn"), caller.alias("caller"), callee.alias("callee"), "line", "col", unresolved.alias("unresolved"), hint.alias("hint")
+    )
+    named = lambda c: node_identity(project, F.col("path"), F.col(c))
+    inside = make(
+        rows, F.col("caller"), F.when(F.col("same"), F.col("known")).when(F.col("t").isNotNull(), named("t")), ~F.col("same"),
+        F.when(F.col("t").isNull(), "indirect").when(~F.col("same"), "cross-file-or-external"), 0,
     )
+    both = inside.unionByName(make(attached, named("handler"), named("t"), F.lit(True), F.lit("handler-attached"), 1))
+    seq = F.row_number().over(W.partitionBy("file_path").orderBy("at", F.desc("ord"), "turn")) - 1
+    return both.select("file_path", "file_ord", seq.alias("edge_seq"), "caller", "callee", "line", "col", "unresolved", "hint")
 
 
-def _exports(toks: DataFrame) -> DataFrame:
+def _exports(toks: DataFrame, declared: DataFrame) -> DataFrame:
     """A row for each exported name, with the name inside the file that it is given to."""
-    near = _around(toks, 1, 3).where((F.col("t") == "export") & (F.col("depth") == 0))
+    near = _around(toks, 1, 3)
+    at = near.where((F.col("t") == "export") & (F.col("depth") == 0) & ~F.coalesce(F.col("b1").isin(".", "?."), F.lit(False)))
     spot = F.when(F.col("a1").isin("async", "abstract", "declare"), F.when(F.col("a3") == "*", None).otherwise(F.col("a3"))).when(
-        F.col("a1").isin("const", "let", "var", "function", "class", "interface", "type", "enum", "namespace"), F.when(F.col("a2") == "*", F.col("a3")).otherwise(F.col("a2"))
+        F.col("a1").isin("function", "class", "interface", "type", "enum", "namespace"), F.when(F.col("a2") == "*", F.col("a3")).otherwise(F.col("a2"))
     )
     name = F.when(F.col("a1") == "default", "default").when(spot.rlike(NAME), spot)
     inner = F.when((F.col("a1") == "default") & F.col("a2").rlike(NAME) & ~F.col("a2").isin("function", "class", "async", "new", "await"), F.col("a2")).when(name != "default", name)
-    direct = near.select(F.col("path").alias("file_path"), F.col("ord").alias("export_ord"), name.alias("name"), inner.alias("inner")).where(F.col("name").isNotNull())
+    direct = at.select(F.col("path").alias("file_path"), F.col("ord").alias("export_ord"), name.alias("name"), inner.alias("inner")).where(F.col("name").isNotNull())
     lists = _statements(toks, "export", F.col("t").isin("}", ";", "=", "(")).where((F.col("last") == "}") & F.col("clause").rlike(r"^(type )?\{"))
     each = lists.select("path", "at", F.posexplode(_names(F.regexp_extract("clause", r"\{([^}]*)\}", 1))).alias("k", "n"))
     named = each.select(F.col("path").alias("file_path"), (F.col("at") + 1 + F.col("k")).cast("int").alias("export_ord"), F.regexp_replace("n", r"^.* as ", "").alias("name"), F.regexp_replace("n", r" as .*$", "").alias("inner"))
-    return direct.unionByName(named)
+    # variables by their names, or by the names in a pattern
+    variables = declared.where("exported")
+    plain = variables.where(F.col("own.t").rlike(NAME)).select(F.col("path").alias("file_path"), F.col("own.ord").alias("export_ord"), F.col("own.t").alias("name"), F.col("own.t").alias("inner"))
+    patterns = variables.where(F.col("own.t").isin("{", "[")).select("path", F.col("own.ord").alias("within"))
+    bound = near.where(F.col("t").rlike(NAME) & F.col("a1").isin(",", "}", "]", "=")).join(patterns, ["path", "within"]).select(F.col("path").alias("file_path"), F.col("ord").alias("export_ord"), F.col("t").alias("name"), F.col("t").alias("inner"))
+    return direct.unionByName(named).unionByName(plain).unionByName(bound)
 
 
 def parse(files: DataFrame, project: str) -> Parsed:
@@ -306,15 +341,15 @@ def parse(files: DataFrame, project: str) -> Parsed:
     p = F.lit(project)
     # the tokens and what is read from them are used many times over: they are written once
     toks = cut(tokens(files))
-    symbols = cut(_symbols(toks, files, p))
-    found = cut(_exports(toks))
+    symbols, declared = _symbols(toks, files, p)
+    symbols = cut(symbols)
+    found = cut(_exports(toks, declared))
     means = _by_name(symbols).select(F.col("path").alias("file_path"), F.col("t").alias("name"), F.col("known").alias("node_identity"))
     exports = found.join(means, ["file_path", "name"], "left").select("file_path", "export_ord", "name", "node_identity")
     listed = found.where(F.col("inner").isNotNull()).select("file_path", F.col("inner").alias("symbol")).distinct().withColumn("_listed", F.lit(True))
-    signed = _signatures(symbols, toks, files)
-    nodes = symbols.join(listed, ["file_path", "symbol"], "left").join(signed, ["file_path", "node_ord"], "left").select(
+    nodes = symbols.join(listed, ["file_path", "symbol"], "left").select(
         "node_identity", "file_path", "file_ord", "node_ord", "kind", "name", "start_line", "end_line", (F.coalesce("_listed", F.lit(False)) & (F.col("rank") < 2) | F.col("exported")).alias("exported"), "content_hash",
         "signature",
     )
     hashed = files.select("path", F.sha2("content", 256).alias("content_hash"), language_of(F.col("path")).alias("language"))
-    return Parsed(hashed, nodes, cut(_imports(toks)), exports, cut(_calls(toks, symbols, p).unionByName(_handlers(toks, p))))
+    return Parsed(hashed, nodes, cut(_imports(toks)), exports, cut(_calls(toks, symbols, p)))
