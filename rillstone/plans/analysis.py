@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
-from functools import reduce
+from collections.abc import Sequence
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..operators import classify, paths, renames, resolve, rules
-from .adapters import JAVASCRIPT, Language
+from .adapters import JAVASCRIPT, Framework, Language
 
 ORDER = ["file_ord", "edge_seq"]
 
 
-@dataclass(frozen=True)
-class Analysis:
-    files: DataFrame
-    nodes: DataFrame
-    imports: DataFrame
-    exports: DataFrame
-    call_edges: DataFrame
-    classifications: DataFrame
-    entry_points: DataFrame
-    paths: DataFrame
-    path_nodes: DataFrame
-    rule_results: DataFrame
-    prep_questions: DataFrame
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
-
-
 def one_of_each(nodes: DataFrame) -> DataFrame:
     """The first of nodes that share an identity, in source order."""
     rest = [c for c in nodes.columns if c != "node_identity"]
@@ -40,39 +22,103 @@ def one_of_each(nodes: DataFrame) -> DataFrame:
     return first.select("node_identity", *[F.col(f"_n.{c}").alias(c) for c in rest])
 
 
-def analyse(
-    files: DataFrame,
-    project: str,
-    prior: DataFrame | None = None,
-    second_opinion: DataFrame | None = None,
-    answers: DataFrame | None = None,
-    categories: DataFrame | None = None,
-    language: Language = JAVASCRIPT,
-) -> Analysis:
-    """``prior``: nodes of the run before, for renames. ``second_opinion`` (path, role, confidence), ``categories``
-    (path_id, category, category_order): results of a language model, if there are any. ``answers``: choices at branches."""
-    parsed = language.parse(files, project)
-    frameworks = language.used(parsed.imports)
-    nodes = cut(one_of_each(parsed.nodes))
-    modules = parsed.imports.groupBy(F.col("file_path").alias("path")).agg(F.collect_set("module").alias("modules"))
-    signals = [*language.signals(), *(s for f in frameworks for s in f.signals())]
-    roles = classify.classify_files(files.select("path").join(modules, "path", "left"), signals)
-    if second_opinion is not None:
-        # only files with content are asked about
-        asked = second_opinion.join(files.where(F.coalesce("content", F.lit("")) != "").select("path"), "path", "left_semi")
-        roles = classify.reconcile(roles, asked).drop("source").withColumn("signals", F.array().cast("array<string>")).withColumn("score", F.lit(0))
-    roles = cut(roles)
-    classes = classify.classify_nodes(nodes, roles)
-    edges = cut(resolve.resolve_calls(parsed.call_edges, parsed.imports, parsed.exports, files))
-    found_entries = [f.entry_points(parsed.call_edges, parsed.imports) for f in frameworks]
-    entries = reduce(DataFrame.unionByName, found_entries) if found_entries else paths.entry_points(parsed.call_edges.limit(0), parsed.imports)
-    walked = cut(paths.walk(entries, cut(paths.callees_in_order(edges, nodes, ORDER)), answers))
-    found = paths.paths_of(walked)
-    if categories is not None:
-        found = paths.with_categories(found, categories)
-    questions = classify.open_questions(roles).select("key", "kind", "context", "suggestion")
-    questions = questions.unionByName(paths.branch_questions(walked).dropDuplicates(["key"]).select("key", "kind", "context", F.lit(None).cast("string").alias("suggestion")))
-    if prior is not None:
-        questions = questions.unionByName(renames.rename_questions(renames.rename_candidates(prior, nodes)))
-    results = rules.evaluate_rules(nodes, classes, edges, ORDER)
-    return Analysis(parsed.files, nodes, parsed.imports, parsed.exports, edges, classes, entries, found, paths.path_nodes_of(walked), results, questions)
+class Analysis:
+    """The tables of a codebase. Each is made when it is first asked for, once for this object; those that others need are written then.
+
+    ``prior``: nodes of the run before, for renames. ``second_opinion`` (path, role, confidence), ``categories``
+    (path_id, category, category_order): results of a language model, if there are any. ``answers``: choices at branches.
+    """
+
+    TABLES = ("files", "nodes", "imports", "exports", "call_edges", "classifications", "entry_points", "paths", "path_nodes", "rule_results", "prep_questions")
+
+    def __init__(
+        self,
+        files: DataFrame,
+        project: str,
+        prior: DataFrame | None = None,
+        second_opinion: DataFrame | None = None,
+        answers: DataFrame | None = None,
+        categories: DataFrame | None = None,
+        language: Language = JAVASCRIPT,
+    ) -> None:
+        self._source, self._language, self._parsed = files, language, language.parse(files, project)
+        self._prior, self._second_opinion, self._answers, self._categories = prior, second_opinion, answers, categories
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in self.TABLES}
+
+    @property
+    def files(self) -> DataFrame:
+        return self._parsed.files
+
+    @property
+    def imports(self) -> DataFrame:
+        return self._parsed.imports
+
+    @property
+    def exports(self) -> DataFrame:
+        return self._parsed.exports
+
+    @cached_property
+    def _frameworks(self) -> Sequence[Framework]:
+        return self._language.used(self.imports)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return cut(one_of_each(self._parsed.nodes))
+
+    @cached_property
+    def roles(self) -> DataFrame:
+        """A row for each file."""
+        modules = self.imports.groupBy(F.col("file_path").alias("path")).agg(F.collect_set("module").alias("modules"))
+        signals = [*self._language.signals(), *(s for f in self._frameworks for s in f.signals())]
+        roles = classify.classify_files(self._source.select("path").join(modules, "path", "left"), signals)
+        if self._second_opinion is not None:
+            # only files with content are asked about
+            asked = self._second_opinion.join(self._source.where(F.coalesce("content", F.lit("")) != "").select("path"), "path", "left_semi")
+            roles = classify.reconcile(roles, asked).drop("source").withColumn("signals", F.array().cast("array<string>")).withColumn("score", F.lit(0))
+        return cut(roles)
+
+    @property
+    def classifications(self) -> DataFrame:
+        return classify.classify_nodes(self.nodes, self.roles)
+
+    @cached_property
+    def call_edges(self) -> DataFrame:
+        return cut(resolve.resolve_calls(self._parsed.call_edges, self.imports, self.exports, self._source))
+
+    @cached_property
+    def entry_points(self) -> DataFrame:
+        found = [f.entry_points(self._parsed.call_edges, self.imports) for f in self._frameworks]
+        return reduce(DataFrame.unionByName, found) if found else paths.entry_points(self._parsed.call_edges.limit(0), self.imports)
+
+    @cached_property
+    def _walked(self) -> DataFrame:
+        return cut(paths.walk(self.entry_points, cut(paths.callees_in_order(self.call_edges, self.nodes, ORDER)), self._answers))
+
+    @property
+    def paths(self) -> DataFrame:
+        found = paths.paths_of(self._walked)
+        return paths.with_categories(found, self._categories) if self._categories is not None else found
+
+    @property
+    def path_nodes(self) -> DataFrame:
+        return paths.path_nodes_of(self._walked)
+
+    @property
+    def rule_results(self) -> DataFrame:
+        return rules.evaluate_rules(self.nodes, self.classifications, self.call_edges, ORDER)
+
+    @property
+    def prep_questions(self) -> DataFrame:
+        found = classify.open_questions(self.roles).select("key", "kind", "context", "suggestion")
+        branches = paths.branch_questions(self._walked).dropDuplicates(["key"])
+        found = found.unionByName(branches.select("key", "kind", "context", F.lit(None).cast("string").alias("suggestion")))
+        if self._prior is not None:
+            found = found.unionByName(renames.rename_questions(renames.rename_candidates(self._prior, self.nodes)))
+        return found
+
+
+def analyse(files: DataFrame, project: str, **given) -> Analysis:
+    """The analysis of files (file_ord, path, content); ``given`` as ``Analysis`` has it."""
+    return Analysis(files, project, **given)

@@ -6,8 +6,6 @@ next supplier, services the repository of theirs. A second version of the files
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,23 +59,12 @@ def code_files(spark: SparkSession, sf_dir: str, head: bool = False) -> DataFram
     return read(spark, sf_dir, "supplier").select(path.alias("path"), text.alias("content"), F.length(text).cast("long").alias("size"))
 
 
-@cache
-def _parsed(application: str, sf_dir: str) -> Parsed:
-    return parse(numbered(code_files(SparkSession.active(), sf_dir)), "p")
-
-
-@cache
-def _analysed(application: str, sf_dir: str, head: bool) -> Analysis:
-    return analyse(numbered(code_files(SparkSession.active(), sf_dir, head)), "p")
-
-
 def _code(spark: SparkSession, sf_dir: str) -> Parsed:
-    return _parsed(spark.sparkContext.applicationId, sf_dir)
+    return parse(numbered(code_files(spark, sf_dir)), "p")
 
 
 def _analysis(spark: SparkSession, sf_dir: str, head: bool = False) -> Analysis:
-    """Several queries ask the same analysis; its tables are written once for an application."""
-    return _analysed(spark.sparkContext.applicationId, sf_dir, head)
+    return analyse(numbered(code_files(spark, sf_dir, head)), "p")
 
 
 _CODE = """
@@ -252,9 +239,9 @@ def c5_code_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- what the screens ask -------------------------------------------------------------------------------------------
 
 
-def _reviews(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _reviews(analysis: Analysis) -> tuple[DataFrame, DataFrame]:
     """Reviews of what services and repositories export, some of an older text, and the hashes of all functions."""
-    nodes = _analysis(spark, sf_dir).nodes
+    nodes = analysis.nodes
     k = F.regexp_extract("name", r"(\d+)$", 1).cast("int")
     rows = nodes.where("exported").select(
         "node_identity", F.lit("global").alias("scope"), F.when(k % 3 == 0, "approved").when(k % 3 == 1, "rejected").otherwise("info_requested").alias("status"),
@@ -274,7 +261,7 @@ FROM roles JOIN states USING (path) GROUP BY ALL""")
 def j8_code_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files with their role and the states of their functions."""
     a = _analysis(spark, sf_dir)
-    return browse.file_tree(a.files, a.nodes, a.classifications, *_reviews(spark, sf_dir))
+    return browse.file_tree(a.files, a.nodes, a.classifications, *_reviews(a))
 
 
 @query(_CODE + _STATES + """SELECT position, node_identity, name, role, state FROM (SELECT unnest(nodes) AS node_identity, CAST(unnest(range(len(nodes))) AS INTEGER) AS position FROM walked WHERE k = 4)
@@ -284,7 +271,7 @@ def j7_code_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _analysis(spark, sf_dir)
     wanted = spark.range(1).select(canonical_hash(kind=F.lit("path"), entryNodeIdentity=F.lit("p:src/routes/r4.ts:getItem4")).alias("x")).first()["x"]
     nodes = a.nodes.select("node_identity", "name")
-    return browse.get_path(a.path_nodes, nodes, a.classifications, *_reviews(spark, sf_dir), wanted).select("position", "node_identity", "name", "role", "state")
+    return browse.get_path(a.path_nodes, nodes, a.classifications, *_reviews(a), wanted).select("position", "node_identity", "name", "role", "state")
 
 
 @query(_CODE + _STATES + """SELECT id AS node_identity, name, CAST(start_line AS INTEGER) AS start_line, role, state FROM states JOIN (SELECT path, role FROM roles) r USING (path) WHERE path = 'src/services/s5.ts'""")
@@ -292,7 +279,7 @@ def j9_code_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The functions of one file in order."""
     a = _analysis(spark, sf_dir)
     files = a.files.withColumn("size", F.lit(0))
-    return browse.file_detail(files, a.nodes, a.classifications, *_reviews(spark, sf_dir), "src/services/s5.ts")[1].select("node_identity", "name", "start_line", "role", "state")
+    return browse.file_detail(files, a.nodes, a.classifications, *_reviews(a), "src/services/s5.ts")[1].select("node_identity", "name", "start_line", "role", "state")
 
 
 @query(_CODE + "SELECT k.id AS callee, k.name FROM calls JOIN known k ON k.path = own AND k.symbol = g WHERE f = 'run5'")
@@ -310,9 +297,128 @@ def o7_code_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("entry", "method", "category", "label", "entry_name")
 
 
-@query(_CODE + """SELECT id AS node_identity, CASE WHEN t = 2 THEN 'export function load' || k || '(id: string) {' || chr(10) || repeat('  query(id);' || chr(10), CAST(n % 7 AS INTEGER)) || '}' WHEN t = 3 THEN '  put(a, b) { return a; }' ELSE 'function helper' || k || '(x) { return x; }' END AS body
-FROM known WHERE t IN (2, 3) OR name LIKE 'helper%'""")
+@query(_CODE + """, bodies AS (
+  SELECT t, k, name, id, CASE WHEN t = 0 AND name LIKE 'setup%' THEN 'export function setup' || k || '(app: Router<string, number>) {' || chr(10) || '  app.get(''/x'', function getItem' || k || '(req, res) {' || chr(10)
+      || '    validate(req);' || chr(10) || '    run' || (k + 1) || '(req, `a ${title(res)}`);' || chr(10) || '  });' || chr(10) || '}'
+    WHEN t = 0 THEN '  app.get(''/x'', function getItem' || k || '(req, res) {' || chr(10) || '    validate(req);' || chr(10) || '    run' || (k + 1) || '(req, `a ${title(res)}`);' || chr(10) || '  });'
+    WHEN t = 1 AND name LIKE 'run%' THEN 'export const run' || k || ' = async (id: number, m: Map<string, number>): Promise<void> => {' || chr(10) || '  helper' || k || '(id);' || chr(10) || '  load' || (k + 1) || '(id);' || chr(10) || '};'
+    WHEN t = 1 THEN 'function helper' || k || '(x) { return x; }'
+    WHEN t = 2 THEN 'export function load' || k || '(id: string) {' || chr(10) || repeat('  query(id);' || chr(10), CAST(n % 7 AS INTEGER)) || '}'
+    ELSE '  put(a, b) { return a; }' END AS body FROM known)
+SELECT id AS node_identity, body FROM bodies""")
 def j29_code_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of functions, from the files."""
-    nodes = _analysis(spark, sf_dir).nodes.where(~F.col("name").rlike("^(setup|getItem|run)"))
-    return browse.node_body(nodes, code_files(spark, sf_dir)).select("node_identity", "body")
+    """The lines of all functions, from the files."""
+    return browse.node_body(_analysis(spark, sf_dir).nodes, code_files(spark, sf_dir)).select("node_identity", "body")
+
+
+# --- what is hard to tell apart -------------------------------------------------------------------------------------
+
+_CARD = """import { Row@k } from './row';
+const label@k = (n) => `n ${`deep ${fmt@k(n)}`}`;
+export const Card@k = ({ items }: Props) => (
+  <ul title="call(me)" onClick={() => pick@k(items)}>
+    it's not(a call) {items.map((i) => <li key={i}>{label@k(i)}</li>)}
+    <Row@k text={`a ${'b'}`} /> {/* note(1) */} <></>
+  </ul>
+);
+"""
+_STORE = """export class Store@k {
+  mapped = (a) => lost@k(a);
+  get size() { return count@k(); }
+  @Timed({ unit: 1 })
+  find(key: string): string;
+  find(key: any): { hit: boolean } {
+    function probe() { return peek@k(key); }
+    return probe();
+  }
+  static async *each<T>(of: T[]) { yield this.find(of); }
+  constructor(seed = make@k()) { super(seed); }
+}
+export function open@k(path: string): void;
+export function open@k(path: any) { return new Store@k(path).find(path); }
+"""
+_VALUES = """export const { a@k, b: [c@k] } = make@k(), other@k = (x): x is number => test@k(x);
+const either@k = flag ? () => one@k() : two;
+const waited@k = await later@k();
+const built@k = new Thing@k(1);
+const chain@k = start@k
+  .then(() => next@k())
+let typed@k: Map<string, () => void> = typed@k<Map<string, Array<Record<string, { a: number, b: [x: string, y: string], c: Map<string, Set<number>>, d: Array<Array<string>> }>>>>(1)
+"""
+
+
+def hard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content of a file for each supplier: tags and templates, a class with all kinds of members, or variables by what they are set to."""
+    k = F.col("s_suppkey")
+    text = F.get(F.array(*map(F.lit, (_CARD, _STORE, _VALUES))), (k % 3).cast("int"))
+    path = F.concat(F.lit("src/h"), k.cast("string"), F.when(k % 3 == 0, ".tsx").otherwise(".ts"))
+    return read(spark, sf_dir, "supplier").select(path.alias("path"), F.replace(text, F.lit("@k"), k.cast("string")).alias("content"))
+
+
+_HARD = """
+WITH hard AS (SELECT s_suppkey AS k, s_suppkey % 3 AS t, 'p:src/h' || s_suppkey || CASE s_suppkey % 3 WHEN 0 THEN '.tsx:' ELSE '.ts:' END AS p FROM supplier
+)"""
+
+
+@query(_HARD + """, made AS (SELECT * FROM (VALUES
+  (0, 'label@', 'label@', 'function', 2, 2, false, 'n', ''), (0, 'Card@', 'Card@', 'component', 3, 8, true, '{ items }: Props', ''),
+  (1, 'Store@.find', 'find', 'function', 6, 9, false, 'key: any', '{ hit: boolean }'), (1, 'Store@.each', 'each', 'function', 10, 10, false, 'of: T[]', ''), (1, 'open@', 'open@', 'function', 14, 14, true, 'path: any', ''),
+  (2, '{ a@, b: [c@] }', '{ a@, b: [c@] }', 'function', 1, 1, true, NULL, NULL), (2, 'other@', 'other@', 'function', 1, 1, true, 'x', 'x is number'),
+  (2, 'chain@', 'chain@', 'function', 5, 6, false, NULL, NULL), (2, 'typed@', 'typed@', 'function', 7, 7, false, NULL, NULL)) AS v(t, symbol, name, kind, start_line, end_line, exported, params, return_type))
+SELECT p || replace(symbol, '@', k::VARCHAR) AS node_identity, replace(name, '@', k::VARCHAR) AS name, kind, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, exported, params, return_type FROM hard JOIN made USING (t)""")
+def p2_code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions among tags, members, overloads, patterns and values of all kinds."""
+    nodes = parse(numbered(hard_files(spark, sf_dir)), "p").nodes
+    return nodes.select("node_identity", "name", "kind", "start_line", "end_line", "exported", F.array_join("signature.params", "|").alias("params"), F.col("signature.return_type").alias("return_type"))
+
+
+@query(_HARD + """, made AS (SELECT * FROM (VALUES
+  (0, 'label@', 'fmt@', 2), (0, 'Card@', 'pick@', 4), (0, 'Card@', 'map', 5), (0, 'Card@', '=label@', 5),
+  (1, 'Store@.find', 'peek@', 7), (1, 'Store@.find', 'probe', 8), (1, 'Store@.each', '=Store@.find', 10), (1, 'open@', '=Store@.find', 14),
+  (2, '{ a@, b: [c@] }', 'make@', 1), (2, 'other@', 'test@', 1), (2, 'chain@', 'then', 5), (2, 'chain@', 'next@', 6), (2, 'typed@', 'typed@', 7)) AS v(t, caller, callee, line))
+SELECT p || replace(caller, '@', k::VARCHAR) AS caller, p || replace(replace(callee, '@', k::VARCHAR), '=', '') AS callee, CAST(line AS INTEGER) AS line, CASE WHEN callee NOT LIKE '=%' THEN 'cross-file-or-external' END AS hint FROM hard JOIN made USING (t)""")
+def p14_code_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls among tags, templates in templates, members and type arguments of any length; text between tags calls nothing."""
+    return parse(numbered(hard_files(spark, sf_dir)), "p").call_edges.select("caller", "callee", "line", "hint")
+
+
+@query("""WITH told AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), coded AS (SELECT *, length(text) - length(replace(text, chr(10), '')) AS breaks FROM told)
+SELECT 'd' || doc_id || '.js' AS file_path, 'p:d' || doc_id || '.js:f' AS caller, 'p:d' || doc_id || '.js:' || name AS callee, CAST(line + CASE WHEN after THEN breaks ELSE 0 END AS INTEGER) AS line
+FROM coded, (VALUES ('log', 2, false), ('inner', 2, true), ('put', 3, true), ('last', 4, true)) AS v(name, line, after)""")
+def p1_code_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls around whole documents that stand in a template, a string and a comment, however long."""
+    body = F.coalesce("text", F.lit(""))
+    template = F.replace(F.replace(F.replace(body, F.lit("\\"), F.lit("\\\\")), F.lit("`"), F.lit("\\`")), F.lit("$"), F.lit("\\$"))
+    quoted = F.to_json(F.struct(body.alias("x")))
+    code = F.concat(
+        F.lit("function f(x) {\n  log(`"), template, F.lit("${inner(x)}`);\n  put("), F.regexp_replace(quoted, r'^\{"x":|\}$', ""), F.lit(");\n  last('"),
+        F.regexp_replace(body, r"['\\\n]", "-"), F.lit("'); // "), F.replace(body, F.lit("\n"), F.lit(" ")), F.lit("\n}\n"),
+    )
+    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), code.alias("content"))
+    return parse(numbered(files), "p").call_edges.select("file_path", "caller", "callee", "line")
+
+
+_PLACES = (
+    "src/__tests__/f@.ts", "src/types/f@.d.ts", "f@/vite.config.ts", "src/handlers/f@.ts", "src/services/f@.ts",
+    "src/middleware/f@.ts", "src/useF@.ts", "src/components/f@.tsx", "src/pages/f@.jsx", "bin/f@.js",
+    "db/seeds/f@.ts", "test/fixtures/f@.ts", "src/f@Repo.ts", "src/orm@.ts", "src/mail@.ts", "src/plain@.ts",
+)
+
+
+@query("""WITH places AS (SELECT * FROM (VALUES
+  (0, 'src/__tests__/f@.ts', 'test', 3, 'high', 'path:tests'), (1, 'src/types/f@.d.ts', 'type_only', 3, 'high', 'filename:type-only'), (2, 'f@/vite.config.ts', 'config', 3, 'high', 'filename:config'),
+  (3, 'src/handlers/f@.ts', 'route_handler', 2, 'medium', 'path:routes'), (4, 'src/services/f@.ts', 'service', 2, 'medium', 'path:services'), (5, 'src/middleware/f@.ts', 'middleware', 2, 'medium', 'path:middleware'),
+  (6, 'src/useF@.ts', 'hook', 2, 'medium', 'path:hooks'), (7, 'src/components/f@.tsx', 'component', 2, 'medium', 'path:components'), (8, 'src/pages/f@.jsx', 'page', 2, 'medium', 'path:pages'),
+  (9, 'bin/f@.js', 'script', 2, 'medium', 'path:scripts'), (10, 'db/seeds/f@.ts', 'seed', 3, 'high', 'path:seeds'), (11, 'test/fixtures/f@.ts', 'fixture', 3, 'high', 'path:fixtures'),
+  (12, 'src/f@Repo.ts', 'repository', 2, 'medium', 'path:repositories'), (13, 'src/orm@.ts', 'repository', 2, 'medium', 'import:db-client'), (14, 'src/mail@.ts', 'client', 1, 'low', 'import:external-client'),
+  (15, 'src/plain@.ts', 'unclassified', 0, 'none', '')) AS v(t, place, role, score, confidence, signals))
+SELECT replace(place, '@', p_partkey::VARCHAR) AS path, role, CAST(score AS INTEGER) AS score, confidence, signals FROM part JOIN places ON t = p_partkey % 16""")
+def u4_code_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by every signal of the language, those of imports read from their source."""
+    k = F.col("p_partkey")
+    place = F.get(F.array(*map(F.lit, _PLACES)), (k % len(_PLACES)).cast("int"))
+    imports = F.when(k % 16 == 13, "import { x } from 'drizzle-orm/pg';").when(k % 16 == 14, "import mail from 'nodemailer';").otherwise("import { x } from 'other';")
+    files = numbered(read(spark, sf_dir, "part").select(F.replace(place, F.lit("@"), k.cast("string")).alias("path"), imports.alias("content")))
+    roles = analyse(files, "p").roles
+    return roles.select("path", "role", "score", "confidence", F.array_join("signals", ",").alias("signals"))

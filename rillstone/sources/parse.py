@@ -13,7 +13,7 @@ names the files whose brackets don't match.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,15 +34,6 @@ TYPES = (":", "|", "&", "=>", "is", "keyof", "extends", "readonly")
 NOT_OPERANDS = ("await", "async", "function", "typeof", "void", "delete", "yield", "class", "new", "in", "of", "instanceof", "as", "satisfies")
 
 
-@dataclass(frozen=True)
-class Parsed:
-    files: DataFrame
-    nodes: DataFrame
-    imports: DataFrame
-    exports: DataFrame
-    call_edges: DataFrame
-
-
 def tokens(files: DataFrame) -> DataFrame:
     """A row for each token that is neither comment nor white space, as ``lexer.Lexer`` describes it."""
     ship(files.sparkSession)
@@ -195,15 +186,18 @@ def _variables(declared: DataFrame) -> DataFrame:
     )
 
 
-def _symbols(toks: DataFrame, files: DataFrame, project: Column) -> tuple[DataFrame, DataFrame]:
-    """Functions of each file with their texts' hashes and signatures, and the variables declared at the top.
+def _near(toks: DataFrame) -> DataFrame:
+    return _around(toks, 3, 2).withColumn("b1_stop", F.lag("stop").over(W.partitionBy("path").orderBy("ord")))
+
+
+def _symbols(toks: DataFrame, declared: DataFrame, files: DataFrame, project: Column) -> DataFrame:
+    """Functions of each file with their texts' hashes and signatures.
 
     ``rank`` is the order in which symbols of one name take its place: functions, variables, methods, function expressions.
     A file's symbols meet its content in one row, so that it is not copied for each of them.
     """
-    near = _around(toks, 3, 2).withColumn("b1_stop", F.lag("stop").over(W.partitionBy("path").orderBy("ord")))
+    near = _near(toks)
     functions, classes = _functions(near)
-    declared = cut(_declarators(near))
     every = cut(functions.unionByName(_methods(near, classes)).unionByName(_variables(declared)))
     commas = toks.where((F.col("t") == ",") & (F.col("angle") == 0)).select("path", F.col("within").alias("params_ord"), "place")
     listed = commas.join(every.select("path", "params_ord").distinct(), ["path", "params_ord"]).groupBy("path", "params_ord").agg(F.sort_array(F.collect_list("place")).alias("commas"))
@@ -230,12 +224,11 @@ def _symbols(toks: DataFrame, files: DataFrame, project: Column) -> tuple[DataFr
         )
 
     found = per_file.join(files.select("path", "file_ord", "content"), "path").select("path", "file_ord", F.explode(F.transform("symbols", told)).alias("s")).select("path", "file_ord", "s.*")
-    symbols = found.select(
+    return found.select(
         node_identity(project, F.col("path"), F.col("symbol")).alias("node_identity"), F.col("path").alias("file_path"), "file_ord", "node_ord", "kind",
         F.when(F.col("rank") == 2, F.regexp_extract("symbol", r"(?s)([^.]*)$", 1)).otherwise(F.col("symbol")).alias("name"),
         "start_line", "end_line", "exported", "content_hash", "symbol", "close_ord", "rank", "signature",
     )
-    return symbols, declared
 
 
 def _statements(toks: DataFrame, word: str, ends: Column) -> DataFrame:
@@ -336,20 +329,56 @@ def _exports(toks: DataFrame, declared: DataFrame) -> DataFrame:
     return direct.unionByName(named).unionByName(plain).unionByName(bound)
 
 
+class Parsed:
+    """Five tables of files (file_ord, path, content): ``files``, ``nodes``, ``imports``, ``exports`` and ``call_edges``.
+
+    Each is made when it is first asked for, once for this object; what several of them are made from is written on the way.
+    """
+
+    def __init__(self, files: DataFrame, project: str) -> None:
+        self._files, self._project = files, F.lit(project)
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return cut(tokens(self._files))
+
+    @cached_property
+    def _declared(self) -> DataFrame:
+        return cut(_declarators(_near(self.tokens)))
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return cut(_symbols(self.tokens, self._declared, self._files, self._project))
+
+    @cached_property
+    def _named(self) -> DataFrame:
+        return cut(_exports(self.tokens, self._declared))
+
+    @property
+    def files(self) -> DataFrame:
+        return self._files.select("path", F.sha2("content", 256).alias("content_hash"), language_of(F.col("path")).alias("language"))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        listed = self._named.where(F.col("inner").isNotNull()).select("file_path", F.col("inner").alias("symbol")).distinct().withColumn("_listed", F.lit(True))
+        exported = F.coalesce("_listed", F.lit(False)) & (F.col("rank") < 2) | F.col("exported")
+        return self.symbols.join(listed, ["file_path", "symbol"], "left").select(
+            "node_identity", "file_path", "file_ord", "node_ord", "kind", "name", "start_line", "end_line", exported.alias("exported"), "content_hash", "signature"
+        )
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return cut(_imports(self.tokens))
+
+    @cached_property
+    def exports(self) -> DataFrame:
+        means = _by_name(self.symbols).select(F.col("path").alias("file_path"), F.col("t").alias("name"), F.col("known").alias("node_identity"))
+        return self._named.join(means, ["file_path", "name"], "left").select("file_path", "export_ord", "name", "node_identity")
+
+    @cached_property
+    def call_edges(self) -> DataFrame:
+        return cut(_calls(self.tokens, self.symbols, self._project))
+
+
 def parse(files: DataFrame, project: str) -> Parsed:
-    """Five tables from files (file_ord, path, content)."""
-    p = F.lit(project)
-    # the tokens and what is read from them are used many times over: they are written once
-    toks = cut(tokens(files))
-    symbols, declared = _symbols(toks, files, p)
-    symbols = cut(symbols)
-    found = cut(_exports(toks, declared))
-    means = _by_name(symbols).select(F.col("path").alias("file_path"), F.col("t").alias("name"), F.col("known").alias("node_identity"))
-    exports = found.join(means, ["file_path", "name"], "left").select("file_path", "export_ord", "name", "node_identity")
-    listed = found.where(F.col("inner").isNotNull()).select("file_path", F.col("inner").alias("symbol")).distinct().withColumn("_listed", F.lit(True))
-    nodes = symbols.join(listed, ["file_path", "symbol"], "left").select(
-        "node_identity", "file_path", "file_ord", "node_ord", "kind", "name", "start_line", "end_line", (F.coalesce("_listed", F.lit(False)) & (F.col("rank") < 2) | F.col("exported")).alias("exported"), "content_hash",
-        "signature",
-    )
-    hashed = files.select("path", F.sha2("content", 256).alias("content_hash"), language_of(F.col("path")).alias("language"))
-    return Parsed(hashed, nodes, cut(_imports(toks)), exports, cut(_calls(toks, symbols, p)))
+    return Parsed(files, project)
