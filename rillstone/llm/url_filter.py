@@ -6,34 +6,39 @@ is judged by the difference of its log-likelihoods under the two, divided by its
 length and calibrated to a probability. For the calibration each judged URL is
 scored by the counts less its own, of all its rows; the final counts are of all.
 
-A model holds exact counts of character runs and of the contexts before them, for
-each order, under hashes of 57 bits: it grows with the distinct runs of the URLs
-that rules judge, and is sent to each executor. The probability after a context of k characters is
+A model is a table of exact counts of character runs and of the contexts before them,
+for each order, under hashes of ``BITS`` bits. Nothing of it is gathered or sent: what
+a character adds to the difference depends on the six characters that end with it, so
+the distinct sixes of all URLs are joined to the counts, once each, and the URLs'
+sixes to them. Only the histogram of the calibration, of ``2 * BINS`` numbers, passes
+the driver. The probability after a context of k characters is
 (count + STRENGTH * probability after k-1) / (context count + STRENGTH).
 
 Defined results: host and path of a null URL or one without ``://`` are empty, no
 rule fits, and the method judges the whole string (null as empty); an empty string
 scores 0 before calibration; without accepted or rejected examples, as in an empty
-table, the verdict is allow; URLs of any length are judged whole; repeated rows are
-judged alike; at a score of exactly 0.5 the verdict is allow. Further columns pass
-through; one that has the name of an output is replaced, unless ``prefix`` sets the
-outputs apart.
+table, the verdict is allow; URLs of any length are judged whole, in pieces; repeated
+rows are judged alike; at a score of exactly 0.5 the verdict is allow. Further columns
+pass through; one that has the name of an output is replaced, unless ``prefix`` sets
+the outputs apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, unused
+from .common import cut, ship, unused
 
 ORDERS = 6
-BITS = 57  # of the hash of a run or context: with label, kind and order a cell fits 62 bits, and ten million share one with probability 0.0004
+BITS = 62  # of the hash of a run or context: of a hundred million, two share one with probability 0.001
+#: Characters whose runs are hashed at once.
+PIECE = 1 << 17
 STRENGTH = 2.0
 BINS, SPAN = 400, 4.0
 #: (verdict, host and path)
@@ -61,13 +66,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _grams(urls: pd.Series, bits: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """For all characters of all URLs: which URL, and the hash of the run that ends there and of its context, by order."""
-    lengths = urls.str.len().to_numpy(np.int64)
-    codes = np.frombuffer("".join(urls).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(urls)), lengths)
-    at = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+def _hashes(codes: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each character, the hash of the run that ends there and of its context, by order. ``at``: the character's place in its URL."""
     runs, contexts, context, shift = [], [], np.zeros(len(codes), np.uint64), np.uint64(64 - bits)
+    codes = codes.astype(np.uint64)
     for k in range(ORDERS):
         mixed = (context ^ (codes + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
         runs.append(((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> shift).astype(np.int64))
@@ -76,85 +78,119 @@ def _grams(urls: pd.Series, bits: int) -> tuple[np.ndarray, list[np.ndarray], np
             before = np.where(at > k, codes[np.maximum(np.arange(len(codes)) - k - 1, 0)] + np.uint64(2), np.uint64(1))
             context = (context + before) * np.uint64(0xD6E8FEB86659FD93)
             context ^= context >> np.uint64(32)
-    return owner, runs, contexts
-
-
-def _count(batches: Iterator[pd.DataFrame], bits: int = BITS) -> Iterator[pd.DataFrame]:
-    """Counts by cell: label, run or context, order and hash in one number; each URL counts for its ``n`` rows."""
-    for pdf in batches:
-        cells, counts = [], []
-        for label in (0, 1):
-            part = pdf[pdf["label"] == label]
-            owner, *kinds = _grams(part["url"], bits)
-            rows = part["n"].to_numpy(float)[owner]
-            for i, hashes in enumerate(h for kind in kinds for h in kind):
-                used, at = np.unique(hashes, return_inverse=True)
-                cells.append(used + ((label * 2 * ORDERS + i) << bits))
-                counts.append(np.bincount(at, rows, len(used)).astype(np.int64))
-        yield pd.DataFrame({"cell": np.concatenate(cells), "n": np.concatenate(counts)})
-
-
-def _within(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """How often each hash occurs in its own URL."""
-    order = np.lexsort((hashes, owner))
-    new = np.ones(len(order), bool)
-    new[1:] = (owner[order][1:] != owner[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
-    group = np.cumsum(new) - 1
-    found = np.empty(len(order))
-    found[order] = np.bincount(group)[group] if len(order) else 0
-    return found
+    return runs, contexts
+
 
+def _pieces(urls: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which URL each character is of, and the hashes (kind and order, character), for some ``PIECE`` characters at once.
 
-class Cells:
-    """Counts by cell. For each kind and order: the hashes in order, and the counts of both labels beside them."""
-
-    def __init__(self, cells: np.ndarray, n: np.ndarray, bits: int):
-        order = np.argsort(cells)
-        cells, n, self.bits, self.parts = cells[order], n[order].astype(np.float64), bits, []
-        edges = np.searchsorted(cells, np.arange(4 * ORDERS + 1) << bits)
-        for i in range(2 * ORDERS):
-            spans = [slice(edges[j], edges[j + 1]) for j in (i, i + 2 * ORDERS)]
-            found = [cells[x] & ((1 << bits) - 1) for x in spans]
-            hashes = np.union1d(*found)
-            counts = np.zeros((2, len(hashes)))
-            for label in (0, 1):
-                counts[label, np.searchsorted(hashes, found[label])] = n[spans[label]]
-            self.parts.append((hashes, counts))
-
-    def of(self, kind: int, k: int, wanted: np.ndarray) -> np.ndarray:
-        """Counts (label, wanted hash), 0 where a hash was never met."""
-        hashes, counts = self.parts[kind * ORDERS + k]
-        if not len(hashes):
-            return np.zeros((2, len(wanted)))
-        at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-        return np.where(hashes[at] == wanted, counts[:, at], 0.0)
-
-
-@dataclass(frozen=True)
-class UrlModel:
-    """Counts by cell, and the line of the calibration."""
-
-    counts: Cells
-    slope: float = 1.0
-    offset: float = 0.0
-
-    def difference(self, urls: pd.Series, own: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Log-likelihood as accepted less that as rejected, by character. ``own``: label and rows of each URL, whose part in the counts is left out."""
-        owner, runs, contexts = _grams(urls, self.counts.bits)
-        p = np.full((2, len(owner)), 1 / 256)
+    A longer URL comes in pieces of its own, each hashed with the characters before it that its runs reach back to.
+    """
+    i = 0
+    while i < len(urls):
+        k, size = i, 0
+        while k < len(urls) and (k == i or size + len(urls[k]) <= PIECE):
+            size += len(urls[k])
+            k += 1
+        lengths = np.array([len(u) for u in urls[i:k]], np.int64)
+        codes = np.frombuffer("".join(urls[i:k]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(i, k), lengths)
+        at = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        for start in range(0, len(codes), PIECE):
+            low = max(0, start - ORDERS)
+            runs, contexts = _hashes(codes[low : start + PIECE], at[low : start + PIECE])
+            yield owner[start : start + PIECE], np.array(runs + contexts)[:, start - low :]
+        i = k
+
+
+def _sixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct sixes of a batch of URLs (url, label, n), with their hashes and the accepted and rejected rows that they stand in."""
+    for batch in batches:
+        label = np.array([-1 if x is None else x for x in batch.column(1).to_pylist()], np.int64)
+        n = batch.column(2).to_numpy()
+        for owner, hashes in _pieces(batch.column(0).to_pylist()):
+            six, first, at = np.unique(hashes[ORDERS - 1], return_index=True, return_inverse=True)
+            rows = [np.bincount(at, np.where(label[owner] == x, n[owner], 0), len(six)).astype(np.int64) for x in (0, 1)]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(hashes[:, first].T).ravel()), 2 * ORDERS).cast(pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array(six), lists, *map(pa.array, rows)], names=["six", "hashes", "n0", "n1"])
+
+
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (owner, hash) pairs: the first place of each distinct pair, the pair of each place, and how often a pair occurs."""
+    order = np.lexsort(rows[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = (rows[:, order[1:]] != rows[:, order[:-1]]).any(axis=0)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of, np.bincount(of)
+
+
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sixes of each URL (uid, url, judged): how often each occurs, and how often its runs and contexts do in a judged URL, null if once each."""
+    for batch in batches:
+        uids, urls, judged = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+        ones = np.ones(2 * ORDERS, np.int64)
+        whole: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            owner, hashes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1)
+            first, _, times = _grouped(np.array([owner, hashes[ORDERS - 1]]))
+            own = np.ones((len(first), 2 * ORDERS), np.int64)
+            known = judged[owner[first]]
+            if known.any():
+                for i in range(2 * ORDERS):
+                    _, of, n = _grouped(np.array([owner, hashes[i]]))
+                    own[:, i] = np.where(known, n[of[first]], 1)
+            many = (own != ones).any(axis=1)
+            lists = pa.array([row if m else None for row, m in zip(own.tolist(), many, strict=True)], pa.list_(pa.int64()))
+            return pa.record_batch([pa.array(uids[owner[first]]), pa.array(hashes[ORDERS - 1][first]), pa.array(times), lists], names=["uid", "six", "times", "own"])
+
+        for owner, hashes in _pieces(urls):
+            # pieces of one judged URL stay together: its own counts are of all of it
+            if whole and (owner[0] != whole[-1][0][-1] or not judged[owner[0]]):
+                yield out(whole)
+                whole = []
+            whole.append((owner, hashes))
+        if whole:
+            yield out(whole)
+
+
+def likelihood_differences(urls: DataFrame) -> DataFrame:
+    """From distinct URLs (url, label: 1 accepted, 0 rejected, null neither; n: their rows), adds ``difference``: log-likelihood as accepted
+    less that as rejected, by character, and ``held``: the same by the counts less the URL's own, null where it has no label.
+
+    Of a label with one URL only a fifth of its counts is left out, as nothing else would be known of it. Parts are
+    added up as whole numbers of 10^-9, so that reruns agree.
+    """
+    ship(urls.sparkSession)
+    known = cut(urls.withColumn("uid", F.monotonically_increasing_id()))
+    kinds = {r["label"]: r["urls"] for r in known.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("urls")).collect()}
+    share = [0.2 if kinds.get(label) == 1 else 1.0 for label in (0, 1)]
+    sixes = known.select("url", "label", "n").mapInArrow(_sixes, "six long, hashes array<long>, n0 long, n1 long")
+    sixes = cut(sixes.groupBy("six").agg(F.any_value("hashes").alias("hashes"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    each = sixes.select("six", "n0", "n1", F.posexplode("hashes").alias("kind", "hash"))
+    # the counts of a run are those of the sixes that end with it
+    counts = cut(each.where(F.col("n0") + F.col("n1") > 0).groupBy("kind", "hash").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1")))
+    met = each.select("six", "kind", "hash").join(counts, ["kind", "hash"])
+    listed = met.groupBy("six").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("c0", "c1")))).alias("met"))
+    used = known.select("uid", "url", F.col("label").isNotNull().alias("judged")).mapInArrow(_uses, "uid long, six long, times long, own array<long>")
+    rows = used.join(cut(listed), "six", "left").join(known.select("uid", "label", "n"), "uid")
+
+    def likelihood(label: int, held: bool) -> Column:
+        p = F.lit(1 / 256)
         for k in range(ORDERS):
-            run, context = self.counts.of(0, k, runs[k]), self.counts.of(1, k, contexts[k])
-            if own is not None:
-                label, rows, at = own[0][owner], own[1][owner], np.arange(len(owner))
-                run[label, at] -= rows * _within(owner, runs[k])
-                context[label, at] -= rows * _within(owner, contexts[k])
+            run, context = (F.coalesce(F.col("met")[kind][f"c{label}"], F.lit(0)).cast("double") for kind in (k, k + ORDERS))
+            if held:
+                own = lambda kind: F.when(F.col("label") == label, F.col("n") * share[label] * F.coalesce(F.get("own", F.lit(kind)), F.lit(1))).otherwise(0.0)
+                run, context = run - own(k), context - own(k + ORDERS)
             p = (run + STRENGTH * p) / (context + STRENGTH)
-        total = np.log(p[1]) - np.log(p[0])
-        size = np.bincount(owner, minlength=len(urls))
-        return np.bincount(owner, total, len(urls)) / np.maximum(size, 1)
+        return p
 
-    def probability(self, urls: pd.Series) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(urls) + self.offset, -50, 50)))
+    part = lambda held: F.round(F.log(likelihood(1, held) / likelihood(0, held)) * 1e9).cast("long") * F.col("times")
+    summed = rows.groupBy("uid").agg(F.sum(part(False)).alias("all"), F.sum(F.when(F.col("label").isNotNull(), part(True))).alias("rest"))
+    by_length = lambda c: F.coalesce(F.col(c), F.lit(0)) / 1e9 / F.greatest(F.length("url"), F.lit(1))
+    found = known.join(summed, "uid", "left")
+    return found.select("url", "label", "n", by_length("all").alias("difference"), F.when(F.col("label").isNotNull(), by_length("rest")).alias("held"))
 
 
 def fit_line(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple[float, float]:
@@ -172,55 +208,38 @@ def fit_line(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple
     return float(w[0] / scale), float(w[1])
 
 
-def train_url_model(labelled: DataFrame) -> UrlModel:
-    """From columns url and label (1 accepted, 0 rejected). Counts are of all rows; calibrated on each URL by the counts of the others.
-
-    Of a label with one URL only a fifth of its counts is left out, as nothing else would be known of it.
-    """
-    ship(labelled.sparkSession)
-    distinct = labelled.groupBy("url", "label").agg(F.count("*").alias("n"))
-    kinds = {r["label"]: r["urls"] for r in distinct.groupBy("label").agg(F.count("*").alias("urls")).collect()}
-    share = np.array([0.2 if kinds.get(label) == 1 else 1.0 for label in (0, 1)])
-    counted = distinct.mapInPandas(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    model = UrlModel(Cells(counted["cell"].to_numpy(np.int64), counted["n"].to_numpy(float), BITS))
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
-
-    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, model = np.zeros((2, BINS), np.int64), shared.value
-        for pdf in batches:
-            label, rows = pdf["label"].to_numpy(int), pdf["n"].to_numpy(int)
-            at = np.clip((model.difference(pdf["url"], (label, rows * share[label])) / SPAN + 0.5) * BINS, 0, BINS - 1).astype(int)
-            np.add.at(table, (label, at), rows)
-        yield pd.DataFrame({"bin": np.tile(np.arange(BINS), 2), "label": np.repeat([0, 1], BINS), "n": table.ravel()})
-
-    found = distinct.mapInPandas(bins, "bin int, label int, n long").groupBy("bin", "label").agg(F.sum("n").alias("n")).toPandas()
+def calibration(scored: DataFrame) -> tuple[float, float]:
+    """Slope and offset from the held-out differences of judged URLs, counted in bins; (0, 1) without both kinds."""
+    place = F.least(F.greatest(F.floor((F.col("held") / SPAN + 0.5) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
     table = np.zeros((2, BINS))
-    table[found["label"].to_numpy(int), found["bin"].to_numpy(int)] = found["n"].to_numpy(float)
+    for r in scored.where(F.col("label").isNotNull()).groupBy(place.alias("bin"), "label").agg(F.sum("n").alias("n")).collect():
+        table[r["label"], r["bin"]] = r["n"]
     if not table[0].sum() or not table[1].sum():
-        return UrlModel(model.counts, 0.0, 1.0)
-    return UrlModel(model.counts, *fit_line((np.arange(BINS) + 0.5) / BINS * SPAN - SPAN / 2, table[1], table[0]))
+        return 0.0, 1.0
+    return fit_line((np.arange(BINS) + 0.5) / BINS * SPAN - SPAN / 2, table[1], table[0])
+
+
+def probability(difference: Column, slope: float, offset: float) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.least(difference * slope + offset, F.lit(50.0)), F.lit(-50.0))))
 
 
 def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, prefix: str = "") -> DataFrame:
     """Adds host, path, rule, score (probability of being accepted, by the method alone) and verdict, each after ``prefix``."""
-    made = unused(pages, "_host", "_path", "_ruled", "_score", also=[prefix + x for x in OUTPUTS])
-    host, path, rule, score = made
-    parts = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
-    ruled = parts.withColumn(rule, rule_of(F.col(host), F.col(path), rules))
-    fits = F.col(rule)["verdict"]
-    labelled = ruled.where(fits.isNotNull()).select(F.col(url).alias("url"), (fits == "allow").cast("int").alias("label"))
-    shared = pages.sparkSession.sparkContext.broadcast(train_url_model(labelled))
-
-    @F.pandas_udf("double")
-    def accepted(urls: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.probability(urls.fillna("")))
-
-    judged = ruled.withColumn(score, accepted(F.col(url)))
+    made = unused(pages, "_host", "_path", "_ruled", "_score", "_url", also=[prefix + x for x in OUTPUTS])
+    host, path, rule, score, key = made
+    text = F.coalesce(F.col(url), F.lit(""))
+    slim = pages.select(text.alias("url")).groupBy("url").agg(F.count("*").alias("n"))
+    fits = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"]
+    scored = cut(likelihood_differences(slim.withColumn("label", F.when(fits.isNotNull(), (fits == "allow").cast("int")))))
+    slope, offset = calibration(scored)
+    known = scored.select(F.col("url").alias(key), probability(F.col("difference"), slope, offset).alias(score))
+    parts = pages.join(known, text == F.col(key)).withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
+    judged = parts.withColumn(rule, rule_of(F.col(host), F.col(path), rules))
     outputs = {
         "host": F.col(host),
         "path": F.col(path),
         "rule": F.col(rule)["rule"],
         "score": F.col(score),
-        "verdict": F.coalesce(fits, F.when(F.col(score) >= 0.5, F.lit("allow")).otherwise(F.lit("block"))),
+        "verdict": F.coalesce(F.col(rule)["verdict"], F.when(F.col(score) >= 0.5, F.lit("allow")).otherwise(F.lit("block"))),
     }
     return judged.withColumns({prefix + name: c for name, c in outputs.items()}).drop(*made)
