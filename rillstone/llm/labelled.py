@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
@@ -12,6 +14,12 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def in_order(rows: pd.DataFrame, kind: T.DataType, *then: str) -> pd.DataFrame:
+    """Rows by their ``id``, which travels as text whatever its type is: whole numbers by value, all else as text."""
+    number = isinstance(kind, T.IntegralType)
+    return rows.sort_values(["id", *then], key=lambda c: c.map(int) if number and c.name == "id" else c, ignore_index=True)
+
+
 def place(doc_id: Column) -> Column:
     """A number from 0 to 1 for an id, by hash."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(11), doc_id), 11) / F.lit(float(1 << 53))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, unused
-from .labelled import in_fold, place, place_limits
+from .labelled import in_fold, in_order, place, place_limits
 
 SAMPLE = 6_000
 DIMENSIONS = 2048
@@ -154,7 +154,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     seen = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~in_fold(F.col(doc_id), folds, fold))
     known = seen.select(F.col(lang).alias("group"), F.col(doc_id).alias("id"), F.col(text).alias("body"))
     limits = place_limits(known.select("group", "id"), sample)
-    rows = known.join(F.broadcast(limits), "group").where(place(F.col("id")) < F.col("limit")).select("id", F.col("group").alias("lang"), "body")
+    rows = known.join(F.broadcast(limits), "group").where(place(F.col("id")) < F.col("limit")).select(F.col("id").cast("string").alias("id"), F.col("group").alias("lang"), "body")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -165,7 +165,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 yield pd.DataFrame({"id": part["id"].iloc[found], "lang": part["lang"].iloc[found], "x": [x[j].astype(np.float16).tobytes() for j in found]})
 
     # one row for an id and language, however often it is repeated: at most ``sample`` rows reach the driver
-    found = rows.mapInPandas(describe, "id long, lang string, x binary").groupBy("id", "lang").agg(F.min("x").alias("x")).toPandas().sort_values(["id", "lang"])
+    found = rows.mapInPandas(describe, "id string, lang string, x binary").groupBy("id", "lang").agg(F.min("x").alias("x")).toPandas()
+    found = in_order(found, docs.schema[doc_id].dataType, "lang")
     x = np.frombuffer(b"".join(found["x"]), np.float16).astype(np.float32).reshape(-1, DIMENSIONS)
     return learn(x, found["lang"].to_numpy(object))
 

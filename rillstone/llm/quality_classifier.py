@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, unused
-from .labelled import bounded_sample, in_fold, logistic, sigmoid
+from .labelled import bounded_sample, in_fold, in_order, logistic, sigmoid
 
 SAMPLE = 20_000
 PAIRS = 60_000
@@ -90,14 +90,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     docs = docs.select(doc_id, text)
     held = in_fold(F.col(doc_id), folds, fold)
     chosen = bounded_sample(labels, doc_id, label, sample, held)
-    rows = docs.where(~held).join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select("_id", "_label", F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = docs.where(~held).join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select(F.col("_id").cast("string").alias("_id"), "_label", F.coalesce(F.col(text), F.lit("")).alias("body"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["_id"], "y": pdf["_label"], "x": [features(t) for t in pdf["body"]]})
 
     # one row an id, in a fixed order: at most ``sample`` rows of a few numbers
-    found = rows.mapInPandas(describe, "id long, y int, x array<double>").groupBy("id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("id")
+    found = rows.mapInPandas(describe, "id string, y int, x array<double>").groupBy("id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toPandas()
+    found = in_order(found, docs.schema[doc_id].dataType)
     x = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES))
     return learn(x, found["y"].to_numpy(int))
 
