@@ -17,7 +17,9 @@ A window can reach similarity t with an item of as many shingles only if
 every size would take each word as often as there are sizes times their lengths, so
 documents are joined first with the shingles of the items, and windows are cut only
 where enough of them met; this loses no window that the similarity would accept.
-Windows with equal shingles are fingerprinted and compared once.
+Windows with equal shingles are kept once a document and size, and fingerprinted and
+compared once; windows are found block of places by block, so time and memory grow with
+the length of a text, not with its square, also where it repeats a passage throughout.
 
 Defined results: words are compared in lower case; a document or item without
 words takes no part; texts of fewer than five words count as one shingle; a
@@ -44,20 +46,23 @@ THRESHOLD = 0.8
 BLOCKS, BLOCK_BITS = 48, 10
 #: Bytes up to which the tables of the items are broadcast; beyond, both sides are shuffled.
 BROADCAST_BYTES = 64 << 20
-#: Blocks read from one 64-bit hash. Three bits times the first, under the mask of the second, stand 21 bits apart.
-_PER_HASH, _SPREAD, _LANES = 6, 1 + (1 << 20) + (1 << 40), 1 + (1 << 21) + (1 << 42)
+#: Places of a document whose windows are found together, or as many as a window has if those are more.
+PLACES = 256
+#: Blocks read from one 64-bit hash. Two bits times the first, under the mask of the second, stand 32 bits apart.
+_PER_HASH, _SPREAD, _LANES = 6, 1 + (1 << 31), 1 + (1 << 32)
 
 
 def fingerprints(bags: DataFrame, keys: list[str], bag: str) -> DataFrame:
     """The SimHash of each row's bag of shingles, a row for each of its blocks: keys, ``block``, and ``bits``, a number of ``BLOCK_BITS`` bits.
 
-    A shingle is hashed anew for every 60 bits. Counts of set bits are kept in sums with three lanes of 21 bits each.
+    A shingle is hashed anew for every 60 bits. Counts of set bits are kept in sums with two lanes of 32
+    bits each, more than an array can have elements.
     """
     hashes = F.explode(F.array(*[F.struct(F.lit(w).alias("_w"), F.xxhash64(F.lit(w), "_h").alias("_x")) for w in range(BLOCKS // _PER_HASH)]))
     hashed = bags.select(*keys, F.explode(bag).alias("_h")).select(*keys, hashes.alias("_hash")).select(*keys, "_hash._w", "_hash._x")
-    spread = lambda j: (F.shiftrightunsigned("_x", 3 * j).bitwiseAND(F.lit(7)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_LANES))
-    counted = hashed.groupBy(*keys, "_w").agg(F.count("*").alias("_n"), *[F.sum(spread(j)).alias(f"_s{j}") for j in range(_PER_HASH * BLOCK_BITS // 3)])
-    ones = lambda b: F.shiftrightunsigned(F.col(f"_s{b // 3}"), 21 * (b % 3)).bitwiseAND(F.lit((1 << 21) - 1))
+    spread = lambda j: (F.shiftrightunsigned("_x", 2 * j).bitwiseAND(F.lit(3)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_LANES))
+    counted = hashed.groupBy(*keys, "_w").agg(F.count("*").alias("_n"), *[F.sum(spread(j)).alias(f"_s{j}") for j in range(_PER_HASH * BLOCK_BITS // 2)])
+    ones = lambda b: F.shiftrightunsigned(F.col(f"_s{b // 2}"), 32 * (b % 2)).bitwiseAND(F.lit((1 << 32) - 1))
     bit = lambda b: F.when(ones(b) * 2 > F.col("_n"), F.lit(1 << b % BLOCK_BITS)).otherwise(F.lit(0))
     blocks = [reduce(lambda x, y: x + y, [bit(i * BLOCK_BITS + k) for k in range(BLOCK_BITS)]) for i in range(_PER_HASH)]
     return counted.select(*keys, "_w", F.posexplode(F.array(*blocks)).alias("_i", "bits")).select(*keys, (F.col("_w") * _PER_HASH + F.col("_i")).alias("block"), "bits")
@@ -88,6 +93,10 @@ def benchmark_items(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return counted.select("item_id", F.size("w").alias("length"), width.alias("width"), by_width.alias("bag"))
 
 
+def _places(length: Column) -> Column:
+    return F.greatest(length, F.lit(PLACES))
+
+
 def _hits(docs: DataFrame, wanted: DataFrame, width: int, t: float, small: bool) -> DataFrame:
     """Places where a document has a shingle of some item of a size, with the shingles around."""
     placed = docs.select("key", "doc_id", shingles(F.col("w"), width).alias("bag"))
@@ -102,24 +111,26 @@ def _hits(docs: DataFrame, wanted: DataFrame, width: int, t: float, small: bool)
     need = F.ceil(F.lit(t) * (F.col("n") + length) / F.lit(1 + t) - 1e-9).cast("int")
     reach = F.greatest(length - need, F.lit(0))
     start = F.greatest(F.col("pos") - reach, F.lit(0))
+    # a place counts for the windows that begin in its block of places, or in the one before if they reach it
+    block = F.explode(F.sequence(F.floor(F.greatest(F.col("pos") - length + 1, F.lit(0)) / _places(length)), F.floor(F.col("pos") / _places(length))))
     return each.where(need <= length).select(
-        "key", "doc_id", F.lit(width).alias("width"), "n", length.alias("m"), need.alias("need"), F.size("bag").alias("total"), "pos",
+        "key", "doc_id", F.lit(width).alias("width"), "n", length.alias("m"), need.alias("need"), F.size("bag").alias("total"), "pos", block.alias("block"),
         start.alias("start"), F.slice("bag", start + 1, F.col("pos") - start + 1 + reach).alias("around"),
     )
 
 
 def _windows(hits: DataFrame) -> DataFrame:
-    """Windows in which enough shingles met: keys, start of the window and its bag."""
-    keys = ["key", "doc_id", "width", "n", "m", "need", "total"]
+    """Windows in which enough shingles met: keys, start of the window and its bag. What is held together is a block of places, however long the document."""
+    keys = ["key", "doc_id", "width", "n", "m", "need", "total", "block"]
     placed = lambda e: F.transform(e["around"], lambda h, i: F.struct((e["start"] + i).alias("p"), h.alias("h")))
     grouped = hits.groupBy(*keys).agg(F.array_sort(F.collect_set("pos")).alias("at"), F.collect_list(F.struct("start", "around")).alias("parts"))
     grouped = grouped.where(F.size("at") >= F.col("need")).withColumn("near", F.sort_array(F.array_distinct(F.flatten(F.transform("parts", placed)))))
     # a window whose first meeting place is at[i] starts there or up to m - need places before, yet after at[i - 1]
     enough = lambda p, i: F.coalesce(F.get("at", i + F.col("need") - 1) <= p + F.col("m") - 1, F.lit(False))
     low = lambda p, i: F.greatest(
-        F.lit(0), F.coalesce(F.get("at", i - 1) + 1, F.lit(0)), F.coalesce(F.get("at", i + F.col("need") - 1) - F.col("m") + 1, p)
+        (F.col("block") * _places(F.col("m"))).cast("int"), F.coalesce(F.get("at", i - 1) + 1, F.lit(0)), F.coalesce(F.get("at", i + F.col("need") - 1) - F.col("m") + 1, p)
     )
-    high = lambda p: F.least(p, F.col("total") - F.col("m"))
+    high = lambda p: F.least(p, F.col("total") - F.col("m"), ((F.col("block") + 1) * _places(F.col("m")) - 1).cast("int"))
     starts = F.flatten(
         F.transform(
             "at",
@@ -146,7 +157,10 @@ def _leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: s
     source = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), word_hashes(F.lower(F.col(text))).alias("w"))
     widths = sorted(r["width"] for r in facts) or [WIDTH]
     found = _windows(reduce(DataFrame.unionByName, [_hits(source, wanted, k, threshold, small) for k in widths])).withColumn("window", F.sort_array("window"))
-    windows = cut(found.select("key", "doc_id", "width", "n", "start", "window", bag_key("width", "window").alias("bag_key")))
+    named = found.select("key", "doc_id", "width", "n", "start", "window", bag_key("width", "window").alias("bag_key"))
+    # a passage told over and over has few different windows
+    same = named.groupBy("key", "doc_id", "width", "n", "bag_key").agg(F.min("start").alias("start"), F.count("*").alias("times"), F.any_value("window").alias("window"))
+    windows = cut(same)
     bags = windows.select("width", "n", "bag_key", "window").dropDuplicates(["width", "n", "bag_key"])
     of_items = fingerprints(keyed, ["item", "width", "n"], "bag")
     pairs = near_fingerprints(fingerprints(bags, ["bag_key", "width", "n"], "window"), of_items, ["width", "n"], small)
@@ -170,7 +184,7 @@ def contaminated(
     found = _leaks(docs, items, doc_id, text, item_id, item_text, threshold)
     return (
         found.groupBy("doc_id", "item_id")
-        .agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start").alias("at"))).alias("_best"), F.count("*").alias("n_windows"))
+        .agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start").alias("at"))).alias("_best"), F.sum("times").alias("n_windows"))
         .select("doc_id", "item_id", F.col("_best.at").cast("long").alias("start_word"), (-F.col("_best.s")).alias("similarity"), "n_windows")
     )
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -136,6 +137,28 @@ def test_decontamination_matches_brute_force(spark):
         assert got == want and len(want) > 10
 
 
+@pytest.mark.parametrize("broadcast", [1 << 30, 0])
+def test_passages_told_over_and_over(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
+    rng = random.Random(12)
+    lines = [" ".join(prose(rng, n)) for n in (6, 9, 40, 300)]
+    items = [(0, "a a a a a a"), (1, "a b a b a b a"), *enumerate(lines, 2), (8, "a " * 300)]
+    docs = [(0, "a " * 700), (1, "a b " * 400), (2, (lines[0] + " ") * 60), (3, (lines[1] + " x ") * 60), (4, (lines[2] + " ") * 20), (5, (lines[3] + " y z ") * 5), (6, "c " * 600), (7, "q " * 251 + lines[1] + " q" * 251 + " " + lines[2])]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in found} == leaks(docs, items)
+    starts = {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_windows"]) for r in found}
+    assert starts[0, 0] == (0, 695) and starts[2, 2][0] == 0 and starts[7, 3][0] == 251
+
+
+def test_a_word_told_300000_times(spark):
+    docs = spark.createDataFrame([(1, "spam " * 300_000), (2, "other words")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "spam " * 6)], "item_id long, text string")
+    began = time.time()
+    found = decontaminate.contaminated(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"], r["start_word"], r["similarity"], r["n_windows"]) for r in found} == {(1, 1, 0, 1.0, 299_995)}
+    assert time.time() - began < 120
+
+
 def test_null_and_repeated_ids_in_both_branches(spark):
     rng = random.Random(12)
     item, clean = " ".join(prose(rng, 30)), [" ".join(prose(rng, 30)) for _ in range(4)]
