@@ -8,7 +8,10 @@ with a lower id, is dropped by anti-join. What stays is rendered.
 Defined results: turns are ordered by (turn, role, text), nulls first; null role
 and text render as empty, yet differ from empty when conversations are compared;
 rows of a null conversation id form one conversation; an empty table gives an
-empty result; exact copies keep the lowest id (null lowest).
+empty result; exact copies keep the lowest id (null lowest). Texts of any length are
+hashed and rendered whole; a chat is one value, so a conversation must fit in a task.
+Only the four named columns are read, so further ones have no part in the result,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -7,10 +7,11 @@ length and calibrated to a probability. For the calibration each judged URL is
 scored by the counts less its own, of all its rows; the final counts are of all.
 
 A model is a table of exact counts of character runs and of the contexts before them,
-for each order, under hashes of ``BITS`` bits. Nothing of it is gathered or sent: what
-a character adds to the difference depends on the six characters that end with it, so
-the distinct sixes of all URLs are joined to the counts, once each, and the URLs'
-sixes to them. Only the histogram of the calibration, of ``2 * BINS`` numbers, passes
+for each order. Nothing of it is gathered or sent: what a character adds to the
+difference depends on the six characters that end with it, so the distinct sixes of all
+URLs get the counts of their ends and of what is before their last character, each
+count handed down from the run that is shorter by one, and the URLs' sixes are joined
+to them. A run shorter than its order begins a URL. Only the histogram of the calibration, of ``2 * BINS`` numbers, passes
 the driver. The probability after a context of k characters is
 (count + STRENGTH * probability after k-1) / (context count + STRENGTH).
 
@@ -36,8 +37,7 @@ from pyspark.sql import functions as F
 from .common import cut, ship, unused
 
 ORDERS = 6
-BITS = 62  # of the hash of a run or context: of a hundred million, two share one with probability 0.001
-#: Characters whose runs are hashed at once.
+#: Characters whose runs are counted at once.
 PIECE = 1 << 17
 STRENGTH = 2.0
 BINS, SPAN = 400, 4.0
@@ -66,25 +66,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _hashes(codes: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each character, the hash of the run that ends there and of its context, by order. ``at``: the character's place in its URL."""
-    runs, contexts, context, shift = [], [], np.zeros(len(codes), np.uint64), np.uint64(64 - bits)
-    codes = codes.astype(np.uint64)
-    for k in range(ORDERS):
-        mixed = (context ^ (codes + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-        runs.append(((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> shift).astype(np.int64))
-        contexts.append((context * np.uint64(0x94D049BB133111EB) >> shift).astype(np.int64))
-        if k + 1 < ORDERS:  # one more character to the left, a mark where there is none
-            before = np.where(at > k, codes[np.maximum(np.arange(len(codes)) - k - 1, 0)] + np.uint64(2), np.uint64(1))
-            context = (context + before) * np.uint64(0xD6E8FEB86659FD93)
-            context ^= context >> np.uint64(32)
-    return runs, contexts
+def _pieces(urls: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some ``PIECE`` characters at once: which URL each is of, its place in it, and it with the five before it as numbers, 0 where there is none.
 
-
-def _pieces(urls: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Which URL each character is of, and the hashes (kind and order, character), for some ``PIECE`` characters at once.
-
-    A longer URL comes in pieces of its own, each hashed with the characters before it that its runs reach back to.
+    A longer URL comes in pieces of its own.
     """
     i = 0
     while i < len(urls):
@@ -93,30 +78,44 @@ def _pieces(urls: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             size += len(urls[k])
             k += 1
         lengths = np.array([len(u) for u in urls[i:k]], np.int64)
-        codes = np.frombuffer("".join(urls[i:k]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer("".join(urls[i:k]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
         owner = np.repeat(np.arange(i, k), lengths)
         at = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         for start in range(0, len(codes), PIECE):
-            low = max(0, start - ORDERS)
-            runs, contexts = _hashes(codes[low : start + PIECE], at[low : start + PIECE])
-            yield owner[start : start + PIECE], np.array(runs + contexts)[:, start - low :]
+            here = np.arange(start, min(len(codes), start + PIECE))
+            back = np.array([np.where(at[here] >= d, codes[np.maximum(here - d, 0)], 0) for d in range(ORDERS)])
+            yield owner[here], at[here], back
         i = k
 
 
+def _packed(back: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Characters ``low`` to ``high`` steps back, exclusive, as two numbers of 63 bits: three characters each."""
+    parts = np.zeros((2, back.shape[1]), np.int64)
+    for d in range(low, high):
+        parts[(d - low) // 3] = (parts[(d - low) // 3] << 21) | back[d]
+    return parts
+
+
+def _text(back: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Sixes as text, shorter at the beginning of a URL."""
+    codes = (back[::-1].T - 1).astype(np.uint32)
+    whole = codes.astype("<u4")
+    return pa.array([row[max(0, ORDERS - 1 - a) :].tobytes().decode("utf-32-le", "surrogatepass") for row, a in zip(whole, at.tolist(), strict=True)], pa.string())
+
+
 def _sixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct sixes of a batch of URLs (url, label, n), with their hashes and the accepted and rejected rows that they stand in."""
+    """Distinct sixes of a batch of URLs (url, label, n), and the accepted and rejected rows that they stand in."""
     for batch in batches:
         label = np.array([-1 if x is None else x for x in batch.column(1).to_pylist()], np.int64)
         n = batch.column(2).to_numpy()
-        for owner, hashes in _pieces(batch.column(0).to_pylist()):
-            six, first, at = np.unique(hashes[ORDERS - 1], return_index=True, return_inverse=True)
-            rows = [np.bincount(at, np.where(label[owner] == x, n[owner], 0), len(six)).astype(np.int64) for x in (0, 1)]
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(hashes[:, first].T).ravel()), 2 * ORDERS).cast(pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array(six), lists, *map(pa.array, rows)], names=["six", "hashes", "n0", "n1"])
+        for owner, at, back in _pieces(batch.column(0).to_pylist()):
+            first, of, _ = _grouped(_packed(back, 0, ORDERS))
+            rows = [np.bincount(of, np.where(label[owner] == x, n[owner], 0), len(first)).astype(np.int64) for x in (0, 1)]
+            yield pa.record_batch([_text(back[:, first], at[first]), *map(pa.array, rows)], names=["key", "n0", "n1"])
 
 
 def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (owner, hash) pairs: the first place of each distinct pair, the pair of each place, and how often a pair occurs."""
+    """Of columns of numbers: the first place of each distinct column, the distinct column of each place, and how often each occurs."""
     order = np.lexsort(rows[::-1])
     new = np.ones(len(order), bool)
     new[1:] = (rows[:, order[1:]] != rows[:, order[:-1]]).any(axis=0)
@@ -126,35 +125,53 @@ def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sixes of each URL (uid, url, judged): how often each occurs, and how often its runs and contexts do in a judged URL, null if once each."""
+    """The sixes of each URL (uid, url, label, n), with its label and rows: how often each occurs, and how often its runs and contexts do in a judged URL, null if once each."""
     for batch in batches:
-        uids, urls, judged = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-        ones = np.ones(2 * ORDERS, np.int64)
-        whole: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            owner, hashes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1)
-            first, _, times = _grouped(np.array([owner, hashes[ORDERS - 1]]))
-            own = np.ones((len(first), 2 * ORDERS), np.int64)
+        uids, urls, labels, rows = batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
+        judged = labels.is_valid().to_numpy(zero_copy_only=False)
+        whole: list[tuple[np.ndarray, ...]] = []
+
+        def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            owner, at, back = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
+            of_url = lambda low, high: _grouped(np.vstack([owner, _packed(back, low, high)]))
+            first, _, times = of_url(0, ORDERS)
             known = judged[owner[first]]
+            own = np.ones((len(first), 2 * ORDERS), np.int32)
             if known.any():
                 for i in range(2 * ORDERS):
-                    _, of, n = _grouped(np.array([owner, hashes[i]]))
+                    _, of, n = of_url(0, i + 1) if i < ORDERS else of_url(1, i - ORDERS + 1)
                     own[:, i] = np.where(known, n[of[first]], 1)
-            many = (own != ones).any(axis=1)
-            lists = pa.array([row if m else None for row, m in zip(own.tolist(), many, strict=True)], pa.list_(pa.int64()))
-            return pa.record_batch([pa.array(uids[owner[first]]), pa.array(hashes[ORDERS - 1][first]), pa.array(times), lists], names=["uid", "six", "times", "own"])
+            many = (own != 1).any(axis=1)
+            ends = np.concatenate([[0], np.cumsum(np.where(many, 2 * ORDERS, 0))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own[many].ravel()), mask=pa.array(~many))
+            of = pa.array(owner[first])
+            return pa.record_batch([uids.take(of), labels.take(of), rows.take(of), _text(back[:, first], at[first]), pa.array(times), lists], names=["uid", "label", "n", "key", "times", "own"])
 
-        for owner, hashes in _pieces(urls):
+        for part in _pieces(urls):
             # pieces of one judged URL stay together: its own counts are of all of it
-            if whole and (owner[0] != whole[-1][0][-1] or not judged[owner[0]]):
+            if whole and (part[0][0] != whole[-1][0][-1] or not judged[part[0][0]]):
                 yield out(whole)
                 whole = []
-            whole.append((owner, hashes))
+            whole.append(part)
         if whole:
             yield out(whole)
 
 
+def _with_counts_of_ends(table: DataFrame, longest: int, shortest: int) -> DataFrame:
+    """From runs (key, n0, n1) of up to ``longest`` characters, each with the counts of its ends of ``shortest`` to ``longest`` characters, as arrays c0 and c1.
+
+    The counts of shorter runs are sums of those of longer ones, and are handed back along the ends.
+    """
+    levels = [table]
+    for k in range(longest - 1, shortest - 1, -1):
+        levels.append(levels[-1].groupBy(F.right("key", F.lit(k)).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    found = levels[-1].select("key", F.array("n0").alias("c0"), F.array("n1").alias("c1"))
+    for k, level in zip(range(shortest, longest), reversed(levels[:-1]), strict=True):
+        up = found.withColumnRenamed("key", "up")
+        found = level.withColumn("up", F.right("key", F.lit(k))).join(up, "up").select("key", *[F.concat(f"c{x}", F.array(f"n{x}")).alias(f"c{x}") for x in (0, 1)])
+    return found
+
+
 def likelihood_differences(urls: DataFrame) -> DataFrame:
     """From distinct URLs (url, label: 1 accepted, 0 rejected, null neither; n: their rows), adds ``difference``: log-likelihood as accepted
     less that as rejected, by character, and ``held``: the same by the counts less the URL's own, null where it has no label.
@@ -166,20 +183,19 @@ def likelihood_differences(urls: DataFrame) -> DataFrame:
     known = cut(urls.withColumn("uid", F.monotonically_increasing_id()))
     kinds = {r["label"]: r["urls"] for r in known.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("urls")).collect()}
     share = [0.2 if kinds.get(label) == 1 else 1.0 for label in (0, 1)]
-    sixes = known.select("url", "label", "n").mapInArrow(_sixes, "six long, hashes array<long>, n0 long, n1 long")
-    sixes = cut(sixes.groupBy("six").agg(F.any_value("hashes").alias("hashes"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    each = sixes.select("six", "n0", "n1", F.posexplode("hashes").alias("kind", "hash"))
-    # the counts of a run are those of the sixes that end with it
-    counts = cut(each.where(F.col("n0") + F.col("n1") > 0).groupBy("kind", "hash").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1")))
-    met = each.select("six", "kind", "hash").join(counts, ["kind", "hash"])
-    listed = met.groupBy("six").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("c0", "c1")))).alias("met"))
-    used = known.select("uid", "url", F.col("label").isNotNull().alias("judged")).mapInArrow(_uses, "uid long, six long, times long, own array<long>")
-    rows = used.join(cut(listed), "six", "left").join(known.select("uid", "label", "n"), "uid")
+    sixes = known.select("url", "label", "n").mapInArrow(_sixes, "key string, n0 long, n1 long")
+    sixes = cut(sixes.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    before_last = lambda c: F.left(c, F.length(c) - 1)
+    contexts = sixes.groupBy(before_last(F.col("key")).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    of_context = _with_counts_of_ends(contexts, ORDERS - 1, 0).select(F.col("key").alias("before"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    counted = cut(_with_counts_of_ends(sixes, ORDERS, 1).withColumn("before", before_last(F.col("key"))).join(of_context, "before").drop("before"))
+    used = known.select("uid", "url", "label", "n").mapInArrow(_uses, "uid long, label int, n long, key string, times long, own array<int>")
+    rows = used.join(counted, "key")
 
     def likelihood(label: int, held: bool) -> Column:
         p = F.lit(1 / 256)
         for k in range(ORDERS):
-            run, context = (F.coalesce(F.col("met")[kind][f"c{label}"], F.lit(0)).cast("double") for kind in (k, k + ORDERS))
+            run, context = F.get(f"c{label}", F.lit(k)).cast("double"), F.get(f"d{label}", F.lit(k)).cast("double")
             if held:
                 own = lambda kind: F.when(F.col("label") == label, F.col("n") * share[label] * F.coalesce(F.get("own", F.lit(kind)), F.lit(1))).otherwise(0.0)
                 run, context = run - own(k), context - own(k + ORDERS)
