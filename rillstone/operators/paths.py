@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_hash, canonical_json, category_of, last_segment
+from ..functions.lineage import cut
 
 DEPTH = 8
 #: Methods of a router that register a handler.
@@ -37,10 +38,59 @@ def callees_in_order(edges: DataFrame, nodes: DataFrame, order: list[str]) -> Da
 def walk(entries: DataFrame, callees: DataFrame, answers: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
     """One row an entry: the nodes of its path, whether it ended in a cycle and where, and the callers that branch.
 
-    ``answers`` (entry, caller, choice) says which callee to follow, if it is still one
-    of the candidates. At most ``depth`` joins, each of the walks with the callers; a walk that has ended matches none.
+    ``answers`` (entry, caller, choice) says which callee to follow, if it is still one of the candidates. Walks that have
+    answers go step by step; all others follow the first callee, and so share their ways, which are joined by doubling.
     """
-    state = entries.select(F.col("node_identity").alias("entry")).distinct().select(
+    start = entries.select(F.col("node_identity").alias("entry")).distinct()
+    if answers is None:
+        return _jumped(start, callees, depth)
+    asked = answers.select("entry").distinct()
+    return _jumped(start.join(asked, "entry", "left_anti"), callees, depth).unionByName(_stepped(start.join(asked, "entry", "left_semi"), callees, answers, depth))
+
+
+def ways_ahead(callees: DataFrame, steps: int) -> DataFrame:
+    """For each caller (``node``) the nodes that follow it within ``steps`` first calls, a power of two: each join doubles the ways, whatever the number of walks."""
+    ways = cut(callees.select(F.col("caller").alias("node"), F.array(F.get("callees", F.lit(0))).alias("ahead")))
+    reach = 1
+    while reach < steps:
+        # a way that has ended finds nothing under its own name
+        at = F.when(F.size("ahead") == reach, F.element_at("ahead", -1)).otherwise(F.concat(F.lit("\0"), "node"))
+        further = ways.select(F.col("node").alias("_at"), F.col("ahead").alias("_more"))
+        ways = cut(ways.withColumn("_at", at).join(further, "_at", "left").select("node", F.concat("ahead", F.coalesce("_more", F.array().cast("array<string>"))).alias("ahead")))
+        reach *= 2
+    return ways
+
+
+def _jumped(start: DataFrame, callees: DataFrame, depth: int) -> DataFrame:
+    """Walks along first callees, half of the depth at a time; cycles are looked for when the nodes are spelled out."""
+    callees = cut(callees)
+    reach = 1
+    while reach * 4 <= depth:
+        reach *= 2
+    ways = ways_ahead(callees, reach).select(F.col("node").alias("_at"), "ahead")
+    state, full = start.withColumn("nodes", F.array("entry")), 1
+    while full < depth:
+        at = F.when(F.size("nodes") == full, F.element_at("nodes", -1)).otherwise(F.concat(F.lit("\0"), "entry"))
+        state = state.withColumn("_at", at).join(ways, "_at", "left").select("entry", F.concat("nodes", F.coalesce("ahead", F.array().cast("array<string>"))).alias("nodes"))
+        full += reach
+    state = state.withColumn("nodes", F.slice("nodes", 1, depth))
+    first_at = lambda i: F.array_position("nodes", F.get("nodes", i)).cast("int") - 1
+    again = F.get(F.filter(F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: first_at(i) < i), F.lit(0))
+    state = cut(
+        state.withColumn("again", again).select(
+            "entry", F.when(F.col("again").isNotNull(), F.slice("nodes", F.lit(1), F.coalesce("again", F.lit(0)))).otherwise(F.col("nodes")).alias("nodes"),
+            F.when(F.col("again").isNotNull(), first_at(F.col("again"))).alias("cycle_at"), F.coalesce("again", F.size("nodes") - 1).alias("max_depth"),
+        )
+    )
+    several = callees.where(F.size("callees") > 1).select("caller", F.col("callees").alias("candidates"))
+    met = state.select("entry", F.posexplode("nodes").alias("p", "caller")).join(several, "caller").groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("p", "caller", "candidates"))).alias("b"))
+    branches = F.coalesce(F.transform("b", lambda x: F.struct(x["caller"].alias("caller"), x["candidates"].alias("candidates"))), F.array().cast("array<struct<caller:string,candidates:array<string>>>"))
+    return state.join(met, "entry", "left").select("entry", "nodes", "cycle_at", "max_depth", branches.alias("branches"))
+
+
+def _stepped(start: DataFrame, callees: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
+    """Walks that have answers: at most ``depth`` joins, each of the walks with the callers; a walk that has ended matches none."""
+    state = start.select(
         "entry", F.col("entry").alias("cursor"), F.array().cast("array<string>").alias("nodes"), F.lit(None).cast("int").alias("cycle_at"), F.lit(0).alias("max_depth"),
         F.array().cast("array<struct<caller:string,candidates:array<string>>>").alias("branches"),
     )
@@ -50,12 +100,9 @@ def walk(entries: DataFrame, callees: DataFrame, answers: DataFrame | None = Non
         # a walk that has ended finds nothing under its own name, which no other shares: nulls would all meet in one task
         key = F.coalesce("cursor", F.concat(F.lit("\0"), "entry"))
         stepped = state.withColumn("_at", key).join(callees, "_at", "left")
-        if answers is not None:
-            asked = answers.select("entry", F.col("caller").alias("cursor"), "choice")
-            stepped = stepped.join(asked, ["entry", "cursor"], "left")
-            choice = F.when(F.array_contains("callees", F.col("choice")), F.col("choice")).otherwise(F.get("callees", F.lit(0)))
-        else:
-            choice = F.get("callees", F.lit(0))
+        asked = answers.select("entry", F.col("caller").alias("cursor"), "choice")
+        stepped = stepped.join(asked, ["entry", "cursor"], "left")
+        choice = F.when(F.array_contains("callees", F.col("choice")), F.col("choice")).otherwise(F.get("callees", F.lit(0)))
         open_, again = F.col("cursor").isNotNull(), F.coalesce(seen > 0, F.lit(False))
         new = open_ & ~again
         state = stepped.select(
@@ -67,7 +114,7 @@ def walk(entries: DataFrame, callees: DataFrame, answers: DataFrame | None = Non
             F.when(new & (F.size("callees") > 1), F.concat("branches", F.array(F.struct(F.col("cursor").alias("caller"), F.col("callees").alias("candidates")))))
             .otherwise(F.col("branches")).alias("branches"),
         )
-    return state.drop("cursor")
+    return state.drop("cursor").select("entry", "nodes", "cycle_at", "max_depth", "branches")
 
 
 def paths_of(walked: DataFrame) -> DataFrame:
