@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import running
+
 KEYS = ["node_identity", "scope"]
 COLUMNS = ["event_seq", "event_ts", "node_identity", "scope", "op", "status", "comment", "code_hash", "reviewer_id", "reason"]
 
@@ -110,7 +112,8 @@ def reset(current: DataFrame, scope_nodes: DataFrame, now: Column) -> DataFrame:
 
 
 def append(log: DataFrame, events: DataFrame) -> DataFrame:
-    """The log with events numbered on after it."""
-    last = log.agg(F.coalesce(F.max("event_seq"), F.lit(0))).first()[0]
-    numbered = events.withColumn("event_seq", F.lit(last) + 1 + F.monotonically_increasing_id())
+    """The log with events numbered on after it, in order of time, node and scope. Where several write, ``sources.commits.EventLog`` gives the numbers."""
+    last = log.agg(F.coalesce(F.max("event_seq"), F.lit(0)).alias("_last"))  # one row
+    placed = running(events.drop("event_seq"), [F.col(c).asc_nulls_first() for c in ("event_ts", "node_identity", "scope", "op")], {"_nth": F.lit(1)})
+    numbered = placed.crossJoin(F.broadcast(last)).withColumn("event_seq", F.col("_last") + 1 + F.col("_nth"))
     return log.select(*COLUMNS).unionByName(numbered.select(*COLUMNS))

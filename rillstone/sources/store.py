@@ -1,41 +1,51 @@
-"""Tables of runs as Parquet: a run is written whole, then a pointer names it, so readers never see half a run."""
+"""Tables of runs as Parquet: a run is written whole, then a commit names it, so readers never see half a run."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ids import codebase_hash
-
-_POINTER = "run_id string, at timestamp"
+from .commits import CommitLog
 
 
 class RunStore:
-    """Under ``root``: ``runs/<run>/<table>`` and a log of pointers, of which the last counts. Works on any file system of Spark."""
+    """Under ``root``: ``runs/<run>/<write>/<table>`` and commits, of which the last counts. Works on any file system of Spark."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.log = CommitLog(spark, f"{self.root}/_commits")
 
-    def write(self, run_id: str, tables: dict[str, DataFrame]) -> None:
+    def write(self, run_id: str, tables: dict[str, DataFrame]) -> dict[str, int]:
+        """Writes and commits a run; gives the rows of each table, counted while they are written."""
+        folder, rows = f"runs/{run_id}/{uuid.uuid4().hex}", {}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/runs/{run_id}/{name}")
-        pointer = self.spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("at"))
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/current")
+            seen = Observation()
+            df.observe(seen, F.count("*").alias("rows")).write.parquet(f"{self.root}/{folder}/{name}")
+            rows[name] = seen.get["rows"]
+        self.log.commit(lambda _, __: {"run": run_id, "folder": folder, "rows": rows})
+        return rows
+
+    def _last(self) -> dict | None:
+        found = self.log.last()
+        return found[1] if found else None
 
     def current(self) -> str | None:
-        try:
-            row = self.spark.read.schema(_POINTER).parquet(f"{self.root}/current").agg(F.max_by("run_id", "at")).first()
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return row[0] if row else None
+        found = self._last()
+        return found["run"] if found else None
 
     def read(self, name: str, schema: T.StructType) -> DataFrame:
         """A table of the current run; empty before the first."""
-        run = self.current()
-        return self.spark.read.schema(schema).parquet(f"{self.root}/runs/{run}/{name}") if run else self.spark.createDataFrame([], schema)
+        found = self._last()
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{found['folder']}/{name}") if found else self.spark.createDataFrame([], schema)
+
+    def summary(self) -> DataFrame:
+        """Rows of each table of the current run, as counted when it was written."""
+        found = self._last()
+        return self.spark.createDataFrame(sorted(found["rows"].items()) if found else [], "table string, rows long")
 
 
 def summary(tables: dict[str, DataFrame]) -> DataFrame:
