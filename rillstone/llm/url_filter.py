@@ -9,9 +9,8 @@ scored by the counts less its own, of all its rows; the final counts are of all.
 A model is a table of exact counts of character runs and of the contexts before them,
 for each order. Nothing of it is gathered or sent: what a character adds to the
 difference depends on the six characters that end with it, so the distinct sixes of all
-URLs get the counts of their ends and of what is before their last character, each
-count handed down from the run that is shorter by one, and the URLs' sixes are joined
-to them. A run shorter than its order begins a URL. Only the histogram of the calibration, of ``2 * BINS`` numbers, passes
+URLs get the counts of their ends and of the ends of what is before their last
+character, and the URLs' sixes are joined to them. A run shorter than its order begins a URL. Only the histogram of the calibration, of ``2 * BINS`` numbers, passes
 the driver. The probability after a context of k characters is
 (count + STRENGTH * probability after k-1) / (context count + STRENGTH).
 
@@ -32,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, ship, unused
@@ -157,19 +157,23 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(whole)
 
 
-def _with_counts_of_ends(table: DataFrame, longest: int, shortest: int) -> DataFrame:
-    """From runs (key, n0, n1) of up to ``longest`` characters, each with the counts of its ends of ``shortest`` to ``longest`` characters, as arrays c0 and c1.
+def _with_counts_of_ends(rows: DataFrame, text: Column, longest: int, into: tuple[str, str]) -> DataFrame:
+    """Adds, as two arrays, for each end of a text of 0 to ``longest`` characters the sums of n0 and n1 over the rows whose texts have the same end.
 
-    The counts of shorter runs are sums of those of longer ones, and are handed back along the ends.
+    Rows are dealt by their ends of three characters and sorted once; the sums of longer ends are windows within. Those of
+    shorter ends come from the table of ends of two characters, of which there are few.
     """
-    levels = [table]
-    for k in range(longest - 1, shortest - 1, -1):
-        levels.append(levels[-1].groupBy(F.right("key", F.lit(k)).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    found = levels[-1].select("key", F.array("n0").alias("c0"), F.array("n1").alias("c1"))
-    for k, level in zip(range(shortest, longest), reversed(levels[:-1]), strict=True):
-        up = found.withColumnRenamed("key", "up")
-        found = level.withColumn("up", F.right("key", F.lit(k))).join(up, "up").select("key", *[F.concat(f"c{x}", F.array(f"n{x}")).alias(f"c{x}") for x in (0, 1)])
-    return found
+    kinds, far = (0, 1), range(3, longest + 1)
+    short = rows.groupBy(F.right(text, F.lit(2)).alias("_e2")).agg(*[F.sum(f"n{x}").alias(f"_s2{x}") for x in kinds])
+    by_last = W.partitionBy(F.right("_e2", F.lit(1)))
+    short = cut(short.withColumns({f"_s1{x}": F.sum(f"_s2{x}").over(by_last) for x in kinds}))
+    every = short.agg(*[F.coalesce(F.sum(f"_s2{x}"), F.lit(0)).alias(f"_s0{x}") for x in kinds])
+    ended = rows.withColumns({f"_e{k}": F.right(text, F.lit(k)) for k in range(2, longest + 1)})
+    dealt = ended.join(short, "_e2").crossJoin(F.broadcast(every)).repartition("_e3")
+    for k in reversed(far):
+        same = W.partitionBy(*[f"_e{i}" for i in range(3, k + 1)])
+        dealt = dealt.withColumns({f"_s{k}{x}": F.sum(f"n{x}").over(same) for x in kinds})
+    return dealt.select(*rows.columns, *[F.array(*[f"_s{k}{x}" for k in range(longest + 1)]).alias(into[x]) for x in kinds])
 
 
 def likelihood_differences(urls: DataFrame) -> DataFrame:
@@ -185,17 +189,17 @@ def likelihood_differences(urls: DataFrame) -> DataFrame:
     share = [0.2 if kinds.get(label) == 1 else 1.0 for label in (0, 1)]
     sixes = known.select("url", "label", "n").mapInArrow(_sixes, "key string, n0 long, n1 long")
     sixes = cut(sixes.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    before_last = lambda c: F.left(c, F.length(c) - 1)
-    contexts = sixes.groupBy(before_last(F.col("key")).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    of_context = _with_counts_of_ends(contexts, ORDERS - 1, 0).select(F.col("key").alias("before"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
-    counted = cut(_with_counts_of_ends(sixes, ORDERS, 1).withColumn("before", before_last(F.col("key"))).join(of_context, "before").drop("before"))
+    # the counts of a run of k characters are those of the ends of k characters, of a context those of what is before the last
+    before_last = F.left(F.col("key"), F.length("key") - 1)
+    counted = _with_counts_of_ends(_with_counts_of_ends(sixes, F.col("key"), ORDERS, ("c0", "c1")), before_last, ORDERS - 1, ("d0", "d1"))
+    counted = cut(counted.drop("n0", "n1"))
     used = known.select("uid", "url", "label", "n").mapInArrow(_uses, "uid long, label int, n long, key string, times long, own array<int>")
     rows = used.join(counted, "key")
 
     def likelihood(label: int, held: bool) -> Column:
         p = F.lit(1 / 256)
         for k in range(ORDERS):
-            run, context = F.get(f"c{label}", F.lit(k)).cast("double"), F.get(f"d{label}", F.lit(k)).cast("double")
+            run, context = F.get(f"c{label}", F.lit(k + 1)).cast("double"), F.get(f"d{label}", F.lit(k)).cast("double")
             if held:
                 own = lambda kind: F.when(F.col("label") == label, F.col("n") * share[label] * F.coalesce(F.get("own", F.lit(kind)), F.lit(1))).otherwise(0.0)
                 run, context = run - own(k), context - own(k + ORDERS)
