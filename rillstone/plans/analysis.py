@@ -92,9 +92,13 @@ class Analysis:
         found = [f.entry_points(self._parsed.call_edges, self.imports) for f in self._frameworks]
         return reduce(DataFrame.unionByName, found) if found else paths.entry_points(self._parsed.call_edges.limit(0), self.imports)
 
+    @cached_property
+    def _callees(self) -> DataFrame:
+        return cut(paths.callees_in_order(self.call_edges, self.nodes, ORDER))
+
     @cached_property
     def _walked(self) -> DataFrame:
-        return cut(paths.walk(self.entry_points, cut(paths.callees_in_order(self.call_edges, self.nodes, ORDER)), self._answers))
+        return cut(paths.walk(self.entry_points, self._callees, self._answers))
 
     @property
     def paths(self) -> DataFrame:
