@@ -473,7 +473,7 @@ def w4_first_call_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def j7_chained_left_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    last = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"))
+    last = resolve.last_by(read(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey").withColumnRenamed("o_orderkey", "last_order")
     joined = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(r, n["n_regionkey"] == r["r_regionkey"], "left").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
     return joined.select("c_custkey", "n_name", "r_name", "last_order")
 
@@ -648,8 +648,10 @@ def a9_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, window_start, event_type AS status, CAST(count(*) AS BIGINT) AS events FROM (SELECT user_id, event_type, date_trunc('hour', ts) AS window_start FROM events) GROUP BY ALL""")
 def ext_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: the stream's windowed counts, as a batch."""
-    e = read(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("status")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("window_start"), "status", "events")
+    from ..streaming.reviews import status_counts
+
+    events = read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("status"))
+    return status_counts(events, by=("user_id",))
 
 
 def resolve_last_import(spark: SparkSession, sf_dir: str) -> DataFrame:

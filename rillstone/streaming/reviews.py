@@ -14,13 +14,13 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(REVIEW_EVENTS).parquet(folder)
 
 
-def status_counts(events: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Events by window of time and status; events later than the watermark are left out, and windows are put out when closed."""
+def status_counts(events: DataFrame, window: str = "1 hour", late: str = "1 hour", by: tuple[str, ...] = ()) -> DataFrame:
+    """Events by window of time, status and ``by``; in a stream, events later than the watermark are left out, and windows are put out when closed."""
     return (
         events.withWatermark("event_ts", late)
-        .groupBy(F.window("event_ts", window).alias("w"), "status")
+        .groupBy(F.window("event_ts", window).alias("w"), "status", *by)
         .agg(F.count("*").alias("events"))
-        .select(F.col("w.start").alias("window_start"), "status", "events")
+        .select(*by, F.col("w.start").alias("window_start"), "status", "events")
     )
 
 

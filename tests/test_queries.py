@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from rillstone.plans import code_queries, queries  # noqa: F401
+from rillstone.plans import code_queries, more_queries, queries  # noqa: F401
 from rillstone.plans.registry import QUERIES, SQL
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
