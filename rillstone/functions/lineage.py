@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder of our own only where the session names none: in the warehouse, or on one machine in a temporary folder."""
+    """Sets a checkpoint folder of our own only where the session names none: in a shared warehouse, or on one machine in a temporary folder.
+
+    A cluster without a shared folder is refused: what executors write to their own disks is lost with them. Sessions that
+    set ``spark.cleaner.referenceTracking.cleanCheckpoints`` have files deleted once nothing refers to them.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", "")
         if not named and re.fullmatch(r"local(\[.*\])?", context.master):
             named = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not named and re.match(r"(file:|/)", warehouse):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
+        context.setCheckpointDir(named or f"{warehouse}/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:

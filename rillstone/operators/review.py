@@ -56,6 +56,12 @@ def set_status(nodes: DataFrame, status: str, comment: str | None, reviewer: str
     return _events(nodes, "set", "replaced", F.lit(status), F.coalesce(hash_column, F.lit("")), F.lit(comment).cast("string"), F.lit(reviewer), now, F.lit(scope))
 
 
+def with_hashes(targets: DataFrame, nodes: DataFrame, hash_column: str = "content_hash") -> DataFrame:
+    """Targets (node_identity) with the hash that the last analysis has of each, for ``set_status``; null, and so recorded as empty, where it knows none."""
+    known = nodes.groupBy("node_identity").agg(F.any_value(hash_column).alias("_hash"))
+    return targets.drop(hash_column).join(known, "node_identity", "left").withColumnRenamed("_hash", hash_column)
+
+
 def clear(current: DataFrame, now: Column, reason: str = "manual_clear") -> DataFrame:
     """Events that clear current rows."""
     none = F.lit(None).cast("string")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import classify, paths, renames, resolve, rules
+from ..operators import browse, classify, paths, renames, resolve, rules
 from .adapters import JAVASCRIPT, Framework, Language
 
 ORDER = ["file_ord", "edge_seq"]
+#: A table, or how to make it from the one that it judges.
+Given = DataFrame | Callable[[DataFrame], DataFrame] | None
+
+
+def _given(table: Given, judged: Callable[[], DataFrame]) -> DataFrame | None:
+    return table(judged()) if callable(table) else table
 
 
 def one_of_each(nodes: DataFrame) -> DataFrame:
@@ -26,7 +32,10 @@ class Analysis:
     """The tables of a codebase. Each is made when it is first asked for, once for this object; those that others need are written then.
 
     ``prior``: nodes of the run before, for renames. ``second_opinion`` (path, role, confidence), ``categories``
-    (path_id, category, category_order): results of a language model, if there are any. ``answers``: choices at branches.
+    (path_id, category, category_order): results of a language model, if there are any. ``answers``: choices at branches
+    (entry, caller, choice). Each of these may also be a function of the table that it judges, called when that is known:
+    roles of files, paths with their nodes in order, branches (key, context, entry, caller, candidates) that the walks
+    meet, those that answers lead to in further rounds.
     """
 
     TABLES = ("files", "nodes", "imports", "exports", "call_edges", "classifications", "entry_points", "paths", "path_nodes", "rule_results", "prep_questions")
@@ -36,9 +45,9 @@ class Analysis:
         files: DataFrame,
         project: str,
         prior: DataFrame | None = None,
-        second_opinion: DataFrame | None = None,
-        answers: DataFrame | None = None,
-        categories: DataFrame | None = None,
+        second_opinion: Given = None,
+        answers: Given = None,
+        categories: Given = None,
         language: Language = JAVASCRIPT,
     ) -> None:
         self._source, self._language, self._parsed = files, language, language.parse(files, project)
@@ -73,9 +82,10 @@ class Analysis:
         modules = self.imports.groupBy(F.col("file_path").alias("path")).agg(F.collect_set("module").alias("modules"))
         signals = [*self._language.signals(), *(s for f in self._frameworks for s in f.signals())]
         roles = classify.classify_files(self._source.select("path").join(modules, "path", "left"), signals)
-        if self._second_opinion is not None:
+        opinion = _given(self._second_opinion, lambda: roles)
+        if opinion is not None:
             # only files with content are asked about
-            asked = self._second_opinion.join(self._source.where(F.coalesce("content", F.lit("")) != "").select("path"), "path", "left_semi")
+            asked = opinion.join(self._source.where(F.coalesce("content", F.lit("")) != "").select("path"), "path", "left_semi")
             roles = classify.reconcile(roles, asked).drop("source").withColumn("signals", F.array().cast("array<string>")).withColumn("score", F.lit(0))
         return cut(roles)
 
@@ -98,12 +108,25 @@ class Analysis:
 
     @cached_property
     def _walked(self) -> DataFrame:
-        return cut(paths.walk(self.entry_points, self._callees, self._answers))
+        if not callable(self._answers):
+            return cut(paths.walk(self.entry_points, self._callees, self._answers))
+        # an answer can lead to further branches: at most as many rounds as a path has nodes
+        walked, answers, asked = cut(paths.walk(self.entry_points, self._callees)), None, None
+        for _ in range(paths.DEPTH):
+            branches = paths.branch_questions(walked)
+            new = cut(branches if asked is None else branches.join(asked, "key", "left_anti"))
+            if new.isEmpty():
+                break
+            said, keys = cut(self._answers(new)), new.select("key")
+            answers, asked = (said, keys) if asked is None else (answers.unionByName(said), asked.unionByName(keys))
+            walked = cut(paths.walk(self.entry_points, self._callees, answers))
+        return walked
 
     @property
     def paths(self) -> DataFrame:
         found = paths.paths_of(self._walked)
-        return paths.with_categories(found, self._categories) if self._categories is not None else found
+        given = _given(self._categories, lambda: browse.paths_with_nodes(found, self.path_nodes))
+        return paths.with_categories(found, given) if given is not None else found
 
     @property
     def path_nodes(self) -> DataFrame:

@@ -62,6 +62,8 @@ class IncrementalAnalysis(Analysis):
     """As ``Analysis``, going on from ``before``, an analysis of an earlier state of the project with the same language."""
 
     def __init__(self, files: DataFrame, project: str, before: Analysis, **given) -> None:
+        if given.get("answers") is not None or before._answers is not None:
+            raise ValueError("walks with answers are those of a whole analysis")
         super().__init__(files, project, **given)
         self._was = before
         self._parsed = Continued(before._parsed, files, project, self._language.parse)
@@ -99,6 +101,6 @@ class IncrementalAnalysis(Analysis):
 
     @cached_property
     def _walked(self) -> DataFrame:
-        again = paths.walk(self.rewalked, self._callees, self._answers)
+        again = paths.walk(self.rewalked, self._callees)
         asked = self.entry_points.select(F.col("node_identity").alias("entry")).distinct().join(self.rewalked.select(F.col("node_identity").alias("entry")), "entry", "left_anti")
         return cut(self._was._walked.join(asked, "entry", "left_semi").select(again.columns).unionByName(again))

@@ -87,6 +87,25 @@ def test_calls_paths_and_rules(analysis):
     assert verdicts[("input_validated", "addOne")] == "pass" and verdicts[("single_responsibility", "makeThing")] == "pass"
 
 
+def test_results_of_a_model_are_hooked_in(spark):
+    opinion = lambda roles: roles.where("path like '%things.ts'").select("path", F.lit("page").alias("role"), F.lit("high").alias("confidence"))
+    category = lambda paths: paths.select("path_id", F.concat(F.lit("last "), F.element_at("nodes", -1)["node_identity"]).alias("category"), F.lit(1).alias("category_order"))
+    last = lambda branches: branches.select("entry", "caller", F.element_at("candidates", -1).alias("choice"))
+    found = analyse(sources.given_files(spark, FILES), "p", second_opinion=opinion, categories=category, answers=last)
+    assert {r["role"] for r in found.classifications.where("file_path = 'src/routes/things.ts'").collect()} == {"page"}
+    ends = {r["entry"].split(":")[-1]: r["category"].split(":")[-1] for r in found.paths.collect()}
+    assert ends == {"listAll": "insertThing", "addOne": "insertThing"}  # makeThing's last callee, addOne's last known one is makeThing
+
+
+def test_hashes_are_looked_up(spark):
+    from rillstone.operators import review
+
+    nodes = spark.createDataFrame([("a", "h1"), ("b", None)], "node_identity string, content_hash string")
+    targets = spark.createDataFrame([("a",), ("b",), ("c",)], "node_identity string")
+    events = review.set_status(review.with_hashes(targets, nodes), "approved", None, "me", F.current_timestamp())
+    assert {r["node_identity"]: r["code_hash"] for r in events.collect()} == {"a": "h1", "b": "", "c": ""}
+
+
 def test_two_revisions_compared(spark, analysis):
     head = [FILES[0], (FILES[1][0], ROUTES.replace("app.post", "app.put").replace("function addOne", "function putOne")), (FILES[2][0], SERVICE.replace("export const makeThing", "const makeThing"))]
     c = compare(analysis, analyse(sources.given_files(spark, head), "p"))
