@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith,
+)
 
 from ..functions.lineage import running
 from ..schemas import FILES
@@ -87,49 +89,98 @@ def _of_revision(repo: str, ref: str, paths: list[str]) -> Iterator[tuple]:
 
 
 class GitSource(DataSource):
-    """``spark.read.format("git_files")``: options path, ref (a revision; without it, tracked files as they stand in the work tree), batch."""
+    """``spark.read.format("git_files")``: options path, ref (a revision; without it, tracked files as they stand in the work tree),
+    endings (of paths, with commas between) and batch.
+
+    Sizes come from the listing, so what filters on path and size leave out is never read, nor is any content if none is asked for.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "git_files"
 
     def schema(self) -> str:
-        return "path string, content string"
+        return "path string, size long, content string"
 
     def reader(self, schema) -> DataSourceReader:
         return _GitReader(self.options)
 
 
 class _Batch(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files = files
+
+
+#: Filters of Spark that the listing answers, by class: what they say of a value.
+_ANSWERED = {
+    EqualTo: lambda x, v: x == v, In: lambda x, v: x in v, StringStartsWith: lambda x, v: x.startswith(v), StringEndsWith: lambda x, v: x.endswith(v), StringContains: lambda x, v: v in x,
+    LessThan: lambda x, v: x < v, LessThanOrEqual: lambda x, v: x <= v, GreaterThan: lambda x, v: x > v, GreaterThanOrEqual: lambda x, v: x >= v, IsNotNull: lambda x, v: True,
+}
 
 
 class _GitReader(DataSourceReader):
     def __init__(self, options):
         self.repo, self.ref, self.batch = options["path"], options.get("ref"), int(options.get("batch", "64"))
+        self.endings = tuple(e for e in options.get("endings", "").split(",") if e)
+        self.wanted: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if type(f) in _ANSWERED and f.attribute in (("path",), ("size",)):
+                self.wanted.append(f)
+            else:
+                yield f
+
+    def listed(self) -> Iterator[tuple[str, int]]:
+        """Paths and sizes that the filters leave."""
+        if self.ref:
+            for line in _git(self.repo, "ls-tree", "-r", "-l", "-z", self.ref).split(b"\0"):
+                head, _, path = line.partition(b"\t")
+                if path and head.split()[1] == b"blob":
+                    yield path.decode(), int(head.split()[3])
+            return
+        for path in _git(self.repo, "ls-files", "-z").split(b"\0"):
+            try:
+                if path:
+                    yield path.decode(), Path(self.repo, path.decode()).stat().st_size
+            except OSError:  # tracked, but no longer in the work tree
+                pass
 
     def partitions(self) -> list[_Batch]:
-        listed = _git(self.repo, "ls-tree", "-r", "--name-only", "-z", self.ref) if self.ref else _git(self.repo, "ls-files", "-z")
-        paths = [p.decode() for p in listed.split(b"\0") if p]
-        return [_Batch(paths[i : i + self.batch]) for i in range(0, len(paths), self.batch)] or [_Batch([])]
+        said = lambda f, file: _ANSWERED[type(f)](file[0] if f.attribute == ("path",) else file[1], getattr(f, "value", None))
+        files = [f for f in self.listed() if (not self.endings or f[0].endswith(self.endings)) and all(said(w, f) for w in self.wanted)]
+        return [_Batch(files[i : i + self.batch]) for i in range(0, len(files), self.batch)] or [_Batch([])]
 
     def read(self, partition: _Batch) -> Iterator[tuple]:
+        sizes = dict(partition.files)
         if self.ref:
-            yield from _of_revision(self.repo, self.ref, partition.paths)
+            for path, content in _of_revision(self.repo, self.ref, list(sizes)):
+                yield path, sizes[path], content
             return
-        for path in partition.paths:
+        for path, size in sizes.items():
             try:
-                yield path, Path(self.repo, path).read_bytes().decode("utf-8", "replace")
-            except OSError:  # tracked, but no longer in the work tree
-                yield path, None
+                yield path, size, Path(self.repo, path).read_bytes().decode("utf-8", "replace")
+            except OSError:
+                yield path, size, None
+
 
+def read_git(spark: SparkSession, repo: str, ref: str | None = None, largest: int | None = None) -> DataFrame:
+    """Source files of a revision, or tracked ones of the work tree, of at most ``largest`` bytes: path, size, content.
 
-def read_git(spark: SparkSession, repo: str, ref: str | None = None) -> DataFrame:
+    Session settings let Spark push filters into Python sources; the size is such a filter, the endings are an option.
+    """
     spark.dataSource.register(GitSource)
-    reader = spark.read.format("git_files").option("path", repo)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("git_files").option("path", repo).option("endings", ",".join(REVISION_ENDINGS))
     rows = (reader.option("ref", ref) if ref else reader).load()
-    return rows.where(in_revision(F.col("path")) & F.col("content").isNotNull()).withColumn("size", F.length(F.encode("content", "UTF-8")).cast("long"))
+    rows = rows.where(F.col("size") <= largest) if largest is not None else rows
+    return rows.where(in_revision(F.col("path")) & F.col("content").isNotNull()).select("path", "content", "size")
+
+
+def changed_files(spark: SparkSession, repo: str, base: str, head: str) -> DataFrame:
+    """Files that differ between two revisions: status letter, old path (renames and copies) and path."""
+    lines = _git(repo, "-c", "core.quotePath=false", "diff", "--name-status", "-M", base, head).decode("utf-8", "replace").splitlines()
+    return name_status(spark.createDataFrame([(line,) for line in lines], "line string"))
 
 
 def revision(repo: str, ref: str) -> str | None:
@@ -150,8 +201,8 @@ def is_repository(path: str) -> bool:
 def collect_files(spark: SparkSession, root: str) -> DataFrame:
     """Source files of a folder, numbered: those that git tracks if it is a repository, else those that a walk finds."""
     if is_repository(root):
-        tracked = read_git(spark, root)
-        found = tracked.where(F.col("path").rlike(FOLDER_ENDINGS) & (F.col("size") <= LARGEST)).select("path", "content", "size")
+        tracked = read_git(spark, root, largest=LARGEST)
+        found = tracked.where(F.col("path").rlike(FOLDER_ENDINGS)).select("path", "content", "size")
     else:
         found = read_folder(spark, root)
     return numbered(found)

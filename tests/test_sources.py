@@ -188,6 +188,35 @@ def test_git_revision(spark, tmp_path):
     assert sources.revision(str(tmp_path), "HEAD") and sources.revision(str(tmp_path), "nothing") is None
 
 
+def test_git_filters_reach_the_listing(spark, tmp_path):
+    from pyspark.sql.datasource import LessThanOrEqual, Not, StringContains, StringStartsWith
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@x", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for name, size in (("src/a.ts", 10), ("src/big.ts", 5_000), ("lib/b.ts", 20), ("src/c.md", 30)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x" * size)
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    for ref in ("HEAD", None):
+        reader = sources._GitReader({"path": str(tmp_path), "endings": ".ts,.js"} | ({"ref": ref} if ref else {}))
+        left = list(reader.pushFilters([StringStartsWith(("path",), "src/"), LessThanOrEqual(("size",), 100), Not(StringContains(("path",), "z")), StringContains(("content",), "x")]))
+        assert [type(f).__name__ for f in left] == ["Not", "StringContains"]
+        assert sum((p.files for p in reader.partitions()), []) == [("src/a.ts", 10)]  # of 5,060 bytes, 10 are read
+        plan = sources.read_git(spark, str(tmp_path), ref, largest=100).where(F.col("path").startswith("src/"))
+        assert [(r["path"], r["size"]) for r in plan.collect()] == [("src/a.ts", 10)]
+        executed = plan._jdf.queryExecution().executedPlan().toString()
+        assert "<= 100" not in executed and "StartsWith" not in executed  # the source has taken them over
+    run("mv", "lib/b.ts", "lib/moved.ts")
+    (tmp_path / "src/a.ts").write_text("changed")
+    run("rm", "-q", "src/c.md")
+    run("add", "-A")
+    run("commit", "-qm", "two")
+    got = {(r["status"], r["old_path"], r["path"]) for r in sources.changed_files(spark, str(tmp_path), "HEAD~1", "HEAD").collect()}
+    assert got == {("M", None, "src/a.ts"), ("R", "lib/b.ts", "lib/moved.ts"), ("D", None, "src/c.md")}
+    assert sources.changed_files(spark, str(tmp_path), "HEAD", "HEAD").count() == 0
+
+
 def test_runs_are_swapped_by_pointer(spark, tmp_path):
     store = RunStore(spark, str(tmp_path / "store"))
     assert store.read("nodes", NODES).count() == 0
