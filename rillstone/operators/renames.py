@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_hash, canonical_json, name_tokens, token_similarity
+from ..functions.lineage import cut
+from .edits import overlapping
+
+#: A name in source code, and words that are part of its shape.
+NAME = r"^#?[\p{L}_$][\p{L}\p{N}_$]*$"
+WORDS = tuple("if else for while do switch case return throw new function class const let var await yield typeof async try catch finally break continue in of instanceof delete void".split())
 
 THRESHOLD = 0.55
 
@@ -27,6 +33,19 @@ def best_matches(removed: DataFrame, new: DataFrame, block: list[str], key: str,
         *block, F.col(key).alias(f"{mark}_key"), F.col(order).alias(f"{mark}_order"), tokens.alias(f"{mark}_tokens"), *([F.col(name).alias(f"{mark}_name")] if name else [])
     )
     both = {"old": side(removed, "old"), "new": side(new, "new")}
+    pairs = near_pairs(both, block, threshold)
+    score = token_similarity(F.col("old_tokens"), F.col("new_tokens"))
+    if name:  # equal names count as the same even without a token
+        score = F.when(F.col("old_name") == F.col("new_name"), F.lit(1.0)).otherwise(score)
+        named = lambda mark: both[mark].select(*block, f"{mark}_key", F.col(f"{mark}_name").alias("_name"))
+        pairs = pairs.unionByName(named("old").join(named("new"), [*block, "_name"]).select(*block, "old_key", "new_key")).distinct()
+    scored = pairs.join(both["old"], [*block, "old_key"]).join(both["new"], [*block, "new_key"]).withColumn("similarity", score).where(F.col("similarity") >= threshold)
+    best = scored.groupBy(*block, "old_key").agg(F.min_by(F.struct("new_key", "similarity"), F.struct(-F.col("similarity"), F.col("new_order"))).alias("_b"))
+    return best.select(*block, "old_key", F.col("_b.new_key").alias("new_key"), F.col("_b.similarity").alias("similarity"))
+
+
+def near_pairs(both: dict[str, DataFrame], block: list[str], threshold: float) -> DataFrame:
+    """Pairs (old_key, new_key) of a block that can be as similar as wanted by the distinct ``old_tokens`` and ``new_tokens``."""
     each = reduce(DataFrame.unionByName, [df.select(F.explode(f"{mark}_tokens").alias("_token")) for mark, df in both.items()])
     often = each.groupBy("_token").agg(F.count("*").alias("_n"))
 
@@ -37,15 +56,7 @@ def best_matches(removed: DataFrame, new: DataFrame, block: list[str], key: str,
         return ranked.select(*block, f"{mark}_key", F.size("_ts").alias(f"{mark}_size"), F.explode(F.slice("_ts", 1, first)).alias("_t")).select(*block, f"{mark}_key", f"{mark}_size", "_t._token")
 
     near = (F.col("old_size") >= F.lit(threshold) * F.col("new_size") - 1e-9) & (F.col("new_size") >= F.lit(threshold) * F.col("old_size") - 1e-9)
-    pairs = dealt("old").join(dealt("new"), [*block, "_token"]).where(near).select(*block, "old_key", "new_key").distinct()
-    score = token_similarity(F.col("old_tokens"), F.col("new_tokens"))
-    if name:  # equal names count as the same even without a token
-        score = F.when(F.col("old_name") == F.col("new_name"), F.lit(1.0)).otherwise(score)
-        named = lambda mark: both[mark].select(*block, f"{mark}_key", F.col(f"{mark}_name").alias("_name"))
-        pairs = pairs.unionByName(named("old").join(named("new"), [*block, "_name"]).select(*block, "old_key", "new_key")).distinct()
-    scored = pairs.join(both["old"], [*block, "old_key"]).join(both["new"], [*block, "new_key"]).withColumn("similarity", score).where(F.col("similarity") >= threshold)
-    best = scored.groupBy(*block, "old_key").agg(F.min_by(F.struct("new_key", "similarity"), F.struct(-F.col("similarity"), F.col("new_order"))).alias("_b"))
-    return best.select(*block, "old_key", F.col("_b.new_key").alias("new_key"), F.col("_b.similarity").alias("similarity"))
+    return dealt("old").join(dealt("new"), [*block, "_token"]).where(near).select(*block, "old_key", "new_key").distinct()
 
 
 def rename_candidates(prior: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -58,6 +69,70 @@ def rename_candidates(prior: DataFrame, nodes: DataFrame, threshold: float = THR
     return found.select(F.col("old_key").alias("old_identity"), F.col("new_key").alias("new_identity"), "file_path", "kind", "similarity")
 
 
+#: How much the shape of the code, its names and its signature weigh in a score, and the score from which a rename is likely.
+WEIGHTS, SHAPE_THRESHOLD = (0.5, 0.25, 0.25), 0.75
+
+
+def shapes(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
+    """For symbols (path, node_identity, low, high: their tokens) the distinct ``shape`` elements and ``names`` of their text.
+
+    What stands straight in a bracket, with names and literals replaced by their kinds, is the shape of a subtree; of
+    equal subtrees the first, second and so on are different elements.
+    """
+    t = F.col("t")
+    kind = F.when(t.rlike(NAME) & ~t.isin(*WORDS), "n").when(t.rlike("^['\"]"), "s").when(t.rlike(r"^\.?\d"), "0").otherwise(t)
+    here = tokens.select("path", "ord", "t", F.coalesce("within", F.lit(-1)).alias("within"), kind.alias("kind"), F.col("ord").alias("_o"))
+    held = overlapping(here, symbols.select("path", "node_identity", "low", "high"), (F.col("ord"), F.col("low")), (F.col("_o"), F.col("high")))
+    trees = held.groupBy("node_identity", "within").agg(F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("ord", "kind"))), lambda x: x["kind"])).alias("h"))
+    nth = trees.groupBy("node_identity", "h").agg(F.count("*").cast("int").alias("n")).select("node_identity", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64("h", i))).alias("e"))
+    bags = nth.groupBy("node_identity").agg(F.sort_array(F.collect_list(F.col("e").cast("string"))).alias("shape"))
+    names = held.where(F.col("kind") == "n").groupBy("node_identity").agg(F.array_sort(F.collect_set("t")).alias("names"))
+    return bags.join(names, "node_identity", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
+def signature_similarity(a: Column, b: Column) -> Column:
+    """1 for equal parameters and result, 0.5 for as many parameters, else 0; two without a signature are equal."""
+    return (
+        F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).when((a["params"] == b["params"]) & (a["return_type"] == b["return_type"]), 1.0)
+        .when(F.size(a["params"]) == F.size(b["params"]), 0.5).otherwise(0.0)
+    )
+
+
+def one_to_one(scored: DataFrame) -> DataFrame:
+    """Of pairs (old_key, new_key, similarity) a matching: in rounds, pairs in which each is the other's best, until none is left."""
+    left, taken = cut(scored), None
+    rank = lambda other: F.min(F.struct((-F.col("similarity")).alias("s"), F.col(other).alias("k"))).alias("best")
+    while not left.isEmpty():
+        old, new = left.groupBy("old_key").agg(rank("new_key")), left.groupBy("new_key").agg(rank("old_key"))
+        mutual = old.select("old_key", F.col("best.k").alias("new_key"), (-F.col("best.s")).alias("similarity")).join(new.select("new_key", F.col("best.k").alias("old_key")), ["old_key", "new_key"])
+        mutual = cut(mutual.select("old_key", "new_key", "similarity"))
+        taken = mutual if taken is None else taken.unionByName(mutual)
+        left = cut(left.join(mutual.select("old_key"), "old_key", "left_anti").join(mutual.select("new_key"), "new_key", "left_anti"))
+    return scored.select("old_key", "new_key", "similarity").limit(0) if taken is None else taken
+
+
+def shape_renames(prior, current, threshold: float = SHAPE_THRESHOLD) -> DataFrame:
+    """An extension: removed and new functions of one file and kind (of two results of ``parse``) that are alike by shape, names and signature, one to one.
+
+    A score of ``threshold`` needs half of what the shape weighs, so pairs are met by the rarest elements of their shapes.
+    """
+    keys = ["node_identity", "file_path", "kind", "signature"]
+    old, new = removed_and_new(prior.nodes.select(*keys).dropDuplicates(["node_identity"]), current.nodes.select(*keys).dropDuplicates(["node_identity"]))
+
+    def side(parsed, rows: DataFrame, mark: str) -> DataFrame:
+        spans = parsed.symbols.join(rows.select("node_identity"), "node_identity", "left_semi").select(F.col("file_path").alias("path"), "node_identity", F.col("node_ord").alias("low"), F.col("close_ord").alias("high"))
+        told = rows.join(shapes(parsed.tokens, spans.dropDuplicates(["node_identity"])), "node_identity")
+        return cut(told.select("file_path", "kind", *[F.col(c).alias(f"{mark}_{n}") for c, n in (("node_identity", "key"), ("shape", "tokens"), ("names", "names"), ("signature", "signature"))]))
+
+    both, block = {"old": side(prior, old, "old"), "new": side(current, new, "new")}, ["file_path", "kind"]
+    least = (threshold - sum(WEIGHTS[1:])) / WEIGHTS[0]
+    pairs = near_pairs(both, block, least).join(both["old"], [*block, "old_key"]).join(both["new"], [*block, "new_key"])
+    parts = (token_similarity(F.col("old_tokens"), F.col("new_tokens")), token_similarity(F.col("old_names"), F.col("new_names")), signature_similarity(F.col("old_signature"), F.col("new_signature")))
+    scored = pairs.withColumn("similarity", sum((w * p for w, p in zip(WEIGHTS, parts, strict=True)), F.lit(0.0))).where(F.col("similarity") >= threshold - 1e-9)
+    found = one_to_one(scored.select("old_key", "new_key", "similarity"))
+    return found.select(F.col("old_key").alias("old_identity"), F.col("new_key").alias("new_identity"), "similarity")
+
+
 def rename_questions(candidates: DataFrame) -> DataFrame:
     old, new = F.col("old_identity"), F.col("new_identity")
     return candidates.select(

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.lineage import running
-from ..operators import browse, comments, edits, paths, prep, rules
+from ..operators import browse, comments, edits, paths, prep, renames, rules
 from ..sources.files import name_status, numbered
+from ..sources.parse import parse
 from .code_queries import _CODE, _analysis, _code, code_files
 from .incremental import IncrementalAnalysis
 from .registry import query, read
@@ -162,3 +163,10 @@ def c8_code_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = found.rewalked.select(F.col("node_identity").alias("entry"), F.lit(True).alias("rewalked"))
     nested = browse.paths_with_nodes(found.paths, found.path_nodes).select("entry", F.array_join(F.transform("nodes", lambda x: x["node_identity"]), ">").alias("nodes"))
     return nested.join(again, "entry", "left").withColumn("rewalked", F.coalesce("rewalked", F.lit(False)))
+
+
+@query(_CODE + """SELECT id AS old_identity, id || 'Fast' AS new_identity, round(0.75::DOUBLE + 0.25::DOUBLE * 5 / 7, 9) AS similarity FROM known WHERE t = 0 AND n % 5 = 0 AND name LIKE 'getItem%'""")
+def d7_code_shape_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: renamed handlers by the shape of their code, their names and signatures."""
+    before, after = (parse(numbered(code_files(spark, sf_dir, head)), "p") for head in (False, True))
+    return renames.shape_renames(before, after).withColumn("similarity", F.round("similarity", 9))
