@@ -306,12 +306,17 @@ class Lexer:
         }
 
 
+def has_tags(path: str | None) -> bool:
+    """Not in TypeScript without ``x``, where an angle before an expression is a cast."""
+    return not (path or "").lower().endswith((".ts", ".mts", ".cts"))
+
+
 def lex(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Files (path, file_ord, content) as tokens. Files for which tags can't be told from type arguments have none: those of TypeScript without ``x``."""
+    """Files (path, file_ord, content) as tokens."""
     held: dict[str, list] = {c: [] for c in _COLUMNS}
     for batch in batches:
         for path, file_ord, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = Lexer(content or "", not (path or "").lower().endswith((".ts", ".mts", ".cts"))).columns()
+            found = Lexer(content or "", has_tags(path)).columns()
             n = len(found["ord"])
             for c, values in (found | {"path": [path] * n, "file_ord": [file_ord] * n}).items():
                 held[c] += values

@@ -13,16 +13,20 @@ names the files whose brackets don't match.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.ids import language_of, node_identity, normal_source
 from ..functions.lineage import cut
 from ..functions.shipping import ship
-from .lexer import BEFORE_EXPRESSIONS, GOES_ON, MODIFIERS, SCHEMA, lex
+from .lexer import BEFORE_EXPRESSIONS, GOES_ON, MODIFIERS, SCHEMA, Lexer, has_tags, lex
 
 NAME = r"^#?[\p{L}_$][\p{L}\p{N}_$]*$"
 CLOSERS = (")", "]", "}", "`}", "jsx>")
@@ -40,6 +44,27 @@ def tokens(files: DataFrame) -> DataFrame:
     return files.select("path", "file_ord", "content").mapInArrow(lex, SCHEMA)
 
 
+def register_tokens(spark: SparkSession, name: str = "source_tokens") -> None:
+    """Registers the lexer as a table function of SQL: ``SELECT * FROM source_tokens(TABLE(files) PARTITION BY path)`` reads path, file_ord and content."""
+
+    class Tokens:
+        @staticmethod
+        def analyze(files: AnalyzeArgument) -> AnalyzeResult:
+            if not files.isTable or not {"path", "file_ord", "content"} <= {f.name for f in files.dataType.fields}:
+                raise ValueError("a table with path, file_ord and content is needed")
+            kinds = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+            return AnalyzeResult(T.StructType([T.StructField(name, kinds[kind]) for name, kind in map(str.split, SCHEMA.split(", "))]))
+
+        def eval(self, files: Row) -> Iterator[tuple]:
+            columns = Lexer(files["content"] or "", has_tags(files["path"])).columns()
+            names = [f.split()[0] for f in SCHEMA.split(", ")][2:]
+            for values in zip(*(columns[c] for c in names), strict=True):
+                yield files["path"], files["file_ord"], *values
+
+    ship(spark)
+    spark.udtf.register(name, udtf(Tokens))
+
+
 def _around(toks: DataFrame, back: int = 4, ahead: int = 8) -> DataFrame:
     """Tokens with their neighbours as b1, b2, … and a1, a2, …."""
     order = W.partitionBy("path").orderBy("ord")

@@ -263,3 +263,29 @@ def test_stream_keeps_current(spark, tmp_path):
         spark.createDataFrame([make(i, status)], REVIEW_EVENTS).write.mode("append").parquet(str(tmp_path / "log"))
         reviews.keep_current(reviews.read_events(spark, str(tmp_path / "log")), str(tmp_path / "now"), str(tmp_path / "ck")).awaitTermination()
     assert [r["status"] for r in spark.read.parquet(str(tmp_path / "now" / "v1")).collect()] == ["rejected"]
+
+
+def test_changes_by_keyed_state(spark, tmp_path):
+    from datetime import datetime
+
+    from rillstone.schemas import REVIEW_EVENTS
+    from rillstone.streaming import reviews
+
+    make = lambda seq, node, status, hour: (seq, datetime(2024, 1, 1, hour), node, "global", "set", status, None, "h", "me", "replaced")
+    batches = [[make(1, "a", "approved", 1), make(2, "b", "approved", 1), make(3, "a", "rejected", 2)], [make(4, "a", "approved", 1), make(2, "b", "approved", 1)], [make(5, "b", "rejected", 3)]]
+    for rows in batches:
+        spark.createDataFrame(rows, REVIEW_EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        reviews.keep_changes(reviews.read_events(spark, str(tmp_path / "log")), str(tmp_path / "now"), str(tmp_path / "ck")).awaitTermination()
+    assert {(r["node_identity"], r["status"], r["event_seq"]) for r in reviews.current_changes(spark, str(tmp_path / "now")).collect()} == {("a", "rejected", 3), ("b", "rejected", 5)}
+    sizes = {r["batch"]: r["n"] for r in spark.read.parquet(str(tmp_path / "now")).groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {0: 2, 2: 1}  # late and repeated events change nothing
+
+
+def test_tokens_from_sql(spark):
+    parse.register_tokens(spark)
+    files = sources.given_files(spark, [*FILES, ("x.tsx", "const A = () => <p>{f(1)}</p>;"), ("empty.ts", "")])
+    files.createOrReplaceTempView("files_to_read")
+    got = spark.sql("SELECT * FROM source_tokens(TABLE(files_to_read) PARTITION BY path)")
+    want = parse.tokens(files)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
