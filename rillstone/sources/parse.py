@@ -66,9 +66,10 @@ def register_tokens(spark: SparkSession, name: str = "source_tokens") -> None:
 
 
 def _around(toks: DataFrame, back: int = 4, ahead: int = 8) -> DataFrame:
-    """Tokens with their neighbours as b1, b2, … and a1, a2, …."""
+    """Tokens with their neighbours as b1, b2, … and a1, a2, …; of a literal, which can be long, a neighbour sees the quote."""
     order = W.partitionBy("path").orderBy("ord")
-    near = {f"b{k}": F.lag("t", k).over(order) for k in range(1, back + 1)} | {f"a{k}": F.lead("t", k).over(order) for k in range(1, ahead + 1)}
+    short = F.when(F.col("t").startswith("'") | F.col("t").startswith('"'), F.left("t", F.lit(1))).otherwise(F.col("t"))
+    near = {f"b{k}": F.lag(short, k).over(order) for k in range(1, back + 1)} | {f"a{k}": F.lead(short, k).over(order) for k in range(1, ahead + 1)}
     return toks.withColumns(near)
 
 
