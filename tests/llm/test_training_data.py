@@ -442,6 +442,38 @@ def test_recall_of_near_copies_on_the_test_tables(spark):
     assert {i: got[i] for i in want} == want and len(set(want.values())) < len(want)
 
 
+def test_no_link_is_lost_on_a_larger_table(spark):
+    """Every pair of different texts of similarity 0.8 or more shares a class, and classes hold no others."""
+    path = DIR.replace("sf0.001", "sf0.01") + "/documents.parquet"
+    first = {}
+    for r in spark.read.parquet(path).select("doc_id", "text").orderBy("doc_id").collect():
+        first.setdefault(r["text"], r["doc_id"])
+    bags = {i: bag(WORD.findall(t)) for t, i in first.items() if t}
+    holders, shared = defaultdict(list), Counter()
+    for i, b in bags.items():
+        for x, n in b.items():
+            for j, m in holders[x]:
+                shared[j, i] += min(n, m)
+            holders[x].append((i, n))
+    sizes = {i: sum(b.values()) for i, b in bags.items()}
+    alike = {(a, b): n / (sizes[a] + sizes[b] - n) for (a, b), n in shared.items()}
+    root = {i: i for i in bags}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [p for p, s in alike.items() if s >= 0.8 - 1e-12]
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.read.parquet(path)).collect()}
+    assert links
+    assert {i: got[i] for i in bags} == {i: find(i) for i in bags}
+    print(len(links), "links between different texts,", sum(0.5 <= s < 0.8 - 1e-12 for s in alike.values()), "pairs of a similarity of 0.5 to 0.8")
+
+
 def test_signatures_agree_as_often_as_sets_do():
     rng = np.random.default_rng(0)
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (300, 60, 60))
