@@ -17,7 +17,6 @@ unless ``prefix`` sets the outputs apart.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 

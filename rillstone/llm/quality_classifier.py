@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, unused
-from .labelled import bounded_sample, in_fold, in_order, logistic, sigmoid
+from .labelled import bounded_sample, in_fold, in_order, logistic
 
 SAMPLE = 20_000
 PAIRS = 60_000
