@@ -14,7 +14,7 @@ from .resolve import last_by
 def contract_changes(base: DataFrame, head: DataFrame, key: str = "node_identity") -> DataFrame:
     """Up to three changes a node, from exported, params (array) and return_type on both sides.
 
-    A full outer join on the identity; changes come from one array of cases, not from a join each.
+    A full outer join on the identity; changes come from one array of cases, not from a join each. Kinds and notes are fixed values.
     """
     side = lambda df, m: df.select(key, F.lit(True).alias(f"{m}_in"), F.col("exported").alias(f"{m}_exported"), F.col("params").alias(f"{m}_params"), F.col("return_type").alias(f"{m}_return"))
     both = side(base, "b").join(side(head, "h"), key, "full_outer")

@@ -33,7 +33,7 @@ def call_summary(edges: DataFrame, order: list[str]) -> DataFrame:
 
 
 def verdicts() -> list[tuple[str, str, Column]]:
-    """(rule, role, struct (kind, message)) of the rules, on the columns of the summary."""
+    """(rule, role, struct (kind, message)) of the rules, on the columns of the summary. Identifiers and messages are fixed values."""
     calls, callees = F.coalesce("n_calls", F.lit(0)), F.coalesce("n_callees", F.lit(0))
     say = lambda kind, message: F.struct(F.lit(kind).alias("kind"), message.cast("string").alias("message"))
     text = F.lit
