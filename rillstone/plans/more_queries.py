@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.lineage import running
 from ..operators import browse, comments, edits, paths, prep, renames, rules
-from ..sources.files import name_status, numbered
+from ..sources.files import LARGEST, in_revision, name_status, numbered
 from ..sources.parse import parse
 from .code_queries import _CODE, _analysis, _code, code_files
 from .incremental import IncrementalAnalysis
@@ -170,3 +170,12 @@ def d7_code_shape_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: renamed handlers by the shape of their code, their names and signatures."""
     before, after = (parse(numbered(code_files(spark, sf_dir, head)), "p") for head in (False, True))
     return renames.shape_renames(before, after).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("""SELECT p_partkey AS part, CASE p_partkey % 6 WHEN 0 THEN 'src/a.ts' ELSE 'src/deep/e.jsx' END AS path FROM part WHERE p_partkey % 6 IN (0, 4) AND p_size * 20000 <= 524288""")
+def s4_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and sizes that are source code of a revision: neither other files nor installed or built ones, nor too large."""
+    places = ("src/a.ts", "node_modules/b.ts", "pkg/dist/c.js", "src/d.md", "src/deep/e.jsx", "src/f.ts.txt")
+    k = F.col("p_partkey")
+    files = read(spark, sf_dir, "part").select(k.alias("part"), F.get(F.array(*map(F.lit, places)), (k % 6).cast("int")).alias("path"), (F.col("p_size") * 20_000).alias("size"))
+    return files.where(in_revision(F.col("path")) & (F.col("size") <= LARGEST)).select("part", "path")

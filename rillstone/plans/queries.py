@@ -156,8 +156,9 @@ def j2_prioritised_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
     placed = orders.join(customer, F.col("c_custkey") == F.col("o_custkey"), "left")
     first = F.when(F.col("o_orderpriority").startswith("1") & F.col("c_nationkey").isNotNull(), F.struct(F.lit(1).alias("p"), F.col("c_nationkey").alias("k")))
-    found = F.coalesce(first, F.when(F.col("c_nationkey").isNotNull(), F.struct(F.lit(2).alias("p"), F.col("c_nationkey").alias("k"))), F.struct(F.lit(3).alias("p"), F.lit(0).alias("k")))
-    chosen = placed.select(found.alias("f")).groupBy("f.k").agg(F.count("*").alias("edges"), F.min("f.p").alias("best"))
+    ways = (first, F.when(F.col("c_nationkey").isNotNull(), F.struct(F.lit(2).alias("p"), F.col("c_nationkey").alias("k"))), F.struct(F.lit(3).alias("p"), F.lit(0).alias("k")))
+    tried = placed.select("o_orderkey", F.explode(F.filter(F.array(*ways), lambda w: w.isNotNull())).alias("f")).select("o_orderkey", "f.k", "f.p", (-F.col("f.p")).alias("rank"))
+    chosen = resolve.last_by(tried, ["o_orderkey"], ["rank"], "k", "p").groupBy("k").agg(F.count("*").alias("edges"), F.min("p").alias("best"))
     return chosen.join(read(spark, sf_dir, "nation"), F.col("k") == F.col("n_nationkey")).select(F.col("n_name").alias("target"), "edges", "best")
 
 
