@@ -27,36 +27,58 @@ def best_matches(removed: DataFrame, new: DataFrame, block: list[str], key: str,
 
     Of n tokens in one order, rows as similar as wanted share one of the first n - ceil(t n) + 1 of each. Rare tokens
     come first, so rows meet by those alone, and a token that all share brings nobody together. Rows whose numbers of
-    tokens lie too far apart are left out before they are compared. Not one to one: two removed rows may share a match.
+    tokens lie too far apart are left out before they are compared. Rows of a block with equal tokens, and equal names if
+    names count, are compared once: of new ones the first in order stands for all, and every removed one takes what was
+    found for its like. Not one to one: two removed rows may share a match.
     """
-    side = lambda df, mark: df.select(
-        *block, F.col(key).alias(f"{mark}_key"), F.col(order).alias(f"{mark}_order"), tokens.alias(f"{mark}_tokens"), *([F.col(name).alias(f"{mark}_name")] if name else [])
-    )
-    both = {"old": side(removed, "old"), "new": side(new, "new")}
-    pairs = near_pairs(both, block, threshold)
+    told = F.array_sort(F.coalesce(tokens, F.array().cast("array<string>")))
+    named = [F.col(name).alias("_name")] if name else []
+    kept = ["tokens", *(["name"] if name else [])]
+
+    def alike(df: DataFrame) -> DataFrame:
+        rows = df.select(*block, F.col(key).alias("_key"), F.col(order).alias("_order"), told.alias("_tokens"), *named)
+        return rows.withColumn("_like", F.to_json(F.struct(*[f"_{c}" for c in kept])))
+
+    old, like = alike(removed), [*block, "_like", *[f"_{c}" for c in kept]]
+    first = F.min_by(F.struct("_key", "_order"), F.struct("_order")).alias("_first")
+    side = lambda df, mark, *more: df.select(*block, F.col("_like").alias(f"{mark}_key"), *[F.col(f"_{c}").alias(f"{mark}_{c}") for c in kept], *more)
+    both = {"old": side(old.select(*like).distinct(), "old"), "new": side(alike(new).groupBy(*like).agg(first), "new", F.col("_first").alias("new_first"))}
+    pairs = near_pairs(both, block, threshold, [*kept, "first"])
     score = token_similarity(F.col("old_tokens"), F.col("new_tokens"))
     if name:  # equal names count as the same even without a token
         score = F.when(F.col("old_name") == F.col("new_name"), F.lit(1.0)).otherwise(score)
-        named = lambda mark: both[mark].select(*block, f"{mark}_key", F.col(f"{mark}_name").alias("_name"))
-        pairs = pairs.unionByName(named("old").join(named("new"), [*block, "_name"]).select(*block, "old_key", "new_key")).distinct()
-    scored = pairs.join(both["old"], [*block, "old_key"]).join(both["new"], [*block, "new_key"]).withColumn("similarity", score).where(F.col("similarity") >= threshold)
-    best = scored.groupBy(*block, "old_key").agg(F.min_by(F.struct("new_key", "similarity"), F.struct(-F.col("similarity"), F.col("new_order"))).alias("_b"))
-    return best.select(*block, "old_key", F.col("_b.new_key").alias("new_key"), F.col("_b.similarity").alias("similarity"))
+        of_name = lambda mark: both[mark].withColumn("_name", F.col(f"{mark}_name"))
+        pairs = pairs.unionByName(of_name("old").join(of_name("new"), [*block, "_name"]).select(pairs.columns))
+    scored = pairs.withColumn("similarity", score).where(F.col("similarity") >= threshold)
+    best = scored.groupBy(*block, F.col("old_key").alias("_like")).agg(F.min_by(F.struct(F.col("new_first._key").alias("new_key"), "similarity"), F.struct(-F.col("similarity"), F.col("new_first._order"))).alias("_b"))
+    found = old.select(*block, "_key", "_like").join(best, [*block, "_like"])
+    return found.select(*block, F.col("_key").alias("old_key"), F.col("_b.new_key").alias("new_key"), F.col("_b.similarity").alias("similarity"))
+
 
+def near_pairs(both: dict[str, DataFrame], block: list[str], threshold: float, kept: list[str] | None = None) -> DataFrame:
+    """Pairs (old_key, new_key) of a block that can be as similar as wanted by the distinct ``old_tokens`` and ``new_tokens``.
 
-def near_pairs(both: dict[str, DataFrame], block: list[str], threshold: float) -> DataFrame:
-    """Pairs (old_key, new_key) of a block that can be as similar as wanted by the distinct ``old_tokens`` and ``new_tokens``."""
+    With ``kept`` (for short tokens) pairs carry these columns of their sides, as far as those have them. They are told
+    where they meet first, so none of them is shuffled.
+    """
     each = reduce(DataFrame.unionByName, [df.select(F.explode(f"{mark}_tokens").alias("_token")) for mark, df in both.items()])
     often = each.groupBy("_token").agg(F.count("*").alias("_n"))
+    carried = {mark: [f"{mark}_{c}" for c in kept or () if f"{mark}_{c}" in df.columns] for mark, df in both.items()}
 
     def dealt(mark: str) -> DataFrame:
-        rows = both[mark].select(*block, f"{mark}_key", F.explode(f"{mark}_tokens").alias("_token")).join(often, "_token")
-        ranked = rows.groupBy(*block, f"{mark}_key").agg(F.sort_array(F.collect_list(F.struct("_n", "_token"))).alias("_ts"))
-        first = F.size("_ts") - F.ceil(F.lit(threshold) * F.size("_ts") - 1e-9).cast("int") + 1
-        return ranked.select(*block, f"{mark}_key", F.size("_ts").alias(f"{mark}_size"), F.explode(F.slice("_ts", 1, first)).alias("_t")).select(*block, f"{mark}_key", f"{mark}_size", "_t._token")
+        own = [*block, f"{mark}_key"]
+        rows = both[mark].select(*own, *carried[mark], F.explode(f"{mark}_tokens").alias("_token")).join(often, "_token")
+        ranked = rows.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("_n", "_token"))).alias("_ts"), *[F.first(c).alias(c) for c in carried[mark]])
+        n = F.size("_ts") - F.ceil(F.lit(threshold) * F.size("_ts") - 1e-9).cast("int") + 1
+        met = ranked.withColumns({f"{mark}_size": F.size("_ts"), f"{mark}_met": F.transform(F.slice("_ts", F.lit(1), n), lambda x: x["_token"])})
+        return met.select(*own, *carried[mark], f"{mark}_size", *([f"{mark}_met"] if kept else []), F.explode(f"{mark}_met").alias("_token"))
 
     near = (F.col("old_size") >= F.lit(threshold) * F.col("new_size") - 1e-9) & (F.col("new_size") >= F.lit(threshold) * F.col("old_size") - 1e-9)
-    return dealt("old").join(dealt("new"), [*block, "_token"]).where(near).select(*block, "old_key", "new_key").distinct()
+    pairs = dealt("old").join(dealt("new"), [*block, "_token"]).where(near)
+    if not kept:
+        return pairs.select(*block, "old_key", "new_key").distinct()
+    once = F.get(F.array_intersect("old_met", "new_met"), F.lit(0)) == F.col("_token")
+    return pairs.where(once).select(*block, "old_key", "new_key", *carried["old"], *carried["new"])
 
 
 def rename_candidates(prior: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -25,3 +25,14 @@ def test_matching_in_rounds(spark):
     got = renames.one_to_one(spark.createDataFrame(pairs, "old_key string, new_key string, similarity double")).collect()
     assert {(r["old_key"], r["new_key"]) for r in got} == {("a", "x"), ("c", "y"), ("d", "z")}
     assert renames.one_to_one(spark.createDataFrame([], "old_key string, new_key string, similarity double")).count() == 0
+
+
+def test_copies_of_a_name_are_compared_once(spark, monkeypatch):
+    met, near_pairs = [], renames.near_pairs
+    monkeypatch.setattr(renames, "near_pairs", lambda *given: met.append(near_pairs(*given)) or met[-1])
+    old = spark.range(60).selectExpr("id", "'a.ts' AS file", "if(id < 50, 'loadOne', 'sendAllRows') AS name")
+    new = spark.range(100, 160).selectExpr("id", "'a.ts' AS file", "CASE WHEN id < 102 THEN 'other' WHEN id < 150 THEN 'loadOneRow' ELSE 'sendRows' END AS name")
+    for name in (None, "name"):
+        got = renames.best_matches(old, new, ["file"], "id", "id", renames.name_tokens(renames.F.col("name")), name).collect()
+        assert {(r["old_key"], r["new_key"]) for r in got} == {(i, 102 if i < 50 else 150) for i in range(60)}
+        assert met.pop().count() == 2
