@@ -65,13 +65,22 @@ def affected_callers(changes: DataFrame, edges: DataFrame, members: DataFrame, d
     """A row for each call in head to a changed node, with whether its caller lies on a walked, or on a changed, path.
 
     Calls stay a bag: one row each, unresolved ones included. Membership is summed up
-    before it is joined, so calls are never multiplied by paths.
+    before it is joined, so calls are never multiplied by paths. Calls are shuffled as callee and caller alone, and
+    meet the changes last, so a change's key is not shuffled for each call.
     """
+    return _flagged_calls(edges, members, deltas, key).join(_changes_by_callee(changes, key), "callee").select(F.explode("_ids").alias("change_id"), "caller", "on_walked_path", "on_changed_path")
+
+
+def _changes_by_callee(changes: DataFrame, key: str) -> DataFrame:
+    return changes.groupBy(F.col(key).alias("callee")).agg(F.collect_list("change_id").alias("_ids"))
+
+
+def _flagged_calls(edges: DataFrame, members: DataFrame, deltas: DataFrame, key: str) -> DataFrame:
+    """Calls (callee, caller) with ``on_walked_path`` and ``on_changed_path`` of their callers."""
     changed = deltas.where((F.col("classification") != "unchanged") & F.col("head_path_id").isNotNull()).select(F.col("head_path_id").alias("path_id"), F.lit(True).alias("_changed"))
     flags = members.join(changed, "path_id", "left").groupBy(F.col(key).alias("caller")).agg(F.lit(True).alias("_any"), F.bool_or(F.coalesce("_changed", F.lit(False))).alias("_some"))
-    calls = changes.select("change_id", F.col(key).alias("callee")).join(edges.select("callee", "caller"), "callee")
-    return calls.join(flags, "caller", "left").select(
-        "change_id", "caller", F.coalesce("_any", F.lit(False)).alias("on_walked_path"), F.coalesce("_some", F.lit(False)).alias("on_changed_path")
+    return edges.select("callee", "caller").join(flags, "caller", "left").select(
+        "callee", "caller", F.coalesce("_any", F.lit(False)).alias("on_walked_path"), F.coalesce("_some", F.lit(False)).alias("on_changed_path")
     )
 
 

@@ -292,3 +292,21 @@ def test_running_sums_need_no_single_task(spark):
         assert got[k] == (place, total)
         total += v
     assert running(spark.createDataFrame([], "k int, v int"), [F.col("k")], {"place": F.lit(1)}).count() == 0
+
+
+def test_calls_meet_the_keys_of_changes_last(spark):
+    changes = spark.createDataFrame([("c1", "f"), ("c2", "f"), ("c3", "g")], "change_id string, node_identity string")
+    edges = spark.createDataFrame([("f", "a"), ("f", "a"), ("g", "b"), ("h", "a"), (None, "a"), ("f", None)], "callee string, caller string")
+    members = spark.createDataFrame([("p", "a"), ("q", "b")], "path_id string, node_identity string")
+    deltas = spark.createDataFrame([("q", "modified_in_place"), ("p", "unchanged")], "head_path_id string, classification string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = delta.affected_callers(changes, edges, members, deltas)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the join that brings the keys of changes is the uppermost, and nothing is shuffled after it
+    assert plan.index("SortMergeJoin [callee") < min(plan.index("SortMergeJoin [caller"), plan.index("Exchange"))
+    got = sorted(map(tuple, found.collect()), key=str)
+    assert got == sorted([("c1", "a", True, False)] * 2 + [("c2", "a", True, False)] * 2 + [("c3", "b", True, True), ("c1", None, False, False), ("c2", None, False, False)], key=str)
