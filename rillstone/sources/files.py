@@ -26,10 +26,13 @@ SKIPPED = ("node_modules", ".git", "dist", "build", ".next", ".turbo", "coverage
 def numbered(files: DataFrame) -> DataFrame:
     """Files in the order of their paths: ``file_ord`` is the order key of all that is parsed from them.
 
-    Paths are numbered by ranges, so no task holds them all; contents stay where they are.
+    Paths are numbered by ranges, so no task holds them all. Contents are shuffled once and dealt to all cores, however few
+    bytes they are, as what is done with them takes long; they are neither sorted nor broadcast.
     """
     order = running(files.select("path").distinct(), [F.col("path")], {"file_ord": F.lit(1)})
-    return files.join(order.withColumn("file_ord", F.col("file_ord").cast("int")), "path")
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return files.repartition(tasks, "path").join(order.withColumn("file_ord", F.col("file_ord").cast("int")).hint("shuffle_hash"), "path")
 
 
 def read_folder(spark: SparkSession, root: str, walk: bool = True) -> DataFrame:

@@ -366,7 +366,9 @@ class Parsed:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return cut(tokens(self._files))
+        """Tokens; of a string inside two brackets, which can be long and names nothing, the quote alone."""
+        deep = (F.col("depth") > 1) & (F.col("t").startswith("'") | F.col("t").startswith('"'))
+        return cut(tokens(self._files).withColumn("t", F.when(deep, F.left("t", F.lit(1))).otherwise(F.col("t"))))
 
     @cached_property
     def _declared(self) -> DataFrame:

@@ -166,3 +166,16 @@ def test_innermost_spans(spark):
     spans = spark.createDataFrame([("a", 1, 10, "x"), ("a", 2, 5, "y"), ("a", 3, 3, "z"), ("a", 7, 8, "w")], "path string, low int, high int, value string")
     got = {r["at"]: r["holder"] for r in parse.innermost(points, spans).collect()}
     assert got == {1: "x", 2: "y", 3: "z", 4: "y", 5: "y", 6: "x", 7: "w", 8: "w", 9: "x", 10: "x"}
+
+
+def test_files_are_dealt_to_all_cores_and_long_strings_left_out(spark):
+    long = "x" * 5000
+    text = f"import {{ a }} from './a';\nclass B {{\n  'some name'(x) {{ return f('{long}'); }}\n}}\nfunction g() {{ put(\"{long}\"); h(`{long}`); }}\n"
+    files = spark.range(40).selectExpr("concat('src/f', id, '.ts') AS path").withColumn("content", F.lit(text))
+    dealt = sources.numbered(files)
+    assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    parsed = parse.parse(dealt, "p")
+    assert parsed.tokens.where(F.length("t") > 100).count() == 0
+    assert {r["name"] for r in parsed.nodes.select("name").distinct().collect()} == {"'some name'", "g"}
+    assert {r["module"] for r in parsed.imports.select("module").distinct().collect()} == {"./a"}
+    assert {tuple(r) for r in parsed.call_edges.where("file_path = 'src/f7.ts'").select("callee", "line").collect()} == {("p:src/f7.ts:f", 3), ("p:src/f7.ts:put", 5), ("p:src/f7.ts:h", 5)}
