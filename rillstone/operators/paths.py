@@ -101,6 +101,8 @@ def _stepped(start: DataFrame, callees: DataFrame, answers: DataFrame, depth: in
         key = F.coalesce("cursor", F.concat(F.lit("\0"), "entry"))
         stepped = state.withColumn("_at", key).join(callees, "_at", "left")
         asked = answers.select("entry", F.col("caller").alias("cursor"), "choice")
+        if position == 0:  # all walks stand at their entries, so other answers need not be shuffled
+            asked = asked.where(F.col("entry") == F.col("cursor"))
         stepped = stepped.join(asked, ["entry", "cursor"], "left")
         choice = F.when(F.array_contains("callees", F.col("choice")), F.col("choice")).otherwise(F.get("callees", F.lit(0)))
         open_, again = F.col("cursor").isNotNull(), F.coalesce(seen > 0, F.lit(False))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.lineage import cut
 from ..functions.state import choose_review, runtime_kind
 from ..operators import browse, classify, comments, delta, paths, prep, renames, resolve, review, rules
 from ..operators.signals import HIGH, LOW, MEDIUM, Signal
@@ -520,7 +521,7 @@ _ANSWERED = _ANSWERED.replace("JOIN callees c ON c.caller = w.cur", "JOIN steps
 @query(_ANSWERED + "SELECT entry, CAST(len(nodes) AS INTEGER) AS node_count, array_to_string(nodes, '>') AS nodes FROM ended")
 def g3_branch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walks that follow the answers to their questions: the last candidate, where entry and caller begin alike."""
-    callees, nodes = _graph(spark, sf_dir)
+    callees, nodes = map(cut, _graph(spark, sf_dir))  # read by walks and answers
     user = lambda c: F.substring_index(c, ":", 1)
     branching = callees.where(F.size("callees") > 1).select(user("caller").alias("user"), "caller", F.element_at("callees", -1).alias("choice"))
     entries = nodes.select(user("node_identity").alias("user"), F.col("node_identity").alias("entry"))

@@ -1,5 +1,7 @@
 """Operators on small cases worked out by hand."""
 
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -310,3 +312,13 @@ def test_calls_meet_the_keys_of_changes_last(spark):
     assert plan.index("SortMergeJoin [callee") < min(plan.index("SortMergeJoin [caller"), plan.index("Exchange"))
     got = sorted(map(tuple, found.collect()), key=str)
     assert got == sorted([("c1", "a", True, False)] * 2 + [("c2", "a", True, False)] * 2 + [("c3", "b", True, True), ("c1", None, False, False), ("c2", None, False, False)], key=str)
+
+
+def test_first_step_takes_answers_of_entries_alone(spark):
+    callees = spark.createDataFrame([("a", ["b", "c"]), ("c", ["d", "e"])], "caller string, callees array<string>")
+    answers = spark.createDataFrame([("a", "a", "c"), ("a", "c", "e"), ("c", "a", "c")], "entry string, caller string, choice string")
+    start = spark.createDataFrame([("a",), ("c",)], "entry string")
+    plan = paths._stepped(start, callees, answers, 1)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\(entry#\d+ = caller#\d+\)", plan)
+    got = {r["entry"]: r["nodes"] for r in paths._stepped(start, callees, answers, 4).collect()}
+    assert got == {"a": ["a", "c", "e"], "c": ["c", "d"]}
