@@ -53,6 +53,8 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Elements of the texts that one task compares with each other, and pairs that one copy of a leader's elements is for.
 BLOCK, LED = 1 << 18, 2_000
+#: Bits of the map of wanted keys that goes to every task, and those that a row of it holds, as Spark's bitmaps do.
+SLOTS, _MAP = 1 << 24, 1 << 15
 _U = np.uint64
 
 
@@ -203,10 +205,25 @@ def distinct_texts(plain: DataFrame) -> DataFrame:
     return cut(merged.select(F.monotonically_increasing_id().alias("node"), "text", "first", F.col("f.size").alias("size"), F.col("f.found").alias("bands")))
 
 
+def among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key may be one of those wanted (a table of that column), told without a shuffle of them.
+
+    None that is wanted is missing. Keys are hashed to ``SLOTS`` bits, 2 MB however many there are; a key that is not wanted
+    passes if it shares a bit with one that is, so a join has to follow.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    place = (F.col("_slot") % _MAP).cast("int")
+    maps = wanted.select(slot.alias("_slot")).groupBy(F.expr(f"_slot div {_MAP}").alias("_map")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substr(F.col("_bits"), F.expr(f"CAST(_slot % {_MAP} AS INT) div 8").cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn("_slot", slot).withColumn("_map", F.expr(f"_slot div {_MAP}")).join(F.broadcast(maps), "_map")
+    return found.where(F.getbit(byte, place % 8) == 1).select(*df.columns)
+
+
 def elements_of(plain: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Sorted elements of the texts that are wanted (node, text, first), read from a row that has the least id."""
-    named = wanted.select(F.struct("text", F.col("first").alias("id")).alias("key"), "node").hint("shuffle_hash")
-    hashed = plain.where(F.col("body").isNotNull()).join(named, "key").select(F.col("node").alias("key"), word_hashes(F.col("body")).alias("words"))
+    """Sorted elements of the texts that are wanted (node, text, first), read from a row that has the least id. Other texts are not shuffled."""
+    named = wanted.select(F.struct("text", F.col("first").alias("id")).alias("key"), "node")
+    rows = among(plain.where(F.col("body").isNotNull()), "key", named.select("key"))
+    hashed = rows.join(named.hint("shuffle_hash"), "key").select(F.col("node").alias("key"), word_hashes(F.col("body")).alias("words"))
     made = hashed.mapInArrow(lambda it: _over_batches(it, _element_column), "key bigint, found array<bigint>")
     return made.dropDuplicates(["key"]).select(F.col("key").alias("node"), F.col("found").alias("elements"))
 
@@ -217,6 +234,10 @@ def similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def _verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that are as alike as wanted. A text in very many pairs as ``b`` is copied for each ``LED`` of them."""
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / LED).cast("int").alias("copies"))
@@ -262,7 +283,7 @@ def _compared(open_: DataFrame, elements: DataFrame, threshold: float) -> DataFr
     from_all = F.transform(F.sequence(F.lit(0), blocks("other") - 1), lambda p: cell(p, F.col("own")))
     cells = dealt.withColumn("cell", F.explode(F.when(F.col("asks"), F.array_union(to_all, from_all)).otherwise(from_all)))
     asks, asked = F.col("asks") & (F.col("cell.p") == F.col("ask")), F.col("cell.t") == F.col("own")
-    rows = cells.select("bucket", "cell.p", "cell.t", asks.alias("asks"), asked.alias("asked"), "node", "root").join(elements, "node")
+    rows = cells.select("bucket", "cell.p", "cell.t", asks.alias("asks"), asked.alias("asked"), "node", "root").join(among(elements, "node", open_.select("node")), "node")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["asks"]], pdf[pdf["asked"]]
@@ -314,21 +335,24 @@ def near_duplicate_links(plain: DataFrame, texts: DataFrame, threshold: float =
     leader = F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node").alias("node"))).alias("lead")
     crowded = banded.groupBy("bucket").agg(leader, F.count("*").alias("n")).where(F.col("n") > 1)
     members = cut(banded.join(crowded.select("bucket", F.col("lead.node").alias("leader")), "bucket"))
-    elements = cut(elements_of(plain, texts.select("node", "text", "first").join(members.select("node").distinct(), "node")))
+    wanted = cut(texts.select("node", "text", "first").join(members.select("node").distinct(), "node"))
+    elements = cut(elements_of(plain, wanted))
     led = cut(members.where(F.col("node") != F.col("leader")).groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("met")))
     first = led.groupBy("a").agg(F.max(F.struct("met", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     roots = cut(components(_verified(first, elements, threshold)))
     apart = lambda pairs, roots: _rooted(_rooted(pairs, roots, "a", "ra"), roots, "b", "rb").where(F.col("ra") != F.col("rb"))
-    roots = _merged(roots, _verified(apart(led.join(first, ["a", "b"], "left_anti"), roots), elements, threshold))
+    further = cut(apart(led.join(first, ["a", "b"], "left_anti"), roots))
+    roots = _merged(roots, _verified(further, among(elements, "node", _ends(further)), threshold))
     open_ = _open(members, roots)
     large = open_.where(F.col("weight") > BLOCK)
     roots = _merged(roots, _compared(open_.where(F.col("weight") <= BLOCK), elements, threshold))
     if large.isEmpty():
         return roots
-    groups = _by_rare_elements(_rooted(large.select("node").distinct(), roots, "node", "root"), elements, threshold)
+    few = cut(among(elements, "node", large.select("node")))
+    groups = _by_rare_elements(_rooted(large.select("node").distinct(), roots, "node", "root"), few, threshold)
     pairs = groups.where(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    roots = _merged(roots, _verified(apart(pairs, roots), elements, threshold))
-    return _merged(roots, _compared(_open(groups, roots), elements, threshold))
+    roots = _merged(roots, _verified(apart(pairs, roots), few, threshold))
+    return _merged(roots, _compared(_open(groups, roots), few, threshold))
 
 
 def classes_of_texts(plain: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

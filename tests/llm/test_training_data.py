@@ -888,3 +888,33 @@ def test_language_votes_match_plain_counting(spark):
             if a in votes:
                 votes[a if w @ x > 0 else b] += 1
         assert votes[got[r["doc_id"]]] == max(votes.values())
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of ``run()`` write to shuffles."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_texts_without_a_bucket_are_not_shuffled(spark):
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.hex(F.xxhash64("doc_id", i))), " ")
+    docs = minhash.cut(spark.range(2_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 1_999, None).otherwise(body).alias("text")))
+    plain = minhash.cut(minhash._plain(docs, "doc_id", "text"))
+    wanted = minhash.cut(plain.where("id % 100 = 0").select((F.col("id") + 7).alias("node"), "key.text", F.col("id").alias("first")))
+    got = []
+    moved = shuffled(spark, lambda: got.extend(minhash.elements_of(plain, wanted).select("node", F.size("elements").alias("n")).collect()))
+    assert sorted((r["node"], r["n"]) for r in got) == [(i + 7, 196) for i in range(0, 2_000, 100)]
+    assert moved < 0.1 * docs.agg(F.sum(F.length("text"))).first()[0]
+    # no wanted key is lost, whatever shares a bit with it
+    keys = spark.range(300_000).withColumnRenamed("id", "key")
+    many = minhash.cut(keys.where("key % 3 = 0"))
+    held = minhash.among(keys, "key", many)
+    assert held.join(many, "key", "left_semi").count() == 100_000 and held.count() < 110_000
