@@ -388,15 +388,16 @@ SELECT 'd' || doc_id || '.js' AS file_path, 'p:d' || doc_id || '.js:f' AS caller
 FROM coded, (VALUES ('log', 2, false), ('inner', 2, true), ('put', 3, true), ('last', 4, true)) AS v(name, line, after)""")
 def p1_code_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls around whole documents that stand in a template, a string and a comment, however long."""
-    body = F.coalesce("text", F.lit(""))
+    body = F.col("body")
     template = F.replace(F.replace(F.replace(body, F.lit("\\"), F.lit("\\\\")), F.lit("`"), F.lit("\\`")), F.lit("$"), F.lit("\\$"))
     quoted = F.to_json(F.struct(body.alias("x")))
     code = F.concat(
         F.lit("function f(x) {\n  log(`"), template, F.lit("${inner(x)}`);\n  put("), F.regexp_replace(quoted, r'^\{"x":|\}$', ""), F.lit(");\n  last('"),
         F.regexp_replace(body, r"['\\\n]", "-"), F.lit("'); // "), F.replace(body, F.lit("\n"), F.lit(" ")), F.lit("\n}\n"),
     )
-    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), code.alias("content"))
-    return parse(numbered(files), "p").call_edges.select("file_path", "caller", "callee", "line")
+    # documents are numbered as they are, as code holds each of them four times
+    docs = numbered(read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.coalesce("text", F.lit("")).alias("body")))
+    return parse(docs.select("path", "file_ord", code.alias("content")), "p").call_edges.select("file_path", "caller", "callee", "line")
 
 
 _PLACES = (

@@ -216,15 +216,32 @@ def _near(toks: DataFrame) -> DataFrame:
     return _around(toks, 3, 2).withColumn("b1_stop", F.lag("stop").over(W.partitionBy("path").orderBy("ord")))
 
 
-def _symbols(toks: DataFrame, declared: DataFrame, files: DataFrame, project: Column) -> DataFrame:
-    """Functions of each file with their texts' hashes and signatures.
+def _spots(toks: DataFrame, declared: DataFrame) -> DataFrame:
+    """Where the functions of each file stand.
 
     ``rank`` is the order in which symbols of one name take its place: functions, variables, methods, function expressions.
-    A file's symbols meet its content in one row, so that it is not copied for each of them.
     """
     near = _near(toks)
     functions, classes = _functions(near)
-    every = cut(functions.unionByName(_methods(near, classes)).unionByName(_variables(declared)))
+    return functions.unionByName(_methods(near, classes)).unionByName(_variables(declared))
+
+
+def _short_name() -> Column:
+    return F.when(F.col("rank") == 2, F.regexp_extract("symbol", r"(?s)([^.]*)$", 1)).otherwise(F.col("symbol")).alias("name")
+
+
+def _spans(spots: DataFrame, project: Column) -> DataFrame:
+    """What calls need of symbols, if no name is a part of the content."""
+    return spots.where(F.col("path").isNotNull()).select(
+        node_identity(project, F.col("path"), F.col("symbol")).alias("node_identity"), F.col("path").alias("file_path"), F.col("start_ord").alias("node_ord"), F.col("end_ord").alias("close_ord"), _short_name(), "rank"
+    )
+
+
+def _symbols(every: DataFrame, toks: DataFrame, files: DataFrame, project: Column) -> DataFrame:
+    """Functions of each file, from their spots, with their texts' hashes and signatures.
+
+    A file's symbols meet its content in one row, so that it is not copied for each of them, nor sorted.
+    """
     commas = toks.where((F.col("t") == ",") & (F.col("angle") == 0)).select("path", F.col("within").alias("params_ord"), "place")
     listed = commas.join(every.select("path", "params_ord").distinct(), ["path", "params_ord"]).groupBy("path", "params_ord").agg(F.sort_array(F.collect_list("place")).alias("commas"))
     per_file = every.join(listed, ["path", "params_ord"], "left").groupBy("path").agg(F.collect_list(F.struct(*[c for c in _SYMBOL if c != "path"], "commas")).alias("symbols"))
@@ -249,10 +266,10 @@ def _symbols(toks: DataFrame, declared: DataFrame, files: DataFrame, project: Co
             F.sha2(normal_source(text), 256).alias("content_hash"), F.when(s["signed"], signature).alias("signature"),
         )
 
-    found = per_file.join(files.select("path", "file_ord", "content"), "path").select("path", "file_ord", F.explode(F.transform("symbols", told)).alias("s")).select("path", "file_ord", "s.*")
+    found = files.select("path", "file_ord", "content").join(per_file.hint("shuffle_hash"), "path").select("path", "file_ord", F.explode(F.transform("symbols", told)).alias("s")).select("path", "file_ord", "s.*")
     return found.select(
         node_identity(project, F.col("path"), F.col("symbol")).alias("node_identity"), F.col("path").alias("file_path"), "file_ord", "node_ord", "kind",
-        F.when(F.col("rank") == 2, F.regexp_extract("symbol", r"(?s)([^.]*)$", 1)).otherwise(F.col("symbol")).alias("name"),
+        _short_name(),
         "start_line", "end_line", "exported", "content_hash", "symbol", "close_ord", "rank", "signature",
     )
 
@@ -374,9 +391,20 @@ class Parsed:
     def _declared(self) -> DataFrame:
         return cut(_declarators(_near(self.tokens)))
 
+    @cached_property
+    def _spots(self) -> DataFrame:
+        return cut(_spots(self.tokens, self._declared))
+
+    @property
+    def _spans(self) -> DataFrame:
+        """What calls need of symbols. Contents are read again only for the names of patterns and computed members."""
+        if "symbols" in self.__dict__ or not self._spots.where(F.col("name_place").isNotNull()).isEmpty():
+            return self.symbols
+        return _spans(self._spots, self._project)
+
     @cached_property
     def symbols(self) -> DataFrame:
-        return cut(_symbols(self.tokens, self._declared, self._files, self._project))
+        return cut(_symbols(self._spots, self.tokens, self._files, self._project))
 
     @cached_property
     def _named(self) -> DataFrame:
@@ -405,7 +433,7 @@ class Parsed:
 
     @cached_property
     def call_edges(self) -> DataFrame:
-        return cut(_calls(self.tokens, self.symbols, self._project))
+        return cut(_calls(self.tokens, self._spans, self._project))
 
 
 def parse(files: DataFrame, project: str) -> Parsed:

@@ -179,3 +179,24 @@ def test_files_are_dealt_to_all_cores_and_long_strings_left_out(spark):
     assert {r["name"] for r in parsed.nodes.select("name").distinct().collect()} == {"'some name'", "g"}
     assert {r["module"] for r in parsed.imports.select("module").distinct().collect()} == {"./a"}
     assert {tuple(r) for r in parsed.call_edges.where("file_path = 'src/f7.ts'").select("callee", "line").collect()} == {("p:src/f7.ts:f", 3), ("p:src/f7.ts:put", 5), ("p:src/f7.ts:h", 5)}
+
+
+def test_calls_read_contents_once(spark):
+    """Contents are read again for calls only where a name is a part of them; either way the calls are those of all symbols."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(content):
+        read.add(1)
+        return content
+
+    told = F.udf(passed, "string").asNondeterministic()
+    plain = [(f"s{i}.ts", f"function f{i}() {{ g(); h{i}(); }}\nclass K {{ m() {{ f{i}(); }} }}\nconst h{i} = () => 1;\n") for i in range(8)]
+    for more, times in (([], 1), ([("p.ts", "const { a } = make(() => { b(); });\nclass C { [k]() { a(); } }\n")], 2)):
+        given = sources.given_files(spark, plain + more)
+        files = given.withColumn("content", told("content"))
+        before = read.value
+        got = parse.parse(files, "p").call_edges.collect()
+        assert read.value - before == times * (8 + len(more))
+        other = parse.parse(given, "p")
+        assert other.symbols.count() and sorted(got) == sorted(other.call_edges.collect())
+        assert len([r for r in got if r["caller"].startswith("p:s")]) == 24
